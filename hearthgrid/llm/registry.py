@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality_rules, url_filters
+from . import quality_rules, secret_scan, url_filters
 
 QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_url_filters": url_filters.op8_url_filters,
 }
 
 ORACLES = {
     "op3_quality_rules": quality_rules.OP3_SQL,
+    "op7_secret_scan": secret_scan.OP7_SQL,
     "op8_url_filters": url_filters.OP8_SQL,
 }
