@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality_rules, secret_scan, url_filters
+from . import quality_rules, secret_scan, simhash, url_filters
 
 QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_url_filters": url_filters.op8_url_filters,
 }
