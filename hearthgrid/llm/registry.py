@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality_rules, secret_scan, simhash, url_filters
+from . import quality_rules, secret_scan, simhash, substring_dedup, url_filters
 
 QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_url_filters": url_filters.op8_url_filters,
@@ -13,6 +14,7 @@ QUERIES = {
 
 ORACLES = {
     "op3_quality_rules": quality_rules.OP3_SQL,
+    "op5_substring_dedup": substring_dedup.OP5_SQL,
     "op7_secret_scan": secret_scan.OP7_SQL,
     "op8_url_filters": url_filters.OP8_SQL,
 }
