@@ -19,8 +19,9 @@ from .common import WORD_CLASS, materialize, table, words_of
 
 #: Least number of words, and the most percent of them that may stand in repeated 3-word windows.
 MIN_WORDS, MAX_REPEAT_PCT = 50, 50
-#: Rows on which costs and selectivities are estimated (they decide the order of rules only).
-SAMPLE_ROWS = 2_000
+#: Rows on which costs and selectivities are estimated (they decide the order of rules only). They're the first rows that
+#: a limit finds, so only a few partitions are read.
+SAMPLE_ROWS = 400
 
 
 @dataclass(frozen=True)
@@ -73,9 +74,10 @@ def default_rules(text_col: str = "text") -> list[Rule]:
     ]
 
 
-def order_rules(featured: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+def order_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules by falling rejections per second, both measured on at most ``sample_rows`` rows."""
-    sample = materialize(featured.limit(sample_rows), "rule-sample")
+    texts = docs.select(F.col(f"`{text_col}`")).limit(sample_rows)
+    sample = materialize(features(docs.sparkSession.createDataFrame(texts.collect(), texts.schema), text_col), "rule-sample")
     if not (n := sample.count()):
         return list(rules)
     scored = []
@@ -102,7 +104,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: list[Rule] | N
     added = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept"} - {text_col}
     clean = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
     rules = default_rules(text_col) if rules is None else rules
-    ordered = order_rules(features(clean, text_col).select(F.col(f"`{text_col}`"), *sorted(added - {"base_failed", "rejected_by", "kept"})), rules, sample_rows)
+    ordered = order_rules(clean, rules, text_col, sample_rows)
     out = features(clean, text_col).withColumn("base_failed", base_failed()).withColumn("rejected_by", cascade(ordered))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
 
