@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality_rules, secret_scan, simhash, substring_dedup, url_filters
+from . import html_text, quality_rules, secret_scan, simhash, substring_dedup, url_filters
 
 QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_url_filters": url_filters.op8_url_filters,
+    "op10_html_extraction": html_text.op10_html_extraction,
 }
 
 ORACLES = {
