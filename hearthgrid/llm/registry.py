@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import html_text, quality_rules, secret_scan, simhash, substring_dedup, url_filters
+from . import html_text, language_id, quality_rules, secret_scan, simhash, substring_dedup, url_filters
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
