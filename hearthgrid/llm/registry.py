@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, language_id, quality_rules, secret_scan, simhash, substring_dedup, url_filters
+from . import html_text, language_id, packing, quality_rules, secret_scan, simhash, substring_dedup, url_filters
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_url_filters": url_filters.op8_url_filters,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_html_extraction": html_text.op10_html_extraction,
 }
 
