@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import html_text, language_id, packing, quality_rules, secret_scan, simhash, substring_dedup, url_filters
+from . import decontamination, html_text, language_id, packing, quality_rules, secret_scan, simhash, substring_dedup, url_filters
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_benchmark_decontamination": decontamination.op4_benchmark_decontamination,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_secret_scan": secret_scan.op7_secret_scan,
