@@ -61,7 +61,7 @@ def _planes(fps: np.ndarray) -> np.ndarray:
     """64 rows, one for each bit; 64 fingerprints to a word."""
     bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
     lanes = -len(fps) % 64
-    return np.packbits(np.pad(bits, ((0, 0), (0, lanes))), axis=1, bitorder="little").view(np.uint64)
+    return np.packbits(np.ascontiguousarray(np.pad(bits, ((0, 0), (0, lanes)))), axis=1, bitorder="little").view(np.uint64)
 
 
 def within_radius(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -208,6 +208,6 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, the one with the smallest id (all its rows, if that id repeats)."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each component, the one with the smallest id (all its rows, if that id repeats). Rows without an id stay."""
+    copies = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
