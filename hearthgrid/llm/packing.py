@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 CAPACITY, END = 4096, 1
-#: Words and runs whose ids a worker keeps at most; beyond that it starts anew.
-CACHE_WORDS = 600_000
+#: Runs whose ids a worker keeps at most; beyond that it starts anew.
+CACHE_RUNS = 800_000
+#: Characters that are tokenised together.
+GROUP_CHARS = 1 << 20
 #: Mean number of pieces in a cell in which pieces are ranked.
 CELL_ROWS = 50_000
 #: Patterns enumerated for each length, and rounds of the fit.
@@ -42,15 +44,18 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class WordTokenizer:
-    """Ids of whole texts, made of the ids of their space-separated words.
+class RunTokenizer:
+    """Ids of whole texts, made of the ids of their runs.
 
-    The tokenizer's own rules never join across white space, so a word's ids don't depend on its neighbours. A plain word
-    (Latin letters, then marks) is a letter run followed by a run of marks under those rules, and runs are kept too, as they
-    recur in other words; every other word is encoded as it stands.
+    The tokenizer cuts a normal, lower-case text into runs of letters, single digits and runs of marks, and encodes each by
+    itself. In texts of plain characters (below), the same cut is made here and the ids of runs, which recur in many texts,
+    are kept. Any other text is encoded as it stands.
     """
 
-    plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\\[-`{-~]*)")
+    #: The tokenizer's own rule for lower-case texts of plain characters.
+    cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+    #: White space, printable ASCII and the accented Latin letters of one byte: each is its own normal form.
+    plain = bytes([*range(9, 14), *range(32, 127), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -59,54 +64,61 @@ class WordTokenizer:
         self.own, self.runs_only = Tokenizer.from_file(path), Tokenizer.from_file(path)
         # a run is already normal and whole, so only its bytes are mapped
         self.runs_only.normalizer, self.runs_only.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.words: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {"": b""}
-
-    def _learn(self, new: list[bytes]) -> None:
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.runs) > CACHE_WORDS:
-            self.runs = {"": b""}
-        texts = [w.decode() for w in new]
-        split = [m.groups() if (m := self.plain.fullmatch(t)) else None for t in texts]
-        split = [(p[0].lower(), p[1]) if p else None for p in split]
-        runs = self.runs
-        fresh = list({r for p in split if p for r in p if r not in runs})
-        for r, e in zip(fresh, self.runs_only.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            runs[r] = np.array(e.ids, "<u4").tobytes()
-        whole = [t for t, p in zip(texts, split, strict=True) if not p]
-        rest = iter(self.own.encode_batch_fast(whole, add_special_tokens=False))
-        for w, p in zip(new, split, strict=True):
-            self.words[w] = runs[p[0]] + runs[p[1]] if p else np.array(next(rest).ids, "<u4").tobytes()
-
-    def ids(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().split()
+        self.runs: dict[str, bytes] = {}
+
+    def is_plain(self, text: str) -> bool:
+        """No other characters, and nothing that could be one of the tokenizer's special strings."""
         try:
-            return np.frombuffer(b"".join([self.words[w] for w in words]), "<u4")
-        except KeyError:
-            new = {w for w in words if w not in self.words}
-            if len(self.words) + len(new) > CACHE_WORDS:
-                new = set(words)
-            self._learn(list(new))
-            return np.frombuffer(b"".join([self.words[w] for w in words]), "<u4")
+            return "<|" not in text and not text.encode("latin-1").translate(None, self.plain)
+        except UnicodeEncodeError:
+            return False
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text. The texts' new runs are encoded together."""
+        cuts = [self.cut.findall(t.lower()) if self.is_plain(t) else t for t in (t or "" for t in texts)]
+        seen = set().union(*[c for c in cuts if c.__class__ is list])
+        new = seen.difference(self.runs)
+        if len(self.runs) + len(new) > CACHE_RUNS:
+            self.runs.clear()
+            new = seen
+        if fresh := list(new):
+            for r, e in zip(fresh, self.runs_only.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+                self.runs[r] = np.array(e.ids, "<u4").tobytes()
+        get = self.runs.__getitem__
+        return [b"".join(map(get, c)) if c.__class__ is list else np.array(self.own.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in cuts]
+
+
+def _grouped(b: pa.RecordBatch) -> Iterator[tuple[list[int | None], list[str | None]]]:
+    """Consecutive rows (ids, texts) of about GROUP_CHARS characters."""
+    names, texts, total = [], [], 0
+    for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+        names.append(doc)
+        texts.append(text.as_py())
+        total += len(texts[-1] or "")
+        if total > GROUP_CHARS:
+            yield names, texts
+            names, texts, total = [], [], 0
+    if names:
+        yield names, texts
 
 
 def _pieces(path: str, capacity: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer, last = RunTokenizer(path), np.array([end], "<u4").tobytes()
         for b in batches:
             docs, parts, starts, lengths, sums, tokens = [], [], [], [], [], []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                ids = np.append(tokenizer.ids(text.as_py()), np.uint32(end)).astype("<u4")
-                for k in range(0, len(ids), capacity):
-                    piece = ids[k : k + capacity]
-                    docs.append(doc)
-                    parts.append(k // capacity)
-                    starts.append(k)
-                    lengths.append(len(piece))
-                    sums.append(zlib.crc32(piece.tobytes()))
-                    if with_ids:
-                        tokens.append(piece.astype(np.int32))
+            for names, texts in _grouped(b):
+                for doc, data in zip(names, tokenizer.ids(texts), strict=True):
+                    data += last
+                    for k in range(0, len(data), 4 * capacity):
+                        piece = data[k : k + 4 * capacity]
+                        docs.append(doc)
+                        parts.append(k // (4 * capacity))
+                        starts.append(k // 4)
+                        lengths.append(len(piece) // 4)
+                        sums.append(zlib.crc32(piece))
+                        if with_ids:
+                            tokens.append(np.frombuffer(piece, "<i4"))
             cols = [pa.array(docs, pa.int64()), pa.array(parts, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums))]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
