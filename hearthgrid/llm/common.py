@@ -16,6 +16,9 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 
+#: Bytes of text that are hashed at once.
+CHUNK = 1 << 20
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -59,20 +62,6 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS + "+"))
 
 
-def slices(rows: list, size_of, limit: int) -> Iterator[list]:
-    """Consecutive rows in groups of about ``limit`` units of size; one large row is a group of its own."""
-    group, total = [], 0
-    for row in rows:
-        n = size_of(row)
-        if group and total + n > limit:
-            yield group
-            group, total = [], 0
-        group.append(row)
-        total += n
-    if group:
-        yield group
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64-bit words (three xor-shift and multiply rounds)."""
     x = x.astype(np.uint64, copy=True)
@@ -82,3 +71,53 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def byte_set(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[np.frombuffer(chars, np.uint8)] = True
+    return out
+
+
+SPACE_BYTES = byte_set(SPACES.encode())
+_P = 0x9E3779B97F4A7C15
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _chunks(data: np.ndarray, space: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Consecutive pieces of about CHUNK bytes that end at a space or at the end."""
+    at = 0
+    while at < len(data):
+        end = min(at + CHUNK, len(data))
+        while end < len(data) and not space[end]:
+            more = np.flatnonzero(space[end : end + CHUNK])
+            end = end + int(more[0]) if len(more) else min(end + CHUNK, len(data))
+        yield at, end
+        at = end
+
+
+def word_hashes(texts: list[bytes], separators: np.ndarray = SPACE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of each word of all texts in order, and the number of words of each text.
+
+    Words are runs of bytes outside ``separators``, which must hold the line feed. Sums of byte times power give a word's
+    polynomial as a difference, so all words are hashed at once.
+    """
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    space = separators[data]
+    starts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for a, b in _chunks(data, space):
+        part, gap = data[a:b], space[a:b]
+        begins = np.flatnonzero(~gap & np.append(True, gap[:-1]))
+        ends = np.flatnonzero(~gap & np.append(gap[1:], True)) + 1
+        up, down = powers(_P, len(part) + 1), powers(pow(_P, -1, 1 << 64), len(part) + 1)
+        total = np.append(np.uint64(0), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64))
+        hashes.append(mix64((total[ends] - total[begins]) * down[begins] + (ends - begins).astype(np.uint64)))
+        starts.append(begins + a)
+    edges = np.cumsum([0] + [len(t) + 1 for t in texts])
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), edges))

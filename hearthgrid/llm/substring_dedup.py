@@ -17,68 +17,28 @@ text columns are read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, mix64, table
+from .common import mix64, powers, table, word_hashes
 
 WINDOW = 13
 #: Mean number of documents in a group.
 GROUP_DOCS = 1_000
-#: Bytes of text that are hashed at once.
-CHUNK = 1 << 20
 
-_SPACE = np.zeros(256, bool)
-_SPACE[np.frombuffer(SPACES.encode(), np.uint8)] = True
-_P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_Q = 0xD6E8FEB86659FD93
 _HASHES = "g long, h long, lo long, hi long"
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def _chunks(data: np.ndarray, space: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Consecutive pieces of about CHUNK bytes that end at a space or at the end."""
-    at = 0
-    while at < len(data):
-        end = min(at + CHUNK, len(data))
-        while end < len(data) and not space[end]:
-            more = np.flatnonzero(space[end : end + CHUNK])
-            end = end + int(more[0]) if len(more) else min(end + CHUNK, len(data))
-        yield at, end
-        at = end
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of all texts in order, and the number of words of each text."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    space = _SPACE[data]
-    starts, hashes = [], []
-    for a, b in _chunks(data, space):
-        part, gap = data[a:b], space[a:b]
-        begins = np.flatnonzero(~gap & np.append(True, gap[:-1]))
-        ends = np.flatnonzero(~gap & np.append(gap[1:], True)) + 1
-        up, down = _powers(_P, len(part) + 1), _powers(pow(_P, -1, 1 << 64), len(part) + 1)
-        total = np.append(np.uint64(0), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64))
-        hashes.append(mix64((total[ends] - total[begins]) * down[begins] + (ends - begins).astype(np.uint64)))
-        starts.append(begins + a)
-    edges = np.cumsum([0] + [len(t) + 1 for t in texts])
-    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), edges))
-
-
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of the words from each place; the last size - 1 places have none."""
     n = max(0, len(words) - size + 1)
     out = np.zeros(n, np.uint64)
-    for w, p in enumerate(_powers(_Q, size)):
+    for w, p in enumerate(powers(_Q, size)):
         out += words[w : w + n] * p
     return mix64(out)
 
@@ -103,11 +63,16 @@ def _texts(t: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 
 def _once(group: int, hashes: np.ndarray, ids: np.ndarray) -> pa.Table:
-    """Each hash of a group once, with the smallest and largest id."""
+    """Each hash of a group once, with the smallest and largest id.
+
+    Rows stand in the order of the ids: then all but the hash repeats from row to row, and the shuffle compresses it away.
+    """
     order = np.lexsort((ids, hashes))
     h, d = hashes[order], ids[order]
     first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, int)
     last = np.append(first[1:], len(h)) - 1 if len(h) else first
+    by_id = np.argsort(d[first], kind="stable")
+    first, last = first[by_id], last[by_id]
     return pa.table({"g": np.full(len(first), group, np.int64), "h": h[first], "lo": d[first], "hi": d[last]})
 
 
