@@ -6,8 +6,8 @@ Only windows whose stand-in occurs in two documents are extended to the full len
 occur in a smaller document remove words. Windows are compared by 64-bit hashes at both lengths.
 
 Documents are dealt into groups of a bounded number of documents by a hash. A group reports each hash once, with the smallest
-and largest document that has it, so a passage in a third of all documents is one row for each group, not one for each
-document. Texts are shuffled once; the three passes over the groups share that exchange.
+document that has it and whether others of the group do, so a passage in a third of all documents is one row for each
+group, not one for each document. Texts are shuffled once; the three passes over the groups share that exchange.
 
 Defined results: null or blank text has no words; texts of fewer words than a window keep all; a null doc_id is no source
 and loses nothing; rows that share a doc_id count as one document; an empty table gives an empty result; only the id and
@@ -30,7 +30,8 @@ WINDOW = 13
 GROUP_DOCS = 1_000
 
 _Q = 0xD6E8FEB86659FD93
-_HASHES = "g long, h long, lo long, hi long"
+#: ``gm``: twice the group's number, plus one if more than one document of the group has the hash.
+_SHORT, _FULL = "gm long, h long", "gm long, h long, lo long"
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -63,17 +64,12 @@ def _texts(t: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 
 def _once(group: int, hashes: np.ndarray, ids: np.ndarray) -> pa.Table:
-    """Each hash of a group once, with the smallest and largest id.
-
-    Rows stand in the order of the ids: then all but the hash repeats from row to row, and the shuffle compresses it away.
-    """
+    """Each hash of a group once, with the smallest id."""
     order = np.lexsort((ids, hashes))
     h, d = hashes[order], ids[order]
     first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, int)
     last = np.append(first[1:], len(h)) - 1 if len(h) else first
-    by_id = np.argsort(d[first], kind="stable")
-    first, last = first[by_id], last[by_id]
-    return pa.table({"g": np.full(len(first), group, np.int64), "h": h[first], "lo": d[first], "hi": d[last]})
+    return pa.table({"gm": 2 * group + (d[last] != d[first]), "h": h[first], "lo": d[first]}, pa.schema([("gm", pa.int64()), ("h", pa.int64()), ("lo", pa.int64())]))
 
 
 def _group(*tables: pa.Table) -> int:
@@ -86,7 +82,7 @@ def _stand_ins(size: int):
         _, owner, low, _, _ = windows(texts, size)
         new = np.append(True, (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])) if len(low) else np.zeros(0, bool)
         new &= known[owner]
-        return _once(_group(docs), low[new], ids[owner[new]])
+        return _once(_group(docs), low[new], ids[owner[new]]).select(["gm", "h"])
 
     return run
 
@@ -131,9 +127,16 @@ def _removed(size: int):
 
 
 def _repeated(hashes: DataFrame) -> DataFrame:
-    """(g, h, lo): the groups' hashes that occur in two documents, with the smallest document. A hash has a row for each group at most."""
+    """(g, h): the groups' hashes that occur in two documents. A hash has a row for each group at most."""
     over = "over (partition by h)"
-    return hashes.select("g", "h", F.expr(f"min(lo) {over}").alias("lo"), F.expr(f"max(hi) {over}").alias("last"), F.col("hi")).where("lo < last")
+    return hashes.withColumns({"first": F.expr(f"min(gm) {over}"), "last": F.expr(f"max(gm) {over}")}).where("first <> last or gm % 2 = 1").select(F.expr("gm div 2").alias("g"), "h")
+
+
+def _later(hashes: DataFrame) -> DataFrame:
+    """(g, h, lo): hashes that a group's documents above ``lo`` lose; lo is the smallest document of all that has the hash,
+    or below every id where that document is in another group."""
+    found = hashes.withColumn("least", F.expr("min(lo) over (partition by h)")).where("least < lo or gm % 2 = 1")
+    return found.select(F.expr("gm div 2").alias("g"), "h", F.when(F.col("least") < F.col("lo"), F.lit(-(1 << 63))).otherwise(F.col("lo")).alias("lo"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group_docs: int = GROUP_DOCS) -> DataFrame:
@@ -141,9 +144,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = max(1, -(-docs.count() // group_docs))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(groups)))
-    short = _repeated(rows.groupBy("g").applyInArrow(_stand_ins(window), _HASHES)).select("g", "h")
-    full = rows.groupBy("g").cogroup(short.groupBy("g")).applyInArrow(_extended(window), _HASHES)
-    found = _repeated(full).where("lo < hi").select("g", "h", "lo")
+    short = _repeated(rows.groupBy("g").applyInArrow(_stand_ins(window), _SHORT))
+    full = rows.groupBy("g").cogroup(short.groupBy("g")).applyInArrow(_extended(window), _FULL)
+    found = _later(full)
     return rows.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(_removed(window), _RESULT)
 
 
