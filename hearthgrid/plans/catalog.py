@@ -2,25 +2,584 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+from ..functions.geo import haversine_km
+from ..operators import entities, market, scoring, state
+from ..sources import listings, tables
+
+#: Anchor of the map queries.
+LAT0, LON0 = -33.381591, -70.562037
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- market statistics ---------------------------------------------------------------------------------------------------
+
+
 def median_price_by_brand_min4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median price of each brand, null where fewer than four parts back it."""
-    n, mid = F.count("p_retailprice"), F.median("p_retailprice")
-    return _read(spark, sf_dir, "part").groupBy("p_brand").agg(n.alias("n"), F.when(n >= 4, F.bround(mid, 2)).alias("median_price"))
+    return _read(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("p_retailprice").alias("n"), market.guarded_median(F.col("p_retailprice"), 2).alias("median_price"))
+
+
+def upper_median_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(market.upper_median("o_totalprice").alias("upper_median"))
+
+
+def price_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.histogram(_read(spark, sf_dir, "orders"), "o_totalprice", 20_000)
+
+
+def monthly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.monthly_counts(_read(spark, sf_dir, "orders"), "o_orderdate")
+
+
+def market_summary_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _read(spark, sf_dir, "orders").withColumn("day", F.to_date("o_orderdate"))
+    as_of = F.lit(o.select(F.max("day")).scalar())
+    urgent = F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice"))
+    return market.trailing_summary(o, "day", as_of, 90, {"median_price": market.positive("o_totalprice"), "median_urgent": urgent})
+
+
+def typical_fee_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fee = F.col("l_extendedprice") * 100
+    return _read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(market.typical_fee(fee, F.col("l_quantity"), 130.0).alias("typical_fee"))
+
+
+def p90_then_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = F.greatest(F.lit(3.0), F.least(F.lit(8.0), F.col("p90") / 1000 * 2.2))
+    return _read(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(market.order_statistic("c_acctbal", 0.9).alias("p90")).withColumn("side", F.bround(side, 4))
+
+
+def coverage_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _read(spark, sf_dir, "customer").select("c_name", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("balance"), F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_mktsegment")).alias("segment"))
+    return market.coverage(c, ["c_name", "balance", "segment"])
+
+
+def source_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _read(spark, sf_dir, "orders")
+    return market.calibration(o, "o_orderpriority", F.col("o_orderstatus") == "O", F.col("o_totalprice") > 100_000, [F.desc("o_totalprice"), F.asc("o_orderkey")], "o_orderkey")
+
+
+def rank_topk_carryover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _read(spark, sf_dir, "orders")
+    return market.top_k_with_carry_over(o, "o_orderpriority", [F.desc("o_totalprice"), F.asc("o_orderkey")], 5).select("o_orderkey", "o_orderpriority", "rank", "pending")
+
+
+def retention_last_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.retain_last(_read(spark, sf_dir, "events"), [F.desc("ts"), F.desc("event_id")], 400).select("event_id", "user_id")
+
+
+def enrichment_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _read(spark, sf_dir, "customer")
+    missing = F.when(F.col("c_acctbal") < 0, 1).otherwise(0) + F.when(F.col("c_mktsegment") == "BUILDING", 1).otherwise(0)
+    return c.select("c_custkey", missing.alias("missing"), "c_acctbal").orderBy(F.desc("missing"), F.desc("c_acctbal"), "c_custkey").limit(100)
+
+
+def distinct_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _read(spark, sf_dir, "part").withColumn("slug", text.slug(F.col("p_brand"), F.col("p_type")))
+    return market.first_per_key(p, "slug", [F.desc("p_retailprice"), F.asc("p_partkey")]).select("slug", "p_partkey")
+
+
+def coincident_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") * 0.01).alias("lat"), (F.col("c_nationkey") * -0.02).alias("lon"))
+    out = market.spread_coincident(c, "lat", "lon", "c_custkey")
+    return out.select("c_custkey", "nth", (F.bround("lat_shown", 4) + 0.0).alias("lat_shown"), (F.bround("lon_shown", 4) + 0.0).alias("lon_shown"))
+
+
+def viewport_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _located(spark, sf_dir)
+    return market.viewport(c, "lat", "lon", F.col("km") < 4)
+
+
+def kpi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _read(spark, sf_dir, "orders")
+    return o.agg(F.count("*").alias("live"), F.count_if(F.col("o_orderstatus") == "O").alias("new"), F.count_if(F.col("o_totalprice") < 50_000).alias("cheap"), market.upper_median("o_totalprice").alias("median_price"))
+
+
+# --- eligibility and scores ----------------------------------------------------------------------------------------------
+
+
+def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with made-up coordinates around the anchor; every seventh has none."""
+    k = F.col("c_custkey")
+    lat = F.when(k % 7 != 0, LAT0 + (k % 101 - 50) / 1000)
+    lon = F.when(k % 7 != 0, LON0 + (k % 89 - 44) / 1000)
+    c = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal", lat.alias("lat"), lon.alias("lon"))
+    return c.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), LAT0, LON0))
+
+
+_LOCATED_SQL = f"""
+located AS (
+  SELECT c_custkey, c_nationkey, c_mktsegment, c_acctbal, lat, lon,
+    2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians({LAT0}) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians({LAT0})) * pow(sin((radians({LON0}) - radians(lon)) / 2), 2)))) AS km
+  FROM (SELECT *, CASE WHEN c_custkey % 7 <> 0 THEN {LAT0} + (c_custkey % 101 - 50) / 1000.0::DOUBLE END AS lat,
+    CASE WHEN c_custkey % 7 <> 0 THEN {LON0} + (c_custkey % 89 - 44) / 1000.0::DOUBLE END AS lon FROM customer)
+)"""
+
+
+def haversine_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _located(spark, sf_dir).select("c_custkey", F.bround("km", 4).alias("km"))
+
+
+def zone_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _located(spark, sf_dir).withColumn("place", F.when(F.col("c_mktsegment") != "HOUSEHOLD", F.col("c_mktsegment")))
+    inside = scoring.in_zone(F.col("place"), F.col("km"), ["BUILDING"], ["MACHINERY", "FURNITURE"], F.col("c_nationkey") % 2 == 0, 1.2, 4.0)
+    return c.select("c_custkey", inside.alias("inside"))
+
+
+def first_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _read(spark, sf_dir, "lineitem").join(_read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rules = [("domain", F.col("p_brand") == "Brand#11"), ("type", F.col("p_size") > 40), ("area", F.col("l_quantity") < 10), ("price", F.col("l_extendedprice") > 50_000)]
+    return li.groupBy(F.coalesce(scoring.first_violation(rules), F.lit("none")).alias("violation")).agg(F.count("*").alias("n"))
+
+
+def null_never_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice"))
+    status = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus"))
+    why = scoring.first_violation([("status", status == "F"), ("price", price > 150_000)])
+    return _read(spark, sf_dir, "orders").select("o_orderkey", why.alias("violation"))
+
+
+def piecewise_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, size, price = _read(spark, sf_dir, "part"), F.col("p_size").cast("double"), F.col("p_retailprice")
+    return p.select(
+        "p_partkey",
+        scoring.price_score(price, size, 1500.0).alias("price_score"),
+        scoring.area_score(size * 5, 100.0, 130.0).alias("area_score"),
+        scoring.age_score(size, 8.0, 15.0, 30.0).alias("age_score"),
+        scoring.location_score(size / 10, F.lit(1.0), 0.9, 1.2).alias("location_score"),
+        scoring.programme_score((F.col("p_size") % 6).cast("double"), (F.col("p_size") % 4).cast("double"), 3, 2).alias("programme_score"),
+    )
+
+
+def score_compose_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size").cast("double")
+    criteria = [(F.when(k % 4 != 0, size / 2), 26.0), (F.when(k % 3 != 0, size / 3), 24.0), (F.when(k % 5 != 0, size / 4), 20.0), (size / 5, 30.0)]
+    prefs = scoring.preference_score([F.when(k % 2 == 0, 8), F.when(k % 7 == 0, -9), F.when(k % 11 == 0, -6)])
+    return _read(spark, sf_dir, "part").select("p_partkey", *[c.alias(n) for n, c in scoring.compose(criteria, prefs, k % 5 != 0).items()])
+
+
+def band_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "part").groupBy(scoring.band(F.col("p_size") * 2).alias("band")).agg(F.count("*").alias("n"))
+
+
+def strong_weak_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("p_size")
+    best, worst = scoring.strong_and_weak(["area", "price", "age"], [s / 50, (50 - s) / 50, F.when(s % 5 != 0, (s % 10) / 10)])
+    return _read(spark, sf_dir, "part").select("p_partkey", best.alias("strong"), worst.alias("weak"))
+
+
+def missing_field_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _read(spark, sf_dir, "orders")
+    some = o.select("o_orderkey", *[F.when(F.col("o_orderkey") % n != 0, F.lit(1)).alias(c) for c, n in (("price", 2), ("area", 3), ("beds", 4), ("age", 5), ("fees", 6))])
+    return some.select("o_orderkey", scoring.missing_fields(["price", "area", "beds", "age", "fees"]).alias("missing"))
+
+
+def market_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _read(spark, sf_dir, "part")
+    mid = p.groupBy("p_brand").agg(market.guarded_median(F.col("p_retailprice")).alias("mid"))
+    return p.join(mid, "p_brand").select("p_partkey", scoring.market_difference(F.col("p_retailprice"), F.col("mid")).alias("pct"))
+
+
+def cost_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rent, fees = F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice")), F.when(F.col("l_linenumber") != 2, F.floor(F.col("l_extendedprice") * F.col("l_tax")).cast("double"))
+    kept, doubtful = scoring.gate_implausible_price(rent, F.col("l_quantity"), 1200.0)
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scoring.monthly_cost(rent, fees).alias("cost"), scoring.fee_pct(rent, fees).alias("fee_pct"), kept.alias("rent"), doubtful.alias("doubtful"))
+
+
+# --- entities ------------------------------------------------------------------------------------------------------------
+
+
+def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and customers as listings: street and number from the key, place from the nation."""
+    n = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    c = _read(spark, sf_dir, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    number = F.col("c_custkey") % 40 * 25
+    return c.select(
+        "c_custkey", F.col("n_name").alias("place"), F.concat(F.lit("Av. Santa María N° "), number.cast("string"), F.lit(", "), F.col("n_name")).alias("address"),
+        F.concat(F.lit("https://www.site.example.org/aviso/"), F.col("c_custkey").cast("string"), F.lit("/?ref=x")).alias("url"), (F.bround(F.col("c_acctbal"), -3) + 0.0).alias("price"), "c_mktsegment",
+    )
+
+
+_ADDRESSES_SQL = """
+addresses AS (
+  SELECT c_custkey, n_name AS place, CASE WHEN (c_custkey % 40) * 25 >= 100 THEN 'santa maria ' || (c_custkey % 40) * 25 ELSE '' END AS key,
+    'site.example.org/aviso/' || c_custkey AS url, round_even(c_acctbal, -3) + 0.0 AS price, c_mktsegment
+  FROM customer JOIN nation ON c_nationkey = n_nationkey
+), identified AS (
+  SELECT *, substr(sha1(CASE WHEN key <> '' THEN key || '|' || lower(place) ELSE 'url|' || url END), 1, 16) AS fp FROM addresses
+)"""
+
+
+def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _addresses(spark, sf_dir).withColumn("key", text.address_key(F.col("address"), F.col("place")))
+    return a.withColumn("fp", text.fingerprint(F.col("key"), F.col("place"), F.lit(None).cast("string"), F.col("url")))
+
+
+def identity_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _identified(spark, sf_dir).select("c_custkey", "key", "fp")
 
 
-QUERIES = {"median_price_by_brand_min4": median_price_by_brand_min4}
+def human_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _identified(spark, sf_dir).select("c_custkey", text.human_code(F.col("fp")).alias("code"))
+
+
+def merge_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of one identity collapse to the dearest; its unknown segment is filled from the others."""
+    a = _identified(spark, sf_dir).withColumn("segment", F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")))
+    out = entities.collapse(a, "fp", [F.desc("price"), F.asc("c_custkey")], ["segment"], F.col("c_custkey").cast("string"))
+    return out.select("fp", "c_custkey", "price", "segment", "copies", "also_in")
+
+
+def unit_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _identified(spark, sf_dir).withColumn("unit", F.when(F.col("c_custkey") % 4 != 0, (F.col("c_custkey") % 2 + 801).cast("string")))
+    a = a.withColumns({"_ord": F.col("c_custkey"), "group": F.when(F.col("key") != "", F.col("fp"))})
+    return entities.unit_groups(a, "group", "unit", "price").groupBy("entity").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"))
+
+
+def exact_text_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _read(spark, sf_dir, "documents").where(~F.col("text").rlike("[^\\x00-\\x7F]")).select("doc_id", "source", "text")
+    return entities.text_copies(d, "source", "text", "doc_id").select("doc_id", "source")
+
+
+def blocked_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _located(spark, sf_dir).withColumns({"price": F.bround(F.col("c_acctbal"), -3), "beds": F.col("c_custkey") % 5})
+    return entities.near_pairs(c, "c_custkey", ["price", "c_nationkey"], "lat", "lon", 1.5, {"beds": 1})
+
+
+def twin_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _read(spark, sf_dir, "customer").withColumn("price", F.bround(F.col("c_acctbal"), -1))
+    return entities.twins(c, ["c_nationkey", "c_mktsegment", "price"], "c_custkey").select("c_custkey", "twins")
+
+
+def broker_code_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _read(spark, sf_dir, "part").where("p_size <= 10").withColumn("code", F.concat_ws("-", "p_brand", F.split_part("p_type", F.lit(" "), F.lit(1))))
+    return entities.broker_pairs(p, "p_partkey", "code", "p_size", "p_retailprice")
+
+
+# --- state ---------------------------------------------------------------------------------------------------------------
+
+
+def unique_key_fallback_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("price"), F.to_date("o_orderdate").alias("day"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("label"))
+    known = _read(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").alias("label"))
+    return state.tiered_lookup(o, known, [["o_orderkey"], ["o_custkey", "day"], ["day"]], ["label"]).select("o_orderkey", "label", "tier")
+
+
+def manual_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    manual = s.where("s_suppkey % 3 = 0").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, 0.0).alias("s_acctbal"), F.when(F.col("s_suppkey") % 9 == 0, "descartado").alias("state"))
+    return state.override(s, manual, "s_suppkey", ["s_acctbal"], "state")
+
+
+def conflict_annul(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.annul_conflicts(_read(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag")
+
+
+def asof_latest_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.latest_prior(_read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type").select("event_id", "prior")
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "events").withColumn("level", F.floor(F.col("value") / 20).cast("double"))
+    return state.change_points(e, "user_id", ["ts", "event_id"], "level")
+
+
+def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _points(spark, sf_dir).select("user_id", F.array_join(F.transform("points", lambda x: x.cast("long").cast("string")), ",").alias("points"))
+
+
+def price_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trend = state.price_trend(F.transform("points", lambda x: x + 1))
+    return _points(spark, sf_dir).select("user_id", trend["change_pct"].alias("change_pct"), trend["falls"].cast("long").alias("falls"))
+
+
+def _snapshot(e: DataFrame, until: str) -> DataFrame:
+    return e.where(F.col("ts") < F.lit(until).cast("timestamp")).groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+
+
+def snapshot_diff_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "events")
+    return state.run_diff(_snapshot(e, "2024-01-20"), _snapshot(e, "2024-01-05"), "user_id", "value")
+
+
+def novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _identified(spark, sf_dir).select("c_custkey", "fp", "url")
+    return state.novel(a, a.where("c_custkey % 2 = 0"), "fp", "url").select("c_custkey")
+
+
+def state_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "events")
+    old = _snapshot(e, "2024-01-05").select("user_id", "value", F.lit("2024-01-05").cast("date").alias("first_seen"), F.lit("2024-01-05").cast("date").alias("last_seen"), F.lit(1).alias("times_seen"), (F.col("user_id") % 4 == 0).alias("was_alerted"), F.lit(False).alias("pending"))
+    seen = _snapshot(e, "2024-01-20").where("user_id % 3 <> 0").select("user_id", "value", (F.col("user_id") % 5 == 0).alias("alerted"), (F.col("user_id") % 7 == 0).alias("failed"))
+    out = state.upsert(old, seen, "user_id", F.lit("2024-01-20").cast("date"), "value")
+    return out.withColumns({c: F.col(c).cast("string") for c in ("first_seen", "last_seen")})
+
+
+def absence_three_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs are days and sources event types; a user is gone on the third live day without an event."""
+    e = _read(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    live = e.select("event_type", "day").distinct()
+    first = e.groupBy("event_type", "user_id").agg(F.min("day").alias("since"))
+    marks = first.join(live, "event_type").where("day >= since").join(e.select("event_type", "user_id", "day", F.lit(1).alias("seen")).distinct(), ["event_type", "user_id", "day"], "left")
+    w = Window.partitionBy("event_type", "user_id").orderBy("day")
+    spell = marks.withColumn("spell", F.sum(F.coalesce("seen", F.lit(0))).over(w))
+    missed = spell.withColumn("missed", F.count_if(F.col("seen").isNull()).over(Window.partitionBy("event_type", "user_id", "spell").orderBy("day")))
+    return missed.where("missed = 3 and seen is null").select("event_type", "user_id", F.col("day").cast("string").alias("gone_on"))
+
+
+def ttl_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "events").groupBy("user_id").agg(F.to_date(F.max("ts")).alias("last_seen"))
+    return state.purge(e, "last_seen", F.lit("2024-02-10").cast("date"), 12).select("user_id")
+
+
+# --- text and pages ------------------------------------------------------------------------------------------------------
+
+
+def host_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = text.url_host(F.col("url"))
+    return _read(spark, sf_dir, "pages").select("page_id", host.alias("host"), text.host_in(host, ["example.org", "spam-farm.example.com"]).alias("excluded"))
+
+
+def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "pages").select("page_id", text.canonical_url(F.col("url")).alias("key"))
+
+
+def link_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.page_links(_read(spark, sf_dir, "pages"), "page_id", "html", "^/[a-z]", 4)
+
+
+def slug_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "pages").select("page_id", text.title_of_url(F.col("url")).alias("title"))
+
+
+def number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey").cast("string")
+    forms = F.array(F.concat(k, F.lit(".550.000")), F.concat(k, F.lit(",5")), k, F.concat(F.lit("1."), k), F.concat(k, F.lit(",550,000")), F.lit("abc"), F.concat(F.lit("1.2."), k), F.concat(F.lit("1.550,"), k))
+    o = _read(spark, sf_dir, "orders").where("o_orderkey <= 999").select("o_orderkey", F.posexplode(forms).alias("form", "raw"))
+    return o.select("o_orderkey", "form", text.locale_number(F.col("raw")).alias("number"))
+
+
+def ordered_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [("secret", "(token|password) ?="), ("marked", "[#*$%]{3}"), ("table", " [|] "), ("loud", "!!"), ("spanish", "(^| )(que|los|las)( |$)"), ("german", "(^| )(und|der|die)( |$)")]
+    d = _read(spark, sf_dir, "documents")
+    return d.groupBy(F.coalesce(text.ordered_class(F.col("text"), rules), F.lit("other")).alias("label")).agg(F.count("*").alias("n"))
+
+
+def longest_dictionary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["the", "this", "that", "with", "and", "was", "of", "from", "are", "mente", "nicht", "pour"]
+    return _read(spark, sf_dir, "documents").select("doc_id", text.longest_name(F.col("text"), names).alias("name"))
+
+
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "int")
+    return _read(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(k).alias("total"), F.count(k).alias("n"))
+
+
+def tolerant_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "events")
+    damaged = e.select("event_id", F.when(F.col("event_id") % 10 == 0, F.left("props", F.lit(4))).when(F.col("event_id") % 10 == 1, "").otherwise(F.col("props")).alias("line"))
+    return tables.json_lines(damaged, "line", "k int")
+
+
+def pagination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _read(spark, sf_dir, "region").withColumn("url", F.concat(F.lit("https://a.example/q"), F.when(F.col("r_regionkey") % 2 == 0, "?page=9&s=1").otherwise("")))
+    return r.select("r_regionkey", F.posexplode(text.pages_of(F.col("url"), "page", 3)).alias("pos", "url"))
+
+
+def first_empty_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _read(spark, sf_dir, "orders").where("o_custkey <= 500").groupBy("o_custkey", F.month("o_orderdate").alias("page_no")).agg(F.count_if(F.col("o_totalprice") > 60_000).alias("n"))
+    return tables.until_first_empty(o, ["o_custkey"], "page_no", "n")
+
+
+def rate_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.when(F.col("s_suppkey") % 3 == 0, F.col("s_acctbal") * 10), F.abs("s_acctbal") * 7
+    value, origin = text.rate_cascade([("env", a), ("cache", b)])
+    return _read(spark, sf_dir, "supplier").select("s_suppkey", F.bround(value, 2).alias("value"), origin.alias("origin"))
+
+
+def card_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.assemble(listings.extract(_read(spark, sf_dir, "pages")))
+
+
+_PARSED = "CASE WHEN regexp_full_match(r, '[0-9]+') THEN CAST(r AS DOUBLE) WHEN regexp_full_match(r, '[0-9]{1,3}(\\.[0-9]{3})+(,[0-9]+)?') THEN CAST(replace(replace(r, '.', ''), ',', '.') AS DOUBLE) WHEN regexp_full_match(r, '[0-9]{1,3}(,[0-9]{3}){2,}') THEN CAST(replace(r, ',', '') AS DOUBLE) WHEN regexp_full_match(r, '[0-9]+,[0-9]+') THEN CAST(replace(r, ',', '.') AS DOUBLE) WHEN regexp_full_match(r, '[0-9]+\\.[0-9]{1,2}') THEN CAST(r AS DOUBLE) END"
+_SNAPSHOT = "SELECT user_id, arg_max(value, (ts, event_id)) AS value FROM events WHERE ts < TIMESTAMP '{0}' GROUP BY user_id"
 
 ORACLES = {
-    "median_price_by_brand_min4": """
-SELECT p_brand, count(p_retailprice) AS n, CASE WHEN count(p_retailprice) >= 4 THEN round_even(median(p_retailprice), 2) END AS median_price
-FROM part GROUP BY p_brand
-""",
+    "median_price_by_brand_min4": "SELECT p_brand, count(p_retailprice) AS n, CASE WHEN count(p_retailprice) >= 4 THEN round_even(median(p_retailprice), 2) END AS median_price FROM part GROUP BY p_brand",
+    "upper_median_price": "SELECT o_orderpriority, quantile_disc(o_totalprice, 0.5 ORDER BY o_totalprice DESC) AS upper_median FROM orders GROUP BY o_orderpriority",
+    "price_histogram": "SELECT floor(o_totalprice / 20000) * 20000 AS bin, count(*) AS n FROM orders WHERE o_totalprice IS NOT NULL AND (SELECT count(o_totalprice) FROM orders) >= 4 GROUP BY 1",
+    "monthly_counts": "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1",
+    "market_summary_window": """
+WITH r AS (SELECT * FROM orders WHERE CAST(o_orderdate AS DATE) > (SELECT max(CAST(o_orderdate AS DATE)) - 90 FROM orders))
+SELECT count(*) AS n, CASE WHEN count(nullif(o_totalprice, 0)) >= 4 THEN round_even(median(nullif(o_totalprice, 0)), 0) END AS median_price,
+  CASE WHEN count(*) FILTER (o_orderpriority = '1-URGENT') >= 4 THEN round_even(median(o_totalprice) FILTER (o_orderpriority = '1-URGENT'), 0) END AS median_urgent FROM r""",
+    "typical_fee_ratio": "SELECT l_returnflag, round_even(median(l_extendedprice * 100 / l_quantity) * 130.0::DOUBLE, -4) AS typical_fee FROM lineitem GROUP BY l_returnflag",
+    "p90_then_clamp": """
+WITH p AS (SELECT c_mktsegment, list_sort(list(c_acctbal))[CAST(floor(0.9 * count(*)) AS BIGINT) + 1] AS p90 FROM customer GROUP BY c_mktsegment)
+SELECT c_mktsegment, p90, round_even(greatest(3.0::DOUBLE, least(8.0::DOUBLE, p90 / 1000 * 2.2::DOUBLE)), 4) AS side FROM p""",
+    "coverage_profile": """
+SELECT unnest(['c_name', 'balance', 'segment']) AS field, unnest([CAST(floor(100 * count(nullif(c_name, '')) / count(*)) AS BIGINT), CAST(floor(100 * count(*) FILTER (c_acctbal > 0) / count(*)) AS BIGINT),
+  CAST(floor(100 * count(*) FILTER (c_custkey % 3 <> 0) / count(*)) AS BIGINT)]) AS pct FROM customer""",
+    "source_calibration": """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders)
+SELECT o_orderpriority, count(*) AS n, count(*) FILTER (o_orderstatus = 'O') AS n_core, count(*) FILTER (o_totalprice > 100000) AS n_pass,
+  string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY k) FILTER (k <= 3) AS best FROM r GROUP BY o_orderpriority""",
+    "rank_topk_carryover": "SELECT o_orderkey, o_orderpriority, CAST(row_number() OVER w AS INTEGER) AS rank, row_number() OVER w > 5 AS pending FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey)",
+    "retention_last_rows": "SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 400",
+    "enrichment_priority": "SELECT c_custkey, CAST(c_acctbal < 0 AS INTEGER) + CAST(c_mktsegment = 'BUILDING' AS INTEGER) AS missing, c_acctbal FROM customer ORDER BY missing DESC, c_acctbal DESC, c_custkey LIMIT 100",
+    "distinct_slug": """
+WITH s AS (SELECT *, left(trim(regexp_replace(lower(p_brand || ' ' || p_type), '[^a-z0-9]+', '-', 'g'), '-'), 90) AS slug FROM part)
+SELECT slug, p_partkey FROM s QUALIFY row_number() OVER (PARTITION BY slug ORDER BY p_retailprice DESC, p_partkey) = 1""",
+    "coincident_points": """
+WITH c AS (SELECT c_custkey, c_nationkey * 0.01::DOUBLE AS lat, c_nationkey * -0.02::DOUBLE AS lon, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS nth FROM customer)
+SELECT c_custkey, nth, round_even(lat + CASE WHEN nth > 0 THEN 1.4e-4::DOUBLE * sin(2.4::DOUBLE * nth) ELSE 0 END, 4) + 0.0 AS lat_shown, round_even(lon + CASE WHEN nth > 0 THEN 1.4e-4::DOUBLE * cos(2.4::DOUBLE * nth) ELSE 0 END, 4) + 0.0 AS lon_shown FROM c""",
+    "viewport_box": f"WITH {_LOCATED_SQL} SELECT min(lat) AS south, max(lat) AS north, min(lon) AS west, max(lon) AS east FROM located WHERE km < 4",
+    "kpi_counts": "SELECT count(*) AS live, count(*) FILTER (o_orderstatus = 'O') AS new, count(*) FILTER (o_totalprice < 50000) AS cheap, quantile_disc(o_totalprice, 0.5 ORDER BY o_totalprice DESC) AS median_price FROM orders",
+    "haversine_distance": f"WITH {_LOCATED_SQL} SELECT c_custkey, round_even(km, 4) AS km FROM located",
+    "zone_predicate": f"""
+WITH {_LOCATED_SQL}, z AS (SELECT *, CASE WHEN c_mktsegment <> 'HOUSEHOLD' THEN c_mktsegment END AS place FROM located)
+SELECT c_custkey, CASE WHEN place IS NOT NULL AND c_nationkey % 2 = 0 AND coalesce(km > 4, false) THEN false WHEN place = 'BUILDING' THEN true WHEN place IS NULL THEN NOT coalesce(km > 4, false)
+  WHEN place IN ('MACHINERY', 'FURNITURE') THEN km IS NULL OR km <= 1.2 ELSE false END AS inside FROM z""",
+    "first_violation": """
+SELECT CASE WHEN p_brand = 'Brand#11' THEN 'domain' WHEN p_size > 40 THEN 'type' WHEN l_quantity < 10 THEN 'area' WHEN l_extendedprice > 50000 THEN 'price' ELSE 'none' END AS violation, count(*) AS n
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""",
+    "null_never_rejects": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 AND o_orderstatus = 'F' THEN 'status' WHEN o_orderkey % 5 <> 0 AND o_totalprice > 150000 THEN 'price' END AS violation FROM orders",
+    "piecewise_scores": """
+WITH q AS (SELECT p_partkey, p_size::DOUBLE AS s, p_retailprice / 1500.0::DOUBLE AS p, p_size * 5.0::DOUBLE AS a, p_size / 10.0::DOUBLE AS km, (p_size % 6)::DOUBLE AS bed, (p_size % 4)::DOUBLE AS bath FROM part),
+x AS (SELECT *, round_even(20.0::DOUBLE * CASE WHEN p <= 0.55 THEN 1.0 WHEN p <= 1 THEN 1 - 0.25::DOUBLE * (p - 0.55::DOUBLE) / 0.45::DOUBLE WHEN p <= 1.12 THEN 0.55::DOUBLE - 0.45::DOUBLE * (p - 1) / 0.12::DOUBLE ELSE 0 END, 2) AS got FROM q)
+SELECT p_partkey, CASE WHEN s > 20 THEN round_even(got * 0.8::DOUBLE, 2) ELSE got END AS price_score,
+  round_even(16.0::DOUBLE * CASE WHEN a < 100 THEN 0.3::DOUBLE WHEN a < 130 THEN 0.55::DOUBLE + 0.3::DOUBLE * (a - 100) / 30 WHEN a < 170 THEN 0.85::DOUBLE + 0.15::DOUBLE * (a - 130) / 40 ELSE 1 END, 2) AS area_score,
+  round_even(24.0::DOUBLE * CASE WHEN s < 8 THEN 1.0::DOUBLE WHEN s < 15 THEN 1.0::DOUBLE + (s - 8) * ((0.85::DOUBLE - 1.0::DOUBLE) / 7.0) WHEN s < 30 THEN 0.85::DOUBLE + (s - 15) * ((0.65::DOUBLE - 0.85::DOUBLE) / 15.0) WHEN s < 60 THEN 0.65::DOUBLE + (s - 30) * ((0.25::DOUBLE - 0.65::DOUBLE) / 30.0) ELSE 0.25 END, 2) AS age_score,
+  round_even(26.0::DOUBLE * CASE WHEN km <= 0.9 THEN 1.0::DOUBLE WHEN km <= 1.2 THEN 1 - 0.35::DOUBLE * (km - 0.9::DOUBLE) / (1.2::DOUBLE - 0.9::DOUBLE) ELSE greatest(0.45::DOUBLE, 1 - 0.12::DOUBLE * (km - 1.2::DOUBLE)) END, 2) AS location_score,
+  round_even(14.0::DOUBLE * (0.6::DOUBLE * (least(bed / 3, 1) * 0.9::DOUBLE + 0.05::DOUBLE * greatest(0, least(bed - 3, 2))) + 0.4::DOUBLE * least(bath / 2, 1)), 2) AS programme_score FROM x""",
+    "score_compose_clamp": """
+WITH q AS (SELECT p_partkey AS k, p_size::DOUBLE AS s FROM part), c AS (
+  SELECT k, CASE WHEN k % 4 <> 0 THEN s / 2 END AS a, CASE WHEN k % 3 <> 0 THEN s / 3 END AS b, CASE WHEN k % 5 <> 0 THEN s / 4 END AS c, s / 5 AS d,
+    greatest(-12.0, least(6.0, CASE WHEN k % 2 = 0 THEN 8.0 ELSE 0 END + CASE WHEN k % 7 = 0 THEN -9.0 ELSE 0 END + CASE WHEN k % 11 = 0 THEN -6.0 ELSE 0 END))::DOUBLE AS p FROM q
+), t AS (SELECT k, p, coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0) + coalesce(d, 0) AS raw,
+  (CASE WHEN a IS NULL THEN 0 ELSE 26 END + CASE WHEN b IS NULL THEN 0 ELSE 24 END + CASE WHEN c IS NULL THEN 0 ELSE 20 END + 30)::DOUBLE AS m FROM c),
+u AS (SELECT k, m, greatest(0, least(100, CASE WHEN m >= 40 AND m < 100 THEN raw * 100 / m ELSE raw END + p)) AS s, greatest(0, least(100, raw + 100 - m + p)) AS ceiling FROM t)
+SELECT k AS p_partkey, CAST(round_even(CASE WHEN k % 5 <> 0 THEN s ELSE s * 0.69::DOUBLE END, 0) AS INTEGER) AS score, CAST(m AS INTEGER) AS confidence, CAST(round_even(ceiling, 0) AS INTEGER) AS ceiling FROM u""",
+    "band_counts": "SELECT CASE WHEN p_size * 2 >= 85 THEN 'excellent' WHEN p_size * 2 >= 70 THEN 'very good' WHEN p_size * 2 >= 55 THEN 'good' WHEN p_size * 2 >= 40 THEN 'fair' ELSE 'low' END AS band, count(*) AS n FROM part GROUP BY 1",
+    "strong_weak_criteria": """
+WITH q AS (SELECT p_partkey, [struct_pack(s := p_size / 50.0::DOUBLE, n := 'area'), struct_pack(s := (50 - p_size) / 50.0::DOUBLE, n := 'price'), struct_pack(s := CASE WHEN p_size % 5 <> 0 THEN (p_size % 10) / 10.0::DOUBLE END, n := 'age')] AS a FROM part)
+SELECT p_partkey, coalesce(array_to_string(list_transform(list_reverse_sort(list_filter(a, lambda x: x.s >= 0.85))[1:2], lambda x: x.n), ','), '') AS strong,
+  coalesce(array_to_string(list_transform(list_sort(list_filter(a, lambda x: x.s <= 0.45))[1:2], lambda x: x.n), ','), '') AS weak FROM q""",
+    "missing_field_list": """
+SELECT o_orderkey, coalesce(array_to_string(list_filter([CASE WHEN o_orderkey % 2 = 0 THEN 'price' END, CASE WHEN o_orderkey % 3 = 0 THEN 'area' END, CASE WHEN o_orderkey % 4 = 0 THEN 'beds' END,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'age' END, CASE WHEN o_orderkey % 6 = 0 THEN 'fees' END], lambda x: x IS NOT NULL)[1:4], ','), '') AS missing FROM orders""",
+    "market_comparison": """
+WITH m AS (SELECT p_brand, CASE WHEN count(*) >= 4 THEN round_even(median(p_retailprice), 0) END AS mid FROM part GROUP BY p_brand),
+d AS (SELECT p_partkey, round_even(100 * (p_retailprice - mid) / mid, 0) AS pct FROM part JOIN m USING (p_brand))
+SELECT p_partkey, CASE WHEN abs(pct) > 4 THEN CAST(pct AS INTEGER) END AS pct FROM d""",
+    "cost_columns": """
+WITH q AS (SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_linenumber <> 3 THEN l_extendedprice END AS rent, CASE WHEN l_linenumber <> 2 THEN floor(l_extendedprice * l_tax) END AS fees FROM lineitem)
+SELECT l_orderkey, l_linenumber, rent + coalesce(fees, 0) AS cost, round_even(100 * fees / rent, 1) AS fee_pct, CASE WHEN NOT coalesce(rent / l_quantity < 1200, false) THEN rent END AS rent,
+  CASE WHEN rent / l_quantity < 1200 THEN rent END AS doubtful FROM q""",
+    "identity_hash": f"WITH {_ADDRESSES_SQL} SELECT c_custkey, key, fp FROM identified",
+    "human_code": f"""
+WITH {_ADDRESSES_SQL}, n AS (SELECT c_custkey, ('0x' || substr(fp, 1, 12))::BIGINT AS n FROM identified)
+SELECT c_custkey, array_to_string(list_transform([1, 31, 961, 29791, 923521], lambda d: '{text.CODE_ALPHABET}'[CAST(n // d % 31 + 1 AS BIGINT)]), '') AS code FROM n""",
+    "merge_coalesce": f"""
+WITH {_ADDRESSES_SQL}, s AS (SELECT *, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS segment FROM identified),
+g AS (SELECT fp, list(c_custkey ORDER BY price DESC, c_custkey) AS ids, list(price ORDER BY price DESC, c_custkey) AS prices, list(segment ORDER BY price DESC, c_custkey) FILTER (segment IS NOT NULL) AS segments, count(*) AS copies FROM s GROUP BY fp)
+SELECT fp, ids[1] AS c_custkey, prices[1] AS price, segments[1] AS segment, copies, coalesce(array_to_string(list_sort(list_transform(ids[2:], lambda x: x::VARCHAR)), ','), '') AS also_in FROM g""",
+    "unit_split": f"""
+WITH {_ADDRESSES_SQL}, a AS (SELECT *, CASE WHEN c_custkey % 4 <> 0 THEN CAST(c_custkey % 2 + 801 AS VARCHAR) END AS unit, CASE WHEN key <> '' THEN fp END AS g FROM identified),
+n AS (SELECT g, count(DISTINCT unit) AS n FROM a WHERE unit IS NOT NULL AND g IS NOT NULL GROUP BY g),
+b AS (SELECT g, price, min(unit) AS u FROM a WHERE unit IS NOT NULL AND g IS NOT NULL GROUP BY g, price HAVING count(DISTINCT unit) = 1),
+e AS (SELECT c_custkey, CASE WHEN a.g IS NULL THEN 'row|' || c_custkey WHEN coalesce(n, 0) <= 1 THEN a.g WHEN coalesce(unit, u) IS NOT NULL THEN a.g || '|' || coalesce(unit, u) ELSE 'row|' || c_custkey END AS entity
+  FROM a LEFT JOIN n ON a.g = n.g LEFT JOIN b ON a.g = b.g AND a.price = b.price)
+SELECT entity, count(*) AS n, min(c_custkey) AS first FROM e GROUP BY entity""",
+    "exact_text_dedup": """
+WITH d AS (SELECT doc_id, source, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]'))
+SELECT doc_id, source FROM d QUALIFY length(t) < 80 OR row_number() OVER (PARTITION BY source, t ORDER BY doc_id) = 1""",
+    "blocked_near_dup": f"""
+WITH {_LOCATED_SQL}, c AS (SELECT *, round_even(c_acctbal, -3) AS price, c_custkey % 5 AS beds FROM located)
+SELECT a.c_custkey AS a, b.c_custkey AS b FROM c a JOIN c b ON a.price = b.price AND a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey AND abs(a.beds - b.beds) <= 1
+WHERE 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lon) - radians(a.lon)) / 2), 2)))) <= 1.5""",
+    "twin_listings": """
+WITH c AS (SELECT c_custkey, c_nationkey, c_mktsegment, round_even(c_acctbal, -1) AS price FROM customer), g AS (SELECT c_nationkey, c_mktsegment, price, list(c_custkey ORDER BY c_custkey) AS l FROM c GROUP BY ALL HAVING count(*) > 1)
+SELECT c_custkey, array_to_string(list_filter(l, lambda x: x <> c_custkey), ',') AS twins FROM c JOIN g USING (c_nationkey, c_mktsegment, price)""",
+    "broker_code_pairs": """
+WITH p AS (SELECT *, p_brand || '-' || split_part(p_type, ' ', 1) AS code FROM part WHERE p_size <= 10)
+SELECT a.p_partkey AS a, b.p_partkey AS b FROM p a JOIN p b ON a.code = b.code AND a.p_partkey < b.p_partkey
+WHERE abs(a.p_size - b.p_size) <= 1 OR abs(a.p_retailprice - b.p_retailprice) <= 0.01::DOUBLE * greatest(a.p_retailprice, b.p_retailprice)""",
+    "unique_key_fallback_join": """
+WITH s AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS day, o_orderpriority AS label FROM orders WHERE o_orderkey % 3 <> 0),
+s2 AS (SELECT o_custkey, day, min(label) AS label FROM s GROUP BY ALL HAVING count(*) = 1), s3 AS (SELECT day, min(label) AS label FROM s GROUP BY day HAVING count(*) = 1)
+SELECT o.o_orderkey, coalesce(CASE WHEN o.o_orderkey % 2 = 0 THEN o.o_orderpriority END, CASE WHEN s.day IS NOT NULL THEN s.label WHEN s2.day IS NOT NULL THEN s2.label ELSE s3.label END) AS label,
+  CASE WHEN s.day IS NOT NULL THEN 1 WHEN s2.day IS NOT NULL THEN 2 WHEN s3.day IS NOT NULL THEN 3 END AS tier
+FROM orders o LEFT JOIN s ON o.o_orderkey = s.o_orderkey LEFT JOIN s2 ON o.o_custkey = s2.o_custkey AND CAST(o.o_orderdate AS DATE) = s2.day LEFT JOIN s3 ON CAST(o.o_orderdate AS DATE) = s3.day""",
+    "manual_override": "SELECT s_suppkey, CASE WHEN s_suppkey % 6 = 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal, s_suppkey % 9 = 0 AS discarded FROM supplier",
+    "conflict_annul": "SELECT l_orderkey, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) END AS value, count(DISTINCT l_returnflag) > 1 AS disputed FROM lineitem GROUP BY l_orderkey",
+    "asof_latest_prior": "SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prior FROM events",
+    "change_points": """
+WITH l AS (SELECT user_id, ts, event_id, floor(value / 20) AS v, lag(floor(value / 20)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
+m AS (SELECT * FROM l WHERE p IS NULL OR p <> v QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 12)
+SELECT user_id, string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY ts, event_id) AS points FROM m GROUP BY user_id""",
+    "price_trend": """
+WITH l AS (SELECT user_id, ts, event_id, floor(value / 20) AS v, lag(floor(value / 20)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
+m AS (SELECT * FROM l WHERE p IS NULL OR p <> v QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 12),
+q AS (SELECT user_id, list(v + 1 ORDER BY ts, event_id) AS a FROM m GROUP BY user_id)
+SELECT user_id, CASE WHEN len(a) >= 2 THEN CAST(round_even(100 * (a[-1] - a[1]) / a[1], 0) AS INTEGER) END AS change_pct,
+  CASE WHEN len(a) >= 2 THEN CAST(len(list_filter(range(2, len(a) + 1), lambda i: a[i] < a[i - 1])) AS BIGINT) END AS falls FROM q""",
+    "snapshot_diff_events": f"""
+WITH new AS ({_SNAPSHOT.format('2024-01-20')}), old AS ({_SNAPSHOT.format('2024-01-05')})
+SELECT user_id, CASE WHEN old.user_id IS NULL THEN 'alta' ELSE 'precio' END AS event, new.value, old.value AS before FROM new LEFT JOIN old USING (user_id) WHERE old.user_id IS NULL OR new.value <> old.value""",
+    "novelty": f"""
+WITH {_ADDRESSES_SQL} SELECT c_custkey FROM identified WHERE fp NOT IN (SELECT fp FROM identified WHERE c_custkey % 2 = 0) AND url NOT IN (SELECT url FROM identified WHERE c_custkey % 2 = 0)""",
+    "state_upsert": f"""
+WITH old AS ({_SNAPSHOT.format('2024-01-05')}), seen AS (SELECT * FROM ({_SNAPSHOT.format('2024-01-20')}) WHERE user_id % 3 <> 0),
+j AS (SELECT coalesce(o.user_id, s.user_id) AS user_id, o.user_id IS NOT NULL AS had, s.user_id IS NOT NULL AS now, o.value AS ov, s.value AS sv FROM old o FULL JOIN seen s ON o.user_id = s.user_id),
+w AS (SELECT *, (had AND user_id % 4 = 0) OR (now AND user_id % 5 = 0) AS was FROM j)
+SELECT user_id, coalesce(sv, ov) AS value, CASE WHEN had THEN '2024-01-05' ELSE '2024-01-20' END AS first_seen, CASE WHEN now THEN '2024-01-20' ELSE '2024-01-05' END AS last_seen,
+  CAST(had AS INTEGER) + CAST(now AS INTEGER) AS times_seen, was AS was_alerted, NOT was AND now AND user_id % 7 = 0 AS pending FROM w""",
+    "absence_three_runs": """
+WITH e AS (SELECT DISTINCT event_type, user_id, CAST(ts AS DATE) AS day FROM events), f AS (SELECT event_type, user_id, min(day) AS since FROM e GROUP BY ALL),
+m AS (SELECT f.event_type, f.user_id, l.day, e.day IS NOT NULL AS seen FROM f JOIN (SELECT DISTINCT event_type, day FROM e) l ON f.event_type = l.event_type AND l.day >= since
+  LEFT JOIN e ON e.event_type = f.event_type AND e.user_id = f.user_id AND e.day = l.day),
+s AS (SELECT *, sum(CAST(seen AS INTEGER)) OVER (PARTITION BY event_type, user_id ORDER BY day) AS spell FROM m),
+c AS (SELECT *, count(*) FILTER (NOT seen) OVER (PARTITION BY event_type, user_id, spell ORDER BY day) AS missed FROM s)
+SELECT event_type, user_id, CAST(day AS VARCHAR) AS gone_on FROM c WHERE missed = 3 AND NOT seen""",
+    "ttl_purge": "SELECT user_id FROM events GROUP BY user_id HAVING CAST(max(ts) AS DATE) >= DATE '2024-02-10' - 12",
+    "host_suffix": """
+WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) AS host FROM pages)
+SELECT page_id, host, host IN ('example.org', 'spam-farm.example.com') OR ends_with(host, '.example.org') OR ends_with(host, '.spam-farm.example.com') AS excluded FROM h""",
+    "url_canonical": "SELECT page_id, regexp_replace(regexp_replace(split_part(split_part(lower(trim(url)), '#', 1), '?', 1), '^[a-z]+://(www\\.)?', ''), '/+$', '') AS key FROM pages",
+    "link_lateral": """
+WITH l AS (SELECT page_id, i, l[i] AS link FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS l FROM pages), unnest(range(1, len(l) + 1)) AS t(i)),
+d AS (SELECT page_id, link, min(i) AS i FROM l WHERE regexp_matches(link, '^/[a-z]') GROUP BY ALL)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS pos, link FROM d QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY i) <= 4""",
+    "slug_title": """
+WITH w AS (SELECT page_id, trim(regexp_replace(regexp_extract(regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '\\.[A-Za-z]+$', ''), '([^/]*)/*$', 1), '[^A-Za-z0-9]+', ' ', 'g')) AS w FROM pages)
+SELECT page_id, upper(left(w, 1)) || substr(w, 2) AS title FROM w""",
+    "number_parse": f"""
+WITH f AS (SELECT o_orderkey, unnest(range(0, 8)) AS form, unnest([k || '.550.000', k || ',5', k, '1.' || k, k || ',550,000', 'abc', '1.2.' || k, '1.550,' || k]) AS r FROM (SELECT o_orderkey, o_orderkey::VARCHAR AS k FROM orders WHERE o_orderkey <= 999))
+SELECT o_orderkey, CAST(form AS INTEGER) AS form, {_PARSED} AS number FROM f""",
+    "ordered_classifier": """
+SELECT CASE WHEN regexp_matches(text, '(token|password) ?=') THEN 'secret' WHEN regexp_matches(text, '[#*$%]{3}') THEN 'marked' WHEN regexp_matches(text, ' [|] ') THEN 'table' WHEN regexp_matches(text, '!!') THEN 'loud'
+  WHEN regexp_matches(text, '(^| )(que|los|las)( |$)') THEN 'spanish' WHEN regexp_matches(text, '(^| )(und|der|die)( |$)') THEN 'german' ELSE 'other' END AS label, count(*) AS n FROM documents GROUP BY 1""",
+    "longest_dictionary_match": "SELECT doc_id, CASE "
+    + " ".join(f"WHEN regexp_matches(text, '(^|[^A-Za-z0-9]){n}([^A-Za-z0-9]|$)') THEN '{n}'" for n in sorted(["the", "this", "that", "with", "and", "was", "of", "from", "are", "mente", "nicht", "pour"], key=lambda n: (-len(n), n)))
+    + " END AS name FROM documents",
+    "json_props": "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS INTEGER)) AS BIGINT) AS total, count(json_extract(props, '$.k')) AS n FROM events GROUP BY event_type",
+    "tolerant_json_lines": "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE event_id % 10 NOT IN (0, 1)",
+    "pagination": """
+WITH u AS (SELECT r_regionkey, 'https://a.example/q' || CASE WHEN r_regionkey % 2 = 0 THEN '?page=9&s=1' ELSE '' END AS url FROM region)
+SELECT r_regionkey, CAST(n - 1 AS INTEGER) AS pos, CASE WHEN n = 1 THEN url WHEN r_regionkey % 2 = 0 THEN replace(url, 'page=9', 'page=' || n) ELSE url || '?page=' || n END AS url FROM u, range(1, 4) AS t(n)""",
+    "first_empty_page": """
+WITH p AS (SELECT o_custkey, CAST(month(o_orderdate) AS INTEGER) AS page_no, count(*) FILTER (o_totalprice > 60000) AS n FROM orders WHERE o_custkey <= 500 GROUP BY ALL),
+s AS (SELECT o_custkey, min(page_no) FILTER (n = 0) AS stop FROM p GROUP BY o_custkey)
+SELECT o_custkey, page_no, n FROM p JOIN s USING (o_custkey) WHERE stop IS NULL OR page_no < stop""",
+    "rate_lookup": """
+WITH r AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal * 10 END AS a, abs(s_acctbal) * 7 AS b FROM supplier)
+SELECT s_suppkey, round_even(CASE WHEN a BETWEEN 20000 AND 100000 THEN a WHEN b BETWEEN 20000 AND 100000 THEN b ELSE 40800 END, 2) AS value, CASE WHEN a BETWEEN 20000 AND 100000 THEN 'env' WHEN b BETWEEN 20000 AND 100000 THEN 'cache' ELSE 'constant' END AS origin FROM r""",
 }
+
+QUERIES = {name: globals()[name] for name in [*ORACLES, "card_extraction"]}
