@@ -47,7 +47,8 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     covered = F.expr("coalesce(aggregate(transform(_p, (i, k) -> least(3, coalesce(get(_p, k + 1), i + 3) - i)), 0L, (a, n) -> a + n), 0L)")
     return df.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        F.size("_w").cast("long").alias("n_words"),
+        # adding nothing in this way keeps a filter above from being pushed below and its arrays from being made anew
+        (F.size("_w") + F.spark_partition_id() * 0).cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.size("_l").cast("long").alias("n_lines"),
