@@ -102,15 +102,16 @@ def _chunks(data: np.ndarray, space: np.ndarray) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def word_hashes(texts: list[bytes], separators: np.ndarray = SPACE_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of each word of all texts in order, and the number of words of each text.
+def word_spans(texts: list[bytes], separators: np.ndarray = SPACE_BYTES) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(all texts as one, start, end and 64-bit hash of each word in it, number of words of each text).
 
     Words are runs of bytes outside ``separators``, which must hold the line feed. Sums of byte times power give a word's
     polynomial as a difference, so all words are hashed at once.
     """
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    whole = b"\n".join(texts) + b"\n"
+    data = np.frombuffer(whole, np.uint8)
     space = separators[data]
-    starts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    starts, ends_, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for a, b in _chunks(data, space):
         part, gap = data[a:b], space[a:b]
         begins = np.flatnonzero(~gap & np.append(True, gap[:-1]))
@@ -119,5 +120,12 @@ def word_hashes(texts: list[bytes], separators: np.ndarray = SPACE_BYTES) -> tup
         total = np.append(np.uint64(0), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64))
         hashes.append(mix64((total[ends] - total[begins]) * down[begins] + (ends - begins).astype(np.uint64)))
         starts.append(begins + a)
+        ends_.append(ends + a)
     edges = np.cumsum([0] + [len(t) + 1 for t in texts])
-    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), edges))
+    at = np.concatenate(starts)
+    return whole, at, np.concatenate(ends_), np.concatenate(hashes), np.diff(np.searchsorted(at, edges))
+
+
+def word_hashes(texts: list[bytes], separators: np.ndarray = SPACE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of each word of all texts in order, and the number of words of each text."""
+    return word_spans(texts, separators)[3:]

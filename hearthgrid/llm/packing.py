@@ -13,9 +13,12 @@ itself; an empty table gives an empty result; only the id and text columns are r
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
+from array import array
+from collections import ChainMap
 from collections.abc import Iterator
 from functools import cache
 
@@ -24,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, word_spans
 
 CAPACITY, END = 4096, 1
-#: Runs whose ids a worker keeps at most; beyond that it starts anew.
-CACHE_RUNS = 800_000
+#: Words, and runs, whose ids a worker keeps (about 100 MB each).
+CACHE = 400_000
 #: Characters that are tokenised together.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 2 << 20
 #: Mean number of pieces in a cell in which pieces are ranked.
 CELL_ROWS = 50_000
 #: Patterns enumerated for each length, and rounds of the fit.
@@ -45,11 +48,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class RunTokenizer:
-    """Ids of whole texts, made of the ids of their runs.
+    """Ids of whole texts, made of the ids of their different words, and those of the ids of the words' runs.
 
-    The tokenizer cuts a normal, lower-case text into runs of letters, single digits and runs of marks, and encodes each by
-    itself. In texts of plain characters (below), the same cut is made here and the ids of runs, which recur in many texts,
-    are kept. Any other text is encoded as it stands.
+    The tokenizer cuts a normal, lower-case text into runs of letters, single digits and runs of marks, never across white
+    space, and encodes each by itself. In texts of plain characters (below), the same cut is made here: the different words of
+    many texts are found at once by their 64-bit hashes, and the ids of words and runs, which recur, are kept. Any other text
+    is encoded as it stands.
     """
 
     #: The tokenizer's own rule for lower-case texts of plain characters.
@@ -61,9 +65,10 @@ class RunTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already has a worker on every core
-        self.own, self.runs_only = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.own, self.whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
         # a run is already normal and whole, so only its bytes are mapped
-        self.runs_only.normalizer, self.runs_only.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.whole.normalizer, self.whole.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.words: dict[bytes, bytes] = {}
         self.runs: dict[str, bytes] = {}
 
     def is_plain(self, text: str) -> bool:
@@ -73,19 +78,54 @@ class RunTokenizer:
         except UnicodeEncodeError:
             return False
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text. The texts' new runs are encoded together."""
-        cuts = [self.cut.findall(t.lower()) if self.is_plain(t) else t for t in (t or "" for t in texts)]
-        seen = set().union(*[c for c in cuts if c.__class__ is list])
-        new = seen.difference(self.runs)
-        if len(self.runs) + len(new) > CACHE_RUNS:
-            self.runs.clear()
-            new = seen
-        if fresh := list(new):
-            for r, e in zip(fresh, self.runs_only.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                self.runs[r] = np.array(e.ids, "<u4").tobytes()
-        get = self.runs.__getitem__
-        return [b"".join(map(get, c)) if c.__class__ is list else np.array(self.own.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in cuts]
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that aren't known; they're kept while there is room, so the words of the first texts, and with them the
+        common ones, stay."""
+        cuts = [self.cut.findall(w.decode().lower()) for w in new]
+        runs = self.runs
+        fresh = list(set().union(*cuts).difference(runs))
+        made = {r: array("I", e.ids).tobytes() for r, e in zip(fresh, self.whole.encode_batch_fast(fresh, add_special_tokens=False), strict=True)}
+        if len(runs) < CACHE:
+            runs.update(made)
+            made = runs
+        else:
+            made = ChainMap(runs, made)
+        out = {w: made[c[0]] if len(c) == 1 else b"".join([made[r] for r in c]) for w, c in zip(new, cuts, strict=True)}
+        if len(self.words) < CACHE:
+            self.words.update(out)
+        return out
+
+    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Unsigned 32-bit ids of each text."""
+        texts = [t or "" for t in texts]
+        plain = [self.is_plain(t) for t in texts]
+        data, start, end, hashes, counts = word_spans([t.encode() if p else b"" for t, p in zip(texts, plain, strict=True)])
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        different = [data[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        get = self.words.get
+        found = [get(w) for w in different]
+        if missing := [i for i, x in enumerate(found) if x is None]:
+            collects = gc.isenabled()
+            gc.disable()  # hundreds of thousands of small lists that hold no cycles
+            learned = self._learn([different[i] for i in missing])
+            for i in missing:
+                found[i] = learned[different[i]]
+            if collects:
+                gc.enable()
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, at = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        # each word's ids are copied from its place in ``flat`` to its place in the texts
+        n = size[which]
+        to = np.cumsum(n) - n
+        out = flat[np.repeat(at[which] - to, n) + np.arange(int(n.sum()))]
+        edges = np.append(to, len(out))[np.cumsum(np.append(0, counts))].tolist()
+        return [out[a:b] if p else np.array(self.own.encode(t, add_special_tokens=False).ids, "<u4") for t, p, a, b in zip(texts, plain, edges, edges[1:], strict=False)]
+
+
+@cache
+def tokenizer_of(path: str) -> RunTokenizer:
+    """A worker's tokenizer, which it keeps from task to task."""
+    return RunTokenizer(path)
 
 
 def _grouped(b: pa.RecordBatch) -> Iterator[tuple[list[int | None], list[str | None]]]:
@@ -104,21 +144,21 @@ def _grouped(b: pa.RecordBatch) -> Iterator[tuple[list[int | None], list[str | N
 
 def _pieces(path: str, capacity: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, last = RunTokenizer(path), np.array([end], "<u4").tobytes()
+        tokenizer, last = tokenizer_of(path), np.array([end], "<u4")
         for b in batches:
             docs, parts, starts, lengths, sums, tokens = [], [], [], [], [], []
             for names, texts in _grouped(b):
-                for doc, data in zip(names, tokenizer.ids(texts), strict=True):
-                    data += last
-                    for k in range(0, len(data), 4 * capacity):
-                        piece = data[k : k + 4 * capacity]
+                for doc, ids in zip(names, tokenizer.ids(texts), strict=True):
+                    ids = np.append(ids, last)
+                    for k in range(0, len(ids), capacity):
+                        piece = ids[k : k + capacity]
                         docs.append(doc)
-                        parts.append(k // (4 * capacity))
-                        starts.append(k // 4)
-                        lengths.append(len(piece) // 4)
+                        parts.append(k // capacity)
+                        starts.append(k)
+                        lengths.append(len(piece))
                         sums.append(zlib.crc32(piece))
                         if with_ids:
-                            tokens.append(np.frombuffer(piece, "<i4"))
+                            tokens.append(piece.view("<i4"))
             cols = [pa.array(docs, pa.int64()), pa.array(parts, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums))]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
