@@ -35,7 +35,7 @@ CACHE = 400_000
 #: Characters that are tokenised together.
 GROUP_CHARS = 2 << 20
 #: Mean number of pieces in a cell in which pieces are ranked.
-CELL_ROWS = 50_000
+CELL_ROWS = 2_500
 #: Patterns enumerated for each length, and rounds of the fit.
 PATTERNS, ROUNDS = 6, 300
 
