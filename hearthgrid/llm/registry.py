@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, language_id, packing, quality_rules, secret_scan, simhash, substring_dedup, url_filters
+from . import decontamination, html_text, language_id, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, url_filters
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_quality_classifier": quality_classifier.op2_quality_classifier,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_benchmark_decontamination": decontamination.op4_benchmark_decontamination,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
