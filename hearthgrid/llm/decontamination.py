@@ -3,8 +3,7 @@
 Benchmark items are cut into passages of ``SPAN`` words; a word's weight is its inverse document frequency over all
 documents. A randomised SVD of the passages' TF-IDF matrix (subspace iteration whose products are Spark jobs over the
 passages) gives a latent space; windows of every document are projected into it and compared with the passages by cosine.
-A window's energy inside the benchmark's vocabulary bounds its cosine with any passage, so windows below the bound are
-passed over. For each candidate, the longest common subsequence of the item and the
+Every window with a word of the benchmark is compared. For each candidate, the longest common subsequence of the item and the
 document's words around the window decides: ``SURE`` of the item is a copy; from ``LIKELY`` on, a paraphrase, if the item's
 answer (its ``answer`` column, else its last words) is found there too.
 
@@ -32,7 +31,7 @@ from .common import byte_set, table, word_hashes
 SPAN, STRIDE = 24, 6
 RANK, POWER_STEPS, SEED = 256, 2, 20
 BLOCK = 2_000
-#: Least cosine of a candidate window, in the words' space (a bound) and in the latent space.
+#: Least cosine of a candidate window in the latent space.
 COSINE = 0.5
 SURE, LIKELY, ANSWER = 0.7, 0.5, 0.8
 #: Items below this number of words have too little text for a cosine.
@@ -57,6 +56,8 @@ class Items:
     ids: list[int] = field(default_factory=list)
     words: list[np.ndarray] = field(default_factory=list)
     answers: list[np.ndarray] = field(default_factory=list)
+    bags: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    holds: np.ndarray | None = None
     vocab: np.ndarray | None = None
     idf: np.ndarray | None = None
     item_of: np.ndarray | None = None
@@ -92,6 +93,7 @@ def read_items(rows: list) -> Items:
     out.vocab = np.unique(np.concatenate([np.concatenate(k[1:]) for k in kept]))
     out.words = [out.terms(k[1]) for k in kept]
     out.answers = [out.terms(k[2]) for k in kept]
+    out.bags = [np.unique(w, return_counts=True) for w in out.words]
     places = [(i, s) for i, w in enumerate(out.words) for s in spans(len(w), SPAN, SPAN // 2)]
     out.item_of, out.offset = (np.array(x, np.int32) for x in zip(*places, strict=True))
     return out
@@ -124,8 +126,6 @@ def weigh(items: Items, rows: DataFrame) -> Items:
             total = n
         else:
             counts[t] = n
-    # the last entry is the weight of words outside the vocabulary, which count as seen once
-    counts[-1] = 1
     items.idf = np.log((total + 2) / (counts + 0.5)).astype(np.float32)
     return items
 
@@ -196,11 +196,34 @@ def lcs(a: np.ndarray, b: np.ndarray, outside: int) -> int:
     return len(a) - v.bit_count()
 
 
+def most_shared(items: Items, terms: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """For each (text, item, start, end): the words between start and end that the item holds."""
+    if items.holds is None:
+        items.holds = np.zeros((len(items.words), len(items.vocab) + 1), bool)
+        for i, w in enumerate(items.words):
+            items.holds[i, w] = True
+    out = np.zeros(len(places), np.int64)
+    for at in range(0, len(places), 4096):
+        _, item, a, b = places[at : at + 4096].T
+        size = b - a
+        begin = np.cumsum(size) - size
+        index = np.arange(size.sum()) + np.repeat(a - begin, size)
+        out[at : at + 4096] = np.add.reduceat(items.holds[np.repeat(item, size), terms[index]], begin, dtype=np.int64)
+    return out
+
+
+def shared(items: Items, i: int, area: np.ndarray) -> int:
+    """Words that item i and the area share, each as often as in both; no common subsequence is longer."""
+    words, often = items.bags[i]
+    at = np.searchsorted(words, area)
+    at[at == len(words)] = 0
+    return int(np.minimum(np.bincount(at[words[at] == area], minlength=len(words)), often).sum())
+
+
 def matches(items: Items, texts: list[bytes]) -> Iterator[tuple[int, int, float, float, bool, bool]]:
-    """(text number, item number, cosine, lcs ratio, answer found, contaminated), the best of each text and item."""
+    """(text number, item number, cosine, lcs ratio, answer found, contaminated), the best of each text and item that reaches LIKELY."""
     hashes, counts = word_hashes(texts, _MARKS)
     terms, out = items.terms(hashes), len(items.vocab)
-    weight = items.idf[terms]
     first = np.cumsum(np.append(0, counts))
     size = np.minimum(counts, SPAN)
     # windows of all texts: every STRIDE words from a text's start, and one at its end
@@ -209,10 +232,10 @@ def matches(items: Items, texts: list[bytes]) -> Iterator[tuple[int, int, float,
     nth = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)
     start = first[text] + np.minimum(nth * STRIDE, np.maximum(counts - SPAN, 0)[text])
     end = start + size[text]
-    energy = np.cumsum(np.append(0, weight.astype(np.float64) ** 2))
-    known = np.cumsum(np.append(0, np.where(terms < out, weight, 0).astype(np.float64) ** 2))
-    keep = np.flatnonzero(known[end] - known[start] >= COSINE**2 * (energy[end] - energy[start]))
+    known = np.cumsum(np.append(0, terms < out))
+    keep = np.flatnonzero(known[end] > known[start])  # without a word of the benchmark the cosine is zero
     best: dict[tuple[int, int], tuple[float, float, bool, bool]] = {}
+    lengths = np.array([len(w) for w in items.words])
     padded = np.append(terms, np.full(SPAN, out, np.int32))
     for at in range(0, len(keep), 2048):
         k = keep[at : at + 2048]
@@ -222,21 +245,28 @@ def matches(items: Items, texts: list[bytes]) -> Iterator[tuple[int, int, float,
         again = np.append(np.zeros((len(k), 1), bool), t[:, 1:] == t[:, :-1], axis=1)
         w = np.where(again | (t == out), 0, items.idf[t])
         points = np.zeros((len(k), items.basis.shape[1]), np.float32)
-        for j in range(SPAN):
-            points += w[:, j : j + 1] * items.basis[t[:, j]]
+        for j in range(SPAN):  # words of the vocabulary are sorted first
+            r = np.flatnonzero(w[:, j])
+            points[r] += w[r, j : j + 1] * items.basis[t[r, j]]
         cosine = points @ items.passages.T / np.maximum(np.linalg.norm(points, axis=1), 1e-9)[:, None]
-        for row, p in zip(*np.nonzero(cosine >= COSINE), strict=True):
-            i, d = int(items.item_of[p]), int(text[k[row]])
-            own, near = items.words[i], start[k[row]] - items.offset[p]
-            slack = SPAN // 2 + len(own) // 4
-            a, b = max(first[d], near - slack), min(first[d + 1], near + len(own) + slack)
-            area = terms[a:b]
+        row, p = np.nonzero(cosine >= COSINE)
+        item, doc = items.item_of[p], text[k[row]]
+        near, n = start[k[row]] - items.offset[p], lengths[item]
+        slack = SPAN // 2 + n // 4
+        places = np.stack([doc, item, np.maximum(first[doc], near - slack), np.minimum(first[doc + 1], near + n + slack)], axis=1)
+        places, one = np.unique(places[n >= LEAST], axis=0, return_index=True)
+        value = cosine[row, p][n >= LEAST][one]
+        can = np.flatnonzero(most_shared(items, terms, places) >= LIKELY * lengths[places[:, 1]])  # others can't reach LIKELY
+        for (d, i, a, b), c in zip(places[can].tolist(), value[can].tolist(), strict=True):
+            own, area = items.words[i], terms[a:b]
+            if shared(items, i, area) < LIKELY * len(own):
+                continue
             ratio = lcs(own, area, out) / len(own)
-            if (d, i) in best and best[d, i][1] >= ratio:
+            if ratio < LIKELY or ((d, i) in best and best[d, i][1] >= ratio):
                 continue
             answer = items.answers[i]
             found = lcs(answer, area, out) >= ANSWER * len(answer)
-            best[d, i] = (float(cosine[row, p]), ratio, found, len(own) >= LEAST and (ratio >= SURE or (ratio >= LIKELY and found)))
+            best[d, i] = (c, ratio, found, ratio >= SURE or found)
     for (d, i), got in best.items():
         yield d, i, *got
     yield from _short_matches(items, terms, first, counts)
