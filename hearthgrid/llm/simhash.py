@@ -208,6 +208,11 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, the one with the smallest id (all its rows, if that id repeats). Rows without an id stay."""
-    copies = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    """One document of each component at five-word Jaccard 0.8, the one with the smallest id (all its rows, if that id repeats). Rows without an id stay.
+
+    At that similarity fingerprints are about ten bits apart, more than blocks of bits can find, so the shingles decide.
+    """
+    from .jaccard import near_copies
+
+    copies = near_copies(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
