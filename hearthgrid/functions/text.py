@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 ACCENTED = "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝáàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
 PLAIN = "AAAAAAEEEEIIIIOOOOOUUUUNCYaaaaaaeeeeiiiiooooouuuuncyy"
 #: Letters and digits of a human code, without those that are easily confused.
-CODE_ALPHABET = "23456789ABCDEFGHJKLMNPQRSTUVWXYZ"[:31]
+CODE_ALPHABET = "23456789ABCDEFGHJKMNPQRSTUVWXYZ"
 #: Number words.
 NUMBER_WORDS = {"un": 1, "uno": 1, "una": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8}
 #: Kinds of road that may lead an address, and marks of a house number.
@@ -23,9 +23,19 @@ def unaccent(c: Column) -> Column:
     return F.translate(c, ACCENTED, PLAIN)
 
 
+#: The white space that separates words.
+SPACES = r"[\t\n\x0B\f\r ]+"
+
+
 def fold(c: Column) -> Column:
     """Unaccented, lower case, one space between words, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(unaccent(c)), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(unaccent(c)), SPACES, " "))
+
+
+def key_text(c: Column) -> Column:
+    """Text for comparison: unaccented, lower case, without points and commas inside numbers, other marks as spaces."""
+    t = F.regexp_replace(F.lower(unaccent(F.coalesce(c, F.lit("")))), r"(?<=[0-9])[.,](?=[0-9])", "")
+    return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}_]+", " "))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -33,18 +43,20 @@ def blank_to_null(c: Column) -> Column:
 
 
 def locale_number(c: Column) -> Column:
-    """Number of a text with points for thousands and a comma for decimals; null if it's none.
+    """Number of a text with points for thousands and a comma for decimals, spaces left out; null if it's none.
 
-    A comma with three digits behind it is a decimal comma unless it comes twice; points must separate groups of three, or
-    a single point is a decimal point.
+    Commas before groups of three digits, twice or more, separate thousands. Else the last comma is a decimal comma, before it
+    points count for nothing and nothing is zero. Without a comma, points before groups of three separate thousands, and a
+    single other point is a decimal point.
     """
-    t = F.trim(c)
+    t = F.replace(F.trim(c), F.lit(" "), F.lit(""))
+    without = lambda x, mark: F.replace(x, F.lit(mark), F.lit(""))
+    whole = without(F.regexp_extract(t, r"^([0-9.]*),[0-9]+$", 1), ".")
     return (
-        F.when(t.rlike(r"^[0-9]+$"), t.try_cast("double"))
-        .when(t.rlike(r"^[0-9]{1,3}(\.[0-9]{3})+(,[0-9]+)?$"), F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("double"))
-        .when(t.rlike(r"^[0-9]{1,3}(,[0-9]{3}){2,}$"), F.replace(t, F.lit(","), F.lit("")).try_cast("double"))
-        .when(t.rlike(r"^[0-9]+,[0-9]+$"), F.replace(t, F.lit(","), F.lit(".")).try_cast("double"))
-        .when(t.rlike(r"^[0-9]+\.[0-9]{1,2}$"), t.try_cast("double"))
+        F.when(t.rlike(r"^[0-9]{1,3}(,[0-9]{3}){2,}(\.[0-9]+)?$"), without(t, ",").try_cast("double"))
+        .when(t.rlike(r"^[0-9.]*,[0-9]+$"), F.concat(F.when(whole == "", "0").otherwise(whole), F.lit("."), F.regexp_extract(t, "([0-9]+)$", 1)).try_cast("double"))
+        .when(t.rlike(r"^[0-9]+(\.[0-9]{3})*$"), without(t, ".").try_cast("double"))
+        .when(t.rlike(r"^[0-9]+\.[0-9]+$"), t.try_cast("double"))
     )
 
 
@@ -114,10 +126,15 @@ def address_key(address: Column, place: Column) -> Column:
     return F.when(t.rlike(r"(^|[^0-9])[0-9]{3,}") & t.rlike("[a-z]"), t).otherwise("")
 
 
-def fingerprint(key: Column, place: Column, unit: Column, url: Column) -> Column:
-    """Sixteen hex digits of the identity: address key, place and unit, or the url where the address identifies nothing."""
-    own = F.concat_ws("|", key, fold(F.coalesce(place, F.lit(""))), F.nullif(fold(F.coalesce(unit, F.lit(""))), F.lit("")))
-    return F.left(F.sha1(F.when((key != "") & (F.coalesce(place, F.lit("")) != ""), own).otherwise(F.concat(F.lit("url|"), canonical_url(url)))), F.lit(16))
+def fingerprint(key: Column, place: Column, unit: Column, url: Column, detail: Column) -> Column:
+    """Sixteen hex digits of the identity: address key, place and unit.
+
+    Where the address identifies nothing, the url as it stands and the start of the listing's own title or text (``detail``),
+    as the cards of one page share its url.
+    """
+    own = F.concat_ws("|", key, key_text(place), F.nullif(key_text(unit), F.lit("")))
+    other = F.concat(F.coalesce(url, F.lit("")), F.lit("|"), F.left(key_text(detail), F.lit(120)))
+    return F.left(F.sha1(F.when((key != "") & (F.coalesce(place, F.lit("")) != ""), own).otherwise(other)), F.lit(16))
 
 
 def human_code(fp: Column, length: int = 5) -> Column:

@@ -1,13 +1,15 @@
-"""Entity resolution: group collapse, address groups with units, text copies, near positions, twins."""
+"""Entity resolution: group collapse, address groups with units, text copies, merging into a principal, twins."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.geo import haversine_km
 from ..functions.text import fold
 
 
@@ -63,66 +65,73 @@ def text_copies(df: DataFrame, source: str, text: str, order: str, least: int =
     """The first row of each source and folded text; texts below ``least`` characters are never copies."""
     folded = fold(F.coalesce(F.col(text), F.lit("")))
     keyed = df.withColumn("_h", F.when(F.length(folded) >= least, F.sha1(folded)))
-    long_ = keyed.where("_h is not null").withColumn("_k", F.row_number().over(Window.partitionBy(source, "_h").orderBy(order))).where("_k = 1").drop("_k")
-    return long_.unionByName(keyed.where("_h is null")).drop("_h")
-
-
-def near_pairs(df: DataFrame, key: str, blocks: list[str], lat: str, lon: str, km: float, within: dict[str, float]) -> DataFrame:
-    """(a, b) with a < b of rows that agree on all blocks, lie within ``km`` and differ by at most ``within`` on each column
-    (an unknown value doesn't speak against a pair)."""
-    cols = [key, *blocks, lat, lon, *within]
-    left = df.select(*[F.col(c).alias(f"a_{c}") if c not in blocks else F.col(c) for c in cols])
-    right = df.select(*[F.col(c).alias(f"b_{c}") if c not in blocks else F.col(c) for c in cols])
-    cond = (F.col(f"a_{key}") < F.col(f"b_{key}")) & (haversine_km(F.col(f"a_{lat}"), F.col(f"a_{lon}"), F.col(f"b_{lat}"), F.col(f"b_{lon}")) <= km)
-    for c, most in within.items():
-        cond = cond & F.coalesce(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= most, F.lit(True))
-    return left.join(right, blocks).where(cond).select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"))
+    # rows that can't be copies are dealt by their own order, so they make no large group
+    spread = Window.partitionBy(source, F.coalesce("_h", F.concat(F.lit("row|"), F.col(order).cast("string")))).orderBy(order)
+    return keyed.withColumn("_k", F.row_number().over(spread)).where("_h is null or _k = 1").drop("_h", "_k")
 
 
-def merge_greedily(df: DataFrame, blocks: list[str], key: str, order: str, lat: str, lon: str, km: float, within: dict[str, float]) -> DataFrame:
-    """(key, principal): rows of a block in order join the first principal they're close to, or become one.
+def merge_into_principal(df: DataFrame, blocks: list[str], key: str, order: list[str], rank: list[str], near: Callable[[dict, dict], bool]) -> DataFrame:
+    """(key, merged_into): in a block, rows in order meet the block's one principal; where they are near, the one that ranks
+    higher (the principal on a tie) is the principal from there on and takes the other in. Null where a row stays.
 
-    This isn't the transitive closure: a row is compared with principals only. A block holds the rows of one exact price and
-    size, so it is small; it's handled in one Arrow batch.
+    ``order`` breaks all ties; ``rank``: columns compared as numbers, nulls lowest; ``near``: test of two rows as dicts. Blocks
+    are streamed in sorted partitions and only the principal is held, so a block of any size fits.
     """
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        heads: list[int] = []
-        out = []
-        la, lo = np.radians(rows[lat].to_numpy(float)), np.radians(rows[lon].to_numpy(float))
-        extra = {c: rows[c].to_numpy(float) for c in within}
-        for i in range(len(rows)):
-            h = np.array(heads, int)
-            if len(h):
-                a = np.sin((la[h] - la[i]) / 2) ** 2 + np.cos(la[h]) * np.cos(la[i]) * np.sin((lo[h] - lo[i]) / 2) ** 2
-                ok = 2 * 6371.0088 * np.arcsin(np.sqrt(np.minimum(a, 1))) <= km
-                for c, most in within.items():
-                    ok &= ~(np.abs(extra[c][h] - extra[c][i]) > most)
-                h = h[ok]
-            if len(h):
-                out.append(h[0])
-            else:
-                heads.append(i)
-                out.append(i)
-        keys = rows[key].to_numpy()
-        return pd.DataFrame({"member": keys, "principal": keys[np.array(out, int)]})
-
-    kind = df.schema[key].dataType.simpleString()
-    cols = list(dict.fromkeys([*blocks, key, order, lat, lon, *within]))
-    return df.select(*cols).groupBy(*blocks).applyInPandas(run, f"member {kind}, principal {kind}")
+    columns = list(dict.fromkeys([*blocks, key, *order, *rank, *[c for c in df.columns if c in getattr(near, "columns", df.columns)]]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, head = None, None
+        for b in batches:
+            lost, into = [], []
+            for row in b.to_pylist():
+                own = tuple(row[c] for c in blocks)
+                if own != block:
+                    block, head = own, row
+                elif near(head, row):
+                    higher = [float("-inf") if row[c] is None else row[c] for c in rank] > [float("-inf") if head[c] is None else head[c] for c in rank]
+                    winner, loser = (row, head) if higher else (head, row)
+                    lost.append(loser[key])
+                    into.append(winner[key])
+                    head = winner
+            yield pa.RecordBatch.from_arrays([pa.array(lost, kind_), pa.array(into, kind_)], names=["loser", "merged_into"])
+
+    kind = df.schema[key].dataType
+    kind_ = to_arrow_type(kind)
+    known = df.where(" and ".join(f"`{c}` is not null" for c in blocks)).select(*columns)
+    pairs = known.repartition(*blocks).sortWithinPartitions(*blocks, *order).mapInArrow(run, f"loser {kind.simpleString()}, merged_into {kind.simpleString()}")
+    return df.select(key).join(pairs.withColumnRenamed("loser", key), key, "left")
+
+
+def within(lat: str, lon: str, km: float, most: dict[str, float]) -> Callable[[dict, dict], bool]:
+    """Test for ``merge_into_principal``: at most ``km`` apart, and no known value of ``most`` differs by more."""
+
+    def near(a: dict, b: dict) -> bool:
+        if None in (a[lat], a[lon], b[lat], b[lon]):
+            return False
+        la, lb = math.radians(a[lat]), math.radians(b[lat])
+        h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin(math.radians(b[lon] - a[lon]) / 2) ** 2
+        return 2 * 6371.0088 * math.asin(min(1.0, math.sqrt(h))) <= km and not any(a[c] is not None and b[c] is not None and abs(a[c] - b[c]) > x for c, x in most.items())
+
+    near.columns = {lat, lon, *most}
+    return near
+
+
+def same_offer(area: str, price: str, most: dict[str, float] | None = None) -> Callable[[dict, dict], bool]:
+    """Test for ``merge_into_principal`` on broker codes: areas within one unit or prices within one percent, and no known
+    value of ``most`` that differs by more."""
+
+    def near(a: dict, b: dict) -> bool:
+        areas = a[area] is not None and b[area] is not None and abs(a[area] - b[area]) <= 1
+        prices = a[price] is not None and b[price] is not None and abs(a[price] - b[price]) <= 0.01 * max(a[price], b[price])
+        return (areas or prices) and not any(a[c] is not None and b[c] is not None and abs(a[c] - b[c]) > x for c, x in (most or {}).items())
+
+    near.columns = {area, price, *(most or {})}
+    return near
 
 
 def twins(df: DataFrame, signature: list[str], key: str) -> DataFrame:
-    """Rows with the keys of the other rows of the same known signature, in order; such rows are told, never merged."""
+    """Rows that share their known signature with others: ``twin_of``, the smallest key of the class, and the number of others.
+    Such rows are told, never merged; a class is never collected."""
     known = df.where(" and ".join(f"{c} is not null" for c in signature))
-    groups = known.groupBy(*signature).agg(F.array_sort(F.collect_set(key)).alias("_all")).where(F.size("_all") > 1)
-    return df.join(groups, signature).withColumn("twins", F.array_join(F.array_except("_all", F.array(key)), ",")).drop("_all")
-
-
-def broker_pairs(df: DataFrame, key: str, code: str, area: str, price: str) -> DataFrame:
-    """(a, b), a < b: the same broker code, and areas within one unit or prices within one percent."""
-    left = df.select(F.col(key).alias("a"), F.col(code), F.col(area).alias("a_area"), F.col(price).alias("a_price"))
-    right = df.select(F.col(key).alias("b"), F.col(code), F.col(area).alias("b_area"), F.col(price).alias("b_price"))
-    close = (F.abs(F.col("a_area") - F.col("b_area")) <= 1) | (F.abs(F.col("a_price") - F.col("b_price")) <= 0.01 * F.greatest("a_price", "b_price"))
-    return left.join(right, code).where((F.col("a") < F.col("b")) & close).select("a", "b")
-
+    groups = known.groupBy(*signature).agg(F.min(key).alias("twin_of"), (F.count("*") - 1).alias("n_twins")).where("n_twins > 0")
+    return df.join(groups, signature)

@@ -29,15 +29,20 @@ def positive(c: str) -> Column:
     return F.when(F.col(c) != 0, F.col(c))
 
 
-def trailing_summary(events: DataFrame, when: str, as_of: Column, days: int, measures: dict[str, Column]) -> DataFrame:
-    """One row over the last ``days`` days before ``as_of``: the row count and a guarded median of each measure."""
-    recent = events.where((F.col(when) > F.date_sub(as_of, days)) & (F.col(when) <= as_of))
-    return recent.agg(F.count("*").alias("n"), *[guarded_median(m).alias(k) for k, m in measures.items()])
+def trailing_summary(events: DataFrame, when: str, as_of: Column, days: int, counts: dict[str, Column], measures: dict[str, Column]) -> DataFrame:
+    """One row over the days from ``days`` before ``as_of``, that day included: how often each test of ``counts`` holds, and a
+    guarded median, to whole numbers, of each measure (null where an event doesn't count for it)."""
+    recent = events.where((F.col(when) >= F.date_sub(as_of, days)) & (F.col(when) <= as_of))
+    return recent.agg(*[F.count_if(c).alias(k) for k, c in counts.items()], *[guarded_median(m).alias(k) for k, m in measures.items()])
 
 
 def typical_fee(fee: Column, area: Column, wanted_area: float, least: int = LEAST) -> Column:
-    """Median fee per unit of area times the wanted area, else the plain median fee, to the nearest ten thousand; else null."""
-    rate, plain = F.try_divide(fee, area), fee
+    """Median fee per unit of area times the wanted area, else the plain median fee, to the nearest ten thousand; else null.
+
+    A fee of zero isn't one, and neither is an area of zero or less.
+    """
+    plain = F.when(fee != 0, fee)
+    rate = F.when(area > 0, plain / area)
     return F.when(F.count(rate) >= least, F.bround(F.median(rate) * wanted_area, -4)).when(F.count(plain) >= least, F.bround(F.median(plain), -4))
 
 

@@ -41,46 +41,57 @@ def piecewise(x: Column, points: list[tuple[float, float]]) -> Column:
 
 
 def location_score(km: Column, weight_of_place: Column, preferred: float, ring: float, weight: float = 26.0) -> Column:
-    """Full within the preferred distance, falling by .35 to the ring, then .12 a km down to .45; .75 without coordinates."""
+    """Whole points: full within the preferred distance, falling by .35 to the ring, then .12 a km down to .45; .75 without coordinates."""
     factor = (
         F.when(km.isNull(), 0.75)
         .when(km <= preferred, 1.0)
-        .when(km <= ring, 1 - 0.35 * (km - preferred) / (ring - preferred))
+        .when(km <= ring, 1 - 0.35 * (km - preferred) / max(ring - preferred, 0.01))
         .otherwise(F.greatest(F.lit(0.45), 1 - 0.12 * (km - ring)))
     )
-    return F.bround(weight * weight_of_place * factor, 2)
+    return F.bround(weight * weight_of_place * factor)
 
 
 def price_score(price: Column, fee_pct: Column, cap: float, weight: float = 20.0, tolerance: float = 0.12) -> Column:
-    """Full up to 55 % of the cap, .75 at the cap, .55 to .10 up to the tolerated excess, then nothing; fees above 20 % cost a fifth."""
+    """Whole points: full up to 55 % of the cap, .75 at the cap, then .55 falling by .45 for each tolerated excess down to
+    nothing; fees above 20 % cost a fifth, rounded again."""
     p = price / cap
-    factor = (
-        F.when(p <= 0.55, 1.0).when(p <= 1.0, 1 - 0.25 * (p - 0.55) / 0.45).when(p <= 1 + tolerance, 0.55 - 0.45 * (p - 1) / tolerance).otherwise(0.0)
-    )
-    got = F.bround(weight * factor, 2)
-    return F.when(price.isNotNull(), F.when(F.coalesce(fee_pct > 20, F.lit(False)), F.bround(got * 0.8, 2)).otherwise(got))
+    factor = F.when(p <= 0.55, 1.0).when(p <= 1.0, 1 - 0.25 * (p - 0.55) / 0.45).otherwise(F.greatest(F.lit(0.0), 0.55 - 0.45 * (p - 1) / tolerance))
+    got = F.bround(weight * factor)
+    return F.when(price.isNotNull(), F.when(F.coalesce(fee_pct > 20, F.lit(False)), F.bround(got * 0.8)).otherwise(got))
 
 
 def area_score(area: Column, least: float, comfortable: float, full: float = 170.0, weight: float = 16.0) -> Column:
+    """Whole points: .30 below the least area, then from .55 to .85 at the comfortable one and to 1 at the full one."""
     factor = (
         F.when(area < least, 0.30)
-        .when(area < comfortable, 0.55 + 0.30 * (area - least) / (comfortable - least))
-        .when(area < full, 0.85 + 0.15 * (area - comfortable) / (full - comfortable))
+        .when(area < comfortable, 0.55 + 0.30 * (area - least) / max(comfortable - least, 1))
+        .when(area < full, 0.85 + 0.15 * (area - comfortable) / max(full - comfortable, 1))
         .otherwise(1.0)
     )
-    return F.when(area.isNotNull(), F.bround(weight * factor, 2))
+    return F.when(area.isNotNull(), F.bround(weight * factor))
 
 
 def age_score(age: Column, ideal: float, good: float, acceptable: float, weight: float = 24.0) -> Column:
-    return F.bround(weight * piecewise(age, [(0, 1.0), (ideal, 1.0), (good, 0.85), (acceptable, 0.65), (2 * acceptable, 0.25), (4 * acceptable, 0.10)]), 2)
+    """Whole points, falling from year zero: 1 to .85 at the ideal age, .65 at the good, .25 at the acceptable one, then .01 a
+    year down to .10."""
+    factor = (
+        F.when(age <= ideal, 1 - 0.15 * age / max(ideal, 1))
+        .when(age <= good, 0.85 - 0.20 * (age - ideal) / max(good - ideal, 1))
+        .when(age <= acceptable, 0.65 - 0.40 * (age - good) / max(acceptable - good, 1))
+        .otherwise(F.greatest(F.lit(0.10), 0.25 - 0.01 * (age - acceptable)))
+    )
+    return F.when(age.isNotNull(), F.bround(weight * factor))
 
 
 def programme_score(bedrooms: Column, baths: Column, wanted_bedrooms: int, wanted_baths: int, weight: float = 14.0) -> Column:
-    """60 % for bedrooms, with a little more for up to two extra ones, 40 % for baths up to the wanted number."""
-    beds = F.when(bedrooms.isNotNull(), F.least(bedrooms / F.lit(float(wanted_bedrooms)), F.lit(1.0)) * 0.9 + 0.05 * F.greatest(F.lit(0), F.least(bedrooms - wanted_bedrooms, F.lit(2))))
-    bath = F.when(baths.isNotNull(), F.least(baths / F.lit(float(wanted_baths)), F.lit(1.0)))
-    both = 0.6 * beds + 0.4 * bath
-    return F.bround(weight * F.coalesce(both, beds, bath), 2)
+    """Whole points: 60 % for bedrooms, three quarters of it at any number and the rest for up to two extra ones, and 40 % for
+    baths up to the wanted number. A part that isn't known gives nothing; null if neither is."""
+    extra = F.least(F.greatest(bedrooms - wanted_bedrooms, F.lit(0)), F.lit(2)) / 2
+    # least and greatest pass over nulls, so what isn't known is asked for
+    beds = F.when(bedrooms.isNotNull(), weight * 0.60 * (0.75 + 0.25 * extra))
+    bath = F.when(baths.isNotNull(), weight * 0.40 * F.least(baths / F.lit(float(wanted_baths)), F.lit(1.0)))
+    points = F.bround(F.coalesce(beds, F.lit(0.0)) + F.coalesce(bath, F.lit(0.0)))
+    return F.when(bedrooms.isNotNull() | baths.isNotNull(), points)
 
 
 def preference_score(terms: list[Column], low: float = -12.0, high: float = 6.0) -> Column:
@@ -92,17 +103,18 @@ def preference_score(terms: list[Column], low: float = -12.0, high: float = 6.0)
 def compose(criteria: list[tuple[Column, float]], preferences: Column, price_known: Column) -> dict[str, Column]:
     """score, confidence and ceiling of (points or null, weight) criteria.
 
-    Points are scaled to 100 by the measurable weight if that is from 40 to below 100; a listing without a price keeps 69 % of
-    its score; the ceiling gives the full weight to everything that wasn't measured.
+    Points are scaled to 100 by the measurable weight if that is from 40 to below 100, rounded and clamped; then preferences
+    come on top, clamped again. A listing without a price keeps 69 % of that, rounded again; the ceiling gives the full weight
+    to everything that wasn't measured.
     """
     zero = F.lit(0.0)
     raw = reduce(lambda a, b: a + b, [F.coalesce(c, zero) for c, _ in criteria])
     measurable = reduce(lambda a, b: a + b, [F.when(c.isNotNull(), float(w)).otherwise(0.0) for c, w in criteria])
     missing = reduce(lambda a, b: a + b, [F.when(c.isNull(), float(w)).otherwise(0.0) for c, w in criteria])
     clamp = lambda x: F.greatest(zero, F.least(F.lit(100.0), x))
-    normal = F.when((measurable >= 40) & (measurable < 100), raw * 100 / measurable).otherwise(raw)
+    normal = F.when(measurable <= 0, zero).when((measurable >= 40) & (measurable < 100), clamp(F.bround(100 * raw / measurable))).otherwise(clamp(raw))
     score = clamp(normal + preferences)
-    score = F.when(price_known, score).otherwise(score * 0.69)
+    score = F.when(price_known, score).otherwise(F.bround(score * 69 / 100))
     return {"score": F.bround(score).cast("int"), "confidence": F.bround(measurable).cast("int"), "ceiling": F.bround(clamp(raw + missing + preferences)).cast("int")}
 
 

@@ -12,16 +12,20 @@ def unique_by(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(one, keys, "left_semi")
 
 
-def tiered_lookup(df: DataFrame, state: DataFrame, tiers: list[list[str]], learn: list[str]) -> DataFrame:
+def tiered_lookup(df: DataFrame, state: DataFrame, tiers: list[list[str]], learn: list[str], order: str) -> DataFrame:
     """Fills unknown ``learn`` columns from one state row: that of the first tier of keys that has it.
 
-    Keys of every tier after the first count only where a single state row has them. Columns outside ``learn``, such as
+    Where state rows share the keys of the first tier, the last by ``order`` answers; keys of every tier after it count only
+    where a single state row has them. Columns outside ``learn``, such as
     prices, are never inherited. ``tier`` tells which tier answered (from 1), null if none.
     """
     out = df
     for i, keys in enumerate(tiers, 1):
-        side = state.dropDuplicates(keys) if i == 1 else unique_by(state, keys)
-        side = side.select(*[F.col(k) for k in keys], F.struct(*[F.col(c) for c in learn]).alias(f"_s{i}"))
+        held = F.struct(*[F.col(c) for c in learn])
+        if i == 1:
+            side = state.groupBy(*keys).agg(F.max_by(held, F.struct(order, held)).alias(f"_s{i}"))
+        else:
+            side = unique_by(state, keys).select(*keys, held.alias(f"_s{i}"))
         out = out.join(side, keys, "left")
     found = F.coalesce(*[F.col(f"_s{i}") for i in range(1, len(tiers) + 1)])
     tier = F.coalesce(*[F.when(F.col(f"_s{i}").isNotNull(), i) for i in range(1, len(tiers) + 1)])
@@ -56,6 +60,21 @@ def count_absences(state: DataFrame, seen: DataFrame, live_sources: DataFrame, k
     return out.withColumn(counter, F.col("_after")).select(*state.columns, "gone")
 
 
+def departures(events: DataFrame, source: str, key: str, run: str, gone_at: int = 3) -> DataFrame:
+    """(source, key, gone_on): the run in which a key was missed for the ``gone_at``-th time in a row, for every spell of absence.
+
+    A run counts for a source only if the source delivered anything in it. Live runs are numbered for each source, and the
+    gap to a key's next number tells how many it missed, so a key has one row for each run it was seen in and no others.
+    """
+    seen = events.select(source, key, run).distinct()
+    live = seen.select(source, run).distinct().withColumn("_n", F.row_number().over(Window.partitionBy(source).orderBy(run)))
+    last = live.groupBy(source).agg(F.max("_n").alias("_end"))
+    numbered = seen.join(live, [source, run]).join(last, source)
+    following = F.coalesce(F.lead("_n").over(Window.partitionBy(source, key).orderBy("_n")), F.col("_end") + 1)
+    gone = numbered.withColumn("_next", following).where(F.col("_next") - F.col("_n") > gone_at).select(source, key, (F.col("_n") + gone_at).alias("_n"))
+    return gone.join(live.withColumnRenamed(run, "gone_on"), [source, "_n"]).select(source, key, "gone_on")
+
+
 def upsert(state: DataFrame, seen: DataFrame, key: str, as_of: Column, price: str) -> DataFrame:
     """The next snapshot (key, price, first_seen, last_seen, times_seen, was_alerted, pending): all keys of both sides."""
     new = seen.select(key, F.col(price).alias("_price"), F.col("alerted").alias("_alerted"), F.col("failed").alias("_failed"), F.lit(True).alias("_seen"))
@@ -77,26 +96,46 @@ def purge(state: DataFrame, last_seen: str, as_of: Column, days: int = 120) -> D
     return state.where(F.col(last_seen).isNull() | (F.col(last_seen) >= F.date_sub(as_of, days)))
 
 
-def latest_prior(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
-    """Adds the previous row's value within the group, the as-of join of a table with its own past."""
-    return df.withColumn("prior", F.lag(value).over(Window.partitionBy(group).orderBy(*order)))
+def latest_prior(df: DataFrame, group: str, order: list[str], event: Column, identity: str, value: str) -> DataFrame:
+    """Adds ``prior``: ``value`` of the last earlier row of the group for which ``event`` holds and whose identity is another.
+
+    Events fall into runs of one identity; the answer is the last event, or where that has the row's own identity the last one
+    of the run before. Both are carried along one sort of the group; a null group has no past.
+    """
+    w = Window.partitionBy(group).orderBy(*order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    own = F.struct(F.col(identity).alias("i"), F.col(value).alias("v"))
+    out = df.withColumn("_e", F.when(event, own)).withColumn("_last", F.last("_e", ignorenulls=True).over(before))
+    # at the first event of a run: the last event of the run before it
+    start = F.when(F.col("_e").isNotNull() & F.col("_last").isNotNull() & ~F.col("_e.i").eqNullSafe(F.col("_last.i")), F.col("_last"))
+    out = out.withColumn("_start", start).withColumn("_run", F.last("_start", ignorenulls=True).over(before))
+    prior = F.when(F.col(group).isNull(), None).when(F.col("_last.i").eqNullSafe(F.col(identity)), F.col("_run.v")).otherwise(F.col("_last.v"))
+    return out.withColumn("prior", prior).drop("_e", "_last", "_start", "_run")
 
 
 def change_points(df: DataFrame, group: str, order: list[str], value: str, last: int = 12) -> DataFrame:
-    """(group, points): the last ``last`` values that differ from the one before them, in order."""
+    """(group, points, days): the last ``last`` values that differ from the one before them, in order, and the dates they began
+    (the first of ``order`` as a date)."""
     previous = F.lag(value).over(Window.partitionBy(group).orderBy(*order))
     moved = df.where(F.col(value).isNotNull()).withColumn("_p", previous).where(F.col("_p").isNull() | (F.col("_p") != F.col(value)))
     recent = moved.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*[F.desc(o) for o in order]))).where(F.col("_n") <= last)
-    points = F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda x: x[value])
-    return recent.groupBy(group).agg(points.alias("points"))
-
-
-def price_trend(points: Column) -> dict[str, Column]:
-    """Whole percent from the first to the last point, and the number of falls between neighbours; null below two points."""
-    first, last = F.element_at(points, 1), F.element_at(points, -1)
-    falls = F.size(F.filter(F.zip_with(F.slice(points, 1, F.size(points) - 1), F.slice(points, 2, F.size(points) - 1), lambda a, b: b < a), lambda x: x))
-    enough = F.size(points) >= 2
-    return {"change_pct": F.when(enough, F.bround(100 * F.try_divide(last - first, first)).cast("int")), "falls": F.when(enough, falls)}
+    out = recent.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, value))).alias("_all"))
+    return out.select(group, F.transform("_all", lambda x: x[value]).alias("points"), F.transform("_all", lambda x: F.to_date(x[order[0]])).alias("days"))
+
+
+def price_trend(points: Column, days: Column, as_of: Column) -> dict[str, Column]:
+    """Whole percent from the first to the last known point, the number of falls between neighbours, and the days since the
+    first. Points of zero are unknown; null below two points and where the last equals the first."""
+    known = F.filter(F.arrays_zip(points.alias("p"), days.alias("d")), lambda x: F.coalesce(x["p"] != 0, F.lit(False)))
+    values = F.transform(known, lambda x: x["p"])
+    first, last = F.get(values, F.lit(0)), F.get(values, F.size(values) - 1)
+    falls = F.size(F.filter(F.transform(values, lambda x, i: F.coalesce(x < F.get(values, i - 1), F.lit(False))), lambda x: x))
+    tells = (F.size(known) >= 2) & (first != last)
+    return {
+        "change_pct": F.when(tells, F.bround(100 * (last - first) / first).cast("int")),
+        "falls": F.when(tells, falls),
+        "span_days": F.when(tells, F.date_diff(as_of, F.transform(known, lambda x: x["d"])[0])),
+    }
 
 
 def annul_conflicts(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -40,13 +40,26 @@ def monthly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def market_summary_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _read(spark, sf_dir, "orders").withColumn("day", F.to_date("o_orderdate"))
     as_of = F.lit(o.select(F.max("day")).scalar())
-    urgent = F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice"))
-    return market.trailing_summary(o, "day", as_of, 90, {"median_price": market.positive("o_totalprice"), "median_urgent": urgent})
+    new, gone, moved = (F.col("o_orderstatus") == x for x in "OFP")
+    area, price = F.col("o_custkey") % 90, market.positive("o_totalprice")
+    before = price * (10 + F.col("o_orderkey") % 7 - 3) / 10
+    counts = {"appeared": new, "departed": gone, "moved": moved, "reduced": moved & (price < before)}
+    measures = {
+        "median_price": F.when(new, price),
+        "median_rate": F.when(new & (area > 0), price / area),
+        "median_days": F.when(gone & (F.col("o_orderkey") % 60 != 0), F.col("o_orderkey") % 60),
+        "median_reduction_pct": F.when(moved & (price < before), 100 * (before - price) / before),
+    }
+    return market.trailing_summary(o, "day", as_of, 90, counts, measures)
 
 
 def typical_fee_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fee = F.col("l_extendedprice") * 100
-    return _read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(market.typical_fee(fee, F.col("l_quantity"), 130.0).alias("typical_fee"))
+    """By flag, and by line number with areas known for the first line only, so the plain median answers for the others."""
+    li = _read(spark, sf_dir, "lineitem")
+    fee = F.when(F.col("l_orderkey") % 3 == 0, 0.0).otherwise(F.col("l_extendedprice") * 100)
+    area = F.when(F.col("l_linenumber") == 1, F.col("l_quantity"))
+    by_flag = li.groupBy(F.col("l_returnflag").alias("of")).agg(market.typical_fee(fee, F.col("l_quantity"), 130.0).alias("typical_fee"))
+    return by_flag.unionByName(li.groupBy(F.col("l_linenumber").cast("string").alias("of")).agg(market.typical_fee(fee, area, 130.0).alias("typical_fee")))
 
 
 def p90_then_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,23 +214,24 @@ def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("c_custkey") % 40 * 25
     return c.select(
         "c_custkey", F.col("n_name").alias("place"), F.concat(F.lit("Av. Santa María N° "), number.cast("string"), F.lit(", "), F.col("n_name")).alias("address"),
-        F.concat(F.lit("https://www.site.example.org/aviso/"), F.col("c_custkey").cast("string"), F.lit("/?ref=x")).alias("url"), (F.bround(F.col("c_acctbal"), -3) + 0.0).alias("price"), "c_mktsegment",
+        F.concat(F.lit("https://www.site.example.org/aviso/"), F.col("c_custkey").cast("string"), F.lit("/?ref=x")).alias("url"),
+        F.concat(F.lit("Aviso N° 1."), (F.col("c_custkey") % 7).cast("string"), F.lit(": "), "c_mktsegment").alias("title"), (F.bround(F.col("c_acctbal"), -3) + 0.0).alias("price"), "c_mktsegment",
     )
 
 
 _ADDRESSES_SQL = """
 addresses AS (
   SELECT c_custkey, n_name AS place, CASE WHEN (c_custkey % 40) * 25 >= 100 THEN 'santa maria ' || (c_custkey % 40) * 25 ELSE '' END AS key,
-    'site.example.org/aviso/' || c_custkey AS url, round_even(c_acctbal, -3) + 0.0 AS price, c_mktsegment
+    'https://www.site.example.org/aviso/' || c_custkey || '/?ref=x' AS url, 'aviso n 1' || c_custkey % 7 || ' ' || lower(c_mktsegment) AS detail, round_even(c_acctbal, -3) + 0.0 AS price, c_mktsegment
   FROM customer JOIN nation ON c_nationkey = n_nationkey
 ), identified AS (
-  SELECT *, substr(sha1(CASE WHEN key <> '' THEN key || '|' || lower(place) ELSE 'url|' || url END), 1, 16) AS fp FROM addresses
+  SELECT *, substr(sha1(CASE WHEN key <> '' THEN key || '|' || lower(place) ELSE url || '|' || detail END), 1, 16) AS fp FROM addresses
 )"""
 
 
 def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _addresses(spark, sf_dir).withColumn("key", text.address_key(F.col("address"), F.col("place")))
-    return a.withColumn("fp", text.fingerprint(F.col("key"), F.col("place"), F.lit(None).cast("string"), F.col("url")))
+    return a.withColumn("fp", text.fingerprint(F.col("key"), F.col("place"), F.lit(None).cast("string"), F.col("url"), F.col("title")))
 
 
 def identity_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,23 +256,23 @@ def unit_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_text_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _read(spark, sf_dir, "documents").where(~F.col("text").rlike("[^\\x00-\\x7F]")).select("doc_id", "source", "text")
-    return entities.text_copies(d, "source", "text", "doc_id").select("doc_id", "source")
+    return entities.text_copies(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"), "source", "text", "doc_id").select("doc_id", "source")
 
 
 def blocked_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _located(spark, sf_dir).withColumns({"price": F.bround(F.col("c_acctbal"), -3), "beds": F.col("c_custkey") % 5})
-    return entities.near_pairs(c, "c_custkey", ["price", "c_nationkey"], "lat", "lon", 1.5, {"beds": 1})
+    k = F.col("c_custkey")
+    c = _located(spark, sf_dir).withColumns({"price": F.bround(F.col("c_acctbal"), -3), "beds": (k % 5).cast("double"), "score": k % 7, "known": k % 3})
+    return entities.merge_into_principal(c, ["price", "c_nationkey"], "c_custkey", ["c_custkey"], ["score", "known"], entities.within("lat", "lon", 1.5, {"beds": 1}))
 
 
 def twin_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _read(spark, sf_dir, "customer").withColumn("price", F.bround(F.col("c_acctbal"), -1))
-    return entities.twins(c, ["c_nationkey", "c_mktsegment", "price"], "c_custkey").select("c_custkey", "twins")
+    return entities.twins(c, ["c_nationkey", "c_mktsegment", "price"], "c_custkey").select("c_custkey", "twin_of", "n_twins")
 
 
 def broker_code_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _read(spark, sf_dir, "part").where("p_size <= 10").withColumn("code", F.concat_ws("-", "p_brand", F.split_part("p_type", F.lit(" "), F.lit(1))))
-    return entities.broker_pairs(p, "p_partkey", "code", "p_size", "p_retailprice")
+    p = _read(spark, sf_dir, "part").withColumns({"code": F.concat_ws("-", "p_brand", "p_type"), "beds": F.col("p_partkey") % 4})
+    return entities.merge_into_principal(p, ["code"], "p_partkey", ["p_partkey"], ["p_retailprice"], entities.same_offer("p_size", "p_retailprice", {"beds": 1}))
 
 
 # --- state ---------------------------------------------------------------------------------------------------------------
@@ -267,7 +281,7 @@ def broker_code_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unique_key_fallback_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("price"), F.to_date("o_orderdate").alias("day"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("label"))
     known = _read(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").alias("label"))
-    return state.tiered_lookup(o, known, [["o_orderkey"], ["o_custkey", "day"], ["day"]], ["label"]).select("o_orderkey", "label", "tier")
+    return state.tiered_lookup(o, known, [["o_orderkey"], ["o_custkey", "day"], ["day"]], ["label"], "o_custkey").select("o_orderkey", "label", "tier")
 
 
 def manual_override(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,7 +295,9 @@ def conflict_annul(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asof_latest_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.latest_prior(_read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type").select("event_id", "prior")
+    """Identities are made up of two values for each user, so runs of one identity occur."""
+    e = _read(spark, sf_dir, "events").withColumn("fp", F.col("event_id") % 2)
+    return state.latest_prior(e, "user_id", ["ts", "event_id"], F.col("event_type") == "click", "fp", "event_id").select("event_id", "prior")
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,8 +310,9 @@ def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trend = state.price_trend(F.transform("points", lambda x: x + 1))
-    return _points(spark, sf_dir).select("user_id", trend["change_pct"].alias("change_pct"), trend["falls"].cast("long").alias("falls"))
+    """Level zero is an unknown price."""
+    trend = state.price_trend(F.col("points"), F.col("days"), F.lit("2024-03-01").cast("date"))
+    return _points(spark, sf_dir).select("user_id", trend["change_pct"].alias("change_pct"), trend["falls"].cast("long").alias("falls"), trend["span_days"].alias("span_days"))
 
 
 def _snapshot(e: DataFrame, until: str) -> DataFrame:
@@ -321,15 +338,18 @@ def state_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def absence_three_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs are days and sources event types; a user is gone on the third live day without an event."""
-    e = _read(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
-    live = e.select("event_type", "day").distinct()
-    first = e.groupBy("event_type", "user_id").agg(F.min("day").alias("since"))
-    marks = first.join(live, "event_type").where("day >= since").join(e.select("event_type", "user_id", "day", F.lit(1).alias("seen")).distinct(), ["event_type", "user_id", "day"], "left")
-    w = Window.partitionBy("event_type", "user_id").orderBy("day")
-    spell = marks.withColumn("spell", F.sum(F.coalesce("seen", F.lit(0))).over(w))
-    missed = spell.withColumn("missed", F.count_if(F.col("seen").isNull()).over(Window.partitionBy("event_type", "user_id", "spell").orderBy("day")))
-    return missed.where("missed = 3 and seen is null").select("event_type", "user_id", F.col("day").cast("string").alias("gone_on"))
+    """Runs are days and sources event types; a user is gone on the third live day of the source without an event."""
+    e = _read(spark, sf_dir, "events").select("event_type", "user_id", F.to_date("ts").alias("day"))
+    return state.departures(e, "event_type", "user_id", "day", 3).select("event_type", "user_id", F.col("gone_on").cast("string").alias("gone_on"))
+
+
+def absence_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run of the counter: the users known before a day, those seen on it, and the sources that delivered."""
+    e = _read(spark, sf_dir, "events")
+    day = F.lit("2024-01-15").cast("timestamp")
+    known = e.where(F.col("ts") < day).groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("source"), (F.first(F.col("user_id")) % 4).alias("missed"))
+    run = e.where((F.col("ts") >= day) & (F.col("ts") < day + F.expr("interval 6 hours")) & (F.col("event_type") != "view"))
+    return state.count_absences(known, run, run.select(F.col("event_type").alias("source")), "user_id", "source", "missed")
 
 
 def ttl_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,8 +379,8 @@ def slug_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey").cast("string")
-    forms = F.array(F.concat(k, F.lit(".550.000")), F.concat(k, F.lit(",5")), k, F.concat(F.lit("1."), k), F.concat(k, F.lit(",550,000")), F.lit("abc"), F.concat(F.lit("1.2."), k), F.concat(F.lit("1.550,"), k))
-    o = _read(spark, sf_dir, "orders").where("o_orderkey <= 999").select("o_orderkey", F.posexplode(forms).alias("form", "raw"))
+    forms = F.array(F.concat(k, F.lit(".550.000")), F.concat(k, F.lit(",5")), k, F.concat(F.lit("1."), k), F.concat(k, F.lit(",550,000")), F.lit("abc"), F.concat(F.lit("1.2."), k), F.concat(F.lit("1.550,"), k), F.concat(F.lit("1 "), k, F.lit(" 000")), F.concat(F.lit(","), k), F.concat(k, F.lit(",550,000.25")), F.concat(k, F.lit(".34,5")), F.concat(k, F.lit(".5678")))
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(forms).alias("form", "raw"))
     return o.select("o_orderkey", "form", text.locale_number(F.col("raw")).alias("number"))
 
 
@@ -392,7 +412,7 @@ def pagination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_empty_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _read(spark, sf_dir, "orders").where("o_custkey <= 500").groupBy("o_custkey", F.month("o_orderdate").alias("page_no")).agg(F.count_if(F.col("o_totalprice") > 60_000).alias("n"))
+    o = _read(spark, sf_dir, "orders").groupBy("o_custkey", F.month("o_orderdate").alias("page_no")).agg(F.count_if(F.col("o_totalprice") > 60_000).alias("n"))
     return tables.until_first_empty(o, ["o_custkey"], "page_no", "n")
 
 
@@ -406,7 +426,18 @@ def card_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.assemble(listings.extract(_read(spark, sf_dir, "pages")))
 
 
-_PARSED = "CASE WHEN regexp_full_match(r, '[0-9]+') THEN CAST(r AS DOUBLE) WHEN regexp_full_match(r, '[0-9]{1,3}(\\.[0-9]{3})+(,[0-9]+)?') THEN CAST(replace(replace(r, '.', ''), ',', '.') AS DOUBLE) WHEN regexp_full_match(r, '[0-9]{1,3}(,[0-9]{3}){2,}') THEN CAST(replace(r, ',', '') AS DOUBLE) WHEN regexp_full_match(r, '[0-9]+,[0-9]+') THEN CAST(replace(r, ',', '.') AS DOUBLE) WHEN regexp_full_match(r, '[0-9]+\\.[0-9]{1,2}') THEN CAST(r AS DOUBLE) END"
+_PARSED = r"""CASE WHEN regexp_full_match(r, '[0-9]{1,3}(,[0-9]{3}){2,}(\.[0-9]+)?') THEN CAST(replace(r, ',', '') AS DOUBLE)
+  WHEN regexp_full_match(r, '[0-9.]*,[0-9]+') THEN CAST('0' || replace(split_part(r, ',', 1), '.', '') || '.' || split_part(r, ',', 2) AS DOUBLE)
+  WHEN regexp_full_match(r, '[0-9]+(\.[0-9]{3})*') THEN CAST(replace(r, '.', '') AS DOUBLE) WHEN regexp_full_match(r, '[0-9]+\.[0-9]+') THEN CAST(r AS DOUBLE) END"""
+#: One principal for each block, walked row by row: {0} the numbered rows, {1} the test of p (principal) and n (next), {2} whether n ranks higher.
+_WALK = """
+w AS (
+  SELECT block, i, key, CAST(NULL AS BIGINT) AS loser, CAST(NULL AS BIGINT) AS winner, key AS head FROM numbered WHERE i = 1
+  UNION ALL
+  SELECT n.block, n.i, n.key, CASE WHEN {near} THEN CASE WHEN {higher} THEN p.key ELSE n.key END END, CASE WHEN {near} THEN CASE WHEN {higher} THEN n.key ELSE p.key END END,
+    CASE WHEN {near} AND {higher} THEN n.key ELSE p.key END
+  FROM w JOIN numbered n ON n.block = w.block AND n.i = w.i + 1 JOIN numbered p ON p.block = w.block AND p.key = w.head
+)"""
 _SNAPSHOT = "SELECT user_id, arg_max(value, (ts, event_id)) AS value FROM events WHERE ts < TIMESTAMP '{0}' GROUP BY user_id"
 
 ORACLES = {
@@ -415,10 +446,15 @@ ORACLES = {
     "price_histogram": "SELECT floor(o_totalprice / 20000) * 20000 AS bin, count(*) AS n FROM orders WHERE o_totalprice IS NOT NULL AND (SELECT count(o_totalprice) FROM orders) >= 4 GROUP BY 1",
     "monthly_counts": "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1",
     "market_summary_window": """
-WITH r AS (SELECT * FROM orders WHERE CAST(o_orderdate AS DATE) > (SELECT max(CAST(o_orderdate AS DATE)) - 90 FROM orders))
-SELECT count(*) AS n, CASE WHEN count(nullif(o_totalprice, 0)) >= 4 THEN round_even(median(nullif(o_totalprice, 0)), 0) END AS median_price,
-  CASE WHEN count(*) FILTER (o_orderpriority = '1-URGENT') >= 4 THEN round_even(median(o_totalprice) FILTER (o_orderpriority = '1-URGENT'), 0) END AS median_urgent FROM r""",
-    "typical_fee_ratio": "SELECT l_returnflag, round_even(median(l_extendedprice * 100 / l_quantity) * 130.0::DOUBLE, -4) AS typical_fee FROM lineitem GROUP BY l_returnflag",
+WITH r AS (SELECT *, nullif(o_totalprice, 0) AS p, o_custkey % 90 AS a, o_orderkey % 60 AS d, nullif(o_totalprice, 0) * (10 + o_orderkey % 7 - 3) / 10 AS b FROM orders WHERE CAST(o_orderdate AS DATE) >= (SELECT max(CAST(o_orderdate AS DATE)) - 90 FROM orders)),
+s AS (SELECT *, CASE WHEN o_orderstatus = 'O' THEN p END AS m1, CASE WHEN o_orderstatus = 'O' AND a > 0 THEN p / a END AS m2, CASE WHEN o_orderstatus = 'F' AND d <> 0 THEN d END AS m3, CASE WHEN o_orderstatus = 'P' AND p < b THEN 100 * (b - p) / b END AS m4 FROM r)
+SELECT count(*) FILTER (o_orderstatus = 'O') AS appeared, count(*) FILTER (o_orderstatus = 'F') AS departed, count(*) FILTER (o_orderstatus = 'P') AS moved, count(m4) AS reduced,
+  CASE WHEN count(m1) >= 4 THEN round_even(median(m1), 0) END AS median_price, CASE WHEN count(m2) >= 4 THEN round_even(median(m2), 0) END AS median_rate,
+  CASE WHEN count(m3) >= 4 THEN round_even(median(m3), 0) END AS median_days, CASE WHEN count(m4) >= 4 THEN round_even(median(m4), 0) END AS median_reduction_pct FROM s""",
+    "typical_fee_ratio": """
+WITH l AS (SELECT *, CASE WHEN l_orderkey % 3 <> 0 THEN nullif(l_extendedprice * 100, 0) END AS fee FROM lineitem),
+g AS (SELECT l_returnflag AS "of", fee, fee / l_quantity AS rate FROM l UNION ALL SELECT l_linenumber::VARCHAR, fee, CASE WHEN l_linenumber = 1 THEN fee / l_quantity END FROM l)
+SELECT "of", CASE WHEN count(rate) >= 4 THEN round_even(median(rate) * 130.0::DOUBLE, -4) WHEN count(fee) >= 4 THEN round_even(median(fee), -4) END AS typical_fee FROM g GROUP BY 1""",
     "p90_then_clamp": """
 WITH p AS (SELECT c_mktsegment, list_sort(list(c_acctbal))[CAST(floor(0.9 * count(*)) AS BIGINT) + 1] AS p90 FROM customer GROUP BY c_mktsegment)
 SELECT c_mktsegment, p90, round_even(greatest(3.0::DOUBLE, least(8.0::DOUBLE, p90 / 1000 * 2.2::DOUBLE)), 4) AS side FROM p""",
@@ -451,20 +487,20 @@ FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""",
     "null_never_rejects": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 AND o_orderstatus = 'F' THEN 'status' WHEN o_orderkey % 5 <> 0 AND o_totalprice > 150000 THEN 'price' END AS violation FROM orders",
     "piecewise_scores": """
 WITH q AS (SELECT p_partkey, p_size::DOUBLE AS s, p_retailprice / 1500.0::DOUBLE AS p, p_size * 5.0::DOUBLE AS a, p_size / 10.0::DOUBLE AS km, (p_size % 6)::DOUBLE AS bed, (p_size % 4)::DOUBLE AS bath FROM part),
-x AS (SELECT *, round_even(20.0::DOUBLE * CASE WHEN p <= 0.55 THEN 1.0 WHEN p <= 1 THEN 1 - 0.25::DOUBLE * (p - 0.55::DOUBLE) / 0.45::DOUBLE WHEN p <= 1.12 THEN 0.55::DOUBLE - 0.45::DOUBLE * (p - 1) / 0.12::DOUBLE ELSE 0 END, 2) AS got FROM q)
-SELECT p_partkey, CASE WHEN s > 20 THEN round_even(got * 0.8::DOUBLE, 2) ELSE got END AS price_score,
-  round_even(16.0::DOUBLE * CASE WHEN a < 100 THEN 0.3::DOUBLE WHEN a < 130 THEN 0.55::DOUBLE + 0.3::DOUBLE * (a - 100) / 30 WHEN a < 170 THEN 0.85::DOUBLE + 0.15::DOUBLE * (a - 130) / 40 ELSE 1 END, 2) AS area_score,
-  round_even(24.0::DOUBLE * CASE WHEN s < 8 THEN 1.0::DOUBLE WHEN s < 15 THEN 1.0::DOUBLE + (s - 8) * ((0.85::DOUBLE - 1.0::DOUBLE) / 7.0) WHEN s < 30 THEN 0.85::DOUBLE + (s - 15) * ((0.65::DOUBLE - 0.85::DOUBLE) / 15.0) WHEN s < 60 THEN 0.65::DOUBLE + (s - 30) * ((0.25::DOUBLE - 0.65::DOUBLE) / 30.0) ELSE 0.25 END, 2) AS age_score,
-  round_even(26.0::DOUBLE * CASE WHEN km <= 0.9 THEN 1.0::DOUBLE WHEN km <= 1.2 THEN 1 - 0.35::DOUBLE * (km - 0.9::DOUBLE) / (1.2::DOUBLE - 0.9::DOUBLE) ELSE greatest(0.45::DOUBLE, 1 - 0.12::DOUBLE * (km - 1.2::DOUBLE)) END, 2) AS location_score,
-  round_even(14.0::DOUBLE * (0.6::DOUBLE * (least(bed / 3, 1) * 0.9::DOUBLE + 0.05::DOUBLE * greatest(0, least(bed - 3, 2))) + 0.4::DOUBLE * least(bath / 2, 1)), 2) AS programme_score FROM x""",
+x AS (SELECT *, round_even(20.0::DOUBLE * CASE WHEN p <= 0.55 THEN 1.0 WHEN p <= 1 THEN 1 - 0.25::DOUBLE * (p - 0.55::DOUBLE) / 0.45::DOUBLE ELSE greatest(0.0::DOUBLE, 0.55::DOUBLE - 0.45::DOUBLE * (p - 1) / 0.12::DOUBLE) END, 0) AS got FROM q)
+SELECT p_partkey, CASE WHEN s > 20 THEN round_even(got * 0.8::DOUBLE, 0) ELSE got END AS price_score,
+  round_even(16.0::DOUBLE * CASE WHEN a < 100 THEN 0.3::DOUBLE WHEN a < 130 THEN 0.55::DOUBLE + 0.3::DOUBLE * (a - 100) / 30 WHEN a < 170 THEN 0.85::DOUBLE + 0.15::DOUBLE * (a - 130) / 40 ELSE 1 END, 0) AS area_score,
+  round_even(24.0::DOUBLE * CASE WHEN s <= 8 THEN 1.0::DOUBLE - 0.15::DOUBLE * s / 8 WHEN s <= 15 THEN 0.85::DOUBLE - 0.2::DOUBLE * (s - 8) / 7 WHEN s <= 30 THEN 0.65::DOUBLE - 0.4::DOUBLE * (s - 15) / 15 ELSE greatest(0.1::DOUBLE, 0.25::DOUBLE - 0.01::DOUBLE * (s - 30)) END, 0) AS age_score,
+  round_even(26.0::DOUBLE * CASE WHEN km <= 0.9 THEN 1.0::DOUBLE WHEN km <= 1.2 THEN 1 - 0.35::DOUBLE * (km - 0.9::DOUBLE) / (1.2::DOUBLE - 0.9::DOUBLE) ELSE greatest(0.45::DOUBLE, 1 - 0.12::DOUBLE * (km - 1.2::DOUBLE)) END, 0) AS location_score,
+  round_even(14.0::DOUBLE * 0.6::DOUBLE * (0.75::DOUBLE + 0.25::DOUBLE * least(greatest(bed - 3, 0), 2) / 2) + 14.0::DOUBLE * 0.4::DOUBLE * least(bath / 2, 1), 0) AS programme_score FROM x""",
     "score_compose_clamp": """
 WITH q AS (SELECT p_partkey AS k, p_size::DOUBLE AS s FROM part), c AS (
   SELECT k, CASE WHEN k % 4 <> 0 THEN s / 2 END AS a, CASE WHEN k % 3 <> 0 THEN s / 3 END AS b, CASE WHEN k % 5 <> 0 THEN s / 4 END AS c, s / 5 AS d,
     greatest(-12.0, least(6.0, CASE WHEN k % 2 = 0 THEN 8.0 ELSE 0 END + CASE WHEN k % 7 = 0 THEN -9.0 ELSE 0 END + CASE WHEN k % 11 = 0 THEN -6.0 ELSE 0 END))::DOUBLE AS p FROM q
 ), t AS (SELECT k, p, coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0) + coalesce(d, 0) AS raw,
   (CASE WHEN a IS NULL THEN 0 ELSE 26 END + CASE WHEN b IS NULL THEN 0 ELSE 24 END + CASE WHEN c IS NULL THEN 0 ELSE 20 END + 30)::DOUBLE AS m FROM c),
-u AS (SELECT k, m, greatest(0, least(100, CASE WHEN m >= 40 AND m < 100 THEN raw * 100 / m ELSE raw END + p)) AS s, greatest(0, least(100, raw + 100 - m + p)) AS ceiling FROM t)
-SELECT k AS p_partkey, CAST(round_even(CASE WHEN k % 5 <> 0 THEN s ELSE s * 0.69::DOUBLE END, 0) AS INTEGER) AS score, CAST(m AS INTEGER) AS confidence, CAST(round_even(ceiling, 0) AS INTEGER) AS ceiling FROM u""",
+u AS (SELECT k, m, greatest(0, least(100, greatest(0, least(100, CASE WHEN m >= 40 AND m < 100 THEN round_even(100 * raw / m, 0) ELSE raw END)) + p)) AS s, greatest(0, least(100, raw + 100 - m + p)) AS ceiling FROM t)
+SELECT k AS p_partkey, CAST(round_even(CASE WHEN k % 5 <> 0 THEN s ELSE round_even(s * 69 / 100, 0) END, 0) AS INTEGER) AS score, CAST(m AS INTEGER) AS confidence, CAST(round_even(ceiling, 0) AS INTEGER) AS ceiling FROM u""",
     "band_counts": "SELECT CASE WHEN p_size * 2 >= 85 THEN 'excellent' WHEN p_size * 2 >= 70 THEN 'very good' WHEN p_size * 2 >= 55 THEN 'good' WHEN p_size * 2 >= 40 THEN 'fair' ELSE 'low' END AS band, count(*) AS n FROM part GROUP BY 1",
     "strong_weak_criteria": """
 WITH q AS (SELECT p_partkey, [struct_pack(s := p_size / 50.0::DOUBLE, n := 'area'), struct_pack(s := (50 - p_size) / 50.0::DOUBLE, n := 'price'), struct_pack(s := CASE WHEN p_size % 5 <> 0 THEN (p_size % 10) / 10.0::DOUBLE END, n := 'age')] AS a FROM part)
@@ -496,20 +532,23 @@ b AS (SELECT g, price, min(unit) AS u FROM a WHERE unit IS NOT NULL AND g IS NOT
 e AS (SELECT c_custkey, CASE WHEN a.g IS NULL THEN 'row|' || c_custkey WHEN coalesce(n, 0) <= 1 THEN a.g WHEN coalesce(unit, u) IS NOT NULL THEN a.g || '|' || coalesce(unit, u) ELSE 'row|' || c_custkey END AS entity
   FROM a LEFT JOIN n ON a.g = n.g LEFT JOIN b ON a.g = b.g AND a.price = b.price)
 SELECT entity, count(*) AS n, min(c_custkey) AS first FROM e GROUP BY entity""",
-    "exact_text_dedup": """
-WITH d AS (SELECT doc_id, source, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]'))
+    "exact_text_dedup": f"""
+WITH d AS (SELECT doc_id, source, trim(regexp_replace(lower(translate(coalesce(text, ''), '{text.ACCENTED}', '{text.PLAIN}')), '[\\t\\n\\x0B\\f\\r ]+', ' ', 'g')) AS t FROM documents)
 SELECT doc_id, source FROM d QUALIFY length(t) < 80 OR row_number() OVER (PARTITION BY source, t ORDER BY doc_id) = 1""",
     "blocked_near_dup": f"""
-WITH {_LOCATED_SQL}, c AS (SELECT *, round_even(c_acctbal, -3) AS price, c_custkey % 5 AS beds FROM located)
-SELECT a.c_custkey AS a, b.c_custkey AS b FROM c a JOIN c b ON a.price = b.price AND a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey AND abs(a.beds - b.beds) <= 1
-WHERE 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lon) - radians(a.lon)) / 2), 2)))) <= 1.5""",
+WITH RECURSIVE {_LOCATED_SQL}, numbered AS (
+  SELECT c_custkey AS key, lat, lon, c_custkey % 5 AS beds, c_custkey % 7 AS score, c_custkey % 3 AS known, round_even(c_acctbal, -3) || '|' || c_nationkey AS block,
+    row_number() OVER (PARTITION BY round_even(c_acctbal, -3), c_nationkey ORDER BY c_custkey) AS i FROM located
+), {_WALK.format(near="coalesce(abs(p.beds - n.beds) <= 1 AND 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians(n.lat) - radians(p.lat)) / 2), 2) + cos(radians(p.lat)) * cos(radians(n.lat)) * pow(sin((radians(n.lon) - radians(p.lon)) / 2), 2)))) <= 1.5, false)", higher="(n.score, n.known) > (p.score, p.known)")}
+SELECT c_custkey, winner AS merged_into FROM customer LEFT JOIN (SELECT loser, winner FROM w WHERE loser IS NOT NULL) ON c_custkey = loser""",
     "twin_listings": """
-WITH c AS (SELECT c_custkey, c_nationkey, c_mktsegment, round_even(c_acctbal, -1) AS price FROM customer), g AS (SELECT c_nationkey, c_mktsegment, price, list(c_custkey ORDER BY c_custkey) AS l FROM c GROUP BY ALL HAVING count(*) > 1)
-SELECT c_custkey, array_to_string(list_filter(l, lambda x: x <> c_custkey), ',') AS twins FROM c JOIN g USING (c_nationkey, c_mktsegment, price)""",
-    "broker_code_pairs": """
-WITH p AS (SELECT *, p_brand || '-' || split_part(p_type, ' ', 1) AS code FROM part WHERE p_size <= 10)
-SELECT a.p_partkey AS a, b.p_partkey AS b FROM p a JOIN p b ON a.code = b.code AND a.p_partkey < b.p_partkey
-WHERE abs(a.p_size - b.p_size) <= 1 OR abs(a.p_retailprice - b.p_retailprice) <= 0.01::DOUBLE * greatest(a.p_retailprice, b.p_retailprice)""",
+WITH c AS (SELECT c_custkey, c_nationkey, c_mktsegment, round_even(c_acctbal, -1) AS price FROM customer), g AS (SELECT *, min(c_custkey) OVER w AS twin_of, count(*) OVER w - 1 AS n_twins FROM c WINDOW w AS (PARTITION BY c_nationkey, c_mktsegment, price))
+SELECT c_custkey, twin_of, n_twins FROM g WHERE n_twins > 0""",
+    "broker_code_pairs": f"""
+WITH RECURSIVE numbered AS (
+  SELECT p_partkey AS key, p_size AS area, p_retailprice AS price, p_partkey % 4 AS beds, p_brand || '-' || p_type AS block, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS i FROM part
+), {_WALK.format(near="((abs(p.area - n.area) <= 1 OR abs(p.price - n.price) <= 0.01::DOUBLE * greatest(p.price, n.price)) AND abs(p.beds - n.beds) <= 1)", higher="n.price > p.price")}
+SELECT p_partkey, winner AS merged_into FROM part LEFT JOIN (SELECT loser, winner FROM w WHERE loser IS NOT NULL) ON p_partkey = loser""",
     "unique_key_fallback_join": """
 WITH s AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS day, o_orderpriority AS label FROM orders WHERE o_orderkey % 3 <> 0),
 s2 AS (SELECT o_custkey, day, min(label) AS label FROM s GROUP BY ALL HAVING count(*) = 1), s3 AS (SELECT day, min(label) AS label FROM s GROUP BY day HAVING count(*) = 1)
@@ -518,7 +557,8 @@ SELECT o.o_orderkey, coalesce(CASE WHEN o.o_orderkey % 2 = 0 THEN o.o_orderprior
 FROM orders o LEFT JOIN s ON o.o_orderkey = s.o_orderkey LEFT JOIN s2 ON o.o_custkey = s2.o_custkey AND CAST(o.o_orderdate AS DATE) = s2.day LEFT JOIN s3 ON CAST(o.o_orderdate AS DATE) = s3.day""",
     "manual_override": "SELECT s_suppkey, CASE WHEN s_suppkey % 6 = 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal, s_suppkey % 9 = 0 AS discarded FROM supplier",
     "conflict_annul": "SELECT l_orderkey, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) END AS value, count(DISTINCT l_returnflag) > 1 AS disputed FROM lineitem GROUP BY l_orderkey",
-    "asof_latest_prior": "SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prior FROM events",
+    "asof_latest_prior": """
+SELECT e.event_id, arg_max(c.event_id, (c.ts, c.event_id)) AS prior FROM events e LEFT JOIN events c ON c.user_id = e.user_id AND c.event_type = 'click' AND c.event_id % 2 <> e.event_id % 2 AND (c.ts, c.event_id) < (e.ts, e.event_id) GROUP BY e.event_id""",
     "change_points": """
 WITH l AS (SELECT user_id, ts, event_id, floor(value / 20) AS v, lag(floor(value / 20)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
 m AS (SELECT * FROM l WHERE p IS NULL OR p <> v QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 12)
@@ -526,9 +566,10 @@ SELECT user_id, string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY ts,
     "price_trend": """
 WITH l AS (SELECT user_id, ts, event_id, floor(value / 20) AS v, lag(floor(value / 20)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
 m AS (SELECT * FROM l WHERE p IS NULL OR p <> v QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 12),
-q AS (SELECT user_id, list(v + 1 ORDER BY ts, event_id) AS a FROM m GROUP BY user_id)
-SELECT user_id, CASE WHEN len(a) >= 2 THEN CAST(round_even(100 * (a[-1] - a[1]) / a[1], 0) AS INTEGER) END AS change_pct,
-  CASE WHEN len(a) >= 2 THEN CAST(len(list_filter(range(2, len(a) + 1), lambda i: a[i] < a[i - 1])) AS BIGINT) END AS falls FROM q""",
+q AS (SELECT user_id, coalesce(list(v ORDER BY ts, event_id) FILTER (v <> 0), []) AS a, min(CAST(ts AS DATE)) FILTER (v <> 0) AS d FROM m GROUP BY user_id)
+SELECT user_id, CASE WHEN len(a) >= 2 AND a[-1] <> a[1] THEN CAST(round_even(100 * (a[-1] - a[1]) / a[1], 0) AS INTEGER) END AS change_pct,
+  CASE WHEN len(a) >= 2 AND a[-1] <> a[1] THEN CAST(len(list_filter(range(2, len(a) + 1), lambda i: a[i] < a[i - 1])) AS BIGINT) END AS falls,
+  CASE WHEN len(a) >= 2 AND a[-1] <> a[1] THEN CAST(DATE '2024-03-01' - d AS INTEGER) END AS span_days FROM q""",
     "snapshot_diff_events": f"""
 WITH new AS ({_SNAPSHOT.format('2024-01-20')}), old AS ({_SNAPSHOT.format('2024-01-05')})
 SELECT user_id, CASE WHEN old.user_id IS NULL THEN 'alta' ELSE 'precio' END AS event, new.value, old.value AS before FROM new LEFT JOIN old USING (user_id) WHERE old.user_id IS NULL OR new.value <> old.value""",
@@ -547,6 +588,11 @@ m AS (SELECT f.event_type, f.user_id, l.day, e.day IS NOT NULL AS seen FROM f JO
 s AS (SELECT *, sum(CAST(seen AS INTEGER)) OVER (PARTITION BY event_type, user_id ORDER BY day) AS spell FROM m),
 c AS (SELECT *, count(*) FILTER (NOT seen) OVER (PARTITION BY event_type, user_id, spell ORDER BY day) AS missed FROM s)
 SELECT event_type, user_id, CAST(day AS VARCHAR) AS gone_on FROM c WHERE missed = 3 AND NOT seen""",
+    "absence_counter": """
+WITH k AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS source, user_id % 4 AS missed FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY user_id),
+r AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-15 06:00:00' AND event_type <> 'view'),
+c AS (SELECT user_id, source, missed, CASE WHEN user_id IN (SELECT user_id FROM r) THEN 0 WHEN source IN (SELECT event_type FROM r) THEN missed + 1 ELSE missed END AS later FROM k)
+SELECT user_id, source, later AS missed, later = 3 AND missed <> 3 AS gone FROM c""",
     "ttl_purge": "SELECT user_id FROM events GROUP BY user_id HAVING CAST(max(ts) AS DATE) >= DATE '2024-02-10' - 12",
     "host_suffix": """
 WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) AS host FROM pages)
@@ -560,7 +606,7 @@ SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS
 WITH w AS (SELECT page_id, trim(regexp_replace(regexp_extract(regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '\\.[A-Za-z]+$', ''), '([^/]*)/*$', 1), '[^A-Za-z0-9]+', ' ', 'g')) AS w FROM pages)
 SELECT page_id, upper(left(w, 1)) || substr(w, 2) AS title FROM w""",
     "number_parse": f"""
-WITH f AS (SELECT o_orderkey, unnest(range(0, 8)) AS form, unnest([k || '.550.000', k || ',5', k, '1.' || k, k || ',550,000', 'abc', '1.2.' || k, '1.550,' || k]) AS r FROM (SELECT o_orderkey, o_orderkey::VARCHAR AS k FROM orders WHERE o_orderkey <= 999))
+WITH f AS (SELECT o_orderkey, unnest(range(0, 13)) AS form, unnest([k || '.550.000', k || ',5', k, '1.' || k, k || ',550,000', 'abc', '1.2.' || k, '1.550,' || k, '1' || k || '000', ',' || k, k || ',550,000.25', k || '.34,5', k || '.5678']) AS r FROM (SELECT o_orderkey, o_orderkey::VARCHAR AS k FROM orders))
 SELECT o_orderkey, CAST(form AS INTEGER) AS form, {_PARSED} AS number FROM f""",
     "ordered_classifier": """
 SELECT CASE WHEN regexp_matches(text, '(token|password) ?=') THEN 'secret' WHEN regexp_matches(text, '[#*$%]{3}') THEN 'marked' WHEN regexp_matches(text, ' [|] ') THEN 'table' WHEN regexp_matches(text, '!!') THEN 'loud'
@@ -574,7 +620,7 @@ SELECT CASE WHEN regexp_matches(text, '(token|password) ?=') THEN 'secret' WHEN
 WITH u AS (SELECT r_regionkey, 'https://a.example/q' || CASE WHEN r_regionkey % 2 = 0 THEN '?page=9&s=1' ELSE '' END AS url FROM region)
 SELECT r_regionkey, CAST(n - 1 AS INTEGER) AS pos, CASE WHEN n = 1 THEN url WHEN r_regionkey % 2 = 0 THEN replace(url, 'page=9', 'page=' || n) ELSE url || '?page=' || n END AS url FROM u, range(1, 4) AS t(n)""",
     "first_empty_page": """
-WITH p AS (SELECT o_custkey, CAST(month(o_orderdate) AS INTEGER) AS page_no, count(*) FILTER (o_totalprice > 60000) AS n FROM orders WHERE o_custkey <= 500 GROUP BY ALL),
+WITH p AS (SELECT o_custkey, CAST(month(o_orderdate) AS INTEGER) AS page_no, count(*) FILTER (o_totalprice > 60000) AS n FROM orders GROUP BY ALL),
 s AS (SELECT o_custkey, min(page_no) FILTER (n = 0) AS stop FROM p GROUP BY o_custkey)
 SELECT o_custkey, page_no, n FROM p JOIN s USING (o_custkey) WHERE stop IS NULL OR page_no < stop""",
     "rate_lookup": """

@@ -10,9 +10,9 @@ from hearthgrid.operators import gapfill
 @pytest.mark.parametrize(
     ("text", "place", "want"),
     [
-        ("Santa María de Manquehue Avenida Santa María 6800", None, "Avenida Santa María 6800"),
-        ("Departamento de 134 m² en Luis Carrera 1200", None, "Luis Carrera 1200"),
-        ("Arriendo en Las Condes Isabel La Católica 4800", "Las Condes", "Isabel La Católica 4800"),
+        ("Parque Los Olmos Avenida Los Olmos 5120", None, "Avenida Los Olmos 5120"),
+        ("Departamento de 88 m² en Tomas Moro 1430", None, "Tomas Moro 1430"),
+        ("Arriendo en San Miguel Isabel Riquelme 2750", "San Miguel", "Isabel Riquelme 2750"),
         ("Depto 802", None, ""),
         ("sin número en la calle", None, ""),
         (None, None, ""),
@@ -23,11 +23,11 @@ def test_find_address(text, place, want):
 
 
 def test_address_columns(spark):
-    df = spark.createDataFrame([("Hermoso en $1.250.000 2 1 2", "Luis Carrera 1200"), ("publicado 75 m 2 2 1 2", "Av. Las Condes 99"), ("hace 3", None)], "t string, a string")
+    df = spark.createDataFrame([("Hermoso en $1.250.000 2 1 2", "Tomas Moro 1430"), ("publicado 75 m 2 2 1 2", "Av. Las Condes 99"), ("hace 3", None)], "t string, a string")
     i = address.icon_row(F.col("t"), "d e b")
     out = df.select(i["d"].alias("d"), i["e"].alias("e"), i["b"].alias("b"), address.street_address(F.col("a"), F.lit(None).cast("string")).alias("s"), address.query_variants(F.col("a"), "Chile").alias("v")).collect()
-    assert [tuple(r)[:4] for r in out] == [(2, 1, 2, "Luis Carrera 1200"), (2, 1, 2, ""), (None, None, None, "")]
-    assert out[0]["v"] == ["Luis Carrera 1200, Chile", "Luis Carrera, Chile"] and out[1]["v"][1] == "Las Condes 99, Chile" and out[2]["v"] == []
+    assert [tuple(r)[:4] for r in out] == [(2, 1, 2, "Tomas Moro 1430"), (2, 1, 2, ""), (None, None, None, "")]
+    assert out[0]["v"] == ["Tomas Moro 1430, Chile", "Tomas Moro, Chile"] and out[1]["v"][1] == "Las Condes 99, Chile" and out[2]["v"] == []
 
 
 def test_gap_fills(spark):
