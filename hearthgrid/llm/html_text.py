@@ -1,12 +1,16 @@
 """Main text of web pages by composite text density.
 
-A page is cut into tags and text, and a DOM of its visible nodes is built with the usual implied end tags. Every node gets
-its link-adjusted characters per tag; a node's score is the sum of its children's densities; the node with the largest
-score whose density reaches the threshold (the least density on the path from the densest node to the body) is the main
-subtree. Its text is returned without boilerplate inside it. Pages are handled one by one beside the scan: no shuffle.
-
-Defined results: null, empty or tagless-but-blank html has the empty text; a page without any markup is its own text;
-repeated rows are all returned; an empty table gives an empty result; only the id, url and html columns are read.
+A page is scanned once, tag by tag with the states of HTML's own attribute syntax, and a DOM of its nodes is built with the
+usual implied end tags. Every node gets its link-adjusted characters per tag; a node's score is the sum of its children's
+densities. The least density on the path from the highest score to the body is the threshold, and of the nodes that reach
+it the one with the largest score is the main subtree, widened to what holds it as long as that reaches the threshold and
+adds more text than links. Lists of elements, roles and class words tell what is left out of it; a class word alone never
+removes an element that holds an article or most of the page's text. Pages are handled one by one beside the scan.
+
+Defined results: null, empty or tagless-but-blank html has the empty text; a page without any markup is its own text; an
+unclosed tag, comment or script takes the rest of the page with it; elements below ``MAX_DEPTH`` open ones are closed at
+once; a null page_id is returned; repeated rows are all returned; an empty table gives an empty result; only the id, url
+and html columns are read.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,11 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Elements whose content is never text of the page.
-RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "canvas", "object", "select", "title")
+#: Elements whose content isn't markup, and others whose content is never text of the page.
+RAW = ("script", "style", "textarea", "iframe", "noframes", "noembed", "title")
+HIDDEN = ("noscript", "template", "svg", "canvas", "object", "select", "audio", "video", "math")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Boilerplate by element, by role and by a word of class or id.
-BOILERPLATE_TAGS = {"nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "head", *RAW}
+BOILERPLATE_TAGS = {"nav", "header", "footer", "aside", "button", "dialog", "menu", "head", *RAW, *HIDDEN}
 BOILERPLATE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 BOILERPLATE_WORDS = set(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promoted nav navbar navigation menu breadcrumb breadcrumbs "
@@ -35,88 +41,167 @@ BOILERPLATE_WORDS = set(
 )
 #: Elements that don't break a block.
 INLINE = set(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 #: A start tag of the key closes an open element of the value within the same block.
 _CLOSES_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "thead": {"tbody", "tr", "td", "th"}}
+_NOTHING, _P = frozenset(), frozenset({"p"})
 _SCOPES = set("article aside body div section table ul ol dl td th blockquote main nav header footer form html".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: End tags that don't reach beyond the block they stand in.
+_WEAK_ENDS = INLINE | {"p", "li"}
+#: Open elements at most; browsers stop at this depth, too.
+MAX_DEPTH = 512
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_GAP = re.compile(r"[\s/]*")
+_KEY = re.compile(r"=?[^\s/>=]*")
+_IS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
+_RAW_END = {k: re.compile(rf"</{k}(?=[\s/>])", re.I) for k in RAW}
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _WORD = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    """One element. ``parts`` holds texts and children in order; the counts cover the whole subtree once closed."""
+    """One element. ``parts`` holds texts and children in order; the counts cover the whole subtree once counted.
 
-    __slots__ = ("chars", "link_chars", "link_tags", "name", "parent", "parts", "skip", "tags")
+    ``skip``: left out with all below; ``doubt``: would be, by a class word or as a form, if it doesn't hold the main text.
+    """
 
-    def __init__(self, name: str, parent: Node | None, skip: bool):
-        self.name, self.parent, self.parts, self.skip = name, parent, [], skip
+    __slots__ = ("chars", "doubt", "holds", "link_chars", "link_tags", "name", "parent", "parts", "skip", "tags")
+
+    def __init__(self, name: str, parent: Node | None, skip: bool = False, doubt: bool = False):
+        self.name, self.parent, self.parts, self.skip, self.doubt = name, parent, [], skip, doubt
         self.chars = self.link_chars = self.tags = self.link_tags = 0
+        self.holds = False
 
 
-def _is_boilerplate(name: str, attrs: str) -> bool:
+def _left_out(name: str, attrs: dict[str, str]) -> tuple[bool, bool]:
+    """Whether an element is boilerplate, and whether it may be."""
     if name in BOILERPLATE_TAGS:
-        return True
-    for key, *values in _ATTR.findall(attrs) if attrs else ():
-        key, value = key.lower(), "".join(values).lower()
-        if key in ("class", "id"):
-            if name not in ("body", "html", "article", "main") and BOILERPLATE_WORDS.intersection(_WORD.findall(value)):
-                return True
-        elif key == "role":
-            if BOILERPLATE_ROLES.intersection(value.split()):
-                return True
-        elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
-    return False
+        return True, False
+    doubt = name == "form"
+    if attrs:
+        if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or _UNSEEN.search(attrs.get("style", "").lower()):
+            return True, False
+        if (role := attrs.get("role")) and BOILERPLATE_ROLES.intersection(role.lower().split()):
+            return True, False
+        if name not in ("body", "html", "article", "main"):
+            doubt = doubt or any(not BOILERPLATE_WORDS.isdisjoint(_WORD.findall(attrs[k].lower())) for k in ("class", "id") if k in attrs)
+    return False, doubt
+
+
+def _attributes(page: str, at: int) -> tuple[int, dict[str, str], bool] | None:
+    """(place behind the tag, attributes, whether it closes itself) of a tag whose name ends at ``at``; None if it never ends."""
+    attrs: dict[str, str] = {}
+    while True:
+        gap = _GAP.match(page, at).end()
+        if gap == len(page):
+            return None
+        if page[gap] == ">":
+            return gap + 1, attrs, gap > at and page[gap - 1] == "/"
+        at = _KEY.match(page, gap).end()
+        key, value = page[gap:at].lower(), ""
+        if m := _IS.match(page, at):
+            at = m.end()
+            quote = page[at : at + 1]
+            if quote in ('"', "'") and quote:
+                if (end := page.find(quote, at + 1)) < 0:
+                    return None
+                value, at = page[at + 1 : end], end + 1
+            else:
+                end = _BARE.match(page, at).end()
+                value, at = page[at:end], end
+        attrs.setdefault(key, value)
+
+
+def tags(page: str) -> Iterator[str | tuple[str, dict[str, str] | None, bool]]:
+    """Texts, and (name, attributes, closes itself) of start tags or (name, None, False) of end tags, in one pass."""
+    at = begin = 0
+    while (lt := page.find("<", at)) >= 0:
+        kind = page[lt + 1 : lt + 2]
+        closing = kind == "/"
+        m = _NAME.match(page, lt + 1 + closing)
+        if not m and not (kind and kind in "!?/"):
+            at = lt + 1  # an ordinary character
+            continue
+        if lt > begin:
+            yield page[begin:lt]
+        if not m:
+            if page.startswith("<!--", lt):
+                stop = page.find("-->", lt + 2)
+                at = stop + 3 if stop >= 0 else len(page)
+            else:
+                stop = page.find(">", lt)
+                at = stop + 1 if stop >= 0 else len(page)
+            begin = at
+            continue
+        got = _attributes(page, m.end())
+        if got is None:
+            return
+        at, attrs, alone = got
+        name = m[0].lower()
+        if closing:
+            yield name, None, False
+        elif name in _RAW_END:
+            stop = _RAW_END[name].search(page, at)
+            at = stop.start() if stop else len(page)  # its end tag closes nothing
+        else:
+            yield name, attrs, alone
+        begin = at
+    if begin < len(page):
+        yield page[begin:]
 
 
 def parse(page: str) -> Node:
     """The DOM below a root node."""
-    root = here = Node("#root", None, False)
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            here.parts.append(page[at : m.start()])
-        at = m.end()
-        if not (name := m["name"]):
+    root = here = Node("#root", None)
+    depth, open_ = 0, Counter()
+
+    def leave(node: Node) -> None:
+        """Close ``node`` and all open ones below."""
+        nonlocal here, depth
+        while here is not node.parent:
+            open_[here.name] -= 1
+            depth -= 1
+            here = here.parent
+
+    for t in tags(page):
+        if t.__class__ is str:
+            here.parts.append(t)
+            continue
+        name, attrs, alone = t
+        if name in ("html", "!doctype"):
             continue
-        name = name.lower()
-        if name in RAW or name in ("html", "!doctype"):
+        if attrs is None:
+            if open_[name]:
+                node = here
+                while node.name != name and not (name in _WEAK_ENDS and node.name in _SCOPES):
+                    node = node.parent
+                if node.name == name:
+                    leave(node)
             continue
-        if m["close"]:
-            node = here
-            while node is not root and node.name != name:
-                if name in INLINE | {"p", "li"} and node.name in _SCOPES:
+        closes = _SIBLINGS.get(name, _NOTHING) | (_P if name in _CLOSES_P else _NOTHING)
+        if any(open_[c] for c in closes):
+            node, shut = here, None
+            while node is not root:
+                if node.name in closes:
+                    shut = node
+                elif node.name in _SCOPES:
                     break
                 node = node.parent
-            if node.name == name and node is not root:
-                here = node.parent
-            continue
-        closes = ({"p"} if name in _CLOSES_P else set()) | _SIBLINGS.get(name, set())
-        node, shut = here, None
-        while closes and node is not root:
-            if node.name in closes:
-                shut = node
-            elif node.name in _SCOPES:
-                break
-            node = node.parent
-        if shut is not None:
-            here = shut.parent
-        child = Node(name, here, here.skip or _is_boilerplate(name, m["attrs"]))
+            if shut is not None:
+                leave(shut)
+        child = Node(name, here, *_left_out(name, attrs))
         here.parts.append(child)
-        if name not in VOID and not m["attrs"].rstrip().endswith("/"):
+        if name not in VOID and not alone and depth < MAX_DEPTH:
             here = child
-    if at < len(page):
-        here.parts.append(page[at:])
+            depth += 1
+            open_[name] += 1
     return root
 
 
@@ -130,11 +215,12 @@ def _postorder(root: Node) -> list[Node]:
 
 
 def _count(nodes: list[Node]) -> None:
-    """Characters, link characters, tags and link tags of each node's subtree, without boilerplate."""
+    """Characters, link characters, tags and link tags of each node's subtree, without what is left out."""
     for n in nodes:
+        n.chars = n.tags = n.link_chars = n.link_tags = 0
         if n.skip:
             continue
-        link = n.name == "a"
+        n.holds = n.name in ("article", "main")
         for x in n.parts:
             if x.__class__ is Node:
                 if not x.skip:
@@ -142,12 +228,25 @@ def _count(nodes: list[Node]) -> None:
                     n.tags += x.tags + 1
                     n.link_chars += x.link_chars
                     n.link_tags += x.link_tags + (x.name == "a")
+                    n.holds = n.holds or x.holds
             else:
                 n.chars += len(x) - x.count(" ") - x.count("\n")
-        if link:
+        if n.name == "a":
             n.link_chars = n.chars
 
 
+def _settle(root: Node, nodes: list[Node]) -> None:
+    """Decide the doubtful nodes: one that holds the article, or without one most of the text outside links, stays."""
+    if any(n.doubt for n in nodes):
+        plain = root.chars - root.link_chars
+        for n in nodes:
+            most = not root.holds and 5 * (n.chars - n.link_chars) > 4 * plain
+            n.skip = n.skip or (n.doubt and not n.holds and not most)
+        _count(nodes)
+    for n in reversed(nodes):  # parents first
+        n.skip = n.skip or (n.parent is not None and n.parent.skip)
+
+
 def density(n: Node, body_ratio: float) -> float:
     """Characters per tag, falling with the share of characters and tags in links."""
     if not n.chars:
@@ -158,28 +257,28 @@ def density(n: Node, body_ratio: float) -> float:
 
 
 def main_node(root: Node, nodes: list[Node]) -> Node:
-    """The node with the largest sum of its children's densities, of those that reach the body path's threshold.
-
-    A node inside an article or main element stands for that element, so no paragraph of it is lost.
-    """
+    """The main subtree: the largest sum of children's densities among the nodes that reach the body path's threshold."""
     ratio = root.link_chars / root.chars if root.chars else 0.0
     dense = {n: density(n, ratio) for n in nodes if not n.skip}
     if not dense or not root.chars:
         return root
-    node = max(dense, key=lambda n: dense[n])
-    least = dense[node]
-    while node is not None and node.name != "body":
-        least = min(least, dense[node])
-        node = node.parent
-    least = min(least, dense[node]) if node is not None else least
     score = {n: sum(dense[x] for x in n.parts if x.__class__ is Node and not x.skip) for n in dense}
-    best = max((n for n in dense if dense[n] >= least), key=lambda n: (score[n], n.chars), default=root)
-    holder, up = best, best
-    while up is not None:
-        if up.name in ("article", "main"):
-            holder = up
+    peak = max(dense, key=lambda n: (score[n], n.chars))
+    least, node = dense[peak], peak
+    while node.name != "body" and node.parent is not None:
+        node = node.parent
+        least = min(least, dense[node])
+    best = max((n for n in dense if dense[n] >= least), key=lambda n: (score[n], n.chars))
+    # a block by itself, or a part of an article, stands for what holds it
+    out, up = best, best
+    while up.parent is not None:
         up = up.parent
-    return holder
+        if dense[up] < least:
+            break
+        more, links = up.chars - out.chars, up.link_chars - out.link_chars
+        if up.name in ("article", "main") or (up.name != "body" and up.parent is not None and 2 * links <= more):
+            out = up
+    return out
 
 
 def blocks(node: Node) -> Iterator[str]:
@@ -211,6 +310,7 @@ def extract(page: str | None) -> str:
     root = parse(page)
     nodes = _postorder(root)
     _count(nodes)
+    _settle(root, nodes)
     return " ".join(blocks(main_node(root, nodes)))
 
 
