@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,13 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors see: the session's checkpoint directory, else (tests) one of our own."""
+    """Folder that all executors see: the session's checkpoint directory.
+
+    Where it is unset, a local session (tests, bench) gets one of its own; on a cluster that's an error, as a folder of one
+    machine would lose data.
+    """
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     got = spark.sparkContext._jsc.sc().getCheckpointDir()
     if got.isEmpty():
-        own = os.path.join(tempfile.gettempdir(), f"spark-shared-{os.getpid()}")
-        spark.sparkContext.setCheckpointDir(own)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"spark-shared-{os.getpid()}"))
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
     return got.get().rstrip("/")
 
@@ -43,12 +50,35 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
-    This cuts the lineage: later stages never recompute ``df``, and a lost executor costs only its own tasks.
+    This cuts the lineage: later stages never recompute ``df``, and a lost executor costs only its own tasks. ``discard``
+    removes the table when nothing reads it any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scratch(docs: DataFrame, *names: str) -> list[str]:
+    """Names for passing columns that no column of ``docs`` has, in whatever case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name)
+    return out
 
 
 def ascii_lower(c: Column) -> Column:
@@ -83,8 +113,17 @@ SPACE_BYTES = byte_set(SPACES.encode())
 _P = 0x9E3779B97F4A7C15
 
 
+@cache
+def _held_powers(base: int) -> np.ndarray:
+    return _powers(base, CHUNK + 2)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
+    return _held_powers(base)[:n] if n <= CHUNK + 2 else _powers(base, n)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
     return np.cumprod(out, dtype=np.uint64)
@@ -102,7 +141,7 @@ def _chunks(data: np.ndarray, space: np.ndarray) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def word_spans(texts: list[bytes], separators: np.ndarray = SPACE_BYTES) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(texts: list[bytes], separators: np.ndarray = SPACE_BYTES, base: int = _P) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(all texts as one, start, end and 64-bit hash of each word in it, number of words of each text).
 
     Words are runs of bytes outside ``separators``, which must hold the line feed. Sums of byte times power give a word's
@@ -116,7 +155,7 @@ def word_spans(texts: list[bytes], separators: np.ndarray = SPACE_BYTES) -> tupl
         part, gap = data[a:b], space[a:b]
         begins = np.flatnonzero(~gap & np.append(True, gap[:-1]))
         ends = np.flatnonzero(~gap & np.append(gap[1:], True)) + 1
-        up, down = powers(_P, len(part) + 1), powers(pow(_P, -1, 1 << 64), len(part) + 1)
+        up, down = powers(base, len(part) + 1), powers(pow(base, -1, 1 << 64), len(part) + 1)
         total = np.append(np.uint64(0), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64))
         hashes.append(mix64((total[ends] - total[begins]) * down[begins] + (ends - begins).astype(np.uint64)))
         starts.append(begins + a)
@@ -126,6 +165,6 @@ def word_spans(texts: list[bytes], separators: np.ndarray = SPACE_BYTES) -> tupl
     return whole, at, np.concatenate(ends_), np.concatenate(hashes), np.diff(np.searchsorted(at, edges))
 
 
-def word_hashes(texts: list[bytes], separators: np.ndarray = SPACE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], separators: np.ndarray = SPACE_BYTES, base: int = _P) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of each word of all texts in order, and the number of words of each text."""
-    return word_spans(texts, separators)[3:]
+    return word_spans(texts, separators, base)[3:]
