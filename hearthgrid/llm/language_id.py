@@ -2,11 +2,11 @@
 
 Texts are folded to lower-case letters with one space between runs of letters. For each language, counts of character
 4-grams give an interpolated Kneser-Ney model; the grams of all languages stand in one sorted array of 64-bit codes (four
-16-bit characters, so a code is the gram) with a column of log probabilities for each language, and a shorter gram
-answers where a longer one was never seen. The language with the lowest cross-entropy per character wins.
+16-bit hashes of characters; those below U+10000 are their own hash) with a column of log probabilities for each language,
+and a shorter gram answers where a longer one was never seen. The language with the lowest cross-entropy per character wins.
 
 Training reads at most about ``TRAIN_DOCS`` labelled documents of each language (a documented bound, drawn by a hash of
-the text, whole texts); counting is distributed and the model is bounded by ``MAX_GRAMS`` grams for each language. The
+the text, whole texts); counting is distributed, and all grams of the drawn documents, none left out, make the model. The
 score is the winner's probability among the languages, its sharpness fitted on labelled texts that weren't counted.
 A text is marked rejected if its cross-entropy lies above what ``1 - REJECT_RATE`` of those texts of the winning language
 reach (at a like length).
@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,25 +32,29 @@ from .common import table
 ORDER = 4
 #: Mean number of training documents drawn for each language; an eighth of them calibrates.
 TRAIN_DOCS = 4_000
-MAX_GRAMS = 200_000
 REJECT_RATE = 0.005
 #: Characters that are scored at once.
 CHUNK = 1 << 20
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Runs without a letter or a mark on one (categories L and M); digits, numerals and other number signs are no letters.
+_ASCII, _ANY, _LETTER = re.compile(r"[^a-z]+"), regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 _MASKS = [np.uint64((1 << 16 * k) - 1) for k in range(ORDER + 1)]
 
 
 def fold(text: str | None) -> str:
     """Lower-case letters, one space around each run; empty if there is no letter."""
-    words = _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
-    return f" {words} " if words else ""
+    low = (text or "").lower()
+    words = (_ASCII if low.isascii() else _ANY).sub(" ", low).strip()
+    return f" {words} " if words and (words.isascii() or _LETTER.search(words)) else ""
 
 
 def codes(folded: str) -> np.ndarray:
-    """The gram that ends at each character after the first, as four 16-bit characters; spaces stand before the text."""
-    chars = np.frombuffer(folded.encode("utf-32-le"), np.uint32)
-    c = np.minimum(chars, 0xFFFF).astype(np.uint64)
+    """The gram that ends at each character after the first, as four 16-bit characters; spaces stand before the text.
+
+    Characters from U+10000 on are hashed to the 2,048 values that no other character has.
+    """
+    chars = np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.where(chars > 0xFFFF, 0xD800 + (chars * np.uint32(2654435761) >> np.uint32(21)), chars).astype(np.uint64)
     c = np.concatenate([np.full(ORDER - 2, 0x20, np.uint64), c])
     n = len(c) - ORDER + 1
     out = np.zeros(max(n, 0), np.uint64)
@@ -204,7 +209,7 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
 
-def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_grams: int = MAX_GRAMS) -> Model:
+def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """The model of the rows (text, lang); rows without either are passed over."""
     rows = labelled.where("text is not null and lang is not null")
     sizes = {r["lang"]: r["count"] for r in labelled.where("lang is not null").groupBy("lang").count().collect()}
@@ -215,21 +220,16 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_grams: int = MA
     draw = (F.xxhash64("text") / F.lit(2.0**64)) + F.lit(0.5)
     drawn = rows.select("text", "lang", (draw / share).alias("draw")).where("draw < 1")
     counted = drawn.where("draw < 0.875").select("text", "lang").mapInArrow(_gram_counts, "lang string, gram long, n long")
-    top = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = _collect_counts(top, sorted(sizes), max_grams)
+    counts = _collect_counts(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), sorted(sizes))
     model = kneser_ney({k: v for k, v in counts.items() if len(v[0])})
     return _calibrated(model, drawn.where("draw >= 0.875").select("text", "lang"))
 
 
-def _collect_counts(top: DataFrame, langs: list[str], max_grams: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """The commonest grams of each language; what reaches the driver is bounded by max_grams for each."""
-    t = top.orderBy(F.desc("n"), "gram", "lang").limit(max_grams * len(langs)).toArrow()
+def _collect_counts(counted: DataFrame, langs: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """The grams of each language; as many as the drawn documents hold, so train_docs bounds what reaches the driver."""
+    t = counted.toArrow()
     lang, gram, n = np.array(t.column("lang").to_pylist(), object), t.column("gram").to_numpy(), t.column("n").to_numpy()
-    out = {}
-    for k in langs:
-        at = np.flatnonzero(lang == k)[:max_grams]
-        out[k] = (gram[at].view(np.uint64), n[at])
-    return out
+    return {k: (gram[at].view(np.uint64), n[at]) for k in langs for at in [np.flatnonzero(lang == k)]}
 
 
 def _calibrated(model: Model, texts: DataFrame) -> Model:

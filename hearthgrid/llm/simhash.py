@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, materialize, table
+from .common import LOWER, UPPER, discard, materialize, table
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
 #: Most members of a bucket that is compared pair by pair.
@@ -51,33 +51,46 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is set if it is set in more than half of the hashes (uint64); zero without any."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 65_536):
+        part = np.ascontiguousarray(hashes[i : i + 65_536])
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = np.fromiter((fingerprint(t.as_py()) for t in b.column("text")), np.uint64, b.num_rows)
         yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
 
-def _planes(fps: np.ndarray) -> np.ndarray:
-    """64 rows, one for each bit; 64 fingerprints to a word."""
+def _planes(fps: np.ndarray, more: int = 0) -> np.ndarray:
+    """64 rows, one for each bit; 64 fingerprints to a word, and ``more`` empty words behind."""
     bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
-    lanes = -len(fps) % 64
+    lanes = -len(fps) % 64 + 64 * more
     return np.packbits(np.ascontiguousarray(np.pad(bits, ((0, 0), (0, lanes)))), axis=1, bitorder="little").view(np.uint64)
 
 
-def within_radius(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Boolean for each lane: a and b (uint64) differ in at most ``radius`` bits. radius is 3 at most.
+def _differing(a: np.ndarray, b: np.ndarray, step: int, words: int, radius: int) -> np.ndarray:
+    """For lane i of the first ``words`` words: whether lane i of planes a and lane i + step of planes b differ in more than
+    ``radius`` bits (3 at most).
 
     ``ones`` and ``twos`` are the carry-save counters of every lane; ``over`` marks lanes beyond the radius. Blocks of 4096
     lanes that are all over are abandoned after each eight planes.
     """
-    pa_, pb = _planes(a), _planes(b)
-    words = pa_.shape[1]
     ones, twos, over = (np.zeros(words, np.uint64) for _ in range(3))
     alive = np.arange(words)
+    word, bit = divmod(step, 64)
+    low, high = np.uint64(bit), np.uint64(64 - bit)
     for start in range(0, 64, 8):
         o, t, x = ones[alive], twos[alive], over[alive]
         for k in range(start, start + 8):
-            diff = pa_[k, alive] ^ pb[k, alive]
+            other = b[k, alive + word]
+            if bit:
+                other = (other >> low) | (b[k, alive + word + 1] << high)
+            diff = a[k, alive] ^ other
             carry = o & diff
             o = o ^ diff
             x |= t & carry
@@ -91,7 +104,13 @@ def within_radius(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> np.ndar
         alive = alive[~dead]
         if not len(alive):
             break
-    return ~np.unpackbits(over.view(np.uint8), bitorder="little")[: len(a)].astype(bool)
+    return np.unpackbits(over.view(np.uint8), bitorder="little").astype(bool)
+
+
+def within_radius(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Boolean for each lane: a and b (uint64) differ in at most ``radius`` bits. radius is 3 at most."""
+    pa_, pb = _planes(a), _planes(b)
+    return ~_differing(pa_, pb, 0, pa_.shape[1], radius)[: len(a)]
 
 
 def _smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -116,14 +135,22 @@ def bucket_links(group: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tu
     The members of all buckets are compared at one distance in the order after another, so one pass serves many buckets.
     """
     n = len(fps)
-    last = np.append(np.flatnonzero(group[1:] != group[:-1]), n - 1) if n else np.zeros(0, int)
-    end = last[np.searchsorted(last, np.arange(n))]
-    left, right, rows, step = [], [], np.arange(n), 1
-    while len(rows := rows[rows + step <= end[rows]]):
-        hit = rows[within_radius(fps[rows], fps[rows + step], radius)]
-        left.append(hit)
-        right.append(hit + step)
-        step += 1
+    if not n:
+        return np.zeros(0, int), np.zeros(0, int)
+    edge = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    size = np.diff(np.append(edge, n))
+    # the largest buckets first, so those that have members ``step`` apart are a run of lanes; the planes are made once
+    first = np.argsort(-size, kind="stable")
+    held = np.repeat(edge[first] - (np.cumsum(size[first]) - size[first]), size[first]) + np.arange(n)
+    left_in = np.repeat(np.cumsum(size[first]), size[first]) - 1
+    planes = _planes(fps[held], more=int(size.max()) // 64 + 2)
+    left, right = [], []
+    for step in range(1, int(size.max())):
+        lanes = int(size[size > step].sum())
+        near = ~_differing(planes, planes, step, -(-lanes // 64), radius)[:lanes]
+        hit = np.flatnonzero(near & (np.arange(lanes) + step <= left_in[:lanes]))
+        left.append(held[hit])
+        right.append(held[hit + step])
     if not left:
         return np.zeros(0, int), np.zeros(0, int)
     label = _smallest(n, np.concatenate(left), np.concatenate(right))
@@ -185,10 +212,13 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x")).select("x.u", F.col("x.m").alias("v"))
-        e = materialize(small.where("u <> v").distinct(), label)
+        old, e = e, materialize(small.where("u <> v").distinct(), label)
+        discard(old)
         after = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out.scratch_path = e.scratch_path
+            return out
         before = after
 
 

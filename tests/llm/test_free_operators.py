@@ -70,6 +70,21 @@ def test_bit_sliced_distances():
             assert (simhash.within_radius(a, b, radius) == (np.bitwise_count(a ^ b) <= radius)).all()
 
 
+def test_bucket_links_equal_all_pairs():
+    rng = np.random.default_rng(3)
+    sizes = [1, 2, 70, 3, 1, 200, 65]
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    fps = rng.integers(0, 1 << 63, len(group), dtype=np.uint64) & np.uint64(0x7F)
+    a, b = simhash.bucket_links(group, fps)
+    ids = list(range(len(group)))
+    want = {}
+    for g in range(len(sizes)):
+        own = [i for i in ids if group[i] == g]
+        want |= brute_components(own, [int(fps[i]) for i in own])
+    assert dict(zip(a.tolist(), b.tolist(), strict=True)) == {i: r for i, r in want.items() if i != r}
+    assert [len(x) for x in simhash.bucket_links(group[:0], fps[:0])] == [0, 0]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 3)], "u long, v long")
     got = {r["node"]: r["root"] for r in simhash.components(edges, "chain").collect()}
@@ -95,14 +110,57 @@ def test_language_id_odd_inputs(spark):
     assert {r["lang_pred"] for r in language_id.identify(docs, empty).collect()} == {"und"}
 
 
-def test_kneser_ney_sums_to_one():
-    text = " ".join(["abc abd bcd cab dab"] * 20)
-    g, n = np.unique(language_id.codes(language_id.fold(text)), return_counts=True)
-    model = language_id.kneser_ney({"x": (g, n)})
-    for context in (" ab", "abc", "ca"):
-        tail = [ord(c) for c in context.rjust(3)]
-        probe = np.array([(tail[0] << 48) | (tail[1] << 32) | (tail[2] << 16) | ord(c) for c in "abcd "], np.uint64)
-        assert 0.8 < np.exp(model.log_probs(probe)).sum() <= 1.0001
+def plain_kneser_ney(text, order=4):
+    """log probability of a character after a context, by the formula over dictionaries; unseen contexts back off whole."""
+    padded = " " * (order - 2) + text
+    counts = {order: {}}
+    for i in range(len(padded) - order + 1):
+        g = padded[i : i + order]
+        counts[order][g] = counts[order].get(g, 0) + 1
+    for k in range(order - 1, 0, -1):
+        counts[k] = {}
+        for g in counts[k + 1]:
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+
+    def discount(k):
+        ones, twos = (sum(c == x for c in counts[k].values()) for x in (1, 2))
+        return min(max(ones / (ones + 2 * twos), 0.1), 0.9) if ones else 0.5
+
+    def prob(g):
+        k, d = len(g), discount(len(g))
+        same = {h: c for h, c in counts[k].items() if h[:-1] == g[:-1]}
+        total = sum(same.values())
+        if k == 1:
+            return (max(counts[1].get(g, 0) - d, 0) + d * len(same) / (len(same) + 1)) / total
+        if not total:
+            return prob(g[1:])
+        return (max(same.get(g, 0) - d, 0) + d * len(same) * prob(g[1:])) / total
+
+    return prob
+
+
+def test_kneser_ney_equals_the_formula():
+    rng = random.Random(9)
+    text = language_id.fold(" ".join("".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 7))) for _ in range(400)))
+    g, n = np.unique(language_id.codes(text), return_counts=True)
+    model, prob = language_id.kneser_ney({"x": (g, n)}), plain_kneser_ney(text)
+    probes = [text[i : i + 4] for i in range(0, len(text) - 4, 7)] + ["abcd", "éééé", " aé ", "ddd ", "zabc", "zzab", "zzza"]
+    codes = np.array([sum(ord(c) << 16 * (3 - k) for k, c in enumerate(p)) for p in probes], np.uint64)
+    assert np.allclose(np.exp(model.log_probs(codes)[:, 0]), [prob(p) for p in probes], rtol=1e-4)
+
+
+def test_no_language_loses_grams_to_another(spark):
+    """Every gram of the drawn documents is in the model, however many others there are."""
+    rng = random.Random(1)
+    big = [("".join(rng.choice("abcdefghij") for _ in range(200)), "big") for _ in range(40)]
+    small = [("χψω φχψ", "small")] * 3
+    model = language_id.train(spark.createDataFrame(big + small, "text string, lang string"))
+    want = np.unique(language_id.codes(language_id.fold(small[0][0])))
+    assert np.isin(want, model.grams[-1]).all() or not len(small)
+    docs = spark.createDataFrame([(1, "φχψ ωχψ", "x"), (1, "φχψ ωχψ", "y"), (2, "½ ②", "z"), (3, "Ⅷ 9", "z"), (4, "𐐀𐐁 𐐂", "z"), (5, "e\u0301", "z")], "doc_id long, text string, lang_pred string")
+    got = sorted((r["doc_id"], r["lang_pred"]) for r in language_id.identify(docs, model).collect())
+    assert got[:4] == [(1, "small"), (1, "small"), (2, "und"), (3, "und")] and got[4][1] != "und" and got[5][1] != "und"
+    assert language_id.identify(docs.limit(0), model).count() == 0
 
 
 def test_decontamination_finds_copies_and_paraphrases(spark):
