@@ -70,19 +70,22 @@ def text_copies(df: DataFrame, source: str, text: str, order: str, least: int =
     return keyed.withColumn("_k", F.row_number().over(spread)).where("_h is null or _k = 1").drop("_h", "_k")
 
 
-def merge_into_principal(df: DataFrame, blocks: list[str], key: str, order: list[str], rank: list[str], near: Callable[[dict, dict], bool]) -> DataFrame:
-    """(key, merged_into): in a block, rows in order meet the block's one principal; where they are near, the one that ranks
-    higher (the principal on a tie) is the principal from there on and takes the other in. Null where a row stays.
+def principal_merges(df: DataFrame, blocks: list[str], key: str, order: list[str], rank: list[str], near: Callable[[dict, dict], bool]) -> DataFrame:
+    """(blocks, loser, merged_into, was_head, nth): in a block, rows in order meet the block's one principal; where they are near,
+    the one that ranks higher (the principal on a tie) is the principal from there on and takes the other in.
 
     ``order`` breaks all ties; ``rank``: columns compared as numbers, nulls lowest; ``near``: test of two rows as dicts. Blocks
-    are streamed in sorted partitions and only the principal is held, so a block of any size fits.
+    are streamed in sorted partitions and only the principal is held, so a block of any size fits. nth rises within a block.
     """
-    columns = list(dict.fromkeys([*blocks, key, *order, *rank, *[c for c in df.columns if c in getattr(near, "columns", df.columns)]]))
+    columns = list(dict.fromkeys([*blocks, key, *rank, *[c for c in df.columns if c in near.columns]]))
+    schema = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in blocks], *[f"{n} {df.schema[key].dataType.simpleString()}" for n in ("loser", "merged_into")], "was_head boolean, nth long"])
+    kinds = [*[to_arrow_type(df.schema[c].dataType) for c in blocks], *[to_arrow_type(df.schema[key].dataType)] * 2, pa.bool_(), pa.int64()]
+    names = [*blocks, "loser", "merged_into", "was_head", "nth"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, head = None, None
+        block, head, nth = None, None, 0
         for b in batches:
-            lost, into = [], []
+            out = []
             for row in b.to_pylist():
                 own = tuple(row[c] for c in blocks)
                 if own != block:
@@ -90,16 +93,20 @@ def merge_into_principal(df: DataFrame, blocks: list[str], key: str, order: list
                 elif near(head, row):
                     higher = [float("-inf") if row[c] is None else row[c] for c in rank] > [float("-inf") if head[c] is None else head[c] for c in rank]
                     winner, loser = (row, head) if higher else (head, row)
-                    lost.append(loser[key])
-                    into.append(winner[key])
+                    nth += 1
+                    out.append((*own, loser[key], winner[key], higher, nth))
                     head = winner
-            yield pa.RecordBatch.from_arrays([pa.array(lost, kind_), pa.array(into, kind_)], names=["loser", "merged_into"])
+            cols = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+    known = df.where(" and ".join(f"`{c}` is not null" for c in blocks))
+    return known.repartition(*blocks).sortWithinPartitions(*blocks, *order).select(*columns).mapInArrow(run, schema)
 
-    kind = df.schema[key].dataType
-    kind_ = to_arrow_type(kind)
-    known = df.where(" and ".join(f"`{c}` is not null" for c in blocks)).select(*columns)
-    pairs = known.repartition(*blocks).sortWithinPartitions(*blocks, *order).mapInArrow(run, f"loser {kind.simpleString()}, merged_into {kind.simpleString()}")
-    return df.select(key).join(pairs.withColumnRenamed("loser", key), key, "left")
+
+def merge_into_principal(df: DataFrame, blocks: list[str], key: str, order: list[str], rank: list[str], near: Callable[[dict, dict], bool]) -> DataFrame:
+    """(key, merged_into): what each row was merged into by ``principal_merges``, null where it stays."""
+    merges = principal_merges(df, blocks, key, order, rank, near).select(F.col("loser").alias(key), "merged_into")
+    return df.select(key).join(merges, key, "left")
 
 
 def within(lat: str, lon: str, km: float, most: dict[str, float]) -> Callable[[dict, dict], bool]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.geo import haversine_km
-from ..operators import entities, market, scoring, state
+from ..operators import board, dedup, entities, market, scoring, state
 from ..sources import listings, tables
 
 #: Anchor of the map queries.
@@ -270,6 +270,20 @@ def twin_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.twins(c, ["c_nationkey", "c_mktsegment", "price"], "c_custkey").select("c_custkey", "twin_of", "n_twins")
 
 
+def five_pass_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as listings of a few hundred homes; ``into`` is the listing that stands for each."""
+    k = F.col("c_custkey")
+    known = lambda n, c: F.when(k % n != 0, c)
+    c = _identified(spark, sf_dir).join(_located(spark, sf_dir).select("c_custkey", "lat", "lon"), "c_custkey")
+    c = c.select(
+        k.cast("long").alias("ord"), F.when(F.col("key") != "", F.concat_ws("|", "fp", (k % 3).cast("string"))).alias("fp"), "key", "place", known(4, (k % 2 + 801).cast("string")).alias("unit"), F.concat(F.lit("s"), (k % 5).cast("string")).alias("source"), "title",
+        F.repeat(F.concat(F.lit("texto "), (k % 700).cast("string"), F.lit(" ")), 12).alias("text"), F.when(F.col("key") != "", F.col("address")).alias("address"), known(6, F.col("price") + 10_000).alias("price"), known(5, k % 9 * 10.0).alias("area"), "lat", "lon",
+        known(7, (k % 4).cast("int")).alias("beds"), known(8, (k % 3).cast("int")).alias("baths"), F.when(k % 10 == 0, F.concat(F.lit("C"), (k % 400).cast("string"))).alias("code"), (k % 11).cast("int").alias("score"), (k % 2 == 0).alias("direct"),
+    )
+    homes, members = dedup.deduplicate(c, ["area", "beds", "baths", "address"])
+    return members.join(homes.select(F.col("ord").alias("into"), "copies", "area", "beds"), "into")
+
+
 def broker_code_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _read(spark, sf_dir, "part").withColumns({"code": F.concat_ws("-", "p_brand", "p_type"), "beds": F.col("p_partkey") % 4})
     return entities.merge_into_principal(p, ["code"], "p_partkey", ["p_partkey"], ["p_retailprice"], entities.same_offer("p_size", "p_retailprice", {"beds": 1}))
@@ -422,6 +436,51 @@ def rate_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "supplier").select("s_suppkey", F.bround(value, 2).alias("value"), origin.alias("origin"))
 
 
+def requirement_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as listings; every field is unknown for some."""
+    k = F.col("p_partkey")
+    known = lambda n, c: F.when(k % n != 0, c)
+    host = F.when(k % 11 == 0, "m.portal.example").when(k % 13 == 0, "otherportal.example").otherwise("homes.example")
+    req = board.Requirements(("portal.example",), types=("brushed", "plated"), area=60, area_tolerance=5, strict_area=True, bedrooms=2, bedroom_tolerance=0, count_service_room=True, age=40, price=1500)
+    rules = board.requirement_rules(
+        req, F.concat(F.lit("https://"), host, F.lit("/a")), known(3, F.when(k % 17 == 0, "venta").otherwise("arriendo")), known(4, F.split_part(F.split_part("p_type", F.lit(" "), F.lit(2)), F.lit(" "), F.lit(1))),
+        known(5, F.col("p_size") * 5.0), known(7, k % 5), k % 2 == 0, known(6, k % 50), known(8, F.col("p_retailprice")),
+    )
+    why = scoring.first_violation(rules)
+    return _read(spark, sf_dir, "part").select("p_partkey", why.alias("violation"), board.in_market(why).alias("in_market"))
+
+
+def alert_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, score = F.col("p_partkey"), F.col("p_size")
+    year = F.when(k % 3 != 0, True)
+    asked = board.should_alert(F.when(k % 5 != 0, k % 7 == 0), score, F.when(k % 4 == 0, 100).otherwise(60), score + 15, year, without_year=False)
+    return _read(spark, sf_dir, "part").select("p_partkey", asked.alias("alert"), board.should_alert(k % 7 == 0, score, F.lit(100), score + 15, year).alias("plain"))
+
+
+def board_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _read(spark, sf_dir, "orders")
+    k, now = F.col("o_orderkey"), F.lit("1998-08-01 12:00:00").cast("timestamp")
+    seen = F.when(k % 4 != 0, F.col("o_orderdate").cast("timestamp"))
+    flags = board.board_flags(seen, k % 101 == 0, F.to_date("o_orderdate"), F.col("o_totalprice"), F.col("o_totalprice") * (1 + (k % 3 - 1) / 10), F.when(k % 8 == 0, "not a date").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")), now)
+    before = F.round("o_totalprice") * (1 + (k % 5 - 2) / 10)
+    said = board.returned_phrase(F.to_date("o_orderdate"), F.bround(before), F.round("o_totalprice"), F.lit("1992-06-01").cast("date"))
+    return o.select("o_orderkey", *[c.alias(n) for n, c in flags.items()], board.pesos(F.when(k % 9 != 0, F.col("o_totalprice"))).alias("pesos"), board.plain_number((k % 40) * 25.25, " m2").alias("area"), said.alias("returned"))
+
+
+def listing_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    said = F.element_at(F.array(F.concat(F.lit("Gran vista. Cód. 108."), k.cast("string"), F.lit(" ok")), F.concat(F.lit("codigo: mpb-"), k.cast("string"), F.lit("-a2")), F.concat(F.lit("COD #"), k.cast("string")), F.lit("sin nada"), F.concat(F.lit("codos "), k.cast("string"))), (k % 5 + 1).cast("int"))
+    return _read(spark, sf_dir, "customer").select("c_custkey", board.listing_code(said).alias("code"))
+
+
+def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "events")
+    source = F.concat_ws("-", "event_type", (F.col("user_id") % 9).cast("string")).alias("source")
+    day = F.lit("2024-01-15").cast("timestamp")
+    now = e.where((F.col("ts") >= day) & (F.col("ts") < day + F.expr("interval 2 hours"))).select(source)
+    return board.run_statistics(now, e.select(source), e.where(F.col("ts") < day).select(source), "source")
+
+
 def card_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.assemble(listings.extract(_read(spark, sf_dir, "pages")))
 
@@ -623,9 +682,30 @@ SELECT r_regionkey, CAST(n - 1 AS INTEGER) AS pos, CASE WHEN n = 1 THEN url WHEN
 WITH p AS (SELECT o_custkey, CAST(month(o_orderdate) AS INTEGER) AS page_no, count(*) FILTER (o_totalprice > 60000) AS n FROM orders GROUP BY ALL),
 s AS (SELECT o_custkey, min(page_no) FILTER (n = 0) AS stop FROM p GROUP BY o_custkey)
 SELECT o_custkey, page_no, n FROM p JOIN s USING (o_custkey) WHERE stop IS NULL OR page_no < stop""",
+    "requirement_violations": """
+WITH p AS (SELECT p_partkey AS k, CASE WHEN k % 11 = 0 THEN 'm.portal.example' WHEN k % 13 = 0 THEN 'otherportal.example' ELSE 'homes.example' END AS host, split_part(p_type, ' ', 2) AS kind, p_size * 5.0::DOUBLE AS area, p_retailprice AS price FROM part),
+v AS (SELECT k, CASE WHEN host = 'portal.example' OR ends_with(host, '.portal.example') THEN 'portal' WHEN k % 3 <> 0 AND k % 17 = 0 THEN 'operacion' WHEN k % 4 <> 0 AND kind <> '' AND lower(kind) NOT IN ('brushed', 'plated') THEN 'tipo'
+  WHEN k % 5 <> 0 AND area <= 55 THEN 'superficie' WHEN k % 7 <> 0 AND k % 5 + CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END < 2 THEN 'dormitorios' WHEN k % 6 <> 0 AND k % 50 > 40 THEN 'antiguedad' WHEN k % 8 <> 0 AND price > 1500 THEN 'precio' END AS violation FROM p)
+SELECT k AS p_partkey, violation, coalesce(violation NOT IN ('portal', 'operacion', 'tipo', 'zona'), true) AS in_market FROM v""",
+    "alert_predicate": """
+SELECT p_partkey, NOT (p_partkey % 5 <> 0 AND p_partkey % 7 = 0) AND p_partkey % 3 <> 0 AND (p_size >= 35 OR (p_partkey % 4 <> 0 AND p_size + 15 >= 35)) AS alert, p_partkey % 7 <> 0 AND p_size >= 35 AS plain FROM part""",
+    "board_columns": """
+WITH o AS (SELECT o_orderkey, o_orderkey AS k, o_totalprice AS p, CAST(o_orderdate AS TIMESTAMP) AS t, CAST(o_orderdate AS DATE) AS d, round(o_totalprice, 0) AS q, round_even(round(o_totalprice, 0) * (1 + (o_orderkey % 5 - 2) / 10.0::DOUBLE), 0) AS b FROM orders),
+f AS (SELECT *, CASE WHEN k % 4 <> 0 THEN epoch(TIMESTAMP '1998-08-01 12:00:00') - epoch(t) END AS s, (k % 40) * 25.25::DOUBLE AS a, DATE '1992-06-01' - d AS ago FROM o)
+SELECT o_orderkey, k % 101 = 0 OR coalesce(s <= 86400, false) AS is_new, k % 3 = 0 AND DATE '1998-08-01' - d <= 1 AS dropped,
+  CAST(CASE WHEN k % 4 <> 0 THEN greatest(0, floor(s / 86400)) WHEN k % 8 <> 0 THEN DATE '1998-08-01' - d END AS INTEGER) AS days,
+  CASE WHEN k % 9 = 0 THEN '—' ELSE '$' || replace(format('{:,}', CAST(round_even(p, 0) AS BIGINT)), ',', '.') END AS pesos,
+  replace(format('{:,}', CAST(floor(a) AS BIGINT)), ',', '.') || CASE CAST(round((a - floor(a)) * 100) AS INTEGER) WHEN 0 THEN '' WHEN 25 THEN ',25' WHEN 50 THEN ',5' ELSE ',75' END || ' m2' AS area,
+  CASE WHEN ago >= 30 THEN 'Ya estuvo publicado hace ' || ago // 30 || ' mes(es)' || CASE WHEN b <> q THEN ', a $' || replace(format('{:,}', CAST(b AS BIGINT)), ',', '.') || ' (' || CASE WHEN q >= b THEN '+' ELSE '' END || CAST(round_even(100 * (q - b) / b, 0) AS INTEGER) || '%)' ELSE '' END ELSE '' END AS returned FROM f""",
+    "listing_codes": """
+WITH c AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '108' || c_custkey WHEN 1 THEN 'MPB' || c_custkey || 'A2' WHEN 2 THEN CAST(c_custkey AS VARCHAR) END AS code, CASE c_custkey % 5 WHEN 0 THEN true WHEN 1 THEN c_custkey >= 100 WHEN 2 THEN c_custkey >= 1000 END AS ok FROM customer)
+SELECT c_custkey, CASE WHEN ok THEN code END AS code FROM c""",
+    "run_statistics": """
+WITH e AS (SELECT event_type || '-' || user_id % 9 AS source, ts FROM events), n AS (SELECT source, count(*) AS n FROM e WHERE ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-15 02:00:00' GROUP BY source)
+SELECT source, coalesce(n, 0) AS n, n IS NULL AS silent, n IS NULL AND source IN (SELECT source FROM e WHERE ts < TIMESTAMP '2024-01-15') AS went_silent FROM (SELECT DISTINCT source FROM e) LEFT JOIN n USING (source)""",
     "rate_lookup": """
 WITH r AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal * 10 END AS a, abs(s_acctbal) * 7 AS b FROM supplier)
 SELECT s_suppkey, round_even(CASE WHEN a BETWEEN 20000 AND 100000 THEN a WHEN b BETWEEN 20000 AND 100000 THEN b ELSE 40800 END, 2) AS value, CASE WHEN a BETWEEN 20000 AND 100000 THEN 'env' WHEN b BETWEEN 20000 AND 100000 THEN 'cache' ELSE 'constant' END AS origin FROM r""",
 }
 
-QUERIES = {name: globals()[name] for name in [*ORACLES, "card_extraction"]}
+QUERIES = {name: globals()[name] for name in [*ORACLES, "card_extraction", "five_pass_dedup"]}
