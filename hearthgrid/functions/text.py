@@ -150,12 +150,16 @@ def _first_int(c: Column, pattern: str, group: int = 1) -> Column:
 def _count_word(c: Column, noun: str) -> Column:
     digits = _first_int(c, rf"(?:^|[^0-9.,])([0-9]{{1,2}})\s*(?:{noun})")
     word = F.regexp_extract(c, rf"(?:^|[^a-z])({'|'.join(NUMBER_WORDS)})\s+(?:{noun})", 1)
-    return F.coalesce(digits, F.coalesce(*[F.when(word == w, n) for w, n in NUMBER_WORDS.items()]))
+    return F.coalesce(digits, F.try_element_at(F.create_map(*[F.lit(x) for pair in NUMBER_WORDS.items() for x in pair]), word))
 
 
 def programme(c: Column) -> dict[str, Column]:
     """bedrooms, baths, parking and storage of a description; a number beside the noun, a number word, or the compact 3D/2B."""
-    t = fold(c)
+    return programme_of(fold(c))
+
+
+def programme_of(t: Column) -> dict[str, Column]:
+    """``programme`` of a text that is folded already, best a column of its own."""
     short = r"(?:^|[^a-z0-9])([0-9]{1,2})\s*d\s*[/+y,-]?\s*([0-9]{1,2})\s*b(?![a-z0-9])"
     parking = F.coalesce(_count_word(t, "estacionamientos?"), F.when(t.rlike("estacionamiento"), 1))
     return {
@@ -194,24 +198,33 @@ def areas(c: Column) -> dict[str, Column]:
     A labelled area is what its label says; of two bare ones the larger is the total; a lone bare one is useful. The total is
     deduced from useful and terrace, and dropped if it is below the useful area.
     """
-    t = F.regexp_replace(fold(c), r"mt2|mts2|m²|metros cuadrados", "m2")
+    return areas_of(area_texts(fold(c)))
+
+
+def area_texts(folded: Column) -> dict[str, Column]:
+    """What stands where areas do, as text: useful, total and terrace by label, a plain one, and all bare ones."""
+    t = F.regexp_replace(folded, r"mt2|mts2|m²|metros cuadrados", "m2")
     num = r"([0-9]+(?:[.,][0-9]+)?)"
-    value = lambda p: locale_number(F.nullif(F.regexp_extract(t, p, 1), F.lit("")))
-    before = lambda label: F.coalesce(value(rf"{label}\s*:?\s*{num}\s*m2"), value(rf"superficie {label}\s*(?:m2)?\s*:?\s*{num}"))
-    after = lambda label: value(rf"{num}\s*m2\s*(?:de\s*)?{label}")
-    useful = F.coalesce(before("util(?:es)?"), after("util(?:es)?"))
-    total = F.coalesce(before("total(?:es)?"), after("total(?:es)?"))
-    terrace = F.coalesce(after("terraza"), before("terraza"))
-    bare = F.transform(F.regexp_extract_all(t, F.lit(rf"{num}\s*m2"), F.lit(1)), lambda x: locale_number(x))
-    labelled = useful.isNotNull() | total.isNotNull()
-    plain = _first_value(t, rf"superficie\s*(?:m2)?\s*:?\s*{num}")
-    useful = F.coalesce(useful, F.when(~labelled & (F.size(bare) >= 2), F.array_min(bare)), F.when(~labelled & (F.size(bare) == 1), F.get(bare, F.lit(0))), F.when(~labelled, plain))
-    total = F.coalesce(total, F.when(~labelled & (F.size(bare) >= 2), F.array_max(bare)), useful + terrace)
-    return {"total": F.when(F.coalesce(total >= useful, F.lit(True)), total), "useful": useful, "terrace": terrace}
+    found = lambda *ps: F.coalesce(*[F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in ps])
+    before = lambda label: (rf"{label}\s*:?\s*{num}\s*m2", rf"superficie {label}\s*(?:m2)?\s*:?\s*{num}")
+    after = lambda label: rf"{num}\s*m2\s*(?:de\s*)?{label}"
+    return {
+        "useful": found(*before("util(?:es)?"), after("util(?:es)?")),
+        "total": found(*before("total(?:es)?"), after("total(?:es)?")),
+        "terrace": found(after("terraza"), *before("terraza")),
+        "plain": found(rf"superficie\s*(?:m2)?\s*:?\s*{num}"),
+        "bare": F.regexp_extract_all(t, F.lit(rf"{num}\s*m2"), F.lit(1)),
+    }
 
 
-def _first_value(t: Column, pattern: str) -> Column:
-    return locale_number(F.nullif(F.regexp_extract(t, pattern, 1), F.lit("")))
+def areas_of(texts: dict[str, Column]) -> dict[str, Column]:
+    """``areas`` of what ``area_texts`` found, best columns of their own."""
+    useful, total, terrace, plain = (locale_number(texts[k]) for k in ("useful", "total", "terrace", "plain"))
+    bare = F.transform(texts["bare"], locale_number)
+    labelled, n = texts["useful"].isNotNull() | texts["total"].isNotNull(), F.size(texts["bare"])
+    useful = F.coalesce(useful, F.when(~labelled, F.coalesce(F.array_min(bare), plain)))
+    total = F.coalesce(total, F.when(~labelled & (n >= 2), F.array_max(bare)), useful + terrace)
+    return {"total": F.when(F.coalesce(total >= useful, F.lit(True)), total), "useful": useful, "terrace": terrace}
 
 
 def spoken_date(c: Column, as_of: Column) -> Column:

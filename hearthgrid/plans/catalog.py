@@ -481,8 +481,22 @@ def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return board.run_statistics(now, e.select(source), e.where(F.col("ts") < day).select(source), "source")
 
 
+def _listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as pages of the three kinds that listings come in, and a fourth without any."""
+    k = F.col("c_custkey")
+    beds, baths, area = (k % 5 + 1).cast("string"), (k % 3 + 1).cast("string"), k % 90 + 40
+    price = F.concat((k % 7 + 1).cast("string"), F.lit(".250.000"))
+    item = F.to_json(F.struct(F.lit("Apartment").alias("@type"), F.concat(F.lit("/ficha/"), k.cast("string")).alias("@id"), F.lit("Piso").alias("name"), F.struct((k % 90 + 40).alias("value")).alias("floorSize"), (k % 5 + 1).alias("numberOfBedrooms"), F.struct((k % 7 * 1000 + 250_000).cast("string").alias("price"), F.lit("CLP").alias("priceCurrency")).alias("offers")))
+    card = F.concat(F.lit("<article><a href='/ficha/"), k.cast("string"), F.lit("'>Piso alto</a> $ "), price, F.lit(" superficie total "), area.cast("string"), F.lit(" m², "), beds, F.lit(" dormitorios y "), baths, F.lit(" baños, con vista</article>"))
+    state = F.concat(F.lit('{"props":{"list":[{"url":"/ficha/'), k.cast("string"), F.lit('","title":"Con vista","precio":'), (k % 7 * 1000 + 250_000).cast("string"), F.lit(',"dormitorios":'), beds, F.lit(',"superficieTotal":'), area.cast("string"), F.lit("}]}}"))
+    html = F.when(k % 4 == 0, F.concat(F.lit('<script type="application/ld+json">'), item, F.lit("</script>"), card)).when(k % 4 == 1, F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">'), state, F.lit("</script>"))).when(k % 4 == 2, F.concat(F.lit("<body><nav><a href='/x/1'>$ 1</a></nav>"), card, F.lit("</body>"))).otherwise("<p>nada</p>")
+    return _read(spark, sf_dir, "customer").select(k.cast("long").alias("page_id"), F.lit("https://homes.example/lista").alias("url"), html.alias("html"))
+
+
 def card_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listings.assemble(listings.extract(_read(spark, sf_dir, "pages")))
+    """Listings of the driver's pages, which hold none, and of pages made of customers."""
+    pages = _read(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), "url", "html").unionByName(_listing_pages(spark, sf_dir))
+    return listings.assemble(listings.extract(pages)).select("page_id", "via", "url", "title", "price", "total", "bedrooms", "baths")
 
 
 _PARSED = r"""CASE WHEN regexp_full_match(r, '[0-9]{1,3}(,[0-9]{3}){2,}(\.[0-9]+)?') THEN CAST(replace(r, ',', '') AS DOUBLE)
@@ -703,9 +717,13 @@ SELECT c_custkey, CASE WHEN ok THEN code END AS code FROM c""",
     "run_statistics": """
 WITH e AS (SELECT event_type || '-' || user_id % 9 AS source, ts FROM events), n AS (SELECT source, count(*) AS n FROM e WHERE ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-15 02:00:00' GROUP BY source)
 SELECT source, coalesce(n, 0) AS n, n IS NULL AS silent, n IS NULL AND source IN (SELECT source FROM e WHERE ts < TIMESTAMP '2024-01-15') AS went_silent FROM (SELECT DISTINCT source FROM e) LEFT JOIN n USING (source)""",
+    "card_extraction": """
+SELECT CAST(c_custkey AS BIGINT) AS page_id, CASE c_custkey % 4 WHEN 0 THEN 'linked-data' WHEN 1 THEN 'embedded-state' ELSE 'card' END AS via, 'https://homes.example/ficha/' || c_custkey AS url,
+  CASE c_custkey % 4 WHEN 0 THEN 'Piso' WHEN 1 THEN 'Con vista' END AS title, CASE WHEN c_custkey % 4 <> 2 THEN CAST(c_custkey % 7 * 1000 + 250000 AS DOUBLE) END AS price, CAST(c_custkey % 90 + 40 AS DOUBLE) AS total,
+  CAST(c_custkey % 5 + 1 AS INTEGER) AS bedrooms, CASE WHEN c_custkey % 4 = 2 THEN CAST(c_custkey % 3 + 1 AS INTEGER) END AS baths FROM customer WHERE c_custkey % 4 <> 3""",
     "rate_lookup": """
 WITH r AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal * 10 END AS a, abs(s_acctbal) * 7 AS b FROM supplier)
 SELECT s_suppkey, round_even(CASE WHEN a BETWEEN 20000 AND 100000 THEN a WHEN b BETWEEN 20000 AND 100000 THEN b ELSE 40800 END, 2) AS value, CASE WHEN a BETWEEN 20000 AND 100000 THEN 'env' WHEN b BETWEEN 20000 AND 100000 THEN 'cache' ELSE 'constant' END AS origin FROM r""",
 }
 
-QUERIES = {name: globals()[name] for name in [*ORACLES, "card_extraction", "five_pass_dedup"]}
+QUERIES = {name: globals()[name] for name in [*ORACLES, "five_pass_dedup"]}
