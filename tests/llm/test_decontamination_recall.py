@@ -18,13 +18,10 @@ def model(texts, documents):
     seen = Counter(t for x in texts for t in set(items.terms(dc.word_hashes([x], dc._MARKS)[0]).tolist()))
     counts = np.array([seen[t] for t in range(len(items.vocab))]) * (documents / len(texts))
     items.idf = np.log((documents + 2) / np.append(counts + 0.5, 1.5)).astype(np.float32)
-    rows = np.zeros((len(items.item_of), len(items.vocab)), np.float32)
-    for row, i, s in zip(rows, items.item_of, items.offset, strict=True):
-        t = np.unique(items.words[i][s : s + dc.SPAN])
-        row[t] = items.idf[t] / np.linalg.norm(items.idf[t])
-    basis = np.linalg.svd(rows, full_matrices=False)[2][: dc.RANK].T
-    points = rows @ basis
-    items.basis, items.passages = dc._with_zero_row(basis), points / np.linalg.norm(points, axis=1, keepdims=True)
+    rows = np.zeros((len(items.unit_of), len(items.vocab)), np.float32)
+    for row, (t, w) in zip(rows, dc.passage_rows(items), strict=True):
+        row[t] = w
+    dc.place(items, np.linalg.svd(rows, full_matrices=False)[2][: dc.RANK].T)
     return items
 
 

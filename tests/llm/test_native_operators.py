@@ -125,4 +125,16 @@ def test_url_filter_of_odd_urls(spark):
     assert got[6] == ("example.org", "", None, "allow") and got[7][3] == "allow" and got[8][3] == "block"
     assert got[9][2:] == (None, "block") and got[10][2] == "org/" and got[11][2:] == (None, "block") and got[12][2] is None
     assert url_filters.filter_urls(df).count() == 2 * len(urls) and url_filters.filter_urls(df.limit(0)).count() == 0
-    assert all(re.search(r.regex, f"x.{'-'.join(r.tokens)}-a.example/") or re.search(r.regex, f"{'-'.join(r.tokens)}.example/") for r in url_filters.PATTERN_RULES)
+    assert all(re.search(r.regex, f"x.{'-'.join(r.tokens)}-a.example/" if r.name.startswith("host") else f"a.example/x/{'-'.join(r.tokens)}.html") for r in url_filters.PATTERN_RULES)
+    assert not [r.name for r in url_filters.PATTERN_RULES if re.search(r.regex, "www.pokerface-casinos.example/expert-essays/unadulterated")]
+
+
+def test_thousands_of_rules_and_one_hot_url(spark):
+    rules = url_filters.phrase_rules([f"w{i} common" for i in range(3000)], [f"p{i}" for i in range(500)])
+    urls = ["http://w7.common.example/x"] * 50 + ["http://common.example/p499/y", None, "http://common.example/w7", "http://w7-common-x.example/p3"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r["page_id"]: (r["verdict"], r["pattern_rule"]) for r in url_filters.filter_urls(df, domain_rules=(), pattern_rules=rules).collect()}
+    assert set(list(got.values())[:50]) <= {("block", "host w7 common"), ("allow", None), ("block", "path p499")} and got[0] == got[49] == ("block", "host w7 common")
+    assert got[50] == ("block", "path p499") and got[51] == got[52] == ("allow", None) and got[53] == ("block", "host w7 common")
+    index = {r["pattern_rule"]: r["token"] for r in url_filters.rule_index(spark.createDataFrame([("w7.common",), ("common",)], "target string"), rules).collect()}
+    assert len(index) == 3500 and index["host w7 common"] == "w7" and index["host w8 common"] == "w8"

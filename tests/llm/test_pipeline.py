@@ -1,9 +1,9 @@
-"""The pipeline against a plain version of its stages."""
+"""The pipeline against a plain version of its stages; near copies are five-word shingle sets at a similarity of 0.8 or more."""
 
 import corpus_pipeline
 from hearthgrid.llm import decontamination, packing, registry
 from tests.conftest import SF
-from tests.llm.test_free_operators import brute_components, brute_fingerprint
+from tests.llm.test_jaccard import brute_roots
 from tests.llm.test_native_operators import brute_base
 
 
@@ -11,7 +11,7 @@ def test_pipeline_equals_plain_version(spark):
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     good = {r["doc_id"] for r in registry.QUERIES["op3_quality_rules"](spark, SF).where("kept").collect()}
     ids = sorted(good)
-    roots = brute_components(ids, [brute_fingerprint(docs[i]["text"]) for i in ids])
+    roots = brute_roots([(i, docs[i]["text"]) for i in ids])
     first = {i for i in ids if roots[i] == i}
     bad = {r["doc_id"] for r in decontamination.op4_benchmark_decontamination(spark, SF).collect()}
     want = first - bad
