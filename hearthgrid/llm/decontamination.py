@@ -1,14 +1,16 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items are cut into passages of ``SPAN`` words; a word's weight is its inverse document frequency over all
-documents. A randomised SVD of the passages' TF-IDF matrix (subspace iteration whose products are Spark jobs over the
-passages) gives a latent space; windows of every document are projected into it and compared with the passages by cosine.
-Every window with a word of the benchmark is compared. For each candidate, the longest common subsequence of the item and the
-document's words around the window decides: ``SURE`` of the item is a copy; from ``LIKELY`` on, a paraphrase, if the item's
-answer (its ``answer`` column, else its last words) is found there too.
-
-The benchmark is a query set: it's taken in blocks of at most ``BLOCK`` items, which bounds the model that is broadcast,
-and every document meets every block. Documents are handled where they're scanned and never shuffled.
+Benchmark items are cut into passages of ``SPAN`` words; a word's weight is its frequency there times its inverse document
+frequency over all documents. A randomised SVD of the passages' TF-IDF matrix (subspace iteration whose products are Spark
+jobs over the passages) gives a latent space; windows of every document are projected into it and compared with all
+passages by cosine. For each candidate, the longest common subsequence of the item and the document's words around the
+window decides: ``SURE`` of the item is a copy; from ``LIKELY`` on, a paraphrase, if the item's answer (its ``answer``
+column, else its last words) is found there too. Each candidate is judged by itself, and one is enough.
+
+The benchmark is a query set that every document meets. Its size is looked at first: up to ``PART_BYTES`` of text it's one
+model, with one vocabulary, one space and two passes over the documents; a larger one is cut into such parts by a hash of
+the items. Parts change which windows are candidates only near the least cosine. Documents are handled where they're
+scanned and never shuffled.
 
 Defined results: null or wordless text has no match, null or wordless items match nothing; items shorter than ``LEAST``
 words match only as a whole run of words; a null doc_id's matches are returned under the null id; repeated rows are all
@@ -26,49 +28,83 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_set, table, word_hashes
+from .common import byte_set, discard, materialize, table, word_hashes
 
 SPAN, STRIDE = 24, 6
 RANK, POWER_STEPS, SEED = 256, 2, 20
-BLOCK = 2_000
+#: Most words of an item that are judged as one.
+UNIT = 80
+#: Bytes of benchmark text (about 25,000 items) that share one model. That bounds what the driver holds and what is
+#: broadcast: the words' points (rank numbers for each different word) and the passages' (for each 12 words).
+PART_BYTES = 4 << 20
 #: Least cosine of a candidate window in the latent space.
 COSINE = 0.5
 SURE, LIKELY, ANSWER = 0.7, 0.5, 0.8
 #: Items below this number of words have too little text for a cosine.
 LEAST = 8
-BATCH_BYTES = 4 << 20
-
-_ODD_MARKS = re.compile("[\u0080-¿ -⁯　-〿]+")
+BATCH_BYTES = 2 << 20
+#: Candidates that are compared word by word together.
+HELD = 50_000
+
+_SLOT_BITS = 20
+_SLOT_SHIFT = np.uint64(64 - _SLOT_BITS)
+#: UTF-8 of the marks and spaces from U+0080 to U+00BF, U+2000 to U+206F and U+3000 to U+303F.
+_ODD_MARKS = re.compile(rb"(?:\xC2[\x80-\xBF]|\xE2\x80[\x80-\xBF]|\xE2\x81[\x80-\xAF]|\xE3\x80[\x80-\xBF])+")
 _WORD_BYTES = b"abcdefghijklmnopqrstuvwxyz0123456789" + bytes(range(0x80, 0x100))
 _MARKS = ~byte_set(_WORD_BYTES)
 _RESULT = "doc_id long, item_id long, cosine double, lcs_ratio double, answer_found boolean, contaminated boolean"
 
 
 def normalise(text: str | None) -> bytes:
-    low = (text or "").lower()
-    return (low if low.isascii() else _ODD_MARKS.sub(" ", low)).encode()
+    low = (text or "").lower().encode()
+    return _ODD_MARKS.sub(b" ", low) if b"\xc2" in low or b"\xe2" in low or b"\xe3" in low else low
 
 
 @dataclass
 class Items:
-    """A block of benchmark items in terms of their own vocabulary, and the latent space of their passages."""
+    """Benchmark items in terms of their own vocabulary, cut into units that are judged by themselves, and the latent space
+    of the units' passages. ``ids``, ``words`` and ``answers`` have a row for each unit."""
 
     ids: list[int] = field(default_factory=list)
     words: list[np.ndarray] = field(default_factory=list)
     answers: list[np.ndarray] = field(default_factory=list)
-    bags: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-    holds: np.ndarray | None = None
+    lengths: np.ndarray | None = None
+    #: Sorted unit * (vocabulary + 1) + term, and how often the unit has the term.
+    bag_keys: np.ndarray | None = None
+    bag_counts: np.ndarray | None = None
     vocab: np.ndarray | None = None
+    first_of: np.ndarray | None = None
+    many: np.ndarray | None = None
+    maybe: np.ndarray | None = None
     idf: np.ndarray | None = None
-    item_of: np.ndarray | None = None
+    unit_of: np.ndarray | None = None
     offset: np.ndarray | None = None
-    basis: np.ndarray | None = None
+    #: Weight of each word times its row of the basis; zeros for words outside.
+    weighted: np.ndarray | None = None
     passages: np.ndarray | None = None
 
+    def index(self) -> Items:
+        """Adds tables that answer most look-ups at once: of words by their first bits, and a filter of the bags' keys."""
+        slot = (self.vocab >> _SLOT_SHIFT).astype(np.int64)
+        self.first_of = np.full(1 << _SLOT_BITS, len(self.vocab), np.int32)
+        self.first_of[slot[::-1]] = np.arange(len(self.vocab) - 1, -1, -1, dtype=np.int32)
+        self.many = np.bincount(slot, minlength=1 << _SLOT_BITS) > 1
+        self.maybe = np.zeros(1 << _SLOT_BITS, bool)
+        self.maybe[_key_slot(self.bag_keys)] = True
+        return self
+
     def terms(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each word in the vocabulary, or its size for words outside."""
-        at = np.minimum(np.searchsorted(self.vocab, hashes), len(self.vocab) - 1)
-        return np.where(self.vocab[at] == hashes, at, len(self.vocab)).astype(np.int32)
+        n, slot = len(self.vocab), hashes >> _SLOT_SHIFT
+        at = self.first_of[slot]
+        if len(odd := np.flatnonzero(self.many[slot])):
+            at[odd] = np.minimum(np.searchsorted(self.vocab, hashes[odd]), n - 1)
+        at[np.append(self.vocab, np.uint64(0))[at] != hashes] = n
+        return at
+
+
+def _key_slot(keys: np.ndarray) -> np.ndarray:
+    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> _SLOT_SHIFT
 
 
 def spans(n: int, size: int, step: int) -> list[int]:
@@ -80,23 +116,25 @@ def spans(n: int, size: int, step: int) -> list[int]:
 
 
 def read_items(rows: list) -> Items:
+    """Items longer than UNIT words are judged by overlapping units of that many, so a long verbatim part counts."""
     out = Items()
     kept = []
     for r in rows:
         h, _ = word_hashes([normalise(r["text"])], _MARKS)
         if r["item_id"] is not None and len(h):
             a, _ = word_hashes([normalise(r["answer"])], _MARKS) if r["answer"] else (h[-max(3, len(h) // 5) :], None)
-            kept.append((r["item_id"], h, a))
+            kept += [(r["item_id"], h[k : k + UNIT], a) for k in spans(len(h), UNIT, UNIT // 2)]
     out.ids = [k[0] for k in kept]
     if not kept:
         return out
     out.vocab = np.unique(np.concatenate([np.concatenate(k[1:]) for k in kept]))
-    out.words = [out.terms(k[1]) for k in kept]
-    out.answers = [out.terms(k[2]) for k in kept]
-    out.bags = [np.unique(w, return_counts=True) for w in out.words]
+    out.words, out.answers = ([np.searchsorted(out.vocab, k[j]).astype(np.int32) for k in kept] for j in (1, 2))
+    out.lengths = np.array([len(w) for w in out.words])
+    keys = np.repeat(np.arange(len(kept)), out.lengths) * (len(out.vocab) + 1) + np.concatenate(out.words)
+    out.bag_keys, out.bag_counts = np.unique(keys, return_counts=True)
     places = [(i, s) for i, w in enumerate(out.words) for s in spans(len(w), SPAN, SPAN // 2)]
-    out.item_of, out.offset = (np.array(x, np.int32) for x in zip(*places, strict=True))
-    return out
+    out.unit_of, out.offset = (np.array(x, np.int64) for x in zip(*places, strict=True))
+    return out.index()
 
 
 def _term_counts(model):
@@ -108,8 +146,13 @@ def _term_counts(model):
             total = np.zeros(len(items.vocab) + 1, np.int64)
             for _, texts in _grouped(b):
                 hashes, counts = word_hashes(texts, _MARKS)
-                pairs = items.terms(hashes).astype(np.int64) * len(texts) + np.repeat(np.arange(len(texts)), counts)
-                total += np.bincount(np.unique(pairs) // len(texts), minlength=len(total))
+                terms, edge = items.terms(hashes), np.cumsum(np.append(0, counts))
+                some = max(1, (1 << 24) // len(total))
+                for i in range(0, len(texts), some):
+                    j = min(i + some, len(texts))
+                    held = np.zeros((j - i, len(total)), bool)
+                    held[np.repeat(np.arange(j - i), counts[i:j]), terms[edge[i] : edge[j]]] = True
+                    total += held.sum(axis=0)
             at = np.flatnonzero(total[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], b.num_rows))], names=["term", "n"])
 
@@ -163,23 +206,31 @@ def randomised_svd(matrix: DataFrame, terms: int, rank: int = RANK, steps: int =
     return basis.astype(np.float32)
 
 
-def build(spark: SparkSession, items: Items) -> Items:
-    """Adds the latent space to a block of items."""
-    rows = []
-    for i, s in zip(items.item_of.tolist(), items.offset.tolist(), strict=True):
-        t = np.unique(items.words[i][s : s + SPAN])
-        w = items.idf[t]
-        rows.append((t.tolist(), (w / np.linalg.norm(w)).astype(float).tolist()))
-    matrix = spark.createDataFrame(rows, "terms array<int>, weights array<double>").repartition(max(1, len(rows) // 2_000))
-    items.basis = _with_zero_row(randomised_svd(matrix, len(items.vocab)))
-    points = np.array([np.array(w, np.float32) @ items.basis[t] for t, w in rows])
+def passage_rows(items: Items) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(terms, weights) of each passage; weights are of length one."""
+    for i, s in zip(items.unit_of.tolist(), items.offset.tolist(), strict=True):
+        t, n = np.unique(items.words[i][s : s + SPAN], return_counts=True)
+        w = items.idf[t] * n
+        yield t, w / np.linalg.norm(w)
+
+
+def place(items: Items, basis: np.ndarray) -> Items:
+    """Adds the latent space given by the right singular vectors."""
+    points = np.array([w.astype(np.float32) @ basis[t] for t, w in passage_rows(items)])
     items.passages = points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-9)
+    # rows that lie together in memory are several times faster to gather
+    items.weighted = np.ascontiguousarray(np.vstack([items.idf[:-1, None] * basis, np.zeros((1, basis.shape[1]))]), np.float32)
     return items
 
 
-def _with_zero_row(basis: np.ndarray) -> np.ndarray:
-    """A row of zeros at the end, for words outside the vocabulary."""
-    return np.vstack([basis, np.zeros((1, basis.shape[1]), basis.dtype)])
+def build(spark: SparkSession, items: Items) -> Items:
+    """Adds the latent space; the passages' matrix is dealt over partitions for the products of the SVD."""
+    rows = [(t.tolist(), w.astype(float).tolist()) for t, w in passage_rows(items)]
+    parts = max(1, len(rows) // 2_000)
+    matrix = materialize(spark.createDataFrame(rows, "terms array<int>, weights array<double>").repartition(parts), "passages")
+    basis = randomised_svd(matrix, len(items.vocab))
+    discard(matrix)
+    return place(items, basis)
 
 
 def lcs(a: np.ndarray, b: np.ndarray, outside: int) -> int:
@@ -196,79 +247,108 @@ def lcs(a: np.ndarray, b: np.ndarray, outside: int) -> int:
     return len(a) - v.bit_count()
 
 
-def most_shared(items: Items, terms: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """For each (text, item, start, end): the words between start and end that the item holds."""
-    if items.holds is None:
-        items.holds = np.zeros((len(items.words), len(items.vocab) + 1), bool)
-        for i, w in enumerate(items.words):
-            items.holds[i, w] = True
+def shared(items: Items, terms: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """For each (text, unit, start, end): the words that the unit and the area share, each as often as in both.
+
+    No common subsequence is longer, so this tells which areas can't reach LIKELY.
+    """
     out = np.zeros(len(places), np.int64)
-    for at in range(0, len(places), 4096):
-        _, item, a, b = places[at : at + 4096].T
+    v = len(items.vocab) + 1
+    for at in range(0, len(places), 2048):
+        _, unit, a, b = places[at : at + 2048].T
         size = b - a
         begin = np.cumsum(size) - size
-        index = np.arange(size.sum()) + np.repeat(a - begin, size)
-        out[at : at + 4096] = np.add.reduceat(items.holds[np.repeat(item, size), terms[index]], begin, dtype=np.int64)
+        owner = np.repeat(np.arange(len(size)), size)
+        key = unit[owner] * v + terms[np.arange(len(owner)) + (a - begin)[owner]]
+        # the filter passes too many words at worst; repeats and the keys themselves matter only where they are enough
+        hit = items.maybe[_key_slot(key)]
+        enough = np.bincount(owner[hit], minlength=len(size)) >= LIKELY * items.lengths[unit]
+        hit = np.flatnonzero(hit & enough[owner])
+        owner, key = owner[hit], key[hit]
+        held = np.minimum(np.searchsorted(items.bag_keys, key), len(items.bag_keys) - 1)
+        own = items.bag_keys[held] == key
+        pair, often = np.unique(owner[own] * len(items.bag_keys) + held[own], return_counts=True)
+        most = np.minimum(often, items.bag_counts[pair % len(items.bag_keys)])
+        out[at : at + 2048] = np.bincount(pair // len(items.bag_keys), most, len(size)).astype(np.int64)
     return out
 
 
-def shared(items: Items, i: int, area: np.ndarray) -> int:
-    """Words that item i and the area share, each as often as in both; no common subsequence is longer."""
-    words, often = items.bags[i]
-    at = np.searchsorted(words, area)
-    at[at == len(words)] = 0
-    return int(np.minimum(np.bincount(at[words[at] == area], minlength=len(words)), often).sum())
+def _window_points(items: Items, terms: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, start in it, latent point) of windows of SPAN words, every STRIDE words; a text's last one may be shorter.
+
+    A window is the sum of the points of SPAN // STRIDE neighbouring blocks, so each word is projected once.
+    """
+    each, out = SPAN // STRIDE, len(items.vocab)
+    blocks = np.where(counts > 0, np.maximum(-(-counts // STRIDE), each), 0)
+    owner, first = np.repeat(np.arange(len(counts)), blocks), np.cumsum(blocks) - blocks
+    nth = np.arange(len(owner)) - first[owner]
+    padded = np.full(len(owner) * STRIDE, out, np.int32)
+    start = np.cumsum(counts) - counts
+    text = np.repeat(np.arange(len(counts)), counts)
+    padded[first[text] * STRIDE + np.arange(len(terms)) - start[text]] = terms
+    padded = padded.reshape(-1, STRIDE)
+    step = 512
+    for at in range(0, len(owner), step):
+        part = padded[at : at + step + each - 1]
+        sums = items.weighted[part[:, 0]]
+        for j in range(1, STRIDE):
+            sums += items.weighted[part[:, j]]
+        n = len(part) - each + 1
+        whole = np.flatnonzero(owner[at : at + n] == owner[at + each - 1 : at + each - 1 + n])
+        points = sums[:n] + sums[1 : 1 + n]
+        for j in range(2, each):
+            points += sums[j : j + n]
+        if len(whole) < n:
+            points = points[whole]
+        yield owner[at + whole], nth[at + whole] * STRIDE, points
+
+
+def _judge(items: Items, terms: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]], best: dict[tuple[int, int], tuple[bool, float, float, bool]]) -> None:
+    """Compare the held candidates (places as of ``shared``, cosines) word by word and put the best into ``best``."""
+    if not held:
+        return
+    places, cosine = (np.concatenate(x) for x in zip(*held, strict=True))
+    can = np.flatnonzero(shared(items, terms, places) >= LIKELY * items.lengths[places[:, 1]])
+    places, one = np.unique(places[can], axis=0, return_index=True)
+    for (d, u, a, b), c in zip(places.tolist(), cosine[can[one]].tolist(), strict=True):
+        own, area, out = items.words[u], terms[a:b], len(items.vocab)
+        if (ratio := lcs(own, area, out) / len(own)) < LIKELY:
+            continue
+        answer = items.answers[u]
+        found = lcs(answer, area, out) >= ANSWER * len(answer)
+        got = (ratio >= SURE or found, ratio, c, found)
+        key = (d, items.ids[u])
+        if key not in best or got > best[key]:
+            best[key] = got
 
 
 def matches(items: Items, texts: list[bytes]) -> Iterator[tuple[int, int, float, float, bool, bool]]:
-    """(text number, item number, cosine, lcs ratio, answer found, contaminated), the best of each text and item that reaches LIKELY."""
+    """(text number, item id, cosine, lcs ratio, answer found, contaminated) of each text and item that reaches LIKELY.
+
+    Every candidate is judged by itself; an item contaminates a text if one of them does, and the best of those is told.
+    """
     hashes, counts = word_hashes(texts, _MARKS)
-    terms, out = items.terms(hashes), len(items.vocab)
+    terms = items.terms(hashes)
     first = np.cumsum(np.append(0, counts))
-    size = np.minimum(counts, SPAN)
-    # windows of all texts: every STRIDE words from a text's start, and one at its end
-    number = np.where(counts > 0, np.maximum(0, -(-(counts - SPAN) // STRIDE)) + 1, 0)
-    text = np.repeat(np.arange(len(texts)), number)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)
-    start = first[text] + np.minimum(nth * STRIDE, np.maximum(counts - SPAN, 0)[text])
-    end = start + size[text]
-    known = np.cumsum(np.append(0, terms < out))
-    keep = np.flatnonzero(known[end] > known[start])  # without a word of the benchmark the cosine is zero
-    best: dict[tuple[int, int], tuple[float, float, bool, bool]] = {}
-    lengths = np.array([len(w) for w in items.words])
-    padded = np.append(terms, np.full(SPAN, out, np.int32))
-    for at in range(0, len(keep), 2048):
-        k = keep[at : at + 2048]
-        inside = np.arange(SPAN)[None, :] < size[text[k]][:, None]
-        t = np.where(inside, padded[start[k][:, None] + np.arange(SPAN)], out)
-        t.sort(axis=1)
-        again = np.append(np.zeros((len(k), 1), bool), t[:, 1:] == t[:, :-1], axis=1)
-        w = np.where(again | (t == out), 0, items.idf[t])
-        points = np.zeros((len(k), items.basis.shape[1]), np.float32)
-        for j in range(SPAN):  # words of the vocabulary are sorted first
-            r = np.flatnonzero(w[:, j])
-            points[r] += w[r, j : j + 1] * items.basis[t[r, j]]
-        cosine = points @ items.passages.T / np.maximum(np.linalg.norm(points, axis=1), 1e-9)[:, None]
-        row, p = np.nonzero(cosine >= COSINE)
-        item, doc = items.item_of[p], text[k[row]]
-        near, n = start[k[row]] - items.offset[p], lengths[item]
-        slack = SPAN // 2 + n // 4
-        places = np.stack([doc, item, np.maximum(first[doc], near - slack), np.minimum(first[doc + 1], near + n + slack)], axis=1)
-        places, one = np.unique(places[n >= LEAST], axis=0, return_index=True)
-        value = cosine[row, p][n >= LEAST][one]
-        can = np.flatnonzero(most_shared(items, terms, places) >= LIKELY * lengths[places[:, 1]])  # others can't reach LIKELY
-        for (d, i, a, b), c in zip(places[can].tolist(), value[can].tolist(), strict=True):
-            own, area = items.words[i], terms[a:b]
-            if shared(items, i, area) < LIKELY * len(own):
-                continue
-            ratio = lcs(own, area, out) / len(own)
-            if ratio < LIKELY or ((d, i) in best and best[d, i][1] >= ratio):
-                continue
-            answer = items.answers[i]
-            found = lcs(answer, area, out) >= ANSWER * len(answer)
-            best[d, i] = (c, ratio, found, ratio >= SURE or found)
-    for (d, i), got in best.items():
-        yield d, i, *got
+    best: dict[tuple[int, int], tuple[bool, float, float, bool]] = {}
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for text, start, points in _window_points(items, terms, counts):
+        norms = np.maximum(np.sqrt(np.einsum("ij,ij->i", points, points)), 1e-9)
+        dots = points @ items.passages.T
+        at = np.flatnonzero(dots >= (COSINE * norms)[:, None])
+        row, p = at // dots.shape[1], at % dots.shape[1]
+        unit, doc = items.unit_of[p], text[row]
+        n = items.lengths[unit]
+        near, slack = first[doc] + start[row] - items.offset[p], SPAN // 2 + n // 4
+        places = np.stack([doc, unit, np.maximum(first[doc], near - slack), np.minimum(first[doc + 1], near + n + slack)], axis=1)
+        keep = (n >= LEAST) & (places[:, 3] > places[:, 2])
+        held.append((places[keep], (dots[row, p] / norms[row])[keep]))
+        if sum(len(c) for _, c in held) >= HELD:
+            _judge(items, terms, held, best)
+            held = []
+    _judge(items, terms, held, best)
+    for (d, i), (bad, ratio, cosine, found) in best.items():
+        yield d, i, cosine, ratio, found, bad
     yield from _short_matches(items, terms, first, counts)
 
 
@@ -283,7 +363,7 @@ def _short_matches(items: Items, terms: np.ndarray, first: np.ndarray, counts: n
         for j, x in enumerate(own):
             same = same & (terms[j : j + n] == x)
         for d in np.unique(owner[:n][same]).tolist():
-            yield d, i, 1.0, 1.0, True, True
+            yield d, items.ids[i], 1.0, 1.0, True, True
 
 
 def _grouped(b: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
@@ -305,7 +385,7 @@ def _search(model):
         for b in batches:
             docs, rows = b.column("doc_id").to_pylist(), []
             for first, texts in _grouped(b):
-                rows += [(docs[first + d], items.ids[i], *rest) for d, i, *rest in matches(items, texts)]
+                rows += [(docs[first + d], *rest) for d, *rest in matches(items, texts)]
             cols = list(zip(*rows, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "cosine", "lcs_ratio", "answer_found", "contaminated"])
@@ -313,21 +393,22 @@ def _search(model):
     return run
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_ratio, answer_found) of each document and item judged a copy or paraphrase."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     queries = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", answer.alias("answer")).distinct()
-    blocks = max(1, -(-2 * queries.count() // block))  # half full on average, so a block never exceeds the bound by chance
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
+    size = queries.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("answer"), F.lit(0)))).first()[0] or 0
+    parts = max(1, -(-size // part_bytes))
+    queries = queries.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
     out = spark.createDataFrame([], _RESULT)
-    for k in range(blocks):
-        items = read_items(queries.where(F.col("block") == k).orderBy("item_id", "text").collect())
+    for k in range(parts):
+        items = read_items(queries.where(F.col("part") == k).orderBy("item_id", "text").collect())
         if items.ids:
             model = spark.sparkContext.broadcast(build(spark, weigh(items, rows)))
             found = rows.mapInArrow(_search(model), _RESULT)
-            out = found if blocks == 1 else out.unionByName(found)
+            out = found if parts == 1 else out.unionByName(found)
     return out.where("contaminated").drop("contaminated")
 
 
