@@ -1,5 +1,10 @@
 """URL filter: domain rules first, then pattern rules found through their rarest literal token.
 
+A pattern rule is a phrase that stands in the host or in the path, made into a regular expression with the words that every
+match holds. Each rule is indexed under the one of its words that the fewest urls contain; a url's own words fetch rules from
+the index, and only those rules' expressions run on it. Each url is judged under a number of its own, so urls that many pages
+share and pages without one make no large group.
+
 Defined results: a null url or one without ``://`` has an empty host and path and is allowed; repeated rows are judged
 alike and all returned; an empty table gives an empty result; only the named columns are read, so others may clash.
 """
@@ -11,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, materialize, table
 
 #: (host, path prefix, verdict). A rule holds for its host and every subdomain; the longest that fits decides.
 DOMAIN_RULES = (
@@ -32,15 +37,35 @@ class PatternRule:
     tokens: tuple[str, ...]
 
 
-#: Pattern rules over host followed by path, lower case; a match blocks.
-PATTERN_RULES = (
-    PatternRule("casino", r"(^|[.-])casino-[a-z0-9]+\.", ("casino",)),
-    PatternRule("bets", r"(^|[.-])free-bets\.", ("free", "bets")),
-    PatternRule("pills", r"(^|[.-])cheap-pills\.", ("cheap", "pills")),
-    PatternRule("spam", r"(^|[.-])spam-farm\.", ("spam", "farm")),
-    PatternRule("adult", r"(^|[.-])adult-[a-z0-9]+\.", ("adult",)),
-    PatternRule("tracker", r"(^|[.-])ads-track\.", ("ads", "track")),
-)
+#: Phrases that block a url in whose host, or path, their words follow each other.
+HOST_PHRASES = (
+    "adult", "porn", "xxx", "sex cams", "live sex", "escort girls", "hot singles", "nude pics",
+    "casino", "online casino", "poker", "roulette", "free slots", "slot machines", "free bets", "sports betting", "bet bonus", "jackpot",
+    "cheap pills", "buy viagra", "buy cialis", "online pharmacy", "diet pills", "weight loss pills",
+    "spam farm", "link farm", "buy links", "cheap backlinks", "seo spam", "doorway pages",
+    "ads track", "ad server", "ad tracker", "click tracker", "pop ads", "banner ads", "tracking pixel",
+    "free warez", "warez", "keygen", "serial keys", "cracked software", "free torrents", "movie torrents",
+    "payday loans", "fast cash", "get rich quick", "crypto doubler", "free crypto", "essay mill", "buy essays", "fake id",
+)
+PATH_PHRASES = (
+    "buy viagra", "buy cialis", "cheap pills", "casino bonus", "free slots", "online casino", "poker bonus", "free bets", "porn", "xxx", "live sex", "nude pics",
+    "keygen", "serial key", "crack download", "warez", "payday loan", "get rich quick", "buy links", "buy followers", "fake id", "click tracker",
+)
+
+
+def phrase_rules(host_phrases=HOST_PHRASES, path_phrases=PATH_PHRASES) -> tuple[PatternRule, ...]:
+    """A rule for each phrase, over host followed by path in lower case. The words stand whole, with marks between them."""
+    out = []
+    for phrase in host_phrases:
+        words = phrase.split()
+        out.append(PatternRule(f"host {phrase}", rf"^([^/]*[.-])?{'[.-]'.join(words)}[.-]", tuple(words)))
+    for phrase in path_phrases:
+        words = phrase.split()
+        out.append(PatternRule(f"path {phrase}", rf"/(.*[^a-z0-9])?{'[^a-z0-9]+'.join(words)}([^a-z0-9]|$)", tuple(words)))
+    return tuple(out)
+
+
+PATTERN_RULES = phrase_rules()
 
 #: Rule tables up to this many rules are broadcast (a few MB at most); larger ones are joined by a shuffle.
 BROADCAST_RULES = 20_000
@@ -67,37 +92,26 @@ def url_tokens(c: Column) -> Column:
     return F.array_distinct(F.split(c, r"[^a-z0-9]+"))
 
 
-def rule_index(urls: DataFrame, rules=PATTERN_RULES) -> dict[str, list[PatternRule]]:
-    """Each rule under the one of its tokens that the fewest urls contain (first by name on a tie).
-
-    Only the rules' own tokens are counted, so what reaches the driver is bounded by the rule table.
-    """
-    wanted = sorted({t for r in rules for t in r.tokens})
-    if not wanted:
-        return {}
-    found = F.explode(F.array_intersect(url_tokens(F.col("target")), F.array(*map(F.lit, wanted))))
-    counts = {r["token"]: r["count"] for r in urls.select(found.alias("token")).groupBy("token").count().collect()}
-    index: dict[str, list[PatternRule]] = {}
-    for r in rules:
-        index.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(r)
-    return index
+def rule_index(urls: DataFrame, rules=PATTERN_RULES) -> DataFrame:
+    """(token, pattern_rule, regex): each rule under the one of its tokens that the fewest urls contain (first by name on a tie)."""
+    spark = urls.sparkSession
+    held = spark.createDataFrame([(r.name, r.regex, t) for r in rules for t in r.tokens], "pattern_rule string, regex string, token string")
+    few = F.broadcast(held.select("token").distinct()) if len(rules) <= BROADCAST_RULES else held.select("token").distinct()
+    counts = urls.select(F.explode(url_tokens(F.col("target"))).alias("token")).join(few, "token").groupBy("token").count()
+    rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token"))["token"]
+    return held.join(counts, "token", "left").groupBy("pattern_rule", "regex").agg(rarest.alias("token"))
 
 
 def pattern_matches(urls: DataFrame, rules=PATTERN_RULES) -> DataFrame:
-    """(target, pattern_rule) of every distinct target that a rule's expression matches; the first rule by name.
+    """(nr, pattern_rule): for each ``nr`` of the rows (nr, target) the first rule by name that matches the target, else null.
 
-    A url's tokens fetch the rules indexed under them, and only those rules' expressions are run on it.
+    A row's tokens are only in its own partition before they're grouped, so each row is one row of the shuffle.
     """
-    spark = urls.sparkSession
-    index = rule_index(urls, rules)
-    entries = [(token, r.name, r.regex) for token, rs in index.items() for r in rs]
-    held = spark.createDataFrame(entries, "token string, pattern_rule string, regex string")
-    if len(entries) <= BROADCAST_RULES:
+    held = rule_index(urls, rules)
+    if len(rules) <= BROADCAST_RULES:  # the table's size is known, as it has a row for each rule
         held = F.broadcast(held)
-    keys = F.array(*map(F.lit, index)) if index else F.array().cast("array<string>")
-    tokens = urls.select("target", F.explode(F.array_intersect(url_tokens(F.col("target")), keys)).alias("token"))
-    hits = tokens.join(held, "token").where(F.expr("target rlike regex"))
-    return hits.groupBy("target").agg(F.min("pattern_rule").alias("pattern_rule"))
+    hits = urls.select("nr", "target", F.explode(url_tokens(F.col("target"))).alias("token")).join(held, "token")
+    return hits.where(F.expr("target rlike regex")).groupBy("nr").agg(F.min("pattern_rule").alias("pattern_rule"))
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", domain_rules=DOMAIN_RULES, pattern_rules=PATTERN_RULES) -> DataFrame:
@@ -105,12 +119,12 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     name, verdict = domain_verdict(F.col("host"), F.col("path"), domain_rules)
-    rows = rows.select("*", ascii_lower(F.concat("host", "path")).alias("target"), name.alias("rule"), verdict.alias("domain_verdict"))
-    open_urls = rows.where(F.col("domain_verdict").isNull()).select("target")
-    hits = pattern_matches(open_urls, pattern_rules)
-    joined = rows.join(hits, "target", "left")
+    # numbered once, in a written table, so a task that is run again can't number otherwise
+    rows = materialize(rows.select("*", name.alias("rule"), verdict.alias("domain_verdict"), F.monotonically_increasing_id().alias("nr")), "urls")
+    open_urls = rows.where(F.col("domain_verdict").isNull() & (F.col("host") != "")).select("nr", ascii_lower(F.concat("host", "path")).alias("target"))
+    joined = rows.join(pattern_matches(open_urls, pattern_rules), "nr", "left")
     decided = F.coalesce("domain_verdict", F.when(F.col("pattern_rule").isNotNull(), "block").otherwise("allow"))
-    return joined.select("page_id", "host", "path", "rule", decided.alias("verdict"), F.when(F.col("domain_verdict").isNull(), F.col("pattern_rule")).alias("pattern_rule"))
+    return joined.select("page_id", "host", "path", "rule", decided.alias("verdict"), "pattern_rule")
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,8 +148,7 @@ WITH split AS (
 )
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-    WHEN regexp_matches(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-      '(^|[.-])(casino-[a-z0-9]+|free-bets|cheap-pills|spam-farm|adult-[a-z0-9]+|ads-track)\.') THEN 'block'
+    WHEN host <> '' AND regexp_matches(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{patterns}') THEN 'block'
     ELSE 'allow' END AS verdict
 FROM ruled
-"""
+""".replace("{patterns}", "|".join(f"(?:{r.regex})" for r in PATTERN_RULES))
