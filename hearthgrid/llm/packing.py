@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import materialize, table, word_spans
 
 CAPACITY, END = 4096, 1
-#: Words, and runs, whose ids a worker keeps (about 100 MB each).
-CACHE = 400_000
+#: Words, and runs, whose ids a worker keeps (about 30 MB each).
+CACHE = 120_000
 #: Characters that are tokenised together.
 GROUP_CHARS = 2 << 20
 #: Mean number of pieces in a cell in which pieces are ranked.

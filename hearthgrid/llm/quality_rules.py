@@ -25,9 +25,9 @@ from .common import WORD_CLASS, discard, materialize, scratch, table, words_of
 
 #: Least number of words, and the most percent of them that may stand in repeated 3-word windows.
 MIN_WORDS, MAX_REPEAT_PCT = 50, 50
-#: Rows on which costs and selectivities are estimated (they decide the order of rules only). They're the first rows that
-#: a limit finds, so only a few partitions are read.
-SAMPLE_ROWS = 400
+#: Rows on which costs and selectivities are estimated (they decide the order of rules only), and bytes of their texts at
+#: most (one text at least). They're the first rows, so only a few partitions are read, and they go through the driver.
+SAMPLE_ROWS, SAMPLE_BYTES = 400, 8 << 20
 #: Timed runs of each rule, and the least seconds that are told apart.
 RUNS, TICK = 3, 0.004
 
@@ -94,8 +94,12 @@ def default_rules() -> list[Rule]:
 
 def order_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules by falling rejections per cost, both measured on at most ``sample_rows`` rows."""
-    texts = docs.select(F.col(f"`{text_col}`").alias("text")).limit(sample_rows)
-    held = materialize(texts.select("text", words_of(F.col("text")).alias("words")), "rule-sample")
+    texts, total, n = docs.select(F.col(f"`{text_col}`").alias("text")), 0, 0
+    for r in texts.select(F.coalesce(F.octet_length("text"), F.lit(0))).take(sample_rows):
+        total += r[0]
+        n += not n or total <= SAMPLE_BYTES
+    first = docs.sparkSession.createDataFrame(texts.take(n), "text string").coalesce(1)
+    held = materialize(first.select("text", words_of(F.col("text")).alias("words")), "rule-sample")
     f = Features(F.col("text"), "words")
 
     def run(test: Column) -> tuple[int, int, float]:
