@@ -1,12 +1,18 @@
 """Near copies at an exact Jaccard similarity of five-word shingle sets.
 
-Two sets of similarity 0.8 or more share a shingle among the first fifth (and one) of either, in whatever order all sets
-are sorted. So documents meet at the shingles of their prefixes, no pair is missed, and the candidates left by the bounds
-on size and place are decided on the whole sets. Equal sets are one node. Shingles that a sample of documents finds common
-come last in the order, which keeps them out of most prefixes; the sample decides the order only, never the result.
+SimHash alone can't decide a similarity of 0.8: such texts are about ten of 64 bits apart. So fingerprints of five-word
+shingles, compared as bit planes, give the first candidates, and the shingles themselves the rest: two sets of similarity
+0.8 or more share a shingle among the first fifth (and one) of either, in whatever order all shingles are sorted, and up to
+the first one that both have there is little enough that only one has. Documents meet at the shingles of these prefixes.
 
-Shingles and sets are compared by 64-bit hashes. Texts aren't shuffled, only prefixes and the sets of candidates. A family
-of n different near copies costs n * n comparisons.
+In each bucket of a shingle the member with the least before it, the one nearest to all others, is the centre, and every
+other member meets the centre only; candidates are compared on whole sets, and what is similar gets one class. Then
+members of a bucket that are still of different classes meet each other, in cells of bounded size. So no pair that could
+join two classes is left out, and a family of near copies doesn't become all its pairs. Equal sets are one node.
+
+Shingles that a sample of documents finds common come last in the order, commonest at the end; that keeps them out of most
+prefixes. The sample decides the order only, never the result. Shingles and sets are compared by 64-bit hashes. Texts
+aren't shuffled, only prefixes and the sets of candidates.
 
 Defined results: a text below five words is one shingle; null or blank texts have the empty set and are equal; a null
 doc_id gets the component of its set's smallest known id (null if there is none); repeated rows are all returned.
@@ -19,22 +25,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, materialize, mix64, word_hashes
-from .simhash import components
+from .common import LOWER, UPPER, discard, materialize, mix64, word_hashes
+from .simhash import components, links, majority
 
 SHINGLE = 5
 #: Least similarity as a fraction.
 NUM, DEN = 4, 5
 #: One document of SAMPLE is looked at for common shingles: those in HOT of them at least, HOT_MOST at most.
-SAMPLE, HOT, HOT_MOST = 64, 8, 100_000
+SAMPLE, HOT, HOT_MOST = 16, 2, 400_000
 #: Slots of the filter that the sets of candidates pass.
 SLOTS = 1 << 22
-BATCH_BYTES = 4 << 20
+#: Mean number of members of a bucket that meet in one cell.
+CELL = 1_000
+BATCH_BYTES = 2 << 20
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _B = 0x9E3779B97F4A7C15
+_NODE = "doc_id long, digest long, fp long, size long, prefix array<long>"
 
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -47,17 +56,18 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
         value = np.zeros(n - k + 1 if n else 0, np.uint64)
         for j in range(k if n else 0):
             value = value * np.uint64(_B) + words[j : j + len(value)]
-        yield np.unique(mix64(value + np.uint64(k)))
+        value = np.sort(mix64(value + np.uint64(k)))
+        yield value[np.append(True, value[1:] != value[:-1])] if len(value) else value
 
 
-def _grouped(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, set) of each row; texts are hashed together up to BATCH_BYTES."""
+def _grouped(b: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, sets) of consecutive rows with texts of about BATCH_BYTES together."""
     first, group, size = 0, [], 0
     for k, t in enumerate(b.column("text")):
         group.append(t.as_py())
         size += len(group[-1] or "")
         if size > BATCH_BYTES or k + 1 == b.num_rows:
-            yield from enumerate(shingle_sets(group), first)
+            yield first, list(shingle_sets(group))
             first, group, size = k + 1, [], 0
 
 
@@ -65,71 +75,75 @@ def digest(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).view(np.int64))
 
 
-def prefix(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The first shingles in the order of all sets, as many as a similar set must share one of."""
+def prefix(shingles: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles in the order of all sets, as many as a similar set must share one of; ``hot`` ones last, by rank."""
     n = len(shingles)
     k = n - -(-NUM * n // DEN) + 1 if n else 0
     if len(hot):
-        late = np.isin(shingles, hot)
-        shingles = np.concatenate([shingles[~late], shingles[late]])
+        at = np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)
+        late = hot[at] == shingles
+        shingles = np.concatenate([shingles[~late], shingles[late][np.argsort(rank[at[late]])]])
     return shingles[:k]
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        got = pa.array([digest(s) for _, s in _grouped(b)], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), got], names=["doc_id", "digest"])
-
-
 def _all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [s for _, s in _grouped(b)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["h"])
+        for _, found in _grouped(b):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["h"])
 
 
-def _index(hot):
+def _nodes(hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(p, digest(s), len(s)) for _, s in _grouped(b) if len(p := prefix(s, hot.value))]
-            if rows:
-                n = [len(p) for p, _, _ in rows]
-                h = np.concatenate([p for p, _, _ in rows]).view(np.int64)
-                cols = [h, np.repeat([d for _, d, _ in rows], n), np.repeat([k for _, _, k in rows], n), np.concatenate([np.arange(k) for k in n])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "digest", "size", "pos"])
+            for first, sets in _grouped(b):
+                d, fp, n, p = zip(*[(digest(s), majority(s), len(s), prefix(s, *hot.value).view(np.int64)) for s in sets], strict=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, p)]), pa.int32()), pa.array(np.concatenate(p)))
+                ids = b.column("doc_id").slice(first, len(sets))
+                cols = [ids, pa.array(d, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), lists]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "fp", "size", "prefix"])
 
     return run
 
 
-def _pairs_of(r: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Digests, sizes and places of pairs that meet among whole buckets of rows (h, digest, size, pos) sorted by h, size, digest."""
-    again = (r[1:, :2] == r[:-1, :2]).all(axis=1)
-    r = r[np.append(True, ~again)]
-    h, d, size, pos = r.T
-    n, rows, step = len(r), np.arange(len(r)), 1
-    while True:
-        rows = rows[rows + step < n]
-        other = rows + step
-        rows = rows[(h[rows] == h[other]) & (DEN * size[rows] >= NUM * size[other])]
-        if not len(rows):
-            return
-        other = rows + step
-        swap = d[rows] > d[other]
-        low, high = np.where(swap, other, rows), np.where(swap, rows, other)
-        yield d[low], d[high], size[low], size[high], pos[low], pos[high]
-        step += 1
+def _can(nu, nv, iu, iv):
+    """Whether sets of nu and nv shingles whose first common one is at iu and iv can be similar (numbers or columns)."""
+    least = NUM * (nu + nv)
+    return (least <= (NUM + DEN) * (nu - iu)) & (least <= (NUM + DEN) * (nv - iv))
+
 
+def _pair(a: str, b: str, can: Column) -> list[Column]:
+    return [F.when(can, F.least(a, b)).alias("u"), F.when(can, F.greatest(a, b)).alias("v")]
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept = np.zeros((0, 4), np.int64)
+
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (h, cell) to pairs (u, v) of a cell that are of different classes and can be similar.
+
+    ``cell`` is x * cells + y for the blocks x <= y that meet in it; a row's ``side`` is 0 in block x, 1 in block y.
+    """
+    names = ("h", "cell", "side", "digest", "size", "pos", "label")
+    kept = np.zeros((0, len(names)), np.int64)
 
     def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(rows):
-            for cols in _pairs_of(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["u", "v", "nu", "nv", "iu", "iv"])
+        n, step = len(rows), 1
+        key, side, d, size, pos, label = rows[:, :2], *rows[:, 2:].T
+        at = np.arange(n)
+        while len(at := at[at + step < n]):
+            o = at + step
+            same = (key[at] == key[o]).all(axis=1)
+            at, o = at[same], o[same]
+            inner = (side[at] == 2) | (side[at] != side[o])
+            ok = inner & (label[at] != label[o]) & _can(size[at], size[o], pos[at], pos[o])
+            a, b = d[at[ok]], d[o[ok]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
+            step += 1
 
     for b in batches:
-        rows = np.concatenate([kept, np.stack([b.column(c).to_numpy() for c in ("h", "digest", "size", "pos")], axis=1)])
-        cut = int(np.searchsorted(rows[:, 0], rows[-1, 0])) if len(rows) else 0
+        rows = np.concatenate([kept, np.stack([b.column(c).to_numpy() for c in names], axis=1)])
+        if not len(rows):
+            continue
+        other = (rows[:, :2] != rows[-1, :2]).any(axis=1)
+        cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
         kept, rows = rows[cut:], rows[:cut]
         yield from found(rows)
     yield from found(kept)
@@ -138,51 +152,124 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets_in(slots):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(d, s.tobytes()) for _, s in _grouped(b) if slots.value[(d := digest(s)) % SLOTS]]
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], names=["digest", "shingles"])
+            for _, sets in _grouped(b):
+                rows = {d: s.tobytes() for s in sets if slots.value[(d := digest(s)) % SLOTS]}
+                yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], names=["digest", "shingles"])
 
     return run
 
 
+def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose prefixes leave room for a similar rest.
+
+    The prefix that ends first in the order has all its common shingles in both prefixes, so only its tail can add to them.
+    """
+    for b in batches:
+        keep = []
+        for x, y, nu, nv in zip(b.column("a"), b.column("b"), b.column("nu").to_pylist(), b.column("nv").to_pylist(), strict=True):
+            x, y = x.values.to_numpy(), y.values.to_numpy()
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append((NUM + DEN) * (both + max(nu - len(x), nv - len(y))) >= NUM * (nu + nv))
+        yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
-        for a, c in zip(b.column("a"), b.column("b"), strict=True):
-            a, c = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, c))
-            both = len(np.intersect1d(a, c, assume_unique=True))
-            keep.append(DEN * both >= NUM * (len(a) + len(c) - both))
+        for x, y in zip(b.column("a"), b.column("b"), strict=True):
+            x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+            both = 0
+            if len(x) and len(y):
+                both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+            keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def similar_sets(rows: DataFrame) -> DataFrame:
-    """(u, v): digests of all pairs of different sets of ``rows`` (doc_id, text) that are similar."""
+def _joined(pairs: DataFrame, held: DataFrame, **names: str) -> DataFrame:
+    """``pairs`` with columns of ``held`` for either end; names: column of ``held`` to its two names."""
+    for end, k in (("v", 1), ("u", 0)):
+        pairs = pairs.join(held.select(F.col("digest").alias(end), *[F.col(c).alias(n.split()[k]) for c, n in names.items()]), end)
+    return pairs
+
+
+def verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
+    """Those of ``pairs`` (u, v: digests) whose sets, made again from the texts of ``rows``, are similar; a written table."""
     spark = rows.sparkSession
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text")
-    common = sample.mapInArrow(_all, "h long").groupBy("h").count().where(F.col("count") >= HOT).orderBy(F.desc("count"), "h").limit(HOT_MOST).toArrow()
-    hot = spark.sparkContext.broadcast(np.sort(common.column("h").to_numpy().view(np.uint64)))
-    index = rows.select("text").mapInArrow(_index(hot), "h long, digest long, size long, pos long")
-    pairs = index.repartition("h").sortWithinPartitions("h", "size", "digest").mapInArrow(_candidates, "u long, v long, nu long, nv long, iu long, iv long")
-    # up to the last shared shingle of both prefixes all shared ones are counted; behind it at most the shorter rest is shared
-    met = pairs.groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("n"), F.max("iu").alias("iu"), F.max("iv").alias("iv"))
-    most = F.col("n") + F.least(F.expr("nu - iu - 1"), F.expr("nv - iv - 1"))
-    pairs = materialize(met.where(most * (NUM + DEN) >= (F.col("nu") + F.col("nv")) * NUM).select("u", "v"), "jaccard-candidates")
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("digest"))
+    pairs = materialize(_joined(pairs, nodes, prefix="a b", size="nu nv").select("u", "v", "a", "b", "nu", "nv").mapInArrow(_bound, "u long, v long"), f"{label}-pairs")
     taken = np.zeros(SLOTS, bool)
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("digest"))
     taken[ends.select(F.pmod("digest", F.lit(SLOTS)).alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True
-    sets = rows.select("text").mapInArrow(_sets_in(spark.sparkContext.broadcast(taken)), "digest long, shingles binary").dropDuplicates(["digest"])
-    sets = materialize(sets, "jaccard-sets")
-    a, b = (sets.select(F.col("digest").alias(k), F.col("shingles").alias(x)) for k, x in (("u", "a"), ("v", "b")))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_similar, "u long, v long")
+    if not taken.any():
+        return pairs
+    slots = spark.sparkContext.broadcast(taken)
+    sets = rows.select("text").mapInArrow(_sets_in(slots), "digest long, shingles binary").groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    sets = materialize(sets, f"{label}-sets")
+    out = materialize(_joined(pairs, sets, shingles="a b").select("u", "v", "a", "b").mapInArrow(_similar, "u long, v long"), f"{label}-similar")
+    discard(pairs, sets)
+    return out
+
+
+def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, rank by rising count) of the shingles that a sample finds common, HOT_MOST at most."""
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text")
+    common = sample.mapInArrow(_all, "h long").groupBy("h").count().where(F.col("count") >= HOT).orderBy(F.desc("count"), "h").limit(HOT_MOST).toArrow()
+    hot, count = common.column("h").to_numpy().view(np.uint64), common.column("count").to_numpy()
+    rank = np.empty(len(hot), np.int64)
+    rank[np.lexsort((hot, count))] = np.arange(len(hot))
+    order = np.argsort(hot)
+    return hot[order], rank[order]
+
+
+def similar_sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, root): the components of all similar sets of ``nodes``, in digests; roots themselves aren't named."""
+    index = nodes.select("digest", "size", F.posexplode("prefix").alias("pos", "h"))
+    shared = index.groupBy("h").count().where("count > 1").select("h")
+    buckets = materialize(index.join(shared, "h").select("h", "digest", "size", F.col("pos").cast("long").alias("pos")), "jaccard-buckets")
+    centre = buckets.groupBy("h").agg(F.min(F.struct("pos", "size", "digest")).alias("c"))
+    starred = materialize(buckets.join(centre, "h"), "jaccard-starred")
+    discard(buckets)
+    can = _can(F.col("size"), F.col("c.size"), F.col("pos"), F.col("c.pos"))
+    spokes = starred.where("digest <> c.digest").where(can).select(*_pair("digest", "c.digest", F.lit(True)))
+    # the bit planes' links are of nodes with a known id; all nodes get their digest as the number here
+    planes = links(nodes.select("fp", F.col("digest").alias("node")).groupBy("fp").agg(F.min("node").alias("node")))
+    met = spokes.unionByName(planes.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()
+    edges = verified(rows, nodes, met, "jaccard-centre")
+    roots = components(edges, "jaccard-first")
+    # members of a bucket that are of different classes still, but its centre, which has met all of them
+    label = F.coalesce("root", "digest").alias("label")
+    classed = starred.where("digest <> c.digest").join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("h", "digest", "size", "pos", label)
+    classed = materialize(classed, "jaccard-classed")
+    mixed = classed.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high")
+    cells = F.ceil(F.col("n") / CELL)
+    block = F.pmod(F.xxhash64("digest"), cells)
+    dealt = classed.join(mixed, "h").select("h", "digest", "size", "pos", "label", cells.alias("k"), block.alias("b"))
+    dealt = dealt.withColumn("o", F.explode(F.expr("sequence(0L, k - 1)")))
+    side = F.when(F.col("o") == F.col("b"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1).cast("long")
+    dealt = dealt.select("h", (F.least("b", "o") * F.col("k") + F.greatest("b", "o")).alias("cell"), side.alias("side"), "digest", "size", "pos", "label")
+    rest = dealt.repartition("h", "cell").sortWithinPartitions("h", "cell").mapInArrow(_cross, "u long, v long").distinct()
+    more = verified(rows, nodes, rest, "jaccard-rest")
+    if not more.isEmpty():
+        done, roots = [edges, more, roots], components(edges.unionByName(more), "jaccard-edges")
+        discard(*done)
+    discard(starred, classed)
+    return roots
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of each row."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = materialize(rows.mapInArrow(_digests, "doc_id long, digest long"), "jaccard")
-    nodes = materialize(found.groupBy("digest").agg(F.min("doc_id").alias("node")), "jaccard-nodes")
-    known = nodes.where("node is not null")
-    u, v = (known.select(F.col("digest").alias(k), F.col("node").alias(f"n{k}")) for k in ("u", "v"))
-    edges = similar_sets(rows).join(u, "u").join(v, "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"))
-    roots = components(edges, "jaccard-edges")
-    named = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
-    return found.join(named, "digest").select("doc_id", "component_id")
+    hot = spark.sparkContext.broadcast(common_shingles(rows))
+    whole = materialize(rows.mapInArrow(_nodes(hot), _NODE), "jaccard")
+    firsts = [F.first(c).alias(c) for c in ("fp", "size", "prefix")]
+    nodes = materialize(whole.groupBy("digest").agg(F.min("doc_id").alias("node"), *firsts), "jaccard-nodes")
+    found = materialize(whole.select("doc_id", "digest"), "jaccard-digests")
+    discard(whole)
+    roots = similar_sets(rows, nodes.where("node is not null"))
+    named = nodes.select("digest", "node").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
+    named = named.select("digest", "node", F.coalesce("root", "digest").alias("root"))
+    least = named.groupBy("root").agg(F.min("node").alias("component_id"))
+    out = found.select("doc_id", "digest").join(named.join(least, "root").select("digest", "component_id"), "digest").select("doc_id", "component_id")
+    out = materialize(out, "jaccard-classes")
+    discard(found, nodes, roots)
+    return out
