@@ -1,13 +1,14 @@
 """Substring dedup: word windows that also start in a document with a smaller id are removed.
 
-Windows are found level by level. At the first length (half the window, rounded up) only the smallest hash of each window's
-shorter windows stands for it, so equal windows pick equal stand-ins and about a quarter of all places are looked at.
-Only windows whose stand-in occurs in two documents are extended to the full length, and only the extended windows that
-occur in a smaller document remove words. Windows are compared by 64-bit hashes at both lengths.
+Windows are found level by level. Hashes of 2, 4 and 8 words are made of two hashes of half the length, those of a whole
+window of the two longest ones that cover it. At the first level, and again at twice its length until that would pass the
+window, the smallest of the hashes inside a window stands for it, so equal windows pick equal stand-ins and few places are
+looked at. Only windows whose stand-in occurs in two documents go on to twice the length; where none survive, nothing more
+is hashed. What is left is compared at the window's own length by 96 bits, made of two independent hashes of each word.
 
-Documents are dealt into groups of a bounded number of documents by a hash. A group reports each hash once, with the smallest
-document that has it and whether others of the group do, so a passage in a third of all documents is one row for each
-group, not one for each document. Texts are shuffled once; the three passes over the groups share that exchange.
+Documents are dealt by a hash into groups of a bounded mean number and size. A group reports each hash once, with the
+smallest document that has it and whether others of the group do, so a passage in a third of all documents is one row for
+each group, not one for each document. Texts are shuffled once; the passes over the groups share that exchange.
 
 Defined results: null or blank text has no words; texts of fewer words than a window keep all; a null doc_id is no source
 and loses nothing; rows that share a doc_id count as one document; an empty table gives an empty result; only the id and
@@ -23,38 +24,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, powers, table, word_hashes
+from .common import mix64, table, word_hashes
 
 WINDOW = 13
-#: Mean number of documents in a group.
-GROUP_DOCS = 1_000
-
-_Q = 0xD6E8FEB86659FD93
-#: ``gm``: twice the group's number, plus one if more than one document of the group has the hash.
-_SHORT, _FULL = "gm long, h long", "gm long, h long, lo long"
+#: Words of the first level's windows.
+FIRST = 4
+#: Mean number of documents of a group, and mean bytes of their texts, at most.
+GROUP_DOCS, GROUP_BYTES = 1_000, 4 << 20
+
+_Q = np.uint64(0xD6E8FEB86659FD93)
+#: Base of the second hash of words.
+_SECOND = 0xC2B2AE3D27D4EB4F
+#: ``gm``: twice the group's number, plus one if more than one document of the group has the hash; ``gk``: gm and, in the
+#: lower 32 bits, the second hash.
+_SHORT, _FULL = "gm long, h long", "gk long, h long, lo long"
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
+def levels(window: int) -> list[int]:
+    """Lengths at which candidates are looked for before the window's own: each twice the one before."""
+    out = [min(FIRST, window)]
+    while out[-1] * 2 < window:
+        out.append(out[-1] * 2)
+    return out
+
+
+def extended(half: np.ndarray, size: int, to: int) -> np.ndarray:
+    """Hashes of ``to`` words from hashes of ``size`` words (half of ``to`` at least), which may overlap."""
+    step = to - size
+    n = max(0, len(half) - step)
+    return mix64(half[:n] * _Q + half[step : step + n] + np.uint64(to))
+
+
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the words from each place; the last size - 1 places have none."""
-    n = max(0, len(words) - size + 1)
-    out = np.zeros(n, np.uint64)
-    for w, p in enumerate(powers(_Q, size)):
-        out += words[w : w + n] * p
-    return mix64(out)
-
-
-def windows(texts: list[bytes], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, text number, stand-in, full hash) of every window inside a text, and the texts' numbers of words."""
-    words, counts = word_hashes(texts)
-    short = (size + 1) // 2
-    full, half = window_hashes(words, size), window_hashes(words, short)
-    low = half[: len(full)].copy()
-    for k in range(1, size - short + 1):
-        np.minimum(low, half[k : k + len(full)], out=low)
-    owner = np.repeat(np.arange(len(texts)), counts)[: len(words)]
-    place = np.flatnonzero(owner[: len(full)] == owner[size - 1 :]) if len(full) else np.zeros(0, int)
-    return place, owner[place], low[place].view(np.int64), full[place].view(np.int64), counts
+    """Hash of the ``size`` words from each place; the last size - 1 places have none."""
+    out, have = words, 1
+    while have < size:
+        to = min(2 * have, size)
+        out, have = extended(out, have, to), to
+    return out
+
+
+class Windows:
+    """Every window inside a text: its place, its text, and hashes on demand."""
+
+    def __init__(self, texts: list[bytes], size: int, second: bool = False):
+        self.size, (self.words, self.counts) = size, word_hashes(texts)
+        self.other = word_hashes(texts, base=_SECOND)[0] if second else None
+        owner = np.repeat(np.arange(len(texts)), self.counts)
+        n = max(0, len(owner) - size + 1)
+        self.place = np.flatnonzero(owner[:n] == owner[size - 1 :]) if n else np.zeros(0, int)
+        self.owner = owner[self.place]
+
+    def stand_ins(self, length: int) -> np.ndarray:
+        """Smallest hash of ``length`` words in each window."""
+        h = window_hashes(self.words, length)
+        n = max(0, len(self.words) - self.size + 1)
+        low = h[:n].copy()
+        for k in range(1, self.size - length + 1):
+            np.minimum(low, h[k : k + n], out=low)
+        return low[self.place].view(np.int64)
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        """The two hashes of each window."""
+        h, k = (window_hashes(w, self.size)[self.place] for w in (self.words, self.other))
+        return h.view(np.int64), (k >> np.uint64(32)).view(np.int64)
 
 
 def _texts(t: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -63,38 +97,55 @@ def _texts(t: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return [(x or "").encode() for x in t.column("text").to_pylist()], ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy()
 
 
-def _once(group: int, hashes: np.ndarray, ids: np.ndarray) -> pa.Table:
-    """Each hash of a group once, with the smallest id."""
-    order = np.lexsort((ids, hashes))
-    h, d = hashes[order], ids[order]
-    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, int)
-    last = np.append(first[1:], len(h)) - 1 if len(h) else first
-    return pa.table({"gm": 2 * group + (d[last] != d[first]), "h": h[first], "lo": d[first]}, pa.schema([("gm", pa.int64()), ("h", pa.int64()), ("lo", pa.int64())]))
+def _once(group: int, ids: np.ndarray, *keys: np.ndarray) -> pa.Table:
+    """Each hash (with one key) or window (with two) of a group once; of windows the smallest id as well."""
+    order = np.lexsort((ids, *keys[::-1]))
+    ids, keys = ids[order], [k[order] for k in keys]
+    new = np.zeros(max(len(ids) - 1, 0), bool)
+    for k in keys:
+        new |= k[1:] != k[:-1]
+    first = np.flatnonzero(np.append(True, new)) if len(ids) else np.zeros(0, int)
+    last = np.append(first[1:], len(ids)) - 1 if len(ids) else first
+    gm = 2 * group + (ids[last] != ids[first]).astype(np.int64)
+    cols = {"gm": gm, "h": keys[0][first]} if len(keys) == 1 else {"gk": (gm << 32) | keys[1][first], "h": keys[0][first], "lo": ids[first]}
+    return pa.table({n: pa.array(c, pa.int64()) for n, c in cols.items()})
 
 
 def _group(*tables: pa.Table) -> int:
-    return next(t.column("g")[0].as_py() for t in tables if len(t))
+    return next((t.column("g")[0].as_py() for t in tables if len(t)), 0)
+
 
+def _reported(w: Windows, on: np.ndarray, length: int, group: int, ids: np.ndarray, known: np.ndarray) -> pa.Table:
+    """The stand-ins of ``length`` words of the windows ``on``."""
+    low = w.stand_ins(length)
+    on = on & known[w.owner]
+    on[1:] &= (low[1:] != low[:-1]) | (w.owner[1:] != w.owner[:-1]) | ~on[:-1]  # neighbours mostly share theirs
+    return _once(group, ids[w.owner[on]], low[on])
 
-def _stand_ins(size: int):
+
+def _first(size: int, length: int):
     def run(docs: pa.Table) -> pa.Table:
         texts, ids, known = _texts(docs)
-        _, owner, low, _, _ = windows(texts, size)
-        new = np.append(True, (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])) if len(low) else np.zeros(0, bool)
-        new &= known[owner]
-        return _once(_group(docs), low[new], ids[owner[new]]).select(["gm", "h"])
+        w = Windows(texts, size)
+        return _reported(w, np.ones(len(w.place), bool), length, _group(docs), ids, known)
 
     return run
 
 
-def _extended(size: int):
+def _further(size: int, length: int, to: int):
+    """From candidates of ``length`` words to those of ``to`` words, or to whole windows."""
+
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         if not len(docs) or not len(found):
-            return _once(0, np.zeros(0, np.int64), np.zeros(0, np.int64))
+            none = np.zeros(0, np.int64)
+            return _once(0, none, *[none] * (1 if to < size else 2))
         texts, ids, known = _texts(docs)
-        _, owner, low, full, _ = windows(texts, size)
-        on = np.isin(low, found.column("h").to_numpy()) & known[owner]
-        return _once(_group(docs), full[on], ids[owner[on]])
+        w = Windows(texts, size, second=to == size)
+        on = np.isin(w.stand_ins(length), found.column("h").to_numpy()) & known[w.owner]
+        if to < size:
+            return _reported(w, on, to, _group(docs), ids, known)
+        h, k = w.whole()
+        return _once(_group(docs), ids[w.owner[on]], h[on], k[on])
 
     return run
 
@@ -102,24 +153,37 @@ def _extended(size: int):
 def _removed(size: int):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         texts, ids, known = _texts(docs)
-        place, owner, _, full, counts = windows(texts, size)
-        gone = np.zeros(int(counts.sum()) + 1, np.int64)
         if len(found):
-            h, lo = found.column("h").to_numpy(), found.column("lo").to_numpy()
-            order = np.argsort(h)
-            h, lo = h[order], lo[order]
-            at = np.minimum(np.searchsorted(h, full), len(h) - 1)
-            hit = place[(h[at] == full) & (lo[at] < ids[owner]) & known[owner]]
-            np.add.at(gone, hit, 1)
-            np.add.at(gone, hit + size, -1)
-        gone = np.cumsum(gone)[:-1] > 0
+            w = Windows(texts, size, second=True)
+            counts, gone = w.counts, np.zeros(int(w.counts.sum()) + 1, np.int64)
+            h, kf = (found.column(c).to_numpy() for c in ("h", "kf"))
+            order = np.argsort(h, kind="stable")
+            h, k, all_ = h[order], kf[order] & 0xFFFFFFFF, kf[order] >> 32 == 1
+            own, other = w.whole()
+            at, row = np.searchsorted(h, own), np.full(len(own), -1)
+            while len(left := np.flatnonzero((at < len(h)) & (h[np.minimum(at, len(h) - 1)] == own))):  # once more for each hash that two windows share
+                same = left[k[at[left]] == other[left]]
+                row[same] = at[same]
+                at[left] += 1
+            on = np.flatnonzero((row >= 0) & known[w.owner])
+            least = np.full(len(h), np.iinfo(np.int64).max)
+            np.minimum.at(least, row[on], ids[w.owner[on]])
+            hit = np.zeros(len(own), bool)
+            hit[on] = all_[row[on]] | (ids[w.owner[on]] > least[row[on]])
+            place = w.place[hit]
+            np.add.at(gone, place, 1)
+            np.add.at(gone, place + size, -1)
+            gone = np.cumsum(gone)[:-1] > 0
+        else:
+            counts, gone = np.array([len(t.split()) for t in texts], np.int64), None
         out, at = [], 0
         for text, n in zip(texts, counts.tolist(), strict=True):
-            mask, at = gone[at : at + n], at + n
-            words = text.split()
-            if mask.any():
-                words = [words[i] for i in np.flatnonzero(~mask)]
-            out.append((n, int(mask.sum()), hashlib.sha256(b" ".join(words)).hexdigest()))
+            words, removed = text.split(), 0
+            if gone is not None:
+                mask, at = gone[at : at + n], at + n
+                if removed := int(mask.sum()):
+                    words = [words[i] for i in np.flatnonzero(~mask)]
+            out.append((n, removed, hashlib.sha256(b" ".join(words)).hexdigest()))
         n, removed, digest = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string())})
 
@@ -132,22 +196,25 @@ def _repeated(hashes: DataFrame) -> DataFrame:
     return hashes.withColumns({"first": F.expr(f"min(gm) {over}"), "last": F.expr(f"max(gm) {over}")}).where("first <> last or gm % 2 = 1").select(F.expr("gm div 2").alias("g"), "h")
 
 
-def _later(hashes: DataFrame) -> DataFrame:
-    """(g, h, lo): hashes that a group's documents above ``lo`` lose; lo is the smallest document of all that has the hash,
-    or below every id where that document is in another group."""
-    found = hashes.withColumn("least", F.expr("min(lo) over (partition by h)")).where("least < lo or gm % 2 = 1")
-    return found.select(F.expr("gm div 2").alias("g"), "h", F.when(F.col("least") < F.col("lo"), F.lit(-(1 << 63))).otherwise(F.col("lo")).alias("lo"))
+def _later(windows: DataFrame) -> DataFrame:
+    """(g, h, kf): windows that documents of a group lose: all that have it, where a smaller document of another group does too
+    (bit 32 of kf is set), else all but the smallest of the group. The lower bits of kf are the second hash."""
+    found = windows.select(F.expr("shiftright(gk, 32)").alias("gm"), "h", F.expr("gk & 4294967295").alias("k"), "lo")
+    found = found.withColumn("least", F.expr("min(lo) over (partition by h, k)")).where("least < lo or gm % 2 = 1")
+    return found.select(F.expr("gm div 2").alias("g"), "h", F.expr("k + if(least < lo, 4294967296L, 0L)").alias("kf"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group_docs: int = GROUP_DOCS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of each row."""
-    groups = max(1, -(-docs.count() // group_docs))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    groups = max(1, -(-size["n"] // group_docs), -(-(size["bytes"] or 0) // GROUP_BYTES))
     rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(groups)))
-    short = _repeated(rows.groupBy("g").applyInArrow(_stand_ins(window), _SHORT))
-    full = rows.groupBy("g").cogroup(short.groupBy("g")).applyInArrow(_extended(window), _FULL)
-    found = _later(full)
-    return rows.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(_removed(window), _RESULT)
+    lengths = [*levels(window), window]
+    found = rows.groupBy("g").applyInArrow(_first(window, lengths[0]), _SHORT)
+    for length, to in zip(lengths, lengths[1:], strict=False):
+        found = rows.groupBy("g").cogroup(_repeated(found).groupBy("g")).applyInArrow(_further(window, length, to), _SHORT if to < window else _FULL)
+    return rows.groupBy("g").cogroup(_later(found).groupBy("g")).applyInArrow(_removed(window), _RESULT)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
