@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, importance, language_id, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, url_filters
+from . import decontamination, html_text, importance, language_id, lexical_search, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, url_filters
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_html_extraction": html_text.op10_html_extraction,
+    "op11_lexical_search": lexical_search.op11_lexical_search,
     "op13_importance_resampling": importance.op13_importance_resampling,
 }
 
@@ -23,5 +24,6 @@ ORACLES = {
     "op5_substring_dedup": substring_dedup.OP5_SQL,
     "op7_secret_scan": secret_scan.OP7_SQL,
     "op8_url_filters": url_filters.OP8_SQL,
+    "op11_lexical_search": lexical_search.OP11_SQL,
     "op13_importance_resampling": importance.OP13_SQL,
 }
