@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,10 @@ def shared_dir(spark: SparkSession) -> str:
     return got.get().rstrip("/")
 
 
+#: Folders of the tables that ``materialize`` wrote and nothing has deleted since.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
@@ -58,15 +63,35 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    _written.append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _written:
+        _written.remove(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` returned."""
     for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(t.sparkSession, t.scratch_path)
+
+
+def written() -> set[str]:
+    """Folders of the tables that are there now; results of the operators may still read them."""
+    return set(_written)
+
+
+def discard_but(spark: SparkSession, *keep: str) -> None:
+    """Delete the tables of this process but those in the folders ``keep``: for when their readers' results are written.
+
+    An operator returns a lazy result that reads its tables, so only its caller knows when they aren't needed any more.
+    """
+    for path in written() - set(keep):
+        _delete(spark, path)
 
 
 def scratch(docs: DataFrame, *names: str) -> list[str]:
@@ -110,61 +135,52 @@ def byte_set(chars: bytes) -> np.ndarray:
 
 
 SPACE_BYTES = byte_set(SPACES.encode())
-_P = 0x9E3779B97F4A7C15
+#: Words whose hash a worker keeps, and bytes of the longest of them.
+KEPT_WORDS, KEPT_BYTES = 200_000, 40
 
 
-@cache
-def _held_powers(base: int) -> np.ndarray:
-    return _powers(base, CHUNK + 2)
+class _Hashes(dict):
+    """64-bit XXH3 of each word; those met first, and with them the common ones, are kept."""
 
+    def __init__(self, seed: int):
+        super().__init__()
+        self.seed = seed
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    return _held_powers(base)[:n] if n <= CHUNK + 2 else _powers(base, n)
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh3_64_intdigest(word, self.seed)
+        if len(self) < KEPT_WORDS and len(word) <= KEPT_BYTES:
+            self[word] = found
+        return found
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+@cache
+def _hashes_of(seed: int) -> _Hashes:
+    return _Hashes(seed)
 
 
-def _chunks(data: np.ndarray, space: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Consecutive pieces of about CHUNK bytes that end at a space or at the end."""
-    at = 0
-    while at < len(data):
-        end = min(at + CHUNK, len(data))
-        while end < len(data) and not space[end]:
-            more = np.flatnonzero(space[end : end + CHUNK])
-            end = end + int(more[0]) if len(more) else min(end + CHUNK, len(data))
-        yield at, end
-        at = end
+def word_pieces(texts: list[bytes], separators: np.ndarray = SPACE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """(text number, words) in order; a text of more than CHUNK bytes comes in pieces that end between words.
 
+    Words are runs of bytes outside ``separators``, which must hold the six white-space characters.
+    """
+    spaced = np.where(separators, 32, np.arange(256)).astype(np.uint8).tobytes()
+    for k, text in enumerate(texts):
+        text, at = text.translate(spaced), 0
+        while at < len(text):
+            end = text.find(b" ", at + CHUNK)
+            end = len(text) if end < 0 else end
+            yield k, text[at:end].split()
+            at = end
 
-def word_spans(texts: list[bytes], separators: np.ndarray = SPACE_BYTES, base: int = _P) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(all texts as one, start, end and 64-bit hash of each word in it, number of words of each text).
 
-    Words are runs of bytes outside ``separators``, which must hold the line feed. Sums of byte times power give a word's
-    polynomial as a difference, so all words are hashed at once.
-    """
-    whole = b"\n".join(texts) + b"\n"
-    data = np.frombuffer(whole, np.uint8)
-    space = separators[data]
-    starts, ends_, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for a, b in _chunks(data, space):
-        part, gap = data[a:b], space[a:b]
-        begins = np.flatnonzero(~gap & np.append(True, gap[:-1]))
-        ends = np.flatnonzero(~gap & np.append(gap[1:], True)) + 1
-        up, down = powers(base, len(part) + 1), powers(pow(base, -1, 1 << 64), len(part) + 1)
-        total = np.append(np.uint64(0), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64))
-        hashes.append(mix64((total[ends] - total[begins]) * down[begins] + (ends - begins).astype(np.uint64)))
-        starts.append(begins + a)
-        ends_.append(ends + a)
-    edges = np.cumsum([0] + [len(t) + 1 for t in texts])
-    at = np.concatenate(starts)
-    return whole, at, np.concatenate(ends_), np.concatenate(hashes), np.diff(np.searchsorted(at, edges))
-
-
-def word_hashes(texts: list[bytes], separators: np.ndarray = SPACE_BYTES, base: int = _P) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], separators: np.ndarray = SPACE_BYTES, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of each word of all texts in order, and the number of words of each text."""
-    return word_spans(texts, separators, base)[3:]
+    get, counts, out, words = _hashes_of(seed).__getitem__, np.zeros(len(texts), np.int64), [np.zeros(0, np.uint64)], []
+    for k, more in word_pieces(texts, separators):
+        counts[k] += len(more)
+        words += more
+        if len(words) > CHUNK // 8:
+            out.append(np.fromiter(map(get, words), np.uint64, len(words)))
+            words = []
+    out.append(np.fromiter(map(get, words), np.uint64, len(words)))
+    return np.concatenate(out), counts

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, discard, materialize, mix64, word_hashes
+from .common import LOWER, UPPER, discard, discard_but, materialize, mix64, word_hashes, written
 from .simhash import components, links, majority
 
 SHINGLE = 5
@@ -46,12 +46,12 @@ _B = 0x9E3779B97F4A7C15
 _NODE = "doc_id long, digest long, fp long, size long, prefix array<long>"
 
 
-def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """Sorted different shingle hashes of each text."""
+def shingle_sets(texts: list[str | None], shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Sorted different hashes of the shingles of each text."""
     hashes, counts = word_hashes([(t or "").encode().translate(_FOLD) for t in texts])
     at = 0
     for n in counts.tolist():
-        words, k = hashes[at : at + n], min(n, SHINGLE)
+        words, k = hashes[at : at + n], min(n, shingle)
         at += n
         value = np.zeros(n - k + 1 if n else 0, np.uint64)
         for j in range(k if n else 0):
@@ -60,14 +60,14 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
         yield value[np.append(True, value[1:] != value[:-1])] if len(value) else value
 
 
-def _grouped(b: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
+def grouped_sets(b: pa.RecordBatch, shingle: int = SHINGLE) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first row, sets) of consecutive rows with texts of about BATCH_BYTES together."""
     first, group, size = 0, [], 0
     for k, t in enumerate(b.column("text")):
         group.append(t.as_py())
         size += len(group[-1] or "")
         if size > BATCH_BYTES or k + 1 == b.num_rows:
-            yield first, list(shingle_sets(group))
+            yield first, list(shingle_sets(group, shingle))
             first, group, size = k + 1, [], 0
 
 
@@ -88,14 +88,14 @@ def prefix(shingles: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarra
 
 def _all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for _, found in _grouped(b):
+        for _, found in grouped_sets(b):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["h"])
 
 
 def _nodes(hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, sets in _grouped(b):
+            for first, sets in grouped_sets(b):
                 d, fp, n, p = zip(*[(digest(s), majority(s), len(s), prefix(s, *hot.value).view(np.int64)) for s in sets], strict=True)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, p)]), pa.int32()), pa.array(np.concatenate(p)))
                 ids = b.column("doc_id").slice(first, len(sets))
@@ -149,10 +149,10 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from found(kept)
 
 
-def _sets_in(slots):
+def _sets_in(slots, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, sets in _grouped(b):
+            for _, sets in grouped_sets(b, shingle):
                 rows = {d: s.tobytes() for s in sets if slots.value[(d := digest(s)) % SLOTS]}
                 yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], names=["digest", "shingles"])
 
@@ -192,19 +192,32 @@ def _joined(pairs: DataFrame, held: DataFrame, **names: str) -> DataFrame:
     return pairs
 
 
+def sets_of(rows: DataFrame, digests: DataFrame, label: str, shingle: int = SHINGLE) -> DataFrame | None:
+    """(digest, shingles) of the ``digests`` (and some more), made again from the texts of ``rows``; a written table, None for no digests.
+
+    A filter of SLOTS marks, whatever the number of documents, keeps most other sets from being shuffled.
+    """
+    taken = np.zeros(SLOTS, bool)
+    taken[digests.select(F.pmod("digest", F.lit(SLOTS)).alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True
+    if not taken.any():
+        return None
+    slots = rows.sparkSession.sparkContext.broadcast(taken)
+    sets = rows.select("text").mapInArrow(_sets_in(slots, shingle), "digest long, shingles binary").groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    return materialize(sets, f"{label}-sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (u, v: digests) whose sets are similar."""
+    return _joined(pairs, sets, shingles="a b").select("u", "v", "a", "b").mapInArrow(_similar, "u long, v long")
+
+
 def verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
     """Those of ``pairs`` (u, v: digests) whose sets, made again from the texts of ``rows``, are similar; a written table."""
-    spark = rows.sparkSession
     pairs = materialize(_joined(pairs, nodes, prefix="a b", size="nu nv").select("u", "v", "a", "b", "nu", "nv").mapInArrow(_bound, "u long, v long"), f"{label}-pairs")
-    taken = np.zeros(SLOTS, bool)
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("digest"))
-    taken[ends.select(F.pmod("digest", F.lit(SLOTS)).alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True
-    if not taken.any():
+    sets = sets_of(rows, pairs.select(F.explode(F.array("u", "v")).alias("digest")), label)
+    if sets is None:
         return pairs
-    slots = spark.sparkContext.broadcast(taken)
-    sets = rows.select("text").mapInArrow(_sets_in(slots), "digest long, shingles binary").groupBy("digest").agg(F.first("shingles").alias("shingles"))
-    sets = materialize(sets, f"{label}-sets")
-    out = materialize(_joined(pairs, sets, shingles="a b").select("u", "v", "a", "b").mapInArrow(_similar, "u long, v long"), f"{label}-similar")
+    out = materialize(confirmed(pairs, sets), f"{label}-similar")
     discard(pairs, sets)
     return out
 
@@ -221,7 +234,7 @@ def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def similar_sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, root): the components of all similar sets of ``nodes``, in digests; roots themselves aren't named."""
+    """(node, root): the components of all similar sets of ``nodes``, in digests; roots themselves aren't named. Leaves tables behind."""
     index = nodes.select("digest", "size", F.posexplode("prefix").alias("pos", "h"))
     shared = index.groupBy("h").count().where("count > 1").select("h")
     buckets = materialize(index.join(shared, "h").select("h", "digest", "size", F.col("pos").cast("long").alias("pos")), "jaccard-buckets")
@@ -249,9 +262,7 @@ def similar_sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     rest = dealt.repartition("h", "cell").sortWithinPartitions("h", "cell").mapInArrow(_cross, "u long, v long").distinct()
     more = verified(rows, nodes, rest, "jaccard-rest")
     if not more.isEmpty():
-        done, roots = [edges, more, roots], components(edges.unionByName(more), "jaccard-edges")
-        discard(*done)
-    discard(starred, classed)
+        roots = components(edges.unionByName(more), "jaccard-edges")
     return roots
 
 
@@ -265,7 +276,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     nodes = materialize(whole.groupBy("digest").agg(F.min("doc_id").alias("node"), *firsts), "jaccard-nodes")
     found = materialize(whole.select("doc_id", "digest"), "jaccard-digests")
     discard(whole)
+    before = written()
     roots = similar_sets(rows, nodes.where("node is not null"))
+    discard_but(spark, *before, roots.scratch_path)
     named = nodes.select("digest", "node").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
     named = named.select("digest", "node", F.coalesce("root", "digest").alias("root"))
     least = named.groupBy("root").agg(F.min("node").alias("component_id"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, word_spans
+from .common import materialize, table, word_pieces
 
 CAPACITY, END = 4096, 1
 #: Words, and runs, whose ids a worker keeps (about 30 MB each).
@@ -52,8 +52,7 @@ class RunTokenizer:
 
     The tokenizer cuts a normal, lower-case text into runs of letters, single digits and runs of marks, never across white
     space, and encodes each by itself. In texts of plain characters (below), the same cut is made here: the different words of
-    many texts are found at once by their 64-bit hashes, and the ids of words and runs, which recur, are kept. Any other text
-    is encoded as it stands.
+    many texts are encoded once, and the ids of words and runs, which recur, are kept. Any other text is encoded as it stands.
     """
 
     #: The tokenizer's own rule for lower-case texts of plain characters.
@@ -99,9 +98,12 @@ class RunTokenizer:
         """Unsigned 32-bit ids of each text."""
         texts = [t or "" for t in texts]
         plain = [self.is_plain(t) for t in texts]
-        data, start, end, hashes, counts = word_spans([t.encode() if p else b"" for t, p in zip(texts, plain, strict=True)])
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        different = [data[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        place: dict[bytes, int] = {}
+        held, counts = [np.zeros(0, np.int64)], np.zeros(len(texts), np.int64)
+        for k, words in word_pieces([t.encode() if p else b"" for t, p in zip(texts, plain, strict=True)]):
+            counts[k] += len(words)
+            held.append(np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words)))
+        which, different = np.concatenate(held), list(place)
         get = self.words.get
         found = [get(w) for w in different]
         if missing := [i for i, x in enumerate(found) if x is None]:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, discard, materialize, table
+from .common import LOWER, UPPER, discard, discard_but, materialize, table, written
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
 #: Most members of a bucket that is compared pair by pair.
@@ -227,7 +227,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     fps = materialize(rows.mapInArrow(_fingerprints, "doc_id long, fp long"), "simhash")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
+    before = written()
     roots = components(links(nodes.where("node is not null")), "simhash-edges")
+    discard_but(docs.sparkSession, *before, roots.scratch_path)
     named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 

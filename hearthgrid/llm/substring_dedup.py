@@ -33,8 +33,8 @@ FIRST = 4
 GROUP_DOCS, GROUP_BYTES = 1_000, 4 << 20
 
 _Q = np.uint64(0xD6E8FEB86659FD93)
-#: Base of the second hash of words.
-_SECOND = 0xC2B2AE3D27D4EB4F
+#: Seed of the second hash of words.
+_SECOND = 1
 #: ``gm``: twice the group's number, plus one if more than one document of the group has the hash; ``gk``: gm and, in the
 #: lower 32 bits, the second hash.
 _SHORT, _FULL = "gm long, h long", "gk long, h long, lo long"
@@ -70,7 +70,7 @@ class Windows:
 
     def __init__(self, texts: list[bytes], size: int, second: bool = False):
         self.size, (self.words, self.counts) = size, word_hashes(texts)
-        self.other = word_hashes(texts, base=_SECOND)[0] if second else None
+        self.other = word_hashes(texts, seed=_SECOND)[0] if second else None
         owner = np.repeat(np.arange(len(texts)), self.counts)
         n = max(0, len(owner) - size + 1)
         self.place = np.flatnonzero(owner[:n] == owner[size - 1 :]) if n else np.zeros(0, int)
