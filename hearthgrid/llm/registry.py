@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, importance, language_id, lexical_search, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, url_filters
+from . import decontamination, html_text, importance, language_id, lexical_search, minhash, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, url_filters
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_html_extraction": html_text.op10_html_extraction,
     "op11_lexical_search": lexical_search.op11_lexical_search,
+    "op12_minhash_near_dedup": minhash.op12_minhash_near_dedup,
     "op13_importance_resampling": importance.op13_importance_resampling,
 }
 
@@ -25,5 +26,6 @@ ORACLES = {
     "op7_secret_scan": secret_scan.OP7_SQL,
     "op8_url_filters": url_filters.OP8_SQL,
     "op11_lexical_search": lexical_search.OP11_SQL,
+    "op12_minhash_near_dedup": minhash.OP12_SQL,
     "op13_importance_resampling": importance.OP13_SQL,
 }
