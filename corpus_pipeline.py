@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from hearthgrid.llm import decontamination, packing, quality_rules, secret_scan, simhash
-from hearthgrid.llm.common import materialize, table
+from hearthgrid.llm.common import discard_but, materialize, table, written
 
 STAGES = [
     ("quality_rules", quality_rules.stage),
@@ -24,7 +24,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard_but(spark, *before, docs.scratch_path)  # the table of the stage before, and what this one left
     return docs
