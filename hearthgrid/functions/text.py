@@ -32,6 +32,11 @@ def fold(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(unaccent(c)), SPACES, " "))
 
 
+def folded(s: str) -> str:
+    """``fold`` of a plain string, for arguments."""
+    return " ".join(s.translate(str.maketrans(ACCENTED, PLAIN)).lower().split())
+
+
 def key_text(c: Column) -> Column:
     """Text for comparison: unaccented, lower case, without points and commas inside numbers, other marks as spaces."""
     t = F.regexp_replace(F.lower(unaccent(F.coalesce(c, F.lit("")))), r"(?<=[0-9])[.,](?=[0-9])", "")

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, host_in, unaccent, url_host
+from ..functions.text import fold, folded, host_in, unaccent, url_host
 
 #: Classes of rejection that put a listing outside the market.
 OUTSIDE_MARKET = ("portal", "operacion", "tipo", "zona")
@@ -41,7 +41,7 @@ def requirement_rules(req: Requirements, url: Column, operation: Column, kind: C
     if req.excluded_operations:
         rules.append(("operacion", operation.isin(list(req.excluded_operations))))
     if req.types:
-        rules.append(("tipo", (kind != "") & ~fold(kind).isin([t.lower() for t in req.types])))
+        rules.append(("tipo", (kind != "") & ~fold(kind).isin([folded(t) for t in req.types])))
     if req.area is not None:
         floor = req.area - req.area_tolerance
         rules.append(("superficie", (area <= floor) if req.strict_area else (area < floor)))
@@ -108,10 +108,13 @@ def returned_phrase(before: Column, old_price: Column, price: Column, as_of: Col
     return F.when(days >= 30, F.concat(F.lit("Ya estuvo publicado hace "), F.floor(days / 30).cast("string"), F.lit(" mes(es)"), moved)).otherwise("")
 
 
+#: Fixed value: the broker's code behind the word for it.
+CODE_PATTERN = r"\bc[oó]d(?:igo)?\b\.?\s*[:#°-]?\s*([A-Z]{0,4}[-\s]?\d[\d.]{2,10}(?:-\w{1,4})?)"
+
+
 def listing_code(c: Column) -> Column:
     """The broker's own code behind the word for it, without points, spaces and hyphens; null below four digits."""
-    found = F.regexp_extract(unaccent(c), r"(?i)\bcod(?:igo)?\b\.?\s*[:#°-]?\s*([A-Z]{0,4}[-\s]?[0-9][0-9.]{2,10}(?:-[A-Za-z0-9_]{1,4})?)", 1)
-    code = F.upper(F.regexp_replace(found, r"[.\s-]", ""))
+    code = F.upper(F.regexp_replace(F.regexp_extract(c, f"(?iU){CODE_PATTERN}", 1), r"[.\s-]", ""))
     return F.when(F.length(F.regexp_replace(code, "[^0-9]", "")) >= 4, code)
 
 

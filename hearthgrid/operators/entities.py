@@ -125,11 +125,11 @@ def within(lat: str, lon: str, km: float, most: dict[str, float]) -> Callable[[d
 
 def same_offer(area: str, price: str, most: dict[str, float] | None = None) -> Callable[[dict, dict], bool]:
     """Test for ``merge_into_principal`` on broker codes: areas within one unit or prices within one percent, and no known
-    value of ``most`` that differs by more."""
+    value of ``most`` that differs by more. An area or price of zero is unknown."""
 
     def near(a: dict, b: dict) -> bool:
-        areas = a[area] is not None and b[area] is not None and abs(a[area] - b[area]) <= 1
-        prices = a[price] is not None and b[price] is not None and abs(a[price] - b[price]) <= 0.01 * max(a[price], b[price])
+        areas = bool(a[area] and b[area]) and abs(a[area] - b[area]) <= 1
+        prices = bool(a[price] and b[price]) and abs(a[price] - b[price]) <= 0.01 * max(a[price], b[price])
         return (areas or prices) and not any(a[c] is not None and b[c] is not None and abs(a[c] - b[c]) > x for c, x in (most or {}).items())
 
     near.columns = {area, price, *(most or {})}

@@ -610,8 +610,8 @@ WITH d AS (SELECT doc_id, source, trim(regexp_replace(lower(translate(coalesce(t
 SELECT doc_id, source FROM d QUALIFY length(t) < 80 OR row_number() OVER (PARTITION BY source, t ORDER BY doc_id) = 1""",
     "blocked_near_dup": f"""
 WITH RECURSIVE {_LOCATED_SQL}, numbered AS (
-  SELECT c_custkey AS key, lat, lon, c_custkey % 5 AS beds, c_custkey % 7 AS score, c_custkey % 3 AS known, round_even(c_acctbal, -3) || '|' || c_nationkey AS block,
-    row_number() OVER (PARTITION BY round_even(c_acctbal, -3), c_nationkey ORDER BY c_custkey) AS i FROM located
+  SELECT c_custkey AS key, lat, lon, c_custkey % 5 AS beds, c_custkey % 7 AS score, c_custkey % 3 AS known, (round_even(c_acctbal, -3) + 0.0) || '|' || c_nationkey AS block,
+    row_number() OVER (PARTITION BY round_even(c_acctbal, -3) + 0.0, c_nationkey ORDER BY c_custkey) AS i FROM located
 ), {_WALK.format(near="coalesce(abs(p.beds - n.beds) <= 1 AND 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians(n.lat) - radians(p.lat)) / 2), 2) + cos(radians(p.lat)) * cos(radians(n.lat)) * pow(sin((radians(n.lon) - radians(p.lon)) / 2), 2)))) <= 1.5, false)", higher="(n.score, n.known) > (p.score, p.known)")}
 SELECT c_custkey, winner AS merged_into FROM customer LEFT JOIN (SELECT loser, winner FROM w WHERE loser IS NOT NULL) ON c_custkey = loser""",
     "twin_listings": """

@@ -84,7 +84,7 @@ def plain(rows):
         return 2 * 6371.0088 * math.asin(math.sqrt(h))
 
     rows = principal(rows, lambda a: (round(a["price"]), round(a["area"])) if a["lat"] is not None and a["price"] and a["area"] else None, lambda a, b: km(a, b) <= 0.12)
-    agree = lambda a, b: (known(a["area"]) and known(b["area"]) and abs(a["area"] - b["area"]) <= 1) or (known(a["price"]) and known(b["price"]) and abs(a["price"] - b["price"]) <= 0.01 * max(a["price"], b["price"]))
+    agree = lambda a, b: (a["area"] and b["area"] and abs(a["area"] - b["area"]) <= 1) or (a["price"] and b["price"] and abs(a["price"] - b["price"]) <= 0.01 * max(a["price"], b["price"]))
     return principal(rows, lambda a: a["code"] or None, agree)
 
 
