@@ -8,11 +8,14 @@ about 1 in 48,000; above 0.8 it falls steeply. A key is only made of half-keys t
 documents make none. Equal sets are one node from the start.
 
 Links are found by rounds. A bucket's centre is its member that meets most others over all tables; the others take the
-centre that they meet most often, and are compared with it on whole sets; what is similar gets one class. In two more
-rounds the centre is one of those that aren't in the class of the first. Members that are of different classes even then
-meet each other, in cells of bounded size, but not members of the largest class among themselves; pairs whose minhashes
-agree too rarely for the similarity (below one chance in a million) don't leave the cell. So a family of copies costs a
-comparison or two for each document, and what two classes could be joined by is still looked at.
+centre that they meet most often, and are compared with it on whole sets; what is similar gets one class. In the next round
+the centre is one of those that aren't in the class of the first. Members that are of different classes even then meet
+each other pair by pair, but not members of the largest class among themselves. They meet under their half-keys of the
+first collection, in cells of bounded size, and only the first half-key that a pair has in common, if one of the second
+collection agrees too, looks at it: so what is compared is what met in the tables, once. Pairs whose minhashes agree too
+rarely for the similarity (below one chance in a million), or whose bitmaps differ in more places than two similar sets can
+(never wrong), don't leave the cell. So a family of copies costs a comparison or two for each document, a family that isn't
+similar enough costs no rows, and what two classes could be joined by is still looked at.
 
 Defined results: a text of fewer words than a shingle is one shingle; null, empty or blank texts have an empty set, link with
 nothing and keep their own id; a row without an id links nothing and gets the component of its set's smallest known id (null
@@ -39,12 +42,15 @@ SHINGLE = 2
 HALVES, EACH = 16, 3
 HASHES = 2 * HALVES * EACH
 #: Rounds in which buckets meet at a centre before what is left meets pair by pair.
-STARS = 3
+STARS = 2
 #: Mean members of either side of a cell.
 CELL = 512
 #: Chance of losing a pair at the least similarity when minhashes are compared in a cell.
 LOSS = 1e-6
-_SKETCH = "doc_id long, digest long, size long, halves array<long>, marks binary"
+#: Bits of a set's bitmap.
+BITS = 2048
+_SKETCH = "doc_id long, digest long, size long, halves array<long>"
+_MEMBER = "key long, place int, digest long, label long, size long, marks binary, bits binary"
 
 
 @cache
@@ -88,28 +94,49 @@ def _sketches(shingle: int):
         for b in batches:
             for first, sets in grouped_sets(b, shingle):
                 size = np.array([len(s) for s in sets], np.int64)
-                full = np.flatnonzero(size)
-                halves, marks = [None] * len(sets), [None] * len(sets)
+                full, halves = np.flatnonzero(size), [None] * len(sets)
                 if len(full):
-                    mins = minhashes([sets[i] for i in full])
-                    low = (mix64(mins) & np.uint64(0xFFFF)).astype(np.uint16)
-                    for i, h, m in zip(full.tolist(), half_keys(mins).view(np.int64), low, strict=True):
-                        halves[i], marks[i] = h, m.tobytes()
+                    for i, h in zip(full.tolist(), half_keys(minhashes([sets[i] for i in full])).view(np.int64), strict=True):
+                        halves[i] = h
                 ids = b.column("doc_id").slice(first, len(sets))
-                cols = [ids, pa.array([digest(s) for s in sets], pa.int64()), pa.array(size), pa.array(halves, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "size", "halves", "marks"])
+                cols = [ids, pa.array([digest(s) for s in sets], pa.int64()), pa.array(size), pa.array(halves, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "size", "halves"])
 
     return run
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """BITS bits; two bitmaps never differ in more places than their sets have members that the other hasn't."""
+    out = np.zeros(BITS, bool)
+    out[(shingles % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(out)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, label, shingles) to a row for each half-key of the first collection."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("shingles")]
+        mins, n = minhashes(sets), b.num_rows
+        keys = half_keys(mins)[:, :HALVES]
+        marks = [x.tobytes() for x in (mix64(mins) & np.uint64(0xFFFF)).astype(np.uint16)]
+        bits = [bitmap(s).tobytes() for s in sets]
+        row = pa.array(np.repeat(np.arange(n), HALVES))
+        held = [b.column("digest"), b.column("label"), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), pa.array(bits, pa.binary())]
+        place = np.tile(np.arange(HALVES, dtype=np.int32), n)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(place), *[c.take(row) for c in held]], names=["key", "place", "digest", "label", "size", "marks", "bits"])
+
+
 def _in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, cell) to pairs (u, v) of side 0 and side 1 of a cell whose classes differ and whose sizes and
-    minhashes allow the similarity."""
-    names, kept = ("key", "cell", "side", "digest", "label", "size"), None
+    """Rows sorted by (key, cell) to pairs (u, v) of side 0 and side 1 of a cell whose classes differ, whose first common half-key
+    this is, and whose sizes, minhashes and bitmaps allow the similarity."""
+    names, kept = ("key", "cell", "side", "place", "digest", "label", "size"), None
 
     def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
         cols = {c: t.column(c).to_numpy() for c in names}
         marks = np.frombuffer(b"".join(t.column("marks").to_pylist()), np.uint16).reshape(-1, HASHES)
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
         edge = np.flatnonzero(np.append(True, (cols["key"][1:] != cols["key"][:-1]) | (cols["cell"][1:] != cols["cell"][:-1])))
         u, v = [], []
         for a, e in zip(edge.tolist(), np.append(edge[1:], t.num_rows).tolist(), strict=True):
@@ -118,7 +145,13 @@ def _in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s in strays.tolist():
                 n, m = cols["size"][s], cols["size"][all_]
                 on = all_[(cols["label"][all_] != cols["label"][s]) & (DEN * np.minimum(n, m) >= NUM * np.maximum(n, m))]
-                on = on[(marks[on] == marks[s]).sum(axis=1) >= least_marks()]
+                same = marks[on] == marks[s]
+                half = same.reshape(len(on), 2 * HALVES, EACH).all(axis=2)
+                keep = (np.argmax(half, axis=1) == cols["place"][s]) & half[:, HALVES:].any(axis=1) & (same.sum(axis=1) >= least_marks())
+                on = on[keep]
+                # at least NUM / DEN in common leaves (DEN - NUM) / (DEN + NUM) of both sizes for what isn't
+                apart = np.bitwise_count(bits[on] ^ bits[s]).sum(axis=1, dtype=np.int64)
+                on = on[(DEN + NUM) * apart <= (DEN - NUM) * (n + cols["size"][on])]
                 d, o = np.full(len(on), cols["digest"][s]), cols["digest"][on]
                 u.append(np.minimum(d, o))
                 v.append(np.maximum(d, o))
@@ -170,18 +203,18 @@ def _spokes(members: DataFrame, outside: bool) -> DataFrame:
     return met.groupBy(F.col("digest").alias("u")).agg(F.max_by("v", F.struct("count", "v")).alias("v"))
 
 
-def _cells(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(u, v) of members of one bucket and different classes that can be similar."""
-    classes = members.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"), F.count("*").alias("k"))
-    mixed = members.join(classes.where("k > 1"), "key").join(nodes.select("digest", "size", "marks"), "digest")
+def _cells(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v) of ``members`` (digest, label) of different classes that met in a table and can be similar."""
+    rows = materialize(sets.join(members, "digest").select("digest", "label", "shingles").mapInArrow(_members, _MEMBER), "minhash-members")
+    classes = rows.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"), F.count("*").alias("k"))
+    mixed = rows.join(classes.where("k > 1").drop("k"), "key")
     blocks, strays = F.ceil(F.col("n") / CELL), F.ceil((F.col("n") - F.col("most")) / CELL)
-    h = F.xxhash64("digest")
-    columns = ["key", "digest", "label", "size", "marks"]
-    stray = mixed.where("label <> main").withColumn("x", F.pmod(h, strays)).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    every = mixed.withColumn("y", F.pmod(h, blocks)).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), strays - 1)))
-    both = [df.select(*columns, (F.col("x") * blocks + F.col("y")).alias("cell"), F.lit(k).cast("long").alias("side")) for k, df in enumerate((stray, every))]
-    rows = both[0].unionByName(both[1]).repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return rows.mapInArrow(_in_cells, "u long, v long").distinct()
+    h, first = F.xxhash64("digest"), F.lit(0).cast("long")
+    stray = mixed.where("label <> main").withColumn("x", F.pmod(h, strays)).withColumn("y", F.explode(F.sequence(first, blocks - 1)))
+    every = mixed.withColumn("y", F.pmod(h, blocks)).withColumn("x", F.explode(F.sequence(first, strays - 1)))
+    both = [df.select(*rows.columns, (F.col("x") * blocks + F.col("y")).alias("cell"), F.lit(k).cast("long").alias("side")) for k, df in enumerate((stray, every))]
+    dealt = both[0].unionByName(both[1]).repartition("key", "cell").sortWithinPartitions("key", "cell")
+    return dealt.mapInArrow(_in_cells, "u long, v long").distinct()
 
 
 def similar_sets(rows: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -193,7 +226,7 @@ def similar_sets(rows: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
         return components(edges, "minhash-roots")
     members, roots = tables.withColumn("label", F.col("digest")), None
     for k in range(STARS + 1):
-        pairs = _spokes(members, outside=k > 0) if k < STARS else _cells(members, nodes)
+        pairs = _spokes(members, outside=k > 0) if k < STARS else _cells(members.select("digest", "label").distinct(), sets)
         new = materialize(confirmed(pairs, sets), "minhash-similar")
         edges = edges.unionByName(new)
         if k and new.isEmpty():
@@ -216,8 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     before = written()
     whole = materialize(rows.mapInArrow(_sketches(shingle), _SKETCH), "minhash")
-    firsts = [F.first(c).alias(c) for c in ("size", "halves", "marks")]
-    nodes = materialize(whole.where("size > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), *firsts), "minhash-nodes")
+    nodes = materialize(whole.where("size > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("halves").alias("halves")), "minhash-nodes")
     roots = similar_sets(rows, nodes.where("node is not null"), shingle)
     named = nodes.select("digest", "node").join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "node", F.coalesce("root", "digest").alias("root"))
     least = named.groupBy("root").agg(F.min("node").alias("least"))

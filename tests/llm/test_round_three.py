@@ -178,6 +178,9 @@ def test_tables_take_the_square_root_of_the_minhashes():
     assert len(set(minhash.half_keys(mins)[0].tolist())) == 2 * minhash.HALVES
     below = sum(math.comb(minhash.HASHES, k) * 0.8**k * 0.2 ** (minhash.HASHES - k) for k in range(minhash.least_marks()))
     assert below < minhash.LOSS
+    b = np.append(a[:-100], common.mix64(np.arange(5000, 5090, dtype=np.uint64)))
+    differ = np.bitwise_count(minhash.bitmap(a) ^ minhash.bitmap(b)).sum()
+    assert 0 < differ <= len(np.setxor1d(a, b))
 
 
 # --- importance resampling
