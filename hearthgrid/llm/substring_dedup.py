@@ -4,7 +4,8 @@ Windows are found level by level. Hashes of 2, 4 and 8 words are made of two has
 window of the two longest ones that cover it. At the first level, and again at twice its length until that would pass the
 window, the smallest of the hashes inside a window stands for it, so equal windows pick equal stand-ins and few places are
 looked at. Only windows whose stand-in occurs in two documents go on to twice the length; where none survive, nothing more
-is hashed. What is left is compared at the window's own length by 96 bits, made of two independent hashes of each word.
+is hashed. What is left is compared at the window's own length by 96 bits: two hashes of a window, made in different ways of the 64-bit hashes
+of its words.
 
 Documents are dealt by a hash into groups of a bounded mean number and size. A group reports each hash once, with the
 smallest document that has it and whether others of the group do, so a passage in a third of all documents is one row for
@@ -33,8 +34,8 @@ FIRST = 4
 GROUP_DOCS, GROUP_BYTES = 1_000, 4 << 20
 
 _Q = np.uint64(0xD6E8FEB86659FD93)
-#: Seed of the second hash of words.
-_SECOND = 1
+#: Offset of words' hashes for the second hash of windows.
+_SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 #: ``gm``: twice the group's number, plus one if more than one document of the group has the hash; ``gk``: gm and, in the
 #: lower 32 bits, the second hash.
 _SHORT, _FULL = "gm long, h long", "gk long, h long, lo long"
@@ -70,7 +71,7 @@ class Windows:
 
     def __init__(self, texts: list[bytes], size: int, second: bool = False):
         self.size, (self.words, self.counts) = size, word_hashes(texts)
-        self.other = word_hashes(texts, seed=_SECOND)[0] if second else None
+        self.other = mix64(self.words + _SECOND) if second else None
         owner = np.repeat(np.arange(len(texts)), self.counts)
         n = max(0, len(owner) - size + 1)
         self.place = np.flatnonzero(owner[:n] == owner[size - 1 :]) if n else np.zeros(0, int)
