@@ -89,7 +89,8 @@ def enrich(listings: DataFrame, candidates: DataFrame, texts: DataFrame, pins: D
     the listing knows. Of a text that contradicts, only the contradicting fields are dropped if an own candidate or the
     anchor shows that the page is the listing's, else all of it. A text with neither is believed in the year alone.
 
-    Defined results: a listing without a url, without a page or not ``direct`` stays as it is; blank texts are unknown; of
+    Defined results: a listing without a url, without a page or not ``direct`` stays as it is; blank texts are unknown, and stay if
+    nothing is found; of
     several texts or pins of one page the first in order of their values counts; repeated listings are each completed; no row
     is added or lost.
     """
@@ -122,7 +123,7 @@ def enrich(listings: DataFrame, candidates: DataFrame, texts: DataFrame, pins: D
         steps = [(k, F.when(F.col(r.pin[0]).isNull(), x)) for k, x in steps]
         if c in r.fields:
             steps += [("own", F.col(f"_mine.f.{c}")), ("text", F.col(f"_said.{c}"))]
-        out[c] = F.coalesce(known(listings, c), *[x for _, x in steps])
+        out[c] = F.coalesce(known(listings, c), *[x for _, x in steps], F.col(c))
         origin.append(F.when(known(listings, c).isNull(), F.coalesce(*[F.when(x.isNotNull(), F.lit(k)) for k, x in steps])).alias(c))
     for c in r.price:
         out[c] = F.when(F.col("_price").isNotNull(), F.col(f"_price.{c}")).otherwise(F.col(c))
