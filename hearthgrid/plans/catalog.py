@@ -271,18 +271,29 @@ def twin_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.twins(c, ["c_nationkey", "c_mktsegment", "price"], "c_custkey").select("c_custkey", "twin_of", "n_twins")
 
 
-def five_pass_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as listings of a few hundred homes; ``into`` is the listing that stands for each."""
+def home_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as listings of a few hundred homes; some addresses are a street without a number, some have no code of their own."""
     k = F.col("c_custkey")
     known = lambda n, c: F.when(k % n != 0, c)
-    c = _identified(spark, sf_dir).join(_located(spark, sf_dir).select("c_custkey", "lat", "lon"), "c_custkey")
-    c = c.select(
-        k.cast("long").alias("ord"), F.when(F.col("key") != "", F.concat_ws("|", "fp", (k % 3).cast("string"))).alias("fp"), "key", "place", known(4, (k % 2 + 801).cast("string")).alias("unit"), F.concat(F.lit("s"), (k % 5).cast("string")).alias("source"), "title",
+    c = _identified(spark, sf_dir).withColumns({"lat": known(7, LAT0 + k % 20 / 1000), "lon": known(7, F.lit(LON0))})
+    key = F.when(F.col("key") == "", F.lit("")).when(k % 5 == 0, "santa maria").otherwise(F.col("key"))
+    return c.select(
+        k.cast("long").alias("ord"), F.when(F.col("key") != "", F.concat_ws("|", "fp", (k % 3).cast("string"))).alias("fp"), key.alias("key"), "place", known(4, (k % 2 + 801).cast("string")).alias("unit"), F.concat(F.lit("s"), (k % 5).cast("string")).alias("source"), "url", "title",
         F.repeat(F.concat(F.lit("texto "), (k % 700).cast("string"), F.lit(" ")), 12).alias("text"), F.when(F.col("key") != "", F.col("address")).alias("address"), known(6, F.col("price") + 10_000).alias("price"), known(5, k % 9 * 10.0).alias("area"), "lat", "lon",
         known(7, (k % 4).cast("int")).alias("beds"), known(8, (k % 3).cast("int")).alias("baths"), F.when(k % 10 == 0, F.concat(F.lit("C"), (k % 400).cast("string"))).alias("code"), (k % 11).cast("int").alias("score"), (k % 2 == 0).alias("direct"),
     )
-    homes, members = dedup.deduplicate(c, ["area", "beds", "baths", "address"])
-    return members.join(homes.select(F.col("ord").alias("into"), "copies", "area", "beds"), "into")
+
+
+HOME_FIELDS = ["area", "beds", "baths", "address"]
+
+
+def five_pass_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``into`` is the listing that stands for each, ``by`` the pass that merged it, ``elsewhere`` where else its home is published."""
+    listings_ = home_listings(spark, sf_dir)
+    homes, members = dedup.deduplicate(listings_, HOME_FIELDS)
+    also = dedup.also_in(listings_, members).groupBy("into").agg(F.count("*").alias("elsewhere"))
+    found = homes.select(F.col("ord").alias("into"), "copies", "area", "beds").join(also, "into", "left")
+    return members.join(found, "into").withColumn("elsewhere", F.coalesce("elsewhere", F.lit(0)))
 
 
 def broker_code_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
