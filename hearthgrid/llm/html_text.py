@@ -8,8 +8,8 @@ adds more text than links. Lists of elements, roles and class words tell what is
 removes an element that holds an article or most of the page's text. Pages are handled one by one beside the scan.
 
 Defined results: null, empty or tagless-but-blank html has the empty text; a page without any markup is its own text; an
-unclosed tag, comment or script takes the rest of the page with it; elements below ``MAX_DEPTH`` open ones are closed at
-once; a null page_id is returned; repeated rows are all returned; an empty table gives an empty result; only the id, url
+unclosed tag, comment or script takes the rest of the page with it; elements nest to any depth; a header is left out wherever
+it stands, in an article too (its heading with it); a null page_id is returned; repeated rows are all returned; an empty table gives an empty result; only the id, url
 and html columns are read.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,8 +53,6 @@ _SCOPES = set("article aside body div section table ul ol dl td th blockquote ma
 
 #: End tags that don't reach beyond the block they stand in.
 _WEAK_ENDS = INLINE | {"p", "li"}
-#: Open elements at most; browsers stop at this depth, too.
-MAX_DEPTH = 512
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _GAP = re.compile(r"[\s/]*")
@@ -157,20 +155,49 @@ def tags(page: str) -> Iterator[str | tuple[str, dict[str, str] | None, bool]]:
         yield page[begin:]
 
 
-def parse(page: str) -> Node:
-    """The DOM below a root node."""
-    root = here = Node("#root", None)
-    depth, open_ = 0, Counter()
-
-    def leave(node: Node) -> None:
-        """Close ``node`` and all open ones below."""
-        nonlocal here, depth
-        while here is not node.parent:
-            open_[here.name] -= 1
-            depth -= 1
-            here = here.parent
+class _Open:
+    """The open elements, and at which depths each name and each scope stands, so no tag has to walk up the tree."""
+
+    def __init__(self, root: Node):
+        self.path, self.at, self.scopes = [root], {}, []
+
+    def enter(self, node: Node) -> None:
+        self.at.setdefault(node.name, []).append(len(self.path))
+        if node.name in _SCOPES:
+            self.scopes.append(len(self.path))
+        self.path.append(node)
+
+    def leave(self, depth: int) -> None:
+        """Close the element at ``depth`` and all below."""
+        while len(self.path) > depth:
+            self.at[self.path.pop().name].pop()
+        while self.scopes and self.scopes[-1] >= depth:
+            self.scopes.pop()
+
+    def end(self, name: str) -> None:
+        if at := self.at.get(name):
+            if name not in _WEAK_ENDS or not self.scopes or at[-1] > self.scopes[-1] or name in _SCOPES:
+                self.leave(at[-1])
 
+    def close(self, names: set[str] | frozenset[str]) -> None:
+        """Close the outermost open element of ``names`` that no scope of another name parts from here."""
+        if not any(self.at.get(n) for n in names):
+            return
+        k = len(self.scopes) - 1
+        while k >= 0 and self.path[self.scopes[k]].name in names:  # these are closed below
+            k -= 1
+        wall = self.scopes[k] if k >= 0 else 0
+        found = [at[i] for n in names if (at := self.at.get(n)) and (i := bisect_right(at, wall)) < len(at)]
+        if found:
+            self.leave(min(found))
+
+
+def parse(page: str) -> Node:
+    """The DOM below a root node, of any depth, in time linear in the page."""
+    root = Node("#root", None)
+    open_ = _Open(root)
     for t in tags(page):
+        here = open_.path[-1]
         if t.__class__ is str:
             here.parts.append(t)
             continue
@@ -178,30 +205,15 @@ def parse(page: str) -> Node:
         if name in ("html", "!doctype"):
             continue
         if attrs is None:
-            if open_[name]:
-                node = here
-                while node.name != name and not (name in _WEAK_ENDS and node.name in _SCOPES):
-                    node = node.parent
-                if node.name == name:
-                    leave(node)
+            open_.end(name)
             continue
-        closes = _SIBLINGS.get(name, _NOTHING) | (_P if name in _CLOSES_P else _NOTHING)
-        if any(open_[c] for c in closes):
-            node, shut = here, None
-            while node is not root:
-                if node.name in closes:
-                    shut = node
-                elif node.name in _SCOPES:
-                    break
-                node = node.parent
-            if shut is not None:
-                leave(shut)
+        if closes := _SIBLINGS.get(name, _NOTHING) | (_P if name in _CLOSES_P else _NOTHING):
+            open_.close(closes)
+            here = open_.path[-1]
         child = Node(name, here, *_left_out(name, attrs))
         here.parts.append(child)
-        if name not in VOID and not alone and depth < MAX_DEPTH:
-            here = child
-            depth += 1
-            open_[name] += 1
+        if name not in VOID and not alone:
+            open_.enter(child)
     return root
 
 

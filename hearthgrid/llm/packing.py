@@ -203,9 +203,8 @@ def patterns_of(counts: np.ndarray, capacity: int, each: int = PATTERNS) -> list
 
 
 def fit_counts(patterns: list[tuple[int, ...]], counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Repeats x >= 0 that minimise ||A x - counts||^2 with A the patterns' lengths; multiplicative updates.
-
-    Rows are scaled by length, so an unmet long length costs more than a short one.
+    """Repeats x >= 0 that minimise ||S (A x - counts)||^2 with A the patterns' lengths and S the lengths themselves, so an unmet long
+    length costs more than a short one. Multiplicative updates: each keeps x >= 0 and never raises the sum of squares.
     """
     rows = np.array([x for p in patterns for x in p])
     cols = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
@@ -213,7 +212,7 @@ def fit_counts(patterns: list[tuple[int, ...]], counts: np.ndarray, capacity: in
     fill = np.array([sum(p) / capacity for p in patterns])
     want = counts * scale
     x = np.full(len(patterns), counts.sum() / max(len(patterns), 1)) * fill**8
-    top = np.bincount(cols, (want * scale)[rows], len(patterns)) * fill**4
+    top = np.bincount(cols, (want * scale)[rows], len(patterns))
     for _ in range(rounds):
         made = np.bincount(rows, x[cols], len(counts)) * scale
         x *= top / np.maximum(np.bincount(cols, (made * scale)[rows], len(patterns)), 1e-12)
@@ -282,10 +281,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     for r in histogram:
         counts[r["length"]] = r["count"]
     places = spark.sparkContext.broadcast(place_table(pack_counts(counts, capacity)))
-    cells = max(1, int(counts.sum()) // CELL_ROWS)
-    pieces = pieces.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(cells)))
+    # as many cells as a length's own pieces fill; one row for each length
+    cells = spark.createDataFrame([(r["length"], -(-r["count"] // CELL_ROWS)) for r in histogram], "length long, cells long")
+    pieces = pieces.join(F.broadcast(cells), "length").withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("cells"))).drop("cells")
     ahead = pieces.groupBy("length", "cell").count().selectExpr("length", "cell", "sum(count) over (partition by length order by cell rows between unbounded preceding and 1 preceding) as ahead")
-    columns = [c for c in pieces.columns if c != "cell"]
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     ranked = pieces.join(ahead.select("length", "cell", F.coalesce("ahead", F.lit(0)).alias("ahead")), ["length", "cell"])
     ranked = ranked.withColumn("rank", F.expr("ahead + row_number() over (partition by length, cell order by doc_id, piece, ids_crc32) - 1"))
 

@@ -68,3 +68,17 @@ def test_odd_rows(spark):
     got = sorted(map(tuple, html_text.extract_main_text(df).collect()), key=repr)
     assert got == sorted([(None, None, "", 0), (1, "u", "", 0), (2, "u", LONG, len(LONG)), (2, "u", LONG, len(LONG)), (3, None, "", 0)], key=repr)
     assert html_text.extract_main_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("depth", [10, 600, 30_000])
+def test_boilerplate_is_left_out_at_any_depth(depth):
+    words = "Plain words of a long story that somebody wrote about the sea. " * 20
+    page = "<body>" + "<div>" * depth + f"<nav>MENU LINKS HERE</nav><article><header>HEAD</header><p>{words}</p></article>" + "</div>" * depth + "<footer>FOOT</footer></body>"
+    assert html_text.extract(page) == words.strip()
+
+
+def test_end_tags_cost_no_walk_up_the_tree():
+    page = "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000 + "text"
+    began = time.perf_counter()
+    assert html_text.extract(page) == "text"
+    assert time.perf_counter() - began < 20

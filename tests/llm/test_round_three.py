@@ -245,3 +245,39 @@ def test_ranks_go_over_ranges(spark):
     got = sorted(importance.ranked(rows.selectExpr("doc_id", "cast(score as long) as score", "_row"), 1234).where("rank is not null").collect(), key=lambda r: r["rank"])
     want = sorted(rows.collect(), key=lambda r: (-r["score"], r["doc_id"]))[:1234]
     assert [r["doc_id"] for r in got] == [r["doc_id"] for r in want] and [r["rank"] for r in got] == list(range(1, 1235))
+
+
+# --- packing: the fit is least squares, and ranks come from cells of a length's own size
+
+
+def test_fit_is_non_negative_least_squares():
+    rng = random.Random(5)
+    counts = np.zeros(101, np.int64)
+    for _ in range(12):
+        counts[rng.randrange(5, 100)] += rng.randrange(1, 400)
+    patterns = packing.patterns_of(counts, 100)
+    a = np.zeros((101, len(patterns)))
+    for k, p in enumerate(patterns):
+        for v in p:
+            a[v, k] += 1
+    s = np.arange(101) / 100
+    a, want = a * s[:, None], counts * s
+    x = packing.fit_counts(patterns, counts, 100, rounds=4000)
+    gradient = a.T @ (a @ x - want)
+    scale = np.abs(a.T @ want).max()
+    assert (x >= 0).all() and (gradient > -0.01 * scale).all() and np.abs(gradient * x).max() < 0.01 * scale * x.max()
+    y = np.zeros(len(patterns))  # projected gradient from zero
+    step = 1 / np.linalg.norm(a, 2) ** 2
+    for _ in range(20_000):
+        y = np.maximum(y - step * (a.T @ (a @ y - want)), 0)
+    assert ((a @ x - want) ** 2).sum() <= 1.02 * ((a @ y - want) ** 2).sum() + 1e-3 * (want**2).sum()
+
+
+def test_pieces_of_one_length_are_ranked_in_several_cells(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CELL_ROWS", 3)
+    rows = [(k, "word") for k in range(40)] + [(100 + k, "two words here") for k in range(5)] + [(None, None)]
+    got = packing.pack(spark.createDataFrame(rows, DOCS), capacity=16).collect()
+    assert len(got) == len(rows)
+    for places in [[r for r in got if r["sequence_id"] == q] for q in {r["sequence_id"] for r in got}]:
+        edges = sorted((r["offset"], r["length"]) for r in places)
+        assert edges[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(edges, edges[1:], strict=False)) and sum(n for _, n in edges) <= 16
