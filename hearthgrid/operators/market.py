@@ -14,16 +14,6 @@ def guarded_median(c: Column, digits: int = 0, least: int = LEAST) -> Column:
     return F.when(F.count(c) >= least, F.bround(F.median(c), digits))
 
 
-def upper_median(c: str) -> Column:
-    """The upper of the two middle values, which is a value of the column."""
-    return F.expr(f"percentile_disc(0.5) within group (order by `{c}` desc)")
-
-
-def order_statistic(c: str, share: float) -> Column:
-    """The value at index int(share * n) of the sorted column, counted from zero."""
-    return F.expr(f"percentile_disc({share + 1e-12:.12f}D) within group (order by `{c}`)")
-
-
 def positive(c: str) -> Column:
     """The column with zero read as unknown."""
     return F.when(F.col(c) != 0, F.col(c))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text
 from ..functions.geo import haversine_km
-from ..operators import board, dedup, entities, market, scoring, state
+from ..operators import board, dedup, entities, market, profile, ranks, records, scoring, state
 from ..sources import listings, tables
 from . import pages
 
@@ -23,11 +24,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def median_price_by_brand_min4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("p_retailprice").alias("n"), market.guarded_median(F.col("p_retailprice"), 2).alias("median_price"))
+    return ranks.medians(_read(spark, sf_dir, "part"), ["p_brand"], "p_retailprice", 2, name="median_price")
 
 
 def upper_median_price(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(market.upper_median("o_totalprice").alias("upper_median"))
+    return ranks.ranked_values(_read(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", {"upper_median": F.floor(F.expr("n / 2"))}).drop("n")
 
 
 def price_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +66,8 @@ def typical_fee_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p90_then_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = F.greatest(F.lit(3.0), F.least(F.lit(8.0), F.col("p90") / 1000 * 2.2))
-    return _read(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(market.order_statistic("c_acctbal", 0.9).alias("p90")).withColumn("side", F.bround(side, 4))
+    found = ranks.ranked_values(_read(spark, sf_dir, "customer"), ["c_mktsegment"], "c_acctbal", {"p90": F.floor(F.expr("0.9D * n"))})
+    return found.drop("n").withColumn("side", F.bround(side, 4))
 
 
 def coverage_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +113,9 @@ def viewport_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kpi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _read(spark, sf_dir, "orders")
-    return o.agg(F.count("*").alias("live"), F.count_if(F.col("o_orderstatus") == "O").alias("new"), F.count_if(F.col("o_totalprice") < 50_000).alias("cheap"), market.upper_median("o_totalprice").alias("median_price"))
+    counts = o.agg(F.count("*").alias("live"), F.count_if(F.col("o_orderstatus") == "O").alias("new"), F.count_if(F.col("o_totalprice") < 50_000).alias("cheap"))
+    middle = ranks.ranked_values(o, [], "o_totalprice", {"median_price": F.floor(F.expr("n / 2"))})
+    return counts.withColumn("median_price", F.lit(middle.select("median_price").scalar()))
 
 
 # --- eligibility and scores ----------------------------------------------------------------------------------------------
@@ -432,6 +436,20 @@ def tolerant_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.json_lines(damaged, "line", "k int")
 
 
+def json_path_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.json_paths(_read(spark, sf_dir, "events"), F.concat(F.lit('{"type":"'), "event_type", F.lit('","seen":[{"user":'), F.col("user_id").cast("string"), F.lit('},{"other":1}],"props":'), "props", F.lit("}")))
+
+
+def record_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as lines of an older version with a key too many and a stale computed value, read, written and read again."""
+    old = _read(spark, sf_dir, "orders").select(F.to_json(F.struct("o_orderkey", F.col("o_totalprice").alias("price"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey") * 1.0).alias("fees"), F.lit(-1.0).alias("cost"), F.lit("x").alias("gone"), F.struct(F.col("o_orderstatus").alias("status"), F.array("o_custkey").alias("ids")).alias("extras"))).alias("value"))
+    schema = StructType.fromDDL("o_orderkey long, price double, fees double, cost double, extras variant")
+    cost = {"cost": F.col("price") + F.coalesce("fees", F.lit(0.0))}
+    once = records.from_lines(old, schema, cost)
+    again = records.from_lines(records.to_lines(once, cost), schema, cost)
+    return again.select("o_orderkey", "price", "fees", "cost", F.variant_get("extras", "$.status", "string").alias("status"), F.variant_get("extras", "$.ids[0]", "long").alias("first_id"))
+
+
 def pagination(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _read(spark, sf_dir, "region").withColumn("url", F.concat(F.lit("https://a.example/q"), F.when(F.col("r_regionkey") % 2 == 0, "?page=9&s=1").otherwise("")))
     return r.select("r_regionkey", F.posexplode(text.pages_of(F.col("url"), "page", 3)).alias("pos", "url"))
@@ -701,6 +719,11 @@ SELECT CASE WHEN regexp_matches(text, '(token|password) ?=') THEN 'secret' WHEN
     + " END AS name FROM documents",
     "json_props": "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS INTEGER)) AS BIGINT) AS total, count(json_extract(props, '$.k')) AS n FROM events GROUP BY event_type",
     "tolerant_json_lines": "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE event_id % 10 NOT IN (0, 1)",
+    "json_path_profile": """
+WITH p AS (SELECT 'type' AS path, 'string' AS kind, event_type AS v FROM events UNION ALL SELECT 'seen[].user', 'number', CAST(user_id AS VARCHAR) FROM events UNION ALL SELECT 'props.k', 'number', json_extract_string(props, '$.k') FROM events)
+SELECT path, kind, CAST(count(*) AS BIGINT) AS n, min(v) AS example FROM p GROUP BY ALL""",
+    "record_round_trip": """
+SELECT o_orderkey, o_totalprice AS price, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey * 1.0 END AS fees, o_totalprice + CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey * 1.0 ELSE 0 END AS cost, o_orderstatus AS status, o_custkey AS first_id FROM orders""",
     "pagination": """
 WITH u AS (SELECT r_regionkey, 'https://a.example/q' || CASE WHEN r_regionkey % 2 = 0 THEN '?page=9&s=1' ELSE '' END AS url FROM region)
 SELECT r_regionkey, CAST(n - 1 AS INTEGER) AS pos, CASE WHEN n = 1 THEN url WHEN r_regionkey % 2 = 0 THEN replace(url, 'page=9', 'page=' || n) ELSE url || '?page=' || n END AS url FROM u, range(1, 4) AS t(n)""",
