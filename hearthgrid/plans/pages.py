@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import amounts
 from ..operators import enrich, geocode
 from ..sources import detail, enclosing
 
@@ -55,7 +56,7 @@ def detail_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of four kinds made of customers: a sheet before the title, prose only, cut at the address, and without either."""
     k = F.col("c_custkey")
     s = lambda c: c.cast("string")
-    sheet = F.concat(F.lit("<head><style>p{}</style></head><nav>3 dormitorios</nav> <div>Precio: $ 1."), s(k % 900 + 100), F.lit(".000 · "), s(k % 4 + 3), F.lit(" Habitaciones <b>"), s(k % 3 + 2), F.lit(" baños</b> · Año de construcción: "), s(k % 30 + 1990), F.lit("</div>"))
+    sheet = F.concat(F.lit("<head><style>p{}</style></head><nav>3 dormitorios</nav> <div>Precio convertido: $ 1."), s(k % 900 + 100), F.lit(".000 · "), s(k % 4 + 3), F.lit(" Habitaciones <b>"), s(k % 3 + 2), F.lit(" baños</b> · Año de construcción: "), s(k % 30 + 1990), F.lit("</div>"))
     title = F.concat(F.lit("Departamento luminoso de Nº "), s(k))
     prose = F.concat(F.lit("<p>Tiene 2 dormitorios y 1 baño, superficie total "), s(k % 90 + 40), F.lit(" m2, gastos comunes $ "), s(k % 80 + 20), F.lit(".000</p><script>9 dormitorios</script>"))
     place = F.concat(F.lit("Avenida Larga "), s(k % 500 + 1000))
@@ -78,6 +79,25 @@ def enclosing_link_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enclosing.fill_by_enclosing_link(p, pages, key="p_partkey").select("p_partkey", "price", "fees")
 
 
+def labelled_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions of eight kinds made of orders."""
+    k, s = F.col("o_orderkey"), lambda c: c.cast("string")
+    a, g = k % 600 + 300, k % 80 + 20  # thousands
+    kinds = [
+        ("Arriendo $ ", a, ".000, gastos comunes $ ", g, ".000, garantía 2 meses"),
+        ("Valor $1.", k % 800 + 100, ".000 + G.C. $", g, ".000"),
+        ("Canon 1,", k % 9 + 1, " millones; Garantía: $ ", a, ".000"),
+        ("Departamento por CLP ", a * 1000, ".00; GGCC $ ", g, ".000"),
+        ("UF ", k % 90 + 10, " mensuales. Gastos comunes: UF ", k % 9 + 1, ",5"),
+        ("*Gastos comunes: $ ", g, ".000 en verano y $ ", g + 300, ".000 en invierno"),
+        ("*MPB*", a, ".605 se arrienda, valor promedio de arriendo $ ", a, ".000"),
+        ("Precio de venta $ ", k % 90 + 50, ".000.000 | ", a, ".000 pesos"),
+    ]
+    texts = [F.concat(*[F.lit(p) if isinstance(p, str) else s(p) for p in kind]) for kind in kinds]
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", F.get(F.array(*texts), (k % 8).cast("int")).alias("t")).withColumn("read", amounts.read_amounts(F.col("t")))
+    return o.select("o_orderkey", *_named(amounts.money(F.col("read"))), F.size("read.found").alias("n"), F.array_join(F.transform("read.found", lambda x: F.coalesce(x["label"], F.lit("-"))), ",").alias("labels"))
+
+
 def _geo(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Column]:
     """Customers as listings, suppliers as earlier answers, and the forms of a listing's address."""
     k, m = F.col("c_custkey"), F.col("m")
@@ -164,6 +184,12 @@ FROM f""",
 SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_custkey % 4 <> 3 AS anchored, CASE WHEN c_custkey % 4 = 0 THEN 1000000.0 + (c_custkey % 900 + 100) * 1000 END AS price, (c_custkey % 80 + 20) * 1000.0 AS fees,
   CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 30 + 1990 END AS built, CASE WHEN c_custkey % 4 = 0 THEN year(DATE '{AS_OF}') - (c_custkey % 30 + 1990) END AS age, c_custkey % 90 + 40.0 AS total,
   CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 4 + 3 ELSE 2 END AS bedrooms, CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 3 + 2 ELSE 1 END AS baths FROM customer""",
+    "labelled_amounts": """
+WITH k AS (SELECT o_orderkey AS k, o_orderkey % 8 AS t, (o_orderkey % 600 + 300) * 1000.0 AS a, (o_orderkey % 80 + 20) * 1000.0 AS g FROM orders)
+SELECT k AS o_orderkey,
+  CASE t WHEN 0 THEN a WHEN 1 THEN 1000000.0 + (k % 800 + 100) * 1000 WHEN 2 THEN round(1000000.0 + (k % 9 + 1) * 100000) WHEN 3 THEN a WHEN 4 THEN (k % 90 + 10) * 40800.0 WHEN 7 THEN a END AS rent,
+  CASE WHEN t = 4 THEN (k % 90 + 10) * 1.0 END AS rent_uf, CASE WHEN t IN (0, 1, 3, 5) THEN g WHEN t = 4 THEN round_even((k % 9 + 1.5) * 40800, 0) END AS fees, CASE WHEN t = 7 THEN (k % 90 + 50) * 1000000.0 END AS sale, CASE WHEN t = 0 THEN 2.0 END AS guarantee,
+  CAST(CASE t WHEN 4 THEN 0 WHEN 6 THEN 1 ELSE 2 END AS INTEGER) AS n, CASE t WHEN 0 THEN 'rent,fees' WHEN 1 THEN '-,fees' WHEN 2 THEN 'rent,guarantee' WHEN 3 THEN '-,fees' WHEN 4 THEN '' WHEN 5 THEN 'fees,fees' WHEN 6 THEN 'statistic' ELSE 'sale,-' END AS labels FROM k""",
     "enclosing_link_prices": """
 WITH p AS (SELECT p_partkey AS k, p_retailprice, p_partkey % 3 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 900 + 100 >= 250 AS own FROM part)
 SELECT k AS p_partkey, CASE WHEN k % 5 = 0 THEN p_retailprice WHEN own THEN (k % 900 + 100) * 1000.0 END AS price, CASE WHEN k % 5 <> 0 AND own AND k % 4 = 0 THEN (k % 80 + 20) * 1000.0 END AS fees FROM p""",

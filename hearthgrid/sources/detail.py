@@ -78,9 +78,8 @@ def sections(text: Column, title: Column, address: Column) -> dict[str, Column]:
 def _said(text: Column, found: Column, as_of: Column) -> dict[str, Column]:
     """Fields of a section; of money only what has a label."""
     size, rooms, age, floor = areas(text), programme(text), building_age(text, as_of), floor_and_unit(text)
-    labelled = F.filter(found, lambda x: x["label"].isNotNull())
-    rent, fees = amounts.rent_and_fees(labelled)
-    return {"price": rent, "fees": fees, "built": age["built"], "age": age["age"], **{k: size[k] for k in ("total", "useful", "terrace")}, **{k: rooms[k] for k in ("bedrooms", "baths", "parking", "storage")}, "floor": floor["floor"]}
+    said = amounts.labelled_money(found)
+    return {"price": said["rent"], "fees": said["fees"], "built": age["built"], "age": age["age"], **{k: size[k] for k in ("total", "useful", "terrace")}, **{k: rooms[k] for k in ("bedrooms", "baths", "parking", "storage")}, "floor": floor["floor"]}
 
 
 def text_readings(pages: DataFrame, listings: DataFrame, as_of: Column, page_url: str = "page_url", html: str = "html", url: str = "url", title: str = "title", address: str = "address") -> DataFrame:
@@ -94,7 +93,7 @@ def text_readings(pages: DataFrame, listings: DataFrame, as_of: Column, page_url
     p = pages.select(F.col(page_url).alias("page_url"), canonical_url(F.col(page_url)).alias("_page"), visible_text(F.col(html)).alias("_text"))
     p = p.join(own, "_page").where(F.length("_text") >= LEAST)
     p = p.withColumns(sections(F.col("_text"), F.col("_l._title"), F.col("_l._address"))).drop("_text", "_l")
-    p = p.withColumns({f"_{k}_amounts": amounts.labelled_amounts(F.col(k)) for k in ("header", "body")})
+    p = p.withColumns({f"_{k}_amounts": amounts.read_amounts(F.col(k)) for k in ("header", "body")})
     for k in ("header", "body"):
         p = p.withColumn(f"_{k}", F.struct(*[v.alias(c) for c, v in _said(F.col(k), F.col(f"_{k}_amounts"), as_of).items()]))
     # zero in the header is no news

@@ -131,9 +131,9 @@ def fill_by_enclosing_link(rows: DataFrame, pages: DataFrame, page: str = "page_
     climbed = asks.select("page_id", "path", "_l.before", "_l.after", F.posexplode("_l.blocks").alias("level", "_x"))
     over = (F.col("_x.chars") > LARGEST) | F.coalesce(F.col("before") > F.col("_x.opens"), F.lit(False)) | F.coalesce(F.col("after") < F.col("_x.closes"), F.lit(False))
     # a block lies in the next, so what ends the climb at one level ends it at all above
-    read = climbed.where(~over).withColumn("_found", amounts.labelled_amounts(F.col("_x.text")))
-    rent, common = amounts.rent_and_fees(F.col("_found"))
-    read = read.withColumns({"_rent": rent, "_common": common}).where("_rent is not null")
+    read = climbed.where(~over).withColumn("_found", amounts.read_amounts(F.col("_x.text")))
+    said = amounts.money(F.col("_found"))
+    read = read.withColumns({"_rent": said["rent"], "_common": said["fees"]}).where("_rent is not null")
     best = read.groupBy("page_id", "path").agg(F.min_by(F.struct("_rent", "_common"), "level").alias("_got"))
     best = best.select(F.col("page_id").alias("_page"), F.col("path").alias("_path"), "_got")
     out = named.withColumn("_page", F.when(F.col(price).isNull() & (F.col(url) != F.col(base)) & (F.length(url_path(F.col(url))) >= LEAST_PATH), F.col(page).cast("long")))

@@ -98,7 +98,7 @@ def text_of(spark, html, title=None, address=None):
 
 
 def test_the_header_before_the_title_wins_over_prose(spark):
-    html = """<html><script>3 dormitorios</script><body><div>Precio: $1.817.308 · 4 habitaciones 5 baños · Piso 5 · Año de construcción: 2010</div>
+    html = """<html><script>3 dormitorios</script><body><div>Precio convertido: $1.817.308 · 4 habitaciones 5 baños · Piso 5 · Año de construcción: 2010</div>
     <h1>Amplio departamento en calle  tranquila</h1><p>Primer piso: living, 3 dormitorios y 2 baños. Gastos comunes $ 250.000. Superficie 142 m2 totales</p></body></html>"""
     (got,) = text_of(spark, html, title="amplio DEPARTAMENTO en calle tranquila")
     assert got["anchored"] and (got["bedrooms"], got["baths"], got["floor"], got["built"], got["price"], got["total"], got["fees"]) == (4, 5, 5, 2010, 1_817_308.0, 142.0, 250_000.0)

@@ -40,9 +40,72 @@ def test_locale_number(spark, raw, want):
     ],
 )
 def test_rent_and_fees(spark, raw, rent, fees):
-    df = spark.createDataFrame([(raw,)], "t string").select(amounts.labelled_amounts(F.col("t")).alias("a"))
-    r, f = amounts.rent_and_fees(F.col("a"))
-    assert tuple(df.select(r.alias("r"), f.alias("f")).first()) == (rent, fees)
+    (got,) = money_of(spark, [raw])
+    assert (got["rent"], got["fees"]) == (rent, fees)
+
+
+def money_of(spark, raws, rate=40_000.0):
+    df = spark.createDataFrame(list(enumerate(raws)), "i int, t string").select("i", amounts.read_amounts(F.col("t")).alias("a"))
+    out = df.select("i", *[v.alias(k) for k, v in amounts.money(F.col("a"), rate).items()], *[v.alias(f"labelled_{k}") for k, v in amounts.labelled_money(F.col("a"), rate).items()])
+    return [r for _, r in sorted((r["i"], r) for r in out.collect())]
+
+
+MONEY = (
+    [
+        ("Canon 1,4 millones al mes", {"rent": 1_400_000}),
+        ("se arrienda por 980.000 pesos", {"rent": 980_000}),
+        ("Piso por CLP 1600000.00", {"rent": 1_600_000, "labelled_rent": None}),
+        ("Disponible 720.000", {"rent": 720_000, "labelled_rent": None}),
+        ("subirá 300.000. (luego $400.000)", {"rent": 400_000, "fees": None}),
+        ("Valor $1.450.000 + G.C. $180.000", {"rent": 1_450_000, "fees": 180_000, "labelled_rent": None, "labelled_fees": 180_000}),
+        ("Arriendo: $1.100.000 más gastos comunes de $150.000", {"rent": 1_100_000, "fees": 150_000}),
+        ("GGCC $500.000", {"rent": None, "fees": 500_000}),
+        ("Gastos comunes aprox. $220.000", {"rent": None, "fees": 220_000}),
+        ("$220.000 de gastos comunes", {"rent": None, "fees": 220_000}),
+        ("*Gastos comunes: $400.000 en verano y $490.000 en invierno", {"rent": None, "fees": 400_000}),
+        ("gastos comunes $250.000-$300.000", {"rent": None, "fees": 250_000}),
+        ("Arriendo $1.500.000 - GC $200.000", {"rent": 1_500_000, "fees": 200_000}),
+        ("$1.550.000 / $220.000", {"rent": 1_550_000, "fees": 220_000}),
+        ("$1.550.000 / $220.000 / $210.000", {"rent": 1_550_000, "fees": None}),
+        ("Valor promedio de arriendo $350.000", {"rent": None, "fees": None}),
+        ("promedio del sector $2.400.000 Precio convertido: $1.817.308", {"rent": 1_817_308, "labelled_rent": 1_817_308}),
+        ("gastos comunes promedio $180.000", {"fees": 180_000}),
+        ("Garantía $900.000, comisión $450.000, contribuciones $300.000", {"rent": None, "fees": None}),
+        ("Arriendo $900.000, garantía 2 meses", {"rent": 900_000, "guarantee": 2}),
+        ("garantía equivalente a un mes", {"guarantee": 1}),
+        ("3 meses de garantía", {"guarantee": 3}),
+        ("Precio de venta $95.000.000", {"rent": None, "sale": 95_000_000}),
+        ("$120.000.000", {"rent": None, "sale": 120_000_000}),
+        ("Arriendo en $36.000.000", {"rent": None, "sale": None}),
+        ("Cod. 409.892 bonito", {"rent": None}),
+        ("AT397.842* local", {"rent": None}),
+        ("*MPB*411.605. Luego", {"rent": None}),
+        ("por 850.000 nada más", {"rent": 850_000}),
+        ("UF 42,5 mensuales", {"rent": 1_700_000, "rent_uf": 42.5}),
+        ("CLF 46.00", {"rent": 1_840_000, "rent_uf": 46}),
+        ("30 u.f.", {"rent": 1_200_000, "rent_uf": 30}),
+        ("Valor UF hoy 39,5 UF según el banco central del país; canon 50 UF", {"rent_uf": 50}),
+        ("UF 39.500 del día, UF 4", {"rent_uf": None, "rent": None}),
+        ("Arriendo $900.000 o UF 23", {"rent": 900_000, "rent_uf": None}),
+        ("Gastos comunes: UF 15,15", {"fees": 606_000}),
+        ("Gastos comunes: UF 1.500", {"fees": None}),
+        ("Gastos comunes $90.000 (UF 2,2)", {"fees": 90_000}),
+        ("arriendo $ 5.000, $ 300.000", {"rent": 300_000}),
+        ("", {"rent": None, "fees": None, "sale": None, "guarantee": None}),
+        (None, {"rent": None, "rent_uf": None, "fees": None, "guarantee": None}),
+    ]
+)
+
+
+def test_money(spark):
+    got = money_of(spark, [raw for raw, _ in MONEY])
+    assert [(raw, {k: r[k] for k in want}) for (raw, want), r in zip(MONEY, got, strict=True)] == MONEY
+
+
+def test_numbers_in_python_equal_those_of_the_column(spark):
+    raws = ["2.340.000", "2340000", "2.340,75", "3,7", "4,210,000", "4,210,000.5", "2 340 000", "1.2345", "12.34,5", "1.5", "", "abc", "1.2.3", "2,340", "1,2,3", "5,", ".567", "-3"]
+    got = spark.createDataFrame([(r,) for r in raws], "t string").select("t", text.locale_number(F.col("t")).alias("v")).collect()
+    assert {r["t"]: r["v"] for r in got} == {r: amounts.number_of(r) for r in raws}
 
 
 @pytest.mark.parametrize(
