@@ -138,3 +138,38 @@ def test_thousands_of_rules_and_one_hot_url(spark):
     assert got[50] == ("block", "path p499") and got[51] == got[52] == ("allow", None) and got[53] == ("block", "host w7 common")
     index = {r["pattern_rule"]: r["token"] for r in url_filters.rule_index(spark.createDataFrame([("w7.common",), ("common",)], "target string"), rules).collect()}
     assert len(index) == 3500 and index["host w7 common"] == "w7" and index["host w8 common"] == "w8"
+
+
+LINES = """
+! comment
+||ads.example^
+||tracker.*/pixel^
+|shop.example/sale|
+/banner/*/img^
+-popup-
+@@||ads.example/about^
+@@/press/ads^
+/q[0-9]{3,}z/
+*
+""".strip().splitlines()[:-1]
+URLS = {
+    "https://ads.example/x": "block", "https://www.ads.example": "block", "https://badads.example/x": "allow", "https://ads.example.org/x": "allow", "https://ads.example/about": "allow", "https://ads.example/aboutus": "block",
+    "https://a.tracker.io/pixel?x": "block", "https://a.tracker.io/pixels": "allow", "https://shop.example/sale": "block", "https://shop.example/sales": "allow", "https://www.shop.example/sale": "allow", "https://x.example/banner/9/IMG": "block",
+    "https://x.example/banner/img": "allow", "https://x.example/a-popup-b": "block", "https://x.example/Popup": "allow", "https://ads.example/press/ads": "allow", "https://x.example/q1234z": "block", "https://x.example/q12z": "allow",
+}
+
+
+@pytest.mark.parametrize("most", [20_000, 1])
+def test_filter_syntax(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filters, "BROADCAST_RULES", most)
+    rules = url_filters.pattern_rules(LINES)
+    assert [(r.tokens, r.verdict) for r in rules] == [(("ads", "example"), "block"), (("tracker", "pixel"), "block"), (("shop", "example", "sale"), "block"), (("banner", "img"), "block"), (("popup",), "block"), (("ads", "example", "about"), "allow"), (("press", "ads"), "allow"), ((), "block")]
+    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)], "page_id long, url string, host string")
+    got = {r["page_id"]: r["verdict"] for r in url_filters.filter_urls(df, domain_rules=(), pattern_rules=rules).collect()}
+    assert {u: got[i] for i, u in enumerate(URLS)} == URLS
+
+
+def test_domain_rules_are_found_by_suffix():
+    index = url_filters.domain_index([("a.example", "/", "block"), ("example", "/long/", "allow"), ("example", "/", "allow"), ("example", "/", "block"), *[(f"h{i}.example", "/", "block") for i in range(5000)]])
+    for host, path, want in [("a.example", "/x", ("a.example/", "block")), ("b.a.example", "/long/x", ("example/long/", "allow")), ("xa.example", "/", ("example/", "block")), ("h7.example", "/", ("h7.example/", "block")), ("other", "/", (None, None)), ("", "", (None, None)), ("a.example", "", (None, None))]:
+        assert url_filters.domain_verdict(host, path, index) == want
