@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -281,3 +282,22 @@ def test_pieces_of_one_length_are_ranked_in_several_cells(spark, monkeypatch):
     for places in [[r for r in got if r["sequence_id"] == q] for q in {r["sequence_id"] for r in got}]:
         edges = sorted((r["offset"], r["length"]) for r in places)
         assert edges[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(edges, edges[1:], strict=False)) and sum(n for _, n in edges) <= 16
+
+
+# --- passing tables
+
+
+@pytest.mark.parametrize("name", ["op6_simhash_near_dedup", "op9_best_fit_packing", "op11_lexical_search", "op12_minhash_near_dedup", "op13_importance_resampling", "pipeline"])
+def test_nothing_is_left_behind(spark, name):
+    """What a query still reads is all that it leaves, and its caller can delete that."""
+    import corpus_pipeline
+    from hearthgrid.llm import registry
+
+    folder = common.shared_dir(spark).removeprefix("file:")
+    before, mine = set(os.listdir(folder)), common.written()
+    out = corpus_pipeline.run(spark, SF) if name == "pipeline" else registry.QUERIES[name](spark, SF)
+    assert out.count() > 0
+    left = common.written() - mine
+    assert len(left) <= 3 and len(set(os.listdir(folder)) - before) == len(left)
+    common.discard_but(spark, *mine)
+    assert set(os.listdir(folder)) == before
