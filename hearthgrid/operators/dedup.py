@@ -140,7 +140,7 @@ def deduplicate(listings: DataFrame, fill: list[str]) -> tuple[DataFrame, DataFr
     that stands for it, and the pass that merged it into another one (null if it stands for itself). ``also_in`` makes of that
     where else a home is published.
 
-    Both are written tables in the session's shared folder. Defined results: an unknown identity, door, text, spot or code matches
+    Both are written tables in the session's shared folder; ``homes.passing.release()`` deletes them. Defined results: an unknown identity, door, text, spot or code matches
     nothing; an empty text to fill is unknown and comes back as null; an empty table gives empty results.
     """
     run = Passing(listings.sparkSession, "dedup")
@@ -152,6 +152,7 @@ def deduplicate(listings: DataFrame, fill: list[str]) -> tuple[DataFrame, DataFr
         members = members.join(moved, "into", "left").select("ord", F.coalesce("_next", "into").alias("into"), F.coalesce("by", F.when(F.col("_next").isNotNull(), name)).alias("by"))
     homes, members = run.held(reduce(lambda d, c: d.drop(c), ("_at", "_fill"), df)), run.held(members)
     run.release(homes, members)
+    homes.passing = members.passing = run
     return homes, members
 
 

@@ -1,6 +1,7 @@
 """The five passes against a plain version that walks the listings one by one."""
 
 import math
+import os
 import random
 import re
 
@@ -119,7 +120,13 @@ def test_five_passes_equal_the_plain_version(spark):
     assert {m: v[0] for m, v in got.items()} == {m: v[0] for m, v in want.items()}
     assert got == want
     assert all(got_rows[k]["copies"] == len(m) for k, m in classes.items()) and set(classes) == set(got_rows)
-    assert dedup.deduplicate(df.limit(0), FILL)[0].count() == 0
+    empty = dedup.deduplicate(df.limit(0), FILL)[0]
+    assert empty.count() == 0
+    for homes_ in (homes, empty):
+        folders = [p.removeprefix("file:") for p in homes_.passing.paths]
+        assert len(folders) == 2 and all(os.path.isdir(f) for f in folders)
+        homes_.passing.release()
+        assert not any(os.path.isdir(f) for f in folders)
 
 
 def compared(listings, homes, members, fill):
