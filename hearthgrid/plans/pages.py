@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import amounts
 from ..operators import enrich, geocode
-from ..sources import detail, enclosing
+from ..sources import detail, enclosing, microdata
 
 LAT0, LON0 = -33.381591, -70.562037
 AS_OF = "2026-08-21"
@@ -79,6 +79,21 @@ def enclosing_link_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enclosing.fill_by_enclosing_link(p, pages, key="p_partkey").select("p_partkey", "price", "fees")
 
 
+def microdata_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as list pages of five rows with microdata; a third of the pages has an item too many, and half of the sites state UF as pesos."""
+    k, page, s = F.col("p_partkey"), F.col("page_id"), lambda c: c.cast("string")
+    p = _table(spark, sf_dir, "part").select(k, ((k - 1) / 5).cast("long").alias("page_id"))
+    rows = p.select(k, "page_id", F.lit("https://homes.example/lista").alias("url"), F.lit("https://homes.example/lista").alias("base"), F.when(k % 7 == 0, k * 1000.0).alias("price"), F.lit(None).cast("double").alias("price_uf"), (k % 11 == 0).alias("direct"), (page % 2 == 0).alias("in_uf"))
+    stated = F.when(k % 4 == 0, s(k % 400 + 10)).when(k % 4 == 1, F.concat(F.lit("$ 1."), s(k % 900 + 100), F.lit(".000"))).when(k % 4 == 2, s(k % 9000 + 600)).otherwise("a convenir")
+    link = F.when(k % 6 == 0, "/venta/x").otherwise(F.concat(F.lit("/ficha/"), s(k)))
+    offer = F.when(k % 2 == 0, F.concat(F.lit("<meta itemprop='price' content='"), stated, F.lit("'>"))).otherwise(F.concat(F.lit("<b itemprop=price>"), stated, F.lit("</b>")))
+    card = F.concat(F.lit("<div itemscope itemtype='https://schema.org/Product'><a href='"), link, F.lit("'>x</a><span itemprop='offers' itemtype='http://schema.org/Offer/'>"), offer, F.lit("</span></div>"))
+    pages = p.select("page_id", k, card.alias("card")).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "card"))), lambda x: x["card"]), "").alias("html"))  # five cards
+    more = F.lit("<p itemtype='https://schema.org/Product'><i itemprop=price>9</i><p itemtype='https://schema.org/Offer'><i itemprop=price>9</i>")
+    pages = pages.withColumn("html", F.when(page % 3 == 0, F.concat("html", more)).otherwise(F.col("html")))
+    return microdata.fill_by_microdata(rows, pages, pos="p_partkey").select("p_partkey", "url", "price", "price_uf", "direct", "operation")
+
+
 def labelled_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descriptions of eight kinds made of orders."""
     k, s = F.col("o_orderkey"), lambda c: c.cast("string")
@@ -184,6 +199,13 @@ FROM f""",
 SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_custkey % 4 <> 3 AS anchored, CASE WHEN c_custkey % 4 = 0 THEN 1000000.0 + (c_custkey % 900 + 100) * 1000 END AS price, (c_custkey % 80 + 20) * 1000.0 AS fees,
   CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 30 + 1990 END AS built, CASE WHEN c_custkey % 4 = 0 THEN year(DATE '{AS_OF}') - (c_custkey % 30 + 1990) END AS age, c_custkey % 90 + 40.0 AS total,
   CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 4 + 3 ELSE 2 END AS bedrooms, CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 3 + 2 ELSE 1 END AS baths FROM customer""",
+    "microdata_prices": """
+WITH p AS (SELECT p_partkey AS k, CAST((p_partkey - 1) // 5 AS BIGINT) AS page FROM part),
+v AS (SELECT *, page % 3 <> 0 AS fits, page % 2 = 0 AS uf, CASE k % 4 WHEN 0 THEN k % 400 + 10.0 WHEN 1 THEN 1000000.0 + (k % 900 + 100) * 1000 WHEN 2 THEN k % 9000 + 600.0 END AS n FROM p),
+f AS (SELECT *, CASE WHEN fits AND k % 7 <> 0 THEN n END AS m, fits AND k % 11 <> 0 AND k % 6 <> 0 AS linked FROM v)
+SELECT k AS p_partkey, CASE WHEN linked THEN 'https://homes.example/ficha/' || k ELSE 'https://homes.example/lista' END AS url,
+  CASE WHEN k % 7 = 0 THEN k * 1000.0 WHEN m BETWEEN 250000 AND 20000000 THEN m WHEN uf AND m BETWEEN 5 AND 500 THEN round_even(m * 40800, 0) END AS price, CASE WHEN uf AND m BETWEEN 5 AND 500 THEN m END AS price_uf,
+  linked OR k % 11 = 0 AS direct, CASE WHEN uf AND m > 500 AND m < 250000 THEN 'venta' END AS operation FROM f""",
     "labelled_amounts": """
 WITH k AS (SELECT o_orderkey AS k, o_orderkey % 8 AS t, (o_orderkey % 600 + 300) * 1000.0 AS a, (o_orderkey % 80 + 20) * 1000.0 AS g FROM orders)
 SELECT k AS o_orderkey,
