@@ -22,13 +22,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_set, discard, materialize, table, word_hashes
+from .common import CHUNK, byte_set, discard, materialize, table, word_pieces
 
 SPAN, STRIDE = 24, 6
 RANK, POWER_STEPS, SEED = 256, 2, 20
@@ -72,9 +73,9 @@ class Items:
     #: Sorted unit * (vocabulary + 1) + term, and how often the unit has the term.
     bag_keys: np.ndarray | None = None
     bag_counts: np.ndarray | None = None
-    vocab: np.ndarray | None = None
-    first_of: np.ndarray | None = None
-    many: np.ndarray | None = None
+    #: The words in order, and their numbers.
+    vocab: list[bytes] = field(default_factory=list)
+    number: dict[bytes, int] = field(default_factory=dict)
     maybe: np.ndarray | None = None
     idf: np.ndarray | None = None
     unit_of: np.ndarray | None = None
@@ -84,23 +85,23 @@ class Items:
     passages: np.ndarray | None = None
 
     def index(self) -> Items:
-        """Adds tables that answer most look-ups at once: of words by their first bits, and a filter of the bags' keys."""
-        slot = (self.vocab >> _SLOT_SHIFT).astype(np.int64)
-        self.first_of = np.full(1 << _SLOT_BITS, len(self.vocab), np.int32)
-        self.first_of[slot[::-1]] = np.arange(len(self.vocab) - 1, -1, -1, dtype=np.int32)
-        self.many = np.bincount(slot, minlength=1 << _SLOT_BITS) > 1
+        """Adds the words' numbers, and a filter that answers most look-ups of the bags' keys at once."""
+        self.number = {w: k for k, w in enumerate(self.vocab)}
         self.maybe = np.zeros(1 << _SLOT_BITS, bool)
         self.maybe[_key_slot(self.bag_keys)] = True
         return self
 
-    def terms(self, hashes: np.ndarray) -> np.ndarray:
-        """Number of each word in the vocabulary, or its size for words outside."""
-        n, slot = len(self.vocab), hashes >> _SLOT_SHIFT
-        at = self.first_of[slot]
-        if len(odd := np.flatnonzero(self.many[slot])):
-            at[odd] = np.minimum(np.searchsorted(self.vocab, hashes[odd]), n - 1)
-        at[np.append(self.vocab, np.uint64(0))[at] != hashes] = n
-        return at
+    def terms(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each word of all texts in the vocabulary, or its size for words outside, and the number of words of each text."""
+        get, n, counts, out, words = self.number.get, len(self.vocab), np.zeros(len(texts), np.int64), [np.zeros(0, np.int32)], []
+        for k, more in word_pieces(texts, _MARKS):
+            counts[k] += len(more)
+            words += more
+            if len(words) > CHUNK // 8:
+                out.append(np.fromiter(map(get, words, repeat(n)), np.int32, len(words)))
+                words = []
+        out.append(np.fromiter(map(get, words, repeat(n)), np.int32, len(words)))
+        return np.concatenate(out), counts
 
 
 def _key_slot(keys: np.ndarray) -> np.ndarray:
@@ -115,20 +116,25 @@ def spans(n: int, size: int, step: int) -> list[int]:
     return out if out[-1] == n - size else [*out, n - size]
 
 
+def words_of_bytes(text: bytes) -> list[bytes]:
+    return [w for _, more in word_pieces([text], _MARKS) for w in more]
+
+
 def read_items(rows: list) -> Items:
     """Items longer than UNIT words are judged by overlapping units of that many, so a long verbatim part counts."""
     out = Items()
     kept = []
     for r in rows:
-        h, _ = word_hashes([normalise(r["text"])], _MARKS)
-        if r["item_id"] is not None and len(h):
-            a, _ = word_hashes([normalise(r["answer"])], _MARKS) if r["answer"] else (h[-max(3, len(h) // 5) :], None)
+        h = words_of_bytes(normalise(r["text"]))
+        if r["item_id"] is not None and h:
+            a = words_of_bytes(normalise(r["answer"])) if r["answer"] else h[-max(3, len(h) // 5) :]
             kept += [(r["item_id"], h[k : k + UNIT], a) for k in spans(len(h), UNIT, UNIT // 2)]
     out.ids = [k[0] for k in kept]
     if not kept:
         return out
-    out.vocab = np.unique(np.concatenate([np.concatenate(k[1:]) for k in kept]))
-    out.words, out.answers = ([np.searchsorted(out.vocab, k[j]).astype(np.int32) for k in kept] for j in (1, 2))
+    out.vocab = sorted({w for k in kept for part in k[1:] for w in part})
+    number = {w: k for k, w in enumerate(out.vocab)}
+    out.words, out.answers = ([np.array([number[w] for w in k[j]], np.int32) for k in kept] for j in (1, 2))
     out.lengths = np.array([len(w) for w in out.words])
     keys = np.repeat(np.arange(len(kept)), out.lengths) * (len(out.vocab) + 1) + np.concatenate(out.words)
     out.bag_keys, out.bag_counts = np.unique(keys, return_counts=True)
@@ -145,8 +151,8 @@ def _term_counts(model):
         for b in batches:
             total = np.zeros(len(items.vocab) + 1, np.int64)
             for _, texts in _grouped(b):
-                hashes, counts = word_hashes(texts, _MARKS)
-                terms, edge = items.terms(hashes), np.cumsum(np.append(0, counts))
+                terms, counts = items.terms(texts)
+                edge = np.cumsum(np.append(0, counts))
                 some = max(1, (1 << 24) // len(total))
                 for i in range(0, len(texts), some):
                     j = min(i + some, len(texts))
@@ -327,8 +333,7 @@ def matches(items: Items, texts: list[bytes]) -> Iterator[tuple[int, int, float,
 
     Every candidate is judged by itself; an item contaminates a text if one of them does, and the best of those is told.
     """
-    hashes, counts = word_hashes(texts, _MARKS)
-    terms = items.terms(hashes)
+    terms, counts = items.terms(texts)
     first = np.cumsum(np.append(0, counts))
     best: dict[tuple[int, int], tuple[bool, float, float, bool]] = {}
     held: list[tuple[np.ndarray, np.ndarray]] = []

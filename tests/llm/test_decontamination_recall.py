@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.01"
 def model(texts, documents):
     """The items with weights as of ``documents`` documents like ``texts``."""
     items = dc.read_items([r | {"answer": None} for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()])
-    seen = Counter(t for x in texts for t in set(items.terms(dc.word_hashes([x], dc._MARKS)[0]).tolist()))
+    seen = Counter(t for x in texts for t in set(items.terms([x])[0].tolist()))
     counts = np.array([seen[t] for t in range(len(items.vocab))]) * (documents / len(texts))
     items.idf = np.log((documents + 2) / np.append(counts + 0.5, 1.5)).astype(np.float32)
     rows = np.zeros((len(items.unit_of), len(items.vocab)), np.float32)
@@ -37,7 +37,7 @@ def test_altered_items_are_found_in_a_large_corpus(replaced):
         c = rng.choice(texts).decode().split()
         at = rng.randrange(len(c))
         docs.append(" ".join(c[:at] + w + c[at:]).encode())
-        own, put, answer = items.words[i], items.terms(dc.word_hashes([docs[-1]], dc._MARKS)[0])[at : at + len(w)], items.answers[i]
+        own, put, answer = items.words[i], items.terms([docs[-1]])[0][at : at + len(w)], items.answers[i]
         ratio = dc.lcs(own, put, len(items.vocab)) / len(own)
         if ratio >= dc.SURE or (ratio >= dc.LIKELY and dc.lcs(answer, put, len(items.vocab)) >= dc.ANSWER * len(answer)):
             due.append((len(docs) - 1, i))
