@@ -10,7 +10,7 @@ from ..functions import text
 from ..functions.geo import haversine_km
 from ..operators import board, dedup, entities, market, profile, ranks, records, scoring, state
 from ..sources import listings, tables
-from . import pages
+from . import homes, pages
 
 #: Anchor of the map queries.
 LAT0, LON0 = -33.381591, -70.562037
@@ -761,5 +761,5 @@ WITH r AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal * 10 END
 SELECT s_suppkey, round_even(CASE WHEN a BETWEEN 20000 AND 100000 THEN a WHEN b BETWEEN 20000 AND 100000 THEN b ELSE 40800 END, 2) AS value, CASE WHEN a BETWEEN 20000 AND 100000 THEN 'env' WHEN b BETWEEN 20000 AND 100000 THEN 'cache' ELSE 'constant' END AS origin FROM r""",
 }
 
-QUERIES = {name: globals()[name] for name in [*ORACLES, "five_pass_dedup"]} | pages.QUERIES
-ORACLES |= pages.ORACLES
+QUERIES = {name: globals()[name] for name in [*ORACLES, "five_pass_dedup"]} | pages.QUERIES | homes.QUERIES
+ORACLES |= pages.ORACLES | homes.ORACLES

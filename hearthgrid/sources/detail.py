@@ -38,13 +38,16 @@ class _Text(HTMLParser):
             self.parts.append(data)
 
 
-def visible(html: str | None) -> str | None:
-    if html is None:
-        return None
+def visible_parts(html: str) -> list[str]:
+    """Pieces of text between markup, in page order."""
     parser = _Text()
     parser.feed(html)
     parser.close()
-    return re.sub(r"\s+", " ", " ".join(parser.parts)).strip()
+    return parser.parts
+
+
+def visible(html: str | None) -> str | None:
+    return None if html is None else re.sub(r"\s+", " ", " ".join(visible_parts(html))).strip()
 
 
 def visible_text(html: Column) -> Column:
