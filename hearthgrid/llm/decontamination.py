@@ -7,10 +7,11 @@ passages by cosine. For each candidate, the longest common subsequence of the it
 window decides: ``SURE`` of the item is a copy; from ``LIKELY`` on, a paraphrase, if the item's answer (its ``answer``
 column, else its last words) is found there too. Each candidate is judged by itself, and one is enough.
 
-The benchmark is a query set that every document meets. Its size is looked at first: up to ``PART_BYTES`` of text it's one
-model, with one vocabulary, one space and two passes over the documents; a larger one is cut into such parts by a hash of
-the items. Parts change which windows are candidates only near the least cosine. Documents are handled where they're
-scanned and never shuffled.
+The benchmark is a query set that every document meets, in blocks. Vocabulary, weights and latent space are those of the whole
+benchmark, made once in Spark; only the items themselves are cut, by a hash, into parts of about ``PART_BYTES``, each with its own
+pass over the documents. So the size of a part changes what a task holds, never a match. What grows with the benchmark without
+parts is its vocabulary: each different word takes ``RANK`` numbers on the driver and in a broadcast. Documents are handled where
+they're scanned and never shuffled.
 
 Defined results: null or wordless text has no match, null or wordless items match nothing; items shorter than ``LEAST``
 words match only as a whole run of words; a null doc_id's matches are returned under the null id; repeated rows are all
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import repeat
 
 import numpy as np
@@ -35,8 +36,8 @@ SPAN, STRIDE = 24, 6
 RANK, POWER_STEPS, SEED = 256, 2, 20
 #: Most words of an item that are judged as one.
 UNIT = 80
-#: Bytes of benchmark text (about 25,000 items) that share one model. That bounds what the driver holds and what is
-#: broadcast: the words' points (rank numbers for each different word) and the passages' (for each 12 words).
+#: Bytes of benchmark text (about 25,000 items) that a task compares with at once. That bounds the units and the passages'
+#: points (rank numbers for each 12 words) that the driver collects and broadcasts together.
 PART_BYTES = 4 << 20
 #: Least cosine of a candidate window in the latent space.
 COSINE = 0.5
@@ -63,8 +64,10 @@ def normalise(text: str | None) -> bytes:
 
 @dataclass
 class Items:
-    """Benchmark items in terms of their own vocabulary, cut into units that are judged by themselves, and the latent space
-    of the units' passages. ``ids``, ``words`` and ``answers`` have a row for each unit."""
+    """Benchmark items in terms of a vocabulary, cut into units that are judged by themselves, and the latent space of all passages.
+
+    ``ids``, ``words`` and ``answers`` have a row for each unit. What all parts of a benchmark share (``_SHARED``) travels once.
+    """
 
     ids: list[int] = field(default_factory=list)
     words: list[np.ndarray] = field(default_factory=list)
@@ -85,12 +88,17 @@ class Items:
     passages: np.ndarray | None = None
 
     def index(self) -> Items:
-        """Adds the words' numbers, and a filter that answers most look-ups of the bags' keys at once."""
-        self.number = {w: k for k, w in enumerate(self.vocab)}
+        """Adds a filter that answers most look-ups of the bags' keys at once."""
         self.maybe = np.zeros(1 << _SLOT_BITS, bool)
         self.maybe[_key_slot(self.bag_keys)] = True
         return self
 
+    def shared(self) -> Items:
+        return Items(**{k: getattr(self, k) for k in _SHARED})
+
+    def within(self, space: Items) -> Items:
+        return replace(self, **{k: getattr(space, k) for k in _SHARED})
+
     def terms(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Number of each word of all texts in the vocabulary, or its size for words outside, and the number of words of each text."""
         get, n, counts, out, words = self.number.get, len(self.vocab), np.zeros(len(texts), np.int64), [np.zeros(0, np.int32)], []
@@ -104,6 +112,9 @@ class Items:
         return np.concatenate(out), counts
 
 
+_SHARED = ("vocab", "number", "idf", "weighted")
+
+
 def _key_slot(keys: np.ndarray) -> np.ndarray:
     return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> _SLOT_SHIFT
 
@@ -120,21 +131,26 @@ def words_of_bytes(text: bytes) -> list[bytes]:
     return [w for _, more in word_pieces([text], _MARKS) for w in more]
 
 
-def read_items(rows: list) -> Items:
-    """Items longer than UNIT words are judged by overlapping units of that many, so a long verbatim part counts."""
-    out = Items()
+def named(vocab: list[bytes]) -> Items:
+    return Items(vocab=vocab, number={w: k for k, w in enumerate(vocab)})
+
+
+def read_items(rows: list, space: Items | None = None) -> Items:
+    """Items in terms of the space's vocabulary, else of their own.
+
+    Items longer than UNIT words are judged by overlapping units of that many, so a long verbatim part counts.
+    """
     kept = []
     for r in rows:
         h = words_of_bytes(normalise(r["text"]))
         if r["item_id"] is not None and h:
             a = words_of_bytes(normalise(r["answer"])) if r["answer"] else h[-max(3, len(h) // 5) :]
             kept += [(r["item_id"], h[k : k + UNIT], a) for k in spans(len(h), UNIT, UNIT // 2)]
+    out = (space or named(sorted({w for k in kept for part in k[1:] for w in part}))).shared()
     out.ids = [k[0] for k in kept]
     if not kept:
         return out
-    out.vocab = sorted({w for k in kept for part in k[1:] for w in part})
-    number = {w: k for k, w in enumerate(out.vocab)}
-    out.words, out.answers = ([np.array([number[w] for w in k[j]], np.int32) for k in kept] for j in (1, 2))
+    out.words, out.answers = ([np.array([out.number[w] for w in k[j]], np.int32) for k in kept] for j in (1, 2))
     out.lengths = np.array([len(w) for w in out.words])
     keys = np.repeat(np.arange(len(kept)), out.lengths) * (len(out.vocab) + 1) + np.concatenate(out.words)
     out.bag_keys, out.bag_counts = np.unique(keys, return_counts=True)
@@ -221,22 +237,61 @@ def passage_rows(items: Items) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def place(items: Items, basis: np.ndarray) -> Items:
-    """Adds the latent space given by the right singular vectors."""
+    """Adds the latent space given by the right singular vectors, and the passages' points in it."""
+    items = lay(items, basis)
+    return items if not items.ids else stand(items, basis)
+
+
+def lay(space: Items, basis: np.ndarray) -> Items:
+    # rows that lie together in memory are several times faster to gather
+    space.weighted = np.ascontiguousarray(np.vstack([space.idf[:-1, None] * basis, np.zeros((1, basis.shape[1]))]), np.float32)
+    return space
+
+
+def stand(items: Items, basis: np.ndarray) -> Items:
     points = np.array([w.astype(np.float32) @ basis[t] for t, w in passage_rows(items)])
     items.passages = points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-9)
-    # rows that lie together in memory are several times faster to gather
-    items.weighted = np.ascontiguousarray(np.vstack([items.idf[:-1, None] * basis, np.zeros((1, basis.shape[1]))]), np.float32)
     return items
 
 
-def build(spark: SparkSession, items: Items) -> Items:
-    """Adds the latent space; the passages' matrix is dealt over partitions for the products of the SVD."""
-    rows = [(t.tolist(), w.astype(float).tolist()) for t, w in passage_rows(items)]
-    parts = max(1, len(rows) // 2_000)
-    matrix = materialize(spark.createDataFrame(rows, "terms array<int>, weights array<double>").repartition(parts), "passages")
-    basis = randomised_svd(matrix, len(items.vocab))
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found: set[bytes] = set()
+        for r in b.to_pylist():
+            if words := words_of_bytes(normalise(r["text"])):  # an answer without a question is no item
+                found.update(words, words_of_bytes(normalise(r["answer"])))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["word"])
+
+
+def _passages(model):
+    """(terms, weights) of the passages of all items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space: Items = model.value
+        for b in batches:
+            items = read_items(b.to_pylist(), space)
+            rows = list(passage_rows(items)) if items.ids else []
+            kinds = (pa.list_(pa.int32()), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k].astype(t) for r in rows], kind) for k, t, kind in zip((0, 1), ("int32", "float64"), kinds, strict=True)], names=["terms", "weights"])
+
+    return run
+
+
+def whole_space(queries: DataFrame, rows: DataFrame) -> tuple[Items, np.ndarray]:
+    """Vocabulary and weights of all items (item_id, text, answer), and the singular vectors of their passages.
+
+    The driver gets the different words, a count and ``RANK`` numbers for each; texts and passages stay with the tasks.
+    """
+    words = queries.select("text", "answer").mapInArrow(_vocabulary, "word binary").distinct().toArrow()
+    space = named(sorted(words.column("word").to_pylist()))
+    if not space.vocab:
+        return space, np.zeros((0, 0), np.float32)
+    space = weigh(space, rows)
+    model = rows.sparkSession.sparkContext.broadcast(space)
+    matrix = materialize(queries.mapInArrow(_passages(model), "terms array<int>, weights array<double>"), "passages")
+    basis = randomised_svd(matrix, len(space.vocab))
     discard(matrix)
-    return place(items, basis)
+    return lay(space, basis), basis
 
 
 def lcs(a: np.ndarray, b: np.ndarray, outside: int) -> int:
@@ -384,9 +439,9 @@ def _grouped(b: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
         yield first, group
 
 
-def _search(model):
+def _search(space, part):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: Items = model.value
+        items: Items = part.value.within(space.value)
         for b in batches:
             docs, rows = b.column("doc_id").to_pylist(), []
             for first, texts in _grouped(b):
@@ -403,16 +458,20 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
-    queries = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", answer.alias("answer")).distinct()
+    queries = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", answer.alias("answer")).where("item_id is not null").distinct()
     size = queries.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("answer"), F.lit(0)))).first()[0] or 0
     parts = max(1, -(-size // part_bytes))
-    queries = queries.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+    space, basis = whole_space(queries, rows)
     out = spark.createDataFrame([], _RESULT)
+    if not space.vocab:
+        return out.where("contaminated").drop("contaminated")
+    shared_space = spark.sparkContext.broadcast(space)
+    queries = queries.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
     for k in range(parts):
-        items = read_items(queries.where(F.col("part") == k).orderBy("item_id", "text").collect())
+        items = read_items(queries.where(F.col("part") == k).orderBy("item_id", "text").collect(), space)
         if items.ids:
-            model = spark.sparkContext.broadcast(build(spark, weigh(items, rows)))
-            found = rows.mapInArrow(_search(model), _RESULT)
+            items = replace(stand(items, basis), vocab=[], number={}, idf=None, weighted=None)
+            found = rows.mapInArrow(_search(shared_space, spark.sparkContext.broadcast(items)), _RESULT)
             out = found if parts == 1 else out.unionByName(found)
     return out.where("contaminated").drop("contaminated")
 

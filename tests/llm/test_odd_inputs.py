@@ -101,9 +101,14 @@ def test_one_candidate_with_the_answer_is_enough(spark):
     docs = [(1, early), (2, some(80) + early + some(300) + late), (3, some(50) + late), (4, some(100) + long_item[120:220] + some(100)), (5, some(500)), (6, keep(0.9)), (6, keep(0.9)), (None, item)]
     df = spark.createDataFrame([(d, " ".join(w), 1, "x") for d, w in docs] + [(7, None, None, None), (8, "", 1, "x")], "doc_id long, text string, item_id int, cosine string")
     bench = spark.createDataFrame([(10, " ".join(item), "x"), (11, " ".join(long_item), "y"), (12, None, None), (13, "", "z"), (14, "two words", "z")], "item_id long, text string, doc_id string")
-    for part in (1 << 22, 400):
-        got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminations(df, bench, part_bytes=part).collect()}
-        assert got == {(2, 10), (3, 10), (4, 11), (6, 10), (None, 10)}
+    told = []
+    for part in (1 << 22, 1200, 400):
+        rows = decontamination.contaminations(df, bench, part_bytes=part).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in rows} == {(2, 10), (3, 10), (4, 11), (6, 10), (None, 10)}
+        told.append(sorted((r["doc_id"] or 0, r["item_id"], round(r["cosine"], 4), r["lcs_ratio"], r["answer_found"]) for r in rows))
+    assert told[0] == told[1] == told[2]
+    odd = spark.createDataFrame([(1, None, "an answer"), (2, "", "more"), (None, "words without an id", None)], "item_id long, text string, answer string")
+    assert decontamination.contaminations(df, odd).count() == 0
 
 
 def test_a_cluster_without_a_shared_folder_is_an_error():
