@@ -73,10 +73,11 @@ def ordered_class(c: Column, patterns: list[tuple[str, str]]) -> Column:
 def longest_name(c: Column, names: list[str]) -> Column:
     """The longest of ``names`` that stands in the text as a word (the first by name among equally long ones).
 
-    The dictionary is an argument of bounded size, so it's part of the expression.
+    The dictionary is an argument of bounded size, so it's part of the expression. A pattern starts with the name and looks back from
+    its end: texts are searched for the name's characters, where a pattern that starts with what may stand before is tried at each one.
     """
     ordered = sorted(names, key=lambda n: (-len(n), n))
-    return F.coalesce(*[F.when(c.rlike(rf"(^|[^A-Za-z0-9]){_quote(n)}([^A-Za-z0-9]|$)"), F.lit(n)) for n in ordered], F.lit(None).cast("string"))
+    return F.coalesce(*[F.when(c.rlike(rf"{_quote(n)}(?<![A-Za-z0-9]{_quote(n)})(?![A-Za-z0-9])"), F.lit(n)) for n in ordered], F.lit(None).cast("string"))
 
 
 def _quote(s: str) -> str:

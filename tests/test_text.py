@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -182,3 +183,18 @@ def test_pin_distance_and_codes(spark):
     km = spark.range(1).select(haversine_km(F.lit(0.0), F.lit(0.0), 0.0, 1.0).alias("k")).first()["k"]
     assert abs(km - 111.195) < 0.01
     assert len(value(spark, text.human_code, "0123456789abcdef")) == 5
+
+
+def test_longest_name(spark):
+    names = ["of", "a.b", "the", "and", "with", "mente", "ñu", "-x"]
+    cases = [("of the", "the"), ("and the", "and"), ("withal lentamente of", "of"), ("lentamente mente", "mente"), ("theand", None), ("éthe", "the"), ("the\n", "the"), ("_with_", "with"), ("a.b", "a.b"), ("axb of", "of"), ("ñu", "ñu"), ("xñu9", None), ("a-x -x", "-x"), ("othe the9", None), ("", None), (None, None)]
+    got = spark.createDataFrame(list(enumerate(c[0] for c in cases)), "i int, t string").select("i", text.longest_name(F.col("t"), names).alias("v"))
+    assert [r["v"] for r in got.orderBy("i").collect()] == [c[1] for c in cases]
+
+
+def test_longest_name_looks_for_the_names_characters(spark):
+    names = ["the", "this", "that", "with", "and", "was", "of", "from", "are", "mente", "nicht", "pour"]
+    long = spark.range(1).select(F.repeat(F.concat(F.lit("wort "), F.col("id").cast("string")), 5_000_000).alias("t"))  # 35M characters
+    began = time.perf_counter()
+    assert long.select(text.longest_name(F.col("t"), names).alias("v")).first()["v"] is None
+    assert time.perf_counter() - began < 8
