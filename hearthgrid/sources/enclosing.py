@@ -118,24 +118,25 @@ def fill_by_enclosing_link(rows: DataFrame, pages: DataFrame, page: str = "page_
     lost; fees come only together with a price.
     """
     path = F.rtrim(url_path(F.col(url)), F.lit("/"))
-    named = rows.withColumn("_path", path)
-    routes = named.where("_path <> ''").select(F.col(page).cast("long").alias("page_id"), F.col("_path").alias("path")).distinct()
-    links = page_link_blocks(pages).join(routes, ["page_id", "path"])
+    asks = F.col(price).isNull() & (F.col(url) != F.col(base)) & (F.length(url_path(F.col(url))) >= LEAST_PATH)
+    named = rows.withColumns({"_page": F.col(page).cast("long"), "_path": path, "_asks": asks})
+    # rows and links grow alike and nothing here says how large they are, so no side of a join is sent to the driver
+    routes = named.where("_path <> ''").groupBy(F.col("_page").alias("page_id"), F.col("_path").alias("path")).agg(F.bool_or("_asks").alias("_asks"))
+    links = page_link_blocks(pages).join(routes.hint("merge"), ["page_id", "path"])
     order = Window.partitionBy("page_id").orderBy("opens")
     after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     links = links.withColumns({"_b": F.lag("path").over(order), "_a": F.lead("path").over(order), "_bo": F.lag("opens").over(order), "_ao": F.lead("opens").over(order)})
     other = {"before": F.last(F.when(F.col("_b") != F.col("path"), F.col("_bo")), ignorenulls=True).over(order), "after": F.first(F.when(F.col("_a") != F.col("path"), F.col("_ao")), ignorenulls=True).over(after)}
-    firsts = links.withColumns(other).groupBy("page_id", "path").agg(F.min_by(F.struct("before", "after", "blocks"), "opens").alias("_l"))
-    asks = named.where(F.col(price).isNull() & (F.col(url) != F.col(base)) & (F.length(url_path(F.col(url))) >= LEAST_PATH))
-    asks = asks.select(F.col(page).cast("long").alias("page_id"), F.col("_path").alias("path")).distinct().join(firsts, ["page_id", "path"])
-    climbed = asks.select("page_id", "path", "_l.before", "_l.after", F.posexplode("_l.blocks").alias("level", "_x"))
+    firsts = links.withColumns(other).where("_asks").groupBy("page_id", "path").agg(F.min_by(F.struct("before", "after", "blocks"), "opens").alias("_l"))
+    climbed = firsts.select("page_id", "path", "_l.before", "_l.after", F.posexplode("_l.blocks").alias("level", "_x"))
     over = (F.col("_x.chars") > LARGEST) | F.coalesce(F.col("before") > F.col("_x.opens"), F.lit(False)) | F.coalesce(F.col("after") < F.col("_x.closes"), F.lit(False))
     # a block lies in the next, so what ends the climb at one level ends it at all above
     read = climbed.where(~over).withColumn("_found", amounts.read_amounts(F.col("_x.text")))
     said = amounts.money(F.col("_found"))
-    read = read.withColumns({"_rent": said["rent"], "_common": said["fees"]}).where("_rent is not null")
-    best = read.groupBy("page_id", "path").agg(F.min_by(F.struct("_rent", "_common"), "level").alias("_got"))
+    read = read.withColumns({"_rent": said["rent"], "_common": said["fees"]})
+    # a filter on the rent would be moved below what reads the texts, which then reads them twice
+    best = read.groupBy("page_id", "path").agg(F.min_by(F.struct("_rent", "_common"), F.when(F.col("_rent").isNotNull(), F.col("level"))).alias("_got"))
     best = best.select(F.col("page_id").alias("_page"), F.col("path").alias("_path"), "_got")
-    out = named.withColumn("_page", F.when(F.col(price).isNull() & (F.col(url) != F.col(base)) & (F.length(url_path(F.col(url))) >= LEAST_PATH), F.col(page).cast("long")))
-    out = out.join(best, ["_page", "_path"], "left")
-    return out.select(*[F.coalesce(price, "_got._rent").alias(c) if c == price else F.coalesce(fees, "_got._common").alias(c) if c == fees else F.col(c) for c in rows.columns])
+    out = named.join(best.hint("merge"), ["_page", "_path"], "left")
+    found = {price: F.when(F.col("_asks"), F.col("_got._rent")), fees: F.when(F.col("_asks"), F.col("_got._common"))}
+    return out.select(*[F.coalesce(F.col(c), found[c]).alias(c) if c in found else F.col(c) for c in rows.columns])

@@ -112,6 +112,19 @@ def test_whole_paths_first_link_and_rows_that_stay(spark):
     assert filled(spark, "<p><a href='/ficha/111'>x</a><script>$ 500.000</script></p>", "/ficha/111", "/ficha/111") == [(None, None)] * 2
 
 
+def test_rows_beside_one_that_asks_stay_as_they_are(spark):
+    rows = [(1, 0, "https://homes.example/ficha/111", BASE, None, None), (1, 1, "https://homes.example/ficha/111/", BASE, 5.0, None), (1, 2, "https://homes.example/ficha/111", "https://homes.example/ficha/111", None, None), (None, 3, "https://homes.example/ficha/111", BASE, None, 7.0), (1, 4, None, BASE, None, None)]
+    pages = spark.createDataFrame([(1, "<p>Arriendo $ 900.000, gastos comunes $ 80.000 <a href='/ficha/111'>A</a></p>")], "page_id long, html string")
+    out = enclosing.fill_by_enclosing_link(spark.createDataFrame(rows, ROWS), pages)
+    assert [tuple(r) for r in out.orderBy("pos").select("pos", "price", "fees").collect()] == [(0, 900_000.0, 80_000.0), (1, 5.0, None), (2, None, None), (3, None, 7.0), (4, None, None)]
+
+
+def test_no_side_goes_through_the_driver_and_texts_are_read_once(spark):
+    rows, pages = spark.createDataFrame([(1, 0, BASE, BASE, None, None)], ROWS), spark.createDataFrame([(1, "")], "page_id long, html string")
+    plan = enclosing.fill_by_enclosing_link(rows, pages)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2 and plan.count("ArrowEvalPython") == 1
+
+
 def test_unclosed_and_crossed_tags():
     (a, b) = enclosing.links_of("<div><p>one <a href='/x/1'>t</a> <img src=q> <b>two</i></div> <p>three <a href='/x/2'>u")
     assert [(x["text"]) for x in a["blocks"]] == ["one t two", "one t two"] and [x["text"] for x in b["blocks"]] == ["three u"]
