@@ -179,21 +179,39 @@ def programme_of(t: Column) -> dict[str, Column]:
 def building_age(c: Column, as_of: Column) -> dict[str, Column]:
     """built (year), age, and the age ceiling that phrases for new buildings give."""
     t = fold(c)
-    year = _first_int(t, r"(?:ano de construccion|construido en|construccion)\D{0,12}((?:19|20)[0-9]{2})")
-    age = _first_int(t, r"antiguedad\D{0,12}([0-9]{1,3})\s*anos?")
-    year = F.when(year.between(1900, F.year(as_of) + 1), year)
+    return building_age_of(building_age_texts(t), as_of) | {"age_ceiling": F.when(t.rlike("a estrenar"), 2).when(t.rlike("edificio nuevo"), 5)}
+
+
+def building_age_texts(folded: Column) -> dict[str, Column]:
+    """The year of building and the age as they stand, as integers."""
     return {
-        "built": F.coalesce(year, F.year(as_of) - age),
-        "age": F.coalesce(F.when(year.isNotNull(), F.greatest(F.year(as_of) - year, F.lit(0))), age),
-        "age_ceiling": F.when(t.rlike("a estrenar"), 2).when(t.rlike("edificio nuevo"), 5),
+        "year": _first_int(folded, r"(?:ano de construccion|construido en|construccion)\D{0,12}((?:19|20)[0-9]{2})"),
+        "years": _first_int(folded, r"antiguedad\D{0,12}([0-9]{1,3})\s*anos?"),
     }
 
 
+def building_age_of(texts: dict[str, Column], as_of: Column) -> dict[str, Column]:
+    """``built`` and ``age`` of what ``building_age_texts`` found, best columns of their own."""
+    year, age = F.when(texts["year"].between(1900, F.year(as_of) + 1), texts["year"]), texts["years"]
+    return {"built": F.coalesce(year, F.year(as_of) - age), "age": F.coalesce(F.when(year.isNotNull(), F.greatest(F.year(as_of) - year, F.lit(0))), age)}
+
+
 def floor_and_unit(c: Column) -> dict[str, Column]:
     """floor and unit; a unit of three digits or more tells the floor."""
-    t = fold(c)
-    unit = F.nullif(F.regexp_extract(t, r"(?:depto|departamento|dpto|unidad)\.?\s*(?:n|no|nro|#)?\s*([0-9]{2,4}[a-z]?)(?![a-z0-9])", 1), F.lit(""))
-    said = F.coalesce(_first_int(t, r"piso\s*([0-9]{1,2})(?![0-9])"), _first_int(t, r"(?:^|[^0-9])([0-9]{1,2})\s*(?:°|º|er|do|to|vo)?\s*piso"))
+    return floor_and_unit_of(floor_texts(fold(c)))
+
+
+def floor_texts(folded: Column) -> dict[str, Column]:
+    """The unit and the floor as they stand."""
+    return {
+        "unit": F.nullif(F.regexp_extract(folded, r"(?:depto|departamento|dpto|unidad)\.?\s*(?:n|no|nro|#)?\s*([0-9]{2,4}[a-z]?)(?![a-z0-9])", 1), F.lit("")),
+        "said": F.coalesce(_first_int(folded, r"piso\s*([0-9]{1,2})(?![0-9])"), _first_int(folded, r"(?:^|[^0-9])([0-9]{1,2})\s*(?:°|º|er|do|to|vo)?\s*piso")),
+    }
+
+
+def floor_and_unit_of(texts: dict[str, Column]) -> dict[str, Column]:
+    """``floor_and_unit`` of what ``floor_texts`` found, best columns of their own."""
+    unit, said = texts["unit"], texts["said"]
     digits = F.regexp_extract(F.coalesce(unit, F.lit("")), "^([0-9]{3,4})", 1)
     return {"unit": unit, "floor": F.coalesce(F.when(said.between(1, 60), said), F.floor(F.nullif(digits, F.lit("")).try_cast("int") / 100).cast("int"))}
 

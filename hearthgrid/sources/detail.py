@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import amounts
-from ..functions.text import areas, building_age, canonical_url, floor_and_unit, map_pin, programme
+from ..functions.text import area_texts, areas_of, building_age_of, building_age_texts, canonical_url, floor_and_unit_of, floor_texts, fold, map_pin, programme_of
 
 #: Characters of a title or address that are looked for, the fewest that anchor, and those of the header, of the body and of a page
 #: worth reading.
@@ -51,14 +51,17 @@ def visible(html: str | None) -> str | None:
 
 
 def visible_text(html: Column) -> Column:
-    """The page's text on one line."""
+    """The page's text on one line.
+
+    It's marked as nondeterministic so that a filter on the text isn't moved below, where each page would be parsed twice.
+    """
 
     @F.pandas_udf("string")
     def run(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in pages:
             yield s.map(visible, na_action="ignore")
 
-    return run(html)
+    return run.asNondeterministic()(html)
 
 
 def _anchor(c: Column) -> Column:
@@ -78,9 +81,14 @@ def sections(text: Column, title: Column, address: Column) -> dict[str, Column]:
     return {"anchored": start.isNotNull(), "header": F.when(F.length(header) >= LEAST, header), "body": F.left(F.substr(text, F.coalesce(start, F.lit(1))), F.lit(BODY))}
 
 
-def _said(text: Column, found: Column, as_of: Column) -> dict[str, Column]:
+def _texts(folded: Column) -> dict[str, Column]:
+    """What stands in a folded section where its areas, age and floor do."""
+    return area_texts(folded) | building_age_texts(folded) | floor_texts(folded)
+
+
+def _said(folded: Column, texts: dict[str, Column], found: Column, as_of: Column) -> dict[str, Column]:
     """Fields of a section; of money only what has a label."""
-    size, rooms, age, floor = areas(text), programme(text), building_age(text, as_of), floor_and_unit(text)
+    size, rooms, age, floor = areas_of(texts), programme_of(folded), building_age_of(texts, as_of), floor_and_unit_of(texts)
     said = amounts.labelled_money(found)
     return {"price": said["rent"], "fees": said["fees"], "built": age["built"], "age": age["age"], **{k: size[k] for k in ("total", "useful", "terrace")}, **{k: rooms[k] for k in ("bedrooms", "baths", "parking", "storage")}, "floor": floor["floor"]}
 
@@ -93,15 +101,21 @@ def text_readings(pages: DataFrame, listings: DataFrame, as_of: Column, page_url
     """
     own = listings.select(canonical_url(F.col(url)).alias("_page"), F.col(title).alias("_title"), F.col(address).alias("_address")).where("_page <> ''")
     own = own.groupBy("_page").agg(F.min(F.struct("_title", "_address")).alias("_l"))
-    p = pages.select(F.col(page_url).alias("page_url"), canonical_url(F.col(page_url)).alias("_page"), visible_text(F.col(html)).alias("_text"))
-    p = p.join(own, "_page").where(F.length("_text") >= LEAST)
-    p = p.withColumns(sections(F.col("_text"), F.col("_l._title"), F.col("_l._address"))).drop("_text", "_l")
-    p = p.withColumns({f"_{k}_amounts": amounts.read_amounts(F.col(k)) for k in ("header", "body")})
-    for k in ("header", "body"):
-        p = p.withColumn(f"_{k}", F.struct(*[v.alias(c) for c, v in _said(F.col(k), F.col(f"_{k}_amounts"), as_of).items()]))
+    # a page costs much more to read than its bytes tell, so pages are dealt by number, and no side of the join is sent to the driver
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = pages.select(F.col(page_url).alias("page_url"), canonical_url(F.col(page_url)).alias("_page"), F.col(html).alias("_html"))
+    p = p.where("_page <> ''").repartition(n, "_page").join(own.hint("merge"), "_page")
+    p = p.withColumn("_text", visible_text(F.col("_html"))).where(F.length("_text") >= LEAST)
+    p = p.withColumns(sections(F.col("_text"), F.col("_l._title"), F.col("_l._address"))).select("page_url", "anchored", "header", "body")
+    # columns of their own at each step: what is put into an expression in several places is worked out as often
+    both = lambda of: {f"_{k}_{name}": c for k in ("header", "body") for name, c in of(k).items()}
+    p = p.withColumns(both(lambda k: {"amounts": amounts.read_amounts(F.col(k)), "folded": fold(F.col(k))}))
+    p = p.withColumns(both(lambda k: {f"text_{name}": c for name, c in _texts(F.col(f"_{k}_folded")).items()}))
+    at = lambda k: {name: F.col(f"_{k}_text_{name}") for name in _texts(F.lit(""))}
+    p = p.withColumns(both(lambda k: _said(F.col(f"_{k}_folded"), at(k), F.col(f"_{k}_amounts"), as_of)))
     # zero in the header is no news
-    news = lambda c: F.col(f"_header.{c}") if c == "storage" else F.when(F.col(f"_header.{c}") != 0, F.col(f"_header.{c}"))
-    return p.select("page_url", "anchored", *[F.coalesce(news(c), F.col(f"_body.{c}")).alias(c) for c in FIELDS])
+    news = lambda c: F.col(f"_header_{c}") if c == "storage" else F.when(F.col(f"_header_{c}") != 0, F.col(f"_header_{c}"))
+    return p.select("page_url", "anchored", *[F.coalesce(news(c), F.col(f"_body_{c}")).alias(c) for c in FIELDS])
 
 
 def page_pins(pages: DataFrame, page_url: str = "page_url", html: str = "html") -> DataFrame:

@@ -114,6 +114,14 @@ def test_text_is_cut_at_the_address_and_needs_a_long_enough_anchor(spark):
     assert text_of(spark, "<p>corto</p>", title="x" * 40) == [] and text_of(spark, None) == []
 
 
+def test_pages_are_dealt_out_and_each_is_read_once(spark):
+    pages = spark.createDataFrame([("https://a.example/1", "<p>x")], "page_url string, html string")
+    own = spark.createDataFrame([("https://a.example/1", "t", "a")], "url string, title string, address string")
+    plan = detail.text_readings(pages, own, F.lit(dt.date(2026, 8, 21)))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "REPARTITION_BY_NUM" in plan
+    assert plan.count("ArrowEvalPython") == 3 and plan.count("translate(") == 2  # the page, its header and its body
+
+
 def test_pages_to_listings_in_one_go(spark):
     html = """<body><script type="application/ld+json">[{"@type":"Place","name":"Región"},{"@type":"ApartmentComplex","url":"/aviso/5","name":"Depto","numberOfBedrooms":3,
     "potentialAction":[{"priceSpecification":{"price":"47","priceCurrency":"clf"}}]},{"@type":"apartment","url":"/aviso/9","name":"Otro","numberOfBedrooms":6,"offers":{"price":1}}]</script>
